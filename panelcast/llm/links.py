@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import connected_components, cut, fetch
 
+#: A table of buckets up to this many rows of two longs is broadcast, a larger one shuffled.
+LARGE_BUCKETS = 400_000
+
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
     """Distinct shingles of ASCII-lower-cased words; a shorter text is one shingle."""
@@ -36,20 +39,25 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, size: int, least: float) -
 def verified_components(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, component over all pairs of nodes that share a bucket and pass verify.
 
-    keyed has node and bucket. First, each bucket's members meet its smallest node only: copies of
-    one text are then in one component. A pair within a component can't change the components, so
-    only pairs of a bucket across components follow, all of them: no candidate is capped.
+    keyed has node (long) and bucket, each pair once. Buckets of two or three nodes give their pairs,
+    which their least, greatest and xor tell. In a larger one each member first meets the smallest
+    node only: copies of one text are then in one component. A pair within a component can't change
+    the components, so only pairs of a bucket across components follow, all of them: no candidate is
+    capped.
     """
-    met = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
-    large = cut(met.where("size > 2").select("bucket", "low"))
-    members = cut(fetch(keyed, large, ["bucket"]).select("bucket", "node", "low").distinct())
-    stars = met.select(F.col("low").alias("a"), F.col("high").alias("b")).union(members.where("node <> low").select("low", "node"))
+    facts = [F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor("node").alias("z")]
+    met = cut(keyed.groupBy("bucket").agg(*facts).where("size > 1").withColumn("z", F.col("z").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y"))))
+    large = cut(met.where("size > 3").select("bucket", F.col("x").alias("low")))
+    members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "low"))
+    stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    for a, b, sizes in (("x", "y", "size in (2, 3)"), ("x", "z", "size = 3"), ("z", "y", "size = 3")):
+        stars = stars.unionByName(met.where(sizes).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
     tried = cut(stars.distinct())
     edges = cut(verify(tried))
     parts = connected_components(edges)
     labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     split = cut(labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket"))
-    rest = cut(fetch(labelled, split, ["bucket"]))
+    rest = cut(fetch(labelled, split, ["bucket"], LARGE_BUCKETS))
     groups = rest.select("bucket", "part").distinct()
     across = groups.withColumnRenamed("part", "p").join(groups.withColumnRenamed("part", "q"), "bucket").where("p < q")
     across = across.join(rest.select("bucket", F.col("part").alias("p"), F.col("node").alias("x")), ["bucket", "p"]).join(rest.select("bucket", F.col("part").alias("q"), F.col("node").alias("y")), ["bucket", "q"])

@@ -127,7 +127,7 @@ def simhash_components(docs: DataFrame, kind: str = "shingles", size: int = 3, r
 
 
 def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows to drop so that one document of each near-duplicate group stays: doc_id, text_md5.
+    """Rows to drop so that one document of each near-duplicate group stays: doc_id, text_hash.
 
     Fingerprints of word sets within radius bits are candidates (covering tables), the Jaccard
     similarity of the whole texts' size-word shingles decides (least or more), and groups are
@@ -135,35 +135,35 @@ def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: floa
     of its text (null: empty); null ids sort first. Exact copies are one class, so they make no
     pairs. Repeated rows share a key.
     """
-    rows = cut(keyed_rows(docs).select("doc_id", "text_md5", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
-    nodes = cut(rows.groupBy("text_md5").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")))
-    keyed = covering_keys(nodes.select("fp", F.col("text_md5").alias("node")), radius, "node", "fp").select("node", "fp", F.xxhash64("table", "key").alias("bucket"))
+    rows = cut(keyed_rows(docs).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
+    nodes = cut(rows.groupBy("text_hash").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+    keyed = covering_keys(nodes.select("fp", F.col("text_hash").alias("node")), radius, "node", "fp").select("node", "fp", F.xxhash64("table", "key").alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        fps = nodes.select(F.col("text_md5").alias("node"), "fp")
+        fps = nodes.select(F.col("text_hash").alias("node"), "fp")
         near = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
         near = cut(near.where(distance("fp_a", "fp_b") <= radius).select("a", "b"))
-        wanted = near.select(F.col("a").alias("text_md5")).union(near.select("b")).distinct().join(nodes, "text_md5").select("text_md5", F.col("first.doc_id").alias("doc_id"))
-        texts = fetch(keyed_rows(docs), cut(wanted), ["text_md5", "doc_id"]).select(F.col("text_md5").alias("node"), "text").dropDuplicates(["node"])
+        wanted = near.select(F.col("a").alias("text_hash")).union(near.select("b")).distinct().join(nodes, "text_hash").select("text_hash", F.col("first.doc_id").alias("doc_id"))
+        texts = fetch(keyed_rows(docs), cut(wanted), ["text_hash", "doc_id"]).select(F.col("text_hash").alias("node"), "text").dropDuplicates(["node"])
         return jaccard_pairs(near, texts, size, least)
 
     parts = verified_components(keyed, verify)
-    rooted = nodes.join(parts, nodes["text_md5"] == parts["node"], "left").select("text_md5", "first", F.coalesce("component", "text_md5").alias("root"))
-    kept = cut(rooted.groupBy("root").agg(F.min(F.struct("first", "text_md5")).alias("kept")).select("kept.text_md5", "kept.first.doc_id"))
-    return cut(rows.select("doc_id", "text_md5").distinct().join(kept.select("text_md5", "doc_id", F.lit(True).alias("stays")), (kept["text_md5"] == rows["text_md5"]) & kept["doc_id"].eqNullSafe(rows["doc_id"]), "left").where("stays is null").select(rows["doc_id"], rows["text_md5"]))
+    rooted = nodes.join(parts, nodes["text_hash"] == parts["node"], "left").select("text_hash", "first", F.coalesce("component", "text_hash").alias("root"))
+    kept = cut(rooted.groupBy("root").agg(F.min(F.struct("first", "text_hash")).alias("kept")).select("kept.text_hash", "kept.first.doc_id"))
+    return cut(rows.select("doc_id", "text_hash").distinct().join(kept.select("text_hash", "doc_id", F.lit(True).alias("stays")), (kept["text_hash"] == rows["text_hash"]) & kept["doc_id"].eqNullSafe(rows["doc_id"]), "left").where("stays is null").select(rows["doc_id"], rows["text_hash"]))
 
 
 def drop_near_duplicates(docs: DataFrame, **settings: object) -> DataFrame:
     """docs less the rows that near_duplicates names; of repeated rows one stays."""
     doomed = near_duplicates(docs, **settings)
-    keyed = docs.withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    out = fetch(keyed, doomed, ["doc_id", "text_md5"], how="left_anti")
-    repeated = cut(keyed.groupBy("doc_id", "text_md5").count().where("count > 1").select("doc_id", "text_md5"))
+    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = fetch(keyed, doomed, ["doc_id", "text_hash"], how="left_anti")
+    repeated = cut(keyed.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
     if repeated.limit(1).count():
-        once = fetch(out, repeated, ["doc_id", "text_md5"], how="left_anti")
-        out = once.unionByName(fetch(out, repeated, ["doc_id", "text_md5"], how="left_semi").dropDuplicates(["doc_id", "text_md5"]))
+        once = fetch(out, repeated, ["doc_id", "text_hash"], how="left_anti")
+        out = once.unionByName(fetch(out, repeated, ["doc_id", "text_hash"], how="left_semi").dropDuplicates(["doc_id", "text_hash"]))
     return out.select(*docs.columns)
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_md5", F.md5("text"))
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))

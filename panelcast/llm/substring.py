@@ -16,8 +16,8 @@ from panelcast.llm.links import jaccard_pairs, verified_components
 
 #: Words a paragraph needs to count as a passage; those from which runs inside a paragraph count too.
 LEAST_WORDS, LONG_WORDS = 20, 50
-#: 20 bands of 6 rows: a pair of similarity 0.8 collides with probability 0.998, one of 0.9 surely.
-BANDS, ROWS, SHINGLE, LEAST = 20, 6, 5, 0.8
+#: 12 bands of 5 rows: a pair of similarity 0.8 collides with probability 0.992, one of 0.9 with 0.99998.
+BANDS, ROWS, SHINGLE, LEAST = 12, 5, 5, 0.8
 BLOCK = 1 << 13
 
 _UNITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("paragraph", pa.int32()), ("h", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("bands", pa.list_(pa.int64()))])
@@ -131,7 +131,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Word spans that repeat an earlier document's or paragraph's: doc_id, text_hash, s, e, kept_id.
 
     A row is given by doc_id and the XXH64 of its text. The first paragraph of a component, and the
-    smallest document of a repeated run, keep the words; kept_id names that document.
+    smallest document of a repeated run, keep the words; kept_id names that document. Documents with a
+    null id take part by their paragraphs only.
     """
     every = scratch.table(unit_table(docs), "units")
     paragraphs = every.where("paragraph >= 0")
@@ -154,11 +155,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = attach(paragraphs.select("doc_id", "text_hash", "s", "e", "h"), table, "h", total, F.xxhash64("doc_id", "s")).where("kept is not null")
     doubled = members.where(~F.struct("doc_id", "text_hash", "s", "e").eqNullSafe(F.col("kept"))).select("doc_id", "text_hash", "s", "e", F.col("kept.doc_id").alias("kept_id"))
 
-    runs = every.where("paragraph < 0").select("doc_id", "text_hash", "s", "e", "h")
-    owner = F.struct("doc_id", "text_hash")
-    shared = cut(runs.groupBy("h").agg(F.min(owner).alias("kept"), F.max(owner).alias("top"), F.count("*").alias("n")).where("kept <> top").select("h", "n", "kept"))
-    again = attach(runs, shared, "h", total, F.xxhash64("doc_id", "s")).where("kept is not null")
-    again = again.where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("kept"))).select("doc_id", "text_hash", "s", "e", F.col("kept.doc_id").alias("kept_id"))
+    runs = every.where("paragraph < 0 and doc_id is not null").select("doc_id", "text_hash", "s", "e", "h")
+    shared = cut(runs.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = attach(runs, shared, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id").select("doc_id", "text_hash", "s", "e", "kept_id")
     return cut(doubled.unionByName(again))
 
 
