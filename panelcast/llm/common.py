@@ -91,15 +91,43 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     )
 
 
+#: Bits of the filter that stands for a table too large to broadcast: 8 MB whatever the table's size.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows that may have a partner in wanted by the columns on, and rows that have none.
+
+    The hashed keys of wanted set bits of a bitmap, whose at most 2,048 pieces are broadcast; what
+    finds its bit unset has no partner and needs no shuffle.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    pieces = wanted.select(place.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tested = rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(cut(pieces)), "_piece", "left")
+    tested = tested.withColumn("_may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    return tuple(tested.where(x).select(*rows.columns) for x in (F.col("_may"), ~F.col("_may")))
+
+
 def fetch(rows: DataFrame, wanted: DataFrame, on: list[str], limit: int = 100_000, how: str = "inner") -> DataFrame:
-    """rows joined null-safely with wanted (cut before), which is broadcast only if it has limit rows at most."""
+    """rows joined null-safely with wanted (cut before); how is inner, left, left_semi or left_anti.
+
+    wanted is broadcast only if it has limit rows at most. Else both are shuffled, but of rows only what
+    may have a partner; for outer and anti joins the rest is added after.
+    """
     few = wanted.limit(limit + 1).count() <= limit
-    wanted = wanted.withColumnsRenamed({c: f"_{c}" for c in on})
+    rest = None
+    if not few:
+        rows, rest = maybe_in(rows, wanted, on)
+    renamed = wanted.withColumnsRenamed({c: f"_{c}" for c in on})
     same = F.lit(True)
     for c in on:
-        same = same & rows[c].eqNullSafe(wanted[f"_{c}"])
-    out = rows.join(F.broadcast(wanted) if few else wanted, same, how)
-    return out.drop(*[f"_{c}" for c in on])
+        same = same & rows[c].eqNullSafe(renamed[f"_{c}"])
+    out = rows.join(F.broadcast(renamed) if few else renamed, same, how).drop(*[f"_{c}" for c in on])
+    if rest is not None and how in ("left", "left_anti"):
+        out = out.unionByName(rest, allowMissingColumns=True)
+    return out
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, rows_in_all: int, salt: Column) -> DataFrame:

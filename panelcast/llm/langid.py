@@ -55,8 +55,12 @@ def bundle(codes: list[np.ndarray], weights: list[np.ndarray], rows: np.ndarray,
     found, at = np.unique(np.concatenate(codes), return_inverse=True)
     counts = np.zeros((n, len(found)), np.float32)
     np.add.at(counts, (np.repeat(rows, [len(c) for c in codes]), at), np.concatenate(weights))
-    a, b, c = found // (SYMBOLS * SYMBOLS), found // SYMBOLS % SYMBOLS, found % SYMBOLS
-    return counts @ (np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c])
+    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    for i in range(0, len(found), 1024):  # so that memory doesn't follow the number of trigrams
+        x = found[i : i + 1024]
+        out += counts[:, i : i + 1024] @ (first[x // (SYMBOLS * SYMBOLS)] * second[x // SYMBOLS % SYMBOLS] * letters[x % SYMBOLS])
+    return out
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[float]]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from panelcast.llm.common import connected_components, cut, fetch
 
 #: A table of buckets up to this many rows of two longs is broadcast, a larger one shuffled.
 LARGE_BUCKETS = 400_000
+#: Buckets up to FEW nodes are compared in a join, larger ones in blocks of BLOCK.
+FEW, BLOCK = 16, 384
 
 
 def shingle_set(text: str | None, size: int) -> set[bytes]:
@@ -36,14 +40,61 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, size: int, least: float) -
     return both.where(similar("text_a", "text_b")).select("a", "b")
 
 
-def verified_components(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, component over all pairs of nodes that share a bucket and pass verify.
+def similar_within(texts: list[str | None], size: int, least: float) -> np.ndarray:
+    """For each text the first one that it reaches over pairs of similarity least or more."""
+    sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in shingle_set(t, size)), np.uint64)) for t in texts]
+    sizes = np.array([len(x) for x in sets], np.float32)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(often > 1) - 1  # a shingle of one text is in no intersection
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    held = often[column] > 1
+    owner, column = owner[held], shared[column[held]]
+    for at in range(0, int(shared[-1]) + 1 if len(values) else 0, 2048):
+        own = (column >= at) & (column < at + 2048)
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[own], column[own] - at] = 1
+        both += part @ part.T
+    linked = both >= np.float32(least) * (sizes[:, None] + sizes[None, :] - both) - 1e-3
+    first = np.arange(len(sets))
+    while True:
+        lower = np.where(linked, first[None, :], len(sets)).min(axis=1)
+        lower = np.minimum(first, lower)[np.minimum(first, lower)]
+        if (lower == first).all():
+            return first
+        first = lower
+
+
+def block_edges(members: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Edges a, b that link the similar nodes of each bucket, for buckets of any size.
+
+    members: bucket, node, and n, the bucket's number of them. A bucket is dealt into blocks of BLOCK
+    nodes; every two blocks meet in one task, which compares all their pairs and returns a forest.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    met = members.select("bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = met.select("node", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", ignore_index=True)
+        first = similar_within(part["text"].tolist(), size, least)
+        tied = first != np.arange(len(first))
+        return pd.DataFrame({"a": part["node"].to_numpy()[first[tied]], "b": part["node"].to_numpy()[tied]}, dtype="int64")
+
+    return met.join(texts, "node").groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+
+
+def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], size: int, least: float) -> DataFrame:
+    """node, component over all pairs of nodes that share a bucket and have a shingle Jaccard of least or more.
+
+    near keeps those pairs a, b that are worth a look; texts_of gives node, text for a table of nodes.
 
     keyed has node (long) and bucket, each pair once. Buckets of two or three nodes give their pairs,
     which their least, greatest and xor tell. In a larger one each member first meets the smallest
     node only: copies of one text are then in one component. A pair within a component can't change
-    the components, so only pairs of a bucket across components follow, all of them: no candidate is
-    capped.
+    the components, so only buckets with several components follow: as pairs across components up to
+    FEW nodes, else in blocks. No candidate is capped.
     """
     facts = [F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor("node").alias("z")]
     met = cut(keyed.groupBy("bucket").agg(*facts).where("size > 1").withColumn("z", F.col("z").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y"))))
@@ -52,14 +103,20 @@ def verified_components(keyed: DataFrame, verify: Callable[[DataFrame], DataFram
     stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     for a, b, sizes in (("x", "y", "size in (2, 3)"), ("x", "z", "size = 3"), ("z", "y", "size = 3")):
         stars = stars.unionByName(met.where(sizes).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
-    tried = cut(stars.distinct())
-    edges = cut(verify(tried))
+    tried = cut(near(stars.distinct()))
+    texts = cut(texts_of(cut(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())))
+    edges = cut(jaccard_pairs(tried, texts, size, least))
     parts = connected_components(edges)
     labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    split = cut(labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket"))
+    split = cut(labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket", "n"))
     rest = cut(fetch(labelled, split, ["bucket"], LARGE_BUCKETS))
-    groups = rest.select("bucket", "part").distinct()
+    few = rest.where(F.col("n") <= FEW)
+    groups = few.select("bucket", "part").distinct()
     across = groups.withColumnRenamed("part", "p").join(groups.withColumnRenamed("part", "q"), "bucket").where("p < q")
-    across = across.join(rest.select("bucket", F.col("part").alias("p"), F.col("node").alias("x")), ["bucket", "p"]).join(rest.select("bucket", F.col("part").alias("q"), F.col("node").alias("y")), ["bucket", "q"])
-    fresh = cut(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return connected_components(edges.unionByName(verify(fresh)))
+    across = across.join(few.select("bucket", F.col("part").alias("p"), F.col("node").alias("x")), ["bucket", "p"]).join(few.select("bucket", F.col("part").alias("q"), F.col("node").alias("y")), ["bucket", "q"])
+    fresh = cut(near(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")))
+    many = rest.where(F.col("n") > FEW).select("bucket", "node", "n")
+    asked = cut(fresh.select(F.col("a").alias("node")).union(fresh.select("b")).union(many.select("node")).distinct())
+    texts = cut(texts_of(asked))
+    edges = edges.unionByName(jaccard_pairs(fresh, texts, size, least)).unionByName(block_edges(many, texts, size, least))
+    return connected_components(edges)

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import attach, connected_components, cut, fetch
-from panelcast.llm.links import jaccard_pairs, verified_components
+from panelcast.llm.links import verified_components
 
 BITS = 64
 SEED = 42
+#: Keys of covering tables that one task makes.
+KEYS_A_TASK = 1 << 19
 
 
 def features(text: str | None, kind: str, size: int) -> list[bytes]:
@@ -131,23 +133,26 @@ def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: floa
 
     Fingerprints of word sets within radius bits are candidates (covering tables), the Jaccard
     similarity of the whole texts' size-word shingles decides (least or more), and groups are
-    components. The document with the smallest doc_id stays. A row is given by doc_id and the MD5
+    components. The document with the smallest doc_id stays. A row is given by doc_id and the XXH64
     of its text (null: empty); null ids sort first. Exact copies are one class, so they make no
     pairs. Repeated rows share a key.
     """
     rows = cut(keyed_rows(docs).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
     nodes = cut(rows.groupBy("text_hash").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")))
-    keyed = covering_keys(nodes.select("fp", F.col("text_hash").alias("node")), radius, "node", "fp").select("node", "fp", F.xxhash64("table", "key").alias("bucket"))
+    tables = (1 << (radius + 1)) - 1
+    dealt = nodes.select("fp", F.col("text_hash").alias("node")).repartition(1 + nodes.count() * tables // KEYS_A_TASK)
+    keyed = covering_keys(dealt, radius, "node", "fp").select("node", F.xxhash64("table", "key").alias("bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
         fps = nodes.select(F.col("text_hash").alias("node"), "fp")
-        near = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
-        near = cut(near.where(distance("fp_a", "fp_b") <= radius).select("a", "b"))
-        wanted = near.select(F.col("a").alias("text_hash")).union(near.select("b")).distinct().join(nodes, "text_hash").select("text_hash", F.col("first.doc_id").alias("doc_id"))
-        texts = fetch(keyed_rows(docs), cut(wanted), ["text_hash", "doc_id"]).select(F.col("text_hash").alias("node"), "text").dropDuplicates(["node"])
-        return jaccard_pairs(near, texts, size, least)
+        both = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
+        return both.where(distance("fp_a", "fp_b") <= radius).select("a", "b")
 
-    parts = verified_components(keyed, verify)
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        named = cut(wanted.withColumnRenamed("node", "text_hash").join(nodes, "text_hash").select("text_hash", F.col("first.doc_id").alias("doc_id")))
+        return fetch(keyed_rows(docs), named, ["text_hash", "doc_id"]).select(F.col("text_hash").alias("node"), "text").dropDuplicates(["node"])
+
+    parts = verified_components(keyed, near, texts_of, size, least)
     rooted = nodes.join(parts, nodes["text_hash"] == parts["node"], "left").select("text_hash", "first", F.coalesce("component", "text_hash").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min(F.struct("first", "text_hash")).alias("kept")).select("kept.text_hash", "kept.first.doc_id"))
     return cut(rows.select("doc_id", "text_hash").distinct().join(kept.select("text_hash", "doc_id", F.lit(True).alias("stays")), (kept["text_hash"] == rows["text_hash"]) & kept["doc_id"].eqNullSafe(rows["doc_id"]), "left").where("stays is null").select(rows["doc_id"], rows["text_hash"]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch
-from panelcast.llm.links import jaccard_pairs, verified_components
+from panelcast.llm.links import verified_components
 
 #: Words a paragraph needs to count as a passage; those from which runs inside a paragraph count too.
 LEAST_WORDS, LONG_WORDS = 20, 50
@@ -140,14 +140,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     classes = scratch.table(paragraphs.groupBy(F.col("h").alias("node")).agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("node", F.explode("bands").alias("bucket"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = cut(both.join(classes, "node").select("node", "place.doc_id", "place.text_hash", "place.s", "place.e"))
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = cut(nodes.join(classes, "node").select("node", "place.doc_id", "place.text_hash", "place.s", "place.e"))
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-        found = fetch(rows, wanted, ["doc_id", "text_hash"]).dropDuplicates(["node"])
-        return jaccard_pairs(pairs, found.select("node", span_text("text", "s", "e").alias("text")), SHINGLE, LEAST)
+        found = fetch(rows, wanted, ["doc_id", "text_hash"]).select("node", span_text("text", "s", "e").alias("text"))
+        return found.dropDuplicates(["node"])
 
-    parts = verified_components(keyed, verify)
+    parts = verified_components(keyed, lambda pairs: pairs, texts_of, SHINGLE, LEAST)
     rooted = classes.drop("bands").join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
     groups = rooted.groupBy("root").agg(F.min("place").alias("kept"), F.sum("n").alias("rows")).where("rows > 1")
     table = cut(rooted.join(groups, "root").select(F.col("node").alias("h"), "n", "kept"))
