@@ -20,6 +20,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of an Arrow batch where whole texts go to Python workers; Spark's own 10,000 long texts fill their memory.
+TEXTS_A_BATCH = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold TEXTS_A_BATCH rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= TEXTS_A_BATCH:
+        df.sparkSession.conf.set(name, str(TEXTS_A_BATCH))
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)

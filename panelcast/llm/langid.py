@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import text_batches
+
 SYMBOLS, DIMENSIONS = 48, 1024
 #: Prototypes are kept on the driver, one for each language; more languages than this are refused.
 MAX_LANGUAGES = 10_000
@@ -79,7 +81,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
         if sums:
             yield pd.DataFrame({"lang": list(sums), "vector": [v.astype(np.int64) for v in sums.values()]})
 
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    rows = text_batches(labelled).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sums = rows.mapInPandas(run, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("vector"))
     found = whole.limit(MAX_LANGUAGES + 1).collect()

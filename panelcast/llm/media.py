@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import text_batches
+
 RATE, WINDOW, HOP, UNIT = 8000, 256, 128, 64
 #: Spectral bins in which one peak each is sought, and how many frames on a peak is paired.
 BANDS, FAN = ((1, 8), (8, 24), (24, 56), (56, 129)), 3
@@ -89,7 +91,7 @@ def media_fingerprints(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DDL)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _DDL)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import cut, word_count
+from panelcast.llm.common import cut, text_batches, word_count
 
 #: Targets are kept on the driver, one row for each source; more sources than this are refused.
 MAX_SOURCES = 100_000
@@ -174,7 +174,7 @@ def mixed_documents(docs: DataFrame, **settings: object) -> DataFrame:
             out.append(b" ".join(w for x in sorted(spans, key=lambda x: x["s"]) for w in words[x["s"] : x["e"]]).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    keyed = text_batches(docs).withColumn("text_hash", F.xxhash64("text"))
     if mix.rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["doc_id", "text_hash"])  # each repeated row has spans of its own
     spans = spans.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})

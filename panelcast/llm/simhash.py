@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import attach, connected_components, cut, fetch
+from panelcast.llm.common import attach, connected_components, cut, fetch, text_batches
 from panelcast.llm.links import verified_components
 
 BITS = 64
@@ -115,7 +115,7 @@ def simhash_components(docs: DataFrame, kind: str = "shingles", size: int = 3, r
     members; null ids belong to components but name none (a component of null ids only has a null
     component_id). Other columns are ignored; an empty table gives no rows.
     """
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text, kind, size).alias("fp")))
+    rows = cut(text_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprint_column(text, kind, size).alias("fp")))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     parts = connected_components(fingerprint_edges(nodes, radius))
     rooted = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "first_id", "n", F.coalesce("component", "fp").alias("root"))
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: floa
     of its text (null: empty); null ids sort first. Exact copies are one class, so they make no
     pairs. Repeated rows share a key.
     """
-    rows = cut(keyed_rows(docs).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
+    rows = cut(keyed_rows(text_batches(docs)).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
     nodes = cut(rows.groupBy("text_hash").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")))
     tables = (1 << (radius + 1)) - 1
     dealt = nodes.select("fp", F.col("text_hash").alias("node")).repartition(1 + nodes.count() * tables // KEYS_A_TASK)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch
+from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch, text_batches
 from panelcast.llm.links import verified_components
 
 #: Words a paragraph needs to count as a passage; those from which runs inside a paragraph count too.
@@ -115,7 +115,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
             if position:
                 yield _batch(position, columns, ids, hashes)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _UNITS_DDL)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _UNITS_DDL)
 
 
 def _batch(position: list, columns: list, ids: pa.Array, hashes: np.ndarray) -> pa.RecordBatch:
