@@ -1,0 +1,10 @@
+"""Column functions over arrays."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array without nulls; null if it is empty."""
+    ordered, n = F.array_sort(values), F.size(values)
+    return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2

@@ -1,0 +1,78 @@
+"""Sequential kernels over one series; each is at most as long as the calendar."""
+
+from __future__ import annotations
+
+from math import lgamma, pi
+
+import numpy as np
+
+
+def student_log_pdf(x: float, nu: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    gamma = np.vectorize(lgamma, otypes=[float])
+    z = (x - mean) / scale
+    return gamma((nu + 1) / 2) - gamma(nu / 2) - np.log(nu * pi) / 2 - np.log(scale) - (nu + 1) / 2 * np.log1p(z * z / nu)
+
+
+def bocpd(z: np.ndarray, hazard: float = 1 / 24) -> np.ndarray:
+    """Probability that the current run has at most one value, under a Normal-Gamma model; missing values are passed over."""
+    out = np.full(len(z), np.nan)
+    run, mean, kappa, alpha, beta = np.ones(1), np.zeros(1), np.ones(1), np.ones(1), np.ones(1)
+    for t in np.flatnonzero(np.isfinite(z)):
+        x = z[t]
+        weight = run * np.exp(student_log_pdf(x, 2 * alpha, mean, np.sqrt(beta * (kappa + 1) / (alpha * kappa))))
+        run = np.r_[weight.sum() * hazard, weight * (1 - hazard)]
+        run /= run.sum()
+        out[t] = run[:2].sum()
+        beta = np.r_[1, beta + kappa * (x - mean) ** 2 / (2 * (kappa + 1))]
+        mean, kappa, alpha = np.r_[0, (kappa * mean + x) / (kappa + 1)], np.r_[1, kappa + 1], np.r_[1, alpha + 0.5]
+    return out
+
+
+def costs(x: np.ndarray) -> np.ndarray:
+    """costs[a, b]: squared deviations of x[a:b] from its mean."""
+    one, two = np.r_[0, np.cumsum(x)], np.r_[0, np.cumsum(x * x)]
+    n = np.maximum(np.arange(len(one))[None, :] - np.arange(len(one))[:, None], 1)
+    return np.maximum(two[None, :] - two[:, None] - (one[None, :] - one[:, None]) ** 2 / n, 0)
+
+
+def optimal_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2) -> list[int]:
+    """Starts of the segments after the first that minimise cost plus penalty a cut."""
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    for b in range(least, n + 1):
+        starts = np.r_[0, np.arange(least, b - least + 1)]
+        total = best[starts] + cost[starts, b] + penalty
+        back[b] = starts[total.argmin()]
+        best[b] = total.min()
+    cuts = []
+    while n and back[n]:
+        n = back[n]
+        cuts.append(int(n))
+    return cuts
+
+
+def binary_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2) -> list[int]:
+    cuts, todo = [], [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        at = np.arange(a + least, b - least + 1)
+        if len(at):
+            gain = cost[a, b] - cost[a, at] - cost[at, b]
+            if gain.max() > penalty:
+                c = int(at[gain.argmax()])
+                cuts.append(c)
+                todo += [(a, c), (c, b)]
+    return cuts
+
+
+def segment_score(x: np.ndarray, method: str = "pelt", penalties: tuple = (0.5, 1, 2, 4, 8, 16, 32), start: int = 6) -> np.ndarray:
+    """The largest of rising penalties, in variances of differences, at which a cut still falls on this or the last month."""
+    out, cost = np.zeros(len(x)), costs(x)
+    find = optimal_cuts if method == "pelt" else binary_cuts
+    for t in range(start, len(x)):
+        unit = np.var(np.diff(x[: t + 1])) or 1e-6
+        for p in penalties:
+            if not any(c >= t - 1 for c in find(cost, t + 1, p * unit)):
+                break
+            out[t] = p
+    return out
