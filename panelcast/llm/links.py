@@ -91,31 +91,35 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     near keeps those pairs a, b that are worth a look; texts_of gives node, text for a table of nodes.
 
     keyed has node (long) and bucket, each pair once. Buckets of two or three nodes give their pairs,
-    which their least, greatest and xor tell. In a larger one each member first meets the smallest
-    node only: copies of one text are then in one component. A pair within a component can't change
-    the components, so only buckets with several components follow: as pairs across components up to
+    which their least, greatest and xor tell. In a larger one each member first meets one node only,
+    the one that shares most buckets with others: the text that copies were made from is nearest to
+    all of them, so most of a large group is then in one component. A pair within a component can't
+    change the components, so only buckets with several components follow. Those with a pivot of the
+    same component are one family; a family's pairs across components are compared, in a join up to
     FEW nodes, else in blocks. No candidate is capped.
     """
     facts = [F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor("node").alias("z")]
     met = cut(keyed.groupBy("bucket").agg(*facts).where("size > 1").withColumn("z", F.col("z").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y"))))
-    large = cut(met.where("size > 3").select("bucket", F.col("x").alias("low")))
-    members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "low"))
-    stars = members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    large = cut(met.where("size > 3").select("bucket", "size"))
+    members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "size"))
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    pivots = cut(members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
+    stars = members.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     for a, b, sizes in (("x", "y", "size in (2, 3)"), ("x", "z", "size = 3"), ("z", "y", "size = 3")):
         stars = stars.unionByName(met.where(sizes).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
     tried = cut(near(stars.distinct()))
     texts = cut(texts_of(cut(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())))
     edges = cut(jaccard_pairs(tried, texts, size, least))
     parts = connected_components(edges)
-    labelled = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    split = cut(labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket", "n"))
-    rest = cut(fetch(labelled, split, ["bucket"], LARGE_BUCKETS))
-    few = rest.where(F.col("n") <= FEW)
-    groups = few.select("bucket", "part").distinct()
-    across = groups.withColumnRenamed("part", "p").join(groups.withColumnRenamed("part", "q"), "bucket").where("p < q")
-    across = across.join(few.select("bucket", F.col("part").alias("p"), F.col("node").alias("x")), ["bucket", "p"]).join(few.select("bucket", F.col("part").alias("q"), F.col("node").alias("y")), ["bucket", "q"])
+    labelled = members.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    split = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+    families = pivots.join(split, "bucket").join(parts, pivots["pivot"] == parts["node"], "left").select("bucket", F.coalesce("component", "pivot").alias("family"))
+    rest = fetch(labelled, cut(families), ["bucket"], LARGE_BUCKETS).select("family", "node", "part").distinct()
+    rest = cut(rest.join(rest.groupBy("family").agg(F.count("*").alias("n")), "family"))
+    few = rest.where(F.col("n") <= FEW).select("family", "part", "node")
+    across = few.withColumnsRenamed({"part": "p", "node": "x"}).join(few.withColumnsRenamed({"part": "q", "node": "y"}), "family").where("p < q")
     fresh = cut(near(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")))
-    many = rest.where(F.col("n") > FEW).select("bucket", "node", "n")
+    many = rest.where(F.col("n") > FEW).select(F.col("family").alias("bucket"), "node", "n")
     asked = cut(fresh.select(F.col("a").alias("node")).union(fresh.select("b")).union(many.select("node")).distinct())
     texts = cut(texts_of(asked))
     edges = edges.unionByName(jaccard_pairs(fresh, texts, size, least)).unionByName(block_edges(many, texts, size, least))
