@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of frames that are gone; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Parquet tables in the shared folder for wide intermediate results; deleted on exit."""
 
@@ -63,6 +70,7 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         self.delete("")
+        tidy(self.spark)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -86,7 +94,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = state(e)
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
+        if i % 4 == 3:
+            tidy(edges.sparkSession)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

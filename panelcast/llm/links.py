@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import connected_components, cut, fetch
+from panelcast.llm.common import connected_components, cut, fetch, tidy
 
 #: A table of buckets up to this many rows of two longs is broadcast, a larger one shuffled.
 LARGE_BUCKETS = 400_000
@@ -85,36 +85,46 @@ def block_edges(members: DataFrame, texts: DataFrame, size: int, least: float) -
     return met.join(texts, "node").groupBy("bucket", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
-def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], size: int, least: float) -> DataFrame:
+def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], size: int, least: float, inner: DataFrame | None = None) -> DataFrame:
     """node, component over all pairs of nodes that share a bucket and have a shingle Jaccard of least or more.
 
     near keeps those pairs a, b that are worth a look; texts_of gives node, text for a table of nodes.
-
-    keyed has node (long) and bucket, each pair once. Buckets of two or three nodes give their pairs,
-    which their least, greatest and xor tell. In a larger one each member first meets one node only,
-    the one that shares most buckets with others: the text that copies were made from is nearest to
-    all of them, so most of a large group is then in one component. A pair within a component can't
-    change the components, so only buckets with several components follow. Those with a pivot of the
-    same component are one family; a family's pairs across components are compared, in a join up to
-    FEW nodes, else in blocks. No candidate is capped.
+    keyed has node (long), bucket and crowd, each pair once; inner has node and member, further nodes in
+    all of node's buckets, where crowd is true. Buckets of two or three nodes give their pairs, which
+    their least, greatest and xor tell. In a larger one each node first meets one only, the one that
+    shares most buckets with others: the text that copies were made from is nearest to all of them, so
+    most of a large group is then in one component. A pair within a component can't change the
+    components, so only buckets with several components follow. Those with a pivot of the same
+    component are one family; a family's pairs across components are compared, in a join up to FEW
+    nodes, else in blocks. No candidate is capped.
     """
-    facts = [F.count("*").alias("size"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor("node").alias("z")]
+    spark = keyed.sparkSession
+    inner = inner if inner is not None else spark.createDataFrame([], "node long, member long")
+    facts = [F.count("*").alias("size"), F.max("crowd").alias("crowd"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor("node").alias("z")]
     met = cut(keyed.groupBy("bucket").agg(*facts).where("size > 1").withColumn("z", F.col("z").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y"))))
-    large = cut(met.where("size > 3").select("bucket", "size"))
+    large = cut(met.where("size > 3 or crowd").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size"))  # equal sets once
     members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "size"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = cut(members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
-    stars = members.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    stars = members.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    stars = stars.unionByName(inner.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")))
     for a, b, sizes in (("x", "y", "size in (2, 3)"), ("x", "z", "size = 3"), ("z", "y", "size = 3")):
-        stars = stars.unionByName(met.where(sizes).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+        stars = stars.unionByName(met.where(f"{sizes} and not crowd").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
     tried = cut(near(stars.distinct()))
     texts = cut(texts_of(cut(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct())))
     edges = cut(jaccard_pairs(tried, texts, size, least))
     parts = connected_components(edges)
-    labelled = members.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    split = labelled.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    families = pivots.join(split, "bucket").join(parts, pivots["pivot"] == parts["node"], "left").select("bucket", F.coalesce("component", "pivot").alias("family"))
-    rest = fetch(labelled, cut(families), ["bucket"], LARGE_BUCKETS).select("family", "node", "part").distinct()
+    tidy(spark)
+
+    nodes = members.select("node").union(inner.select("node")).distinct()
+    held = nodes.select("node", F.col("node").alias("member")).unionByName(inner).join(parts.withColumnRenamed("node", "member"), "member", "left")
+    held = cut(held.select("node", "member", F.coalesce("component", "member").alias("part")))
+    spread = cut(held.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")))
+    split = members.join(spread, "node").groupBy("bucket").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("bucket")
+    families = cut(pivots.join(split, "bucket").join(spread, pivots["pivot"] == spread["node"]).select("bucket", F.col("p").alias("family")))
+    rest = fetch(members, families, ["bucket"], LARGE_BUCKETS).select("family", "node")
+    rest = rest.unionByName(spread.where("p < q").select(F.col("p").alias("family"), "node")).distinct()
+    rest = cut(rest.join(held, "node").select("family", F.col("member").alias("node"), "part").distinct())
     rest = cut(rest.join(rest.groupBy("family").agg(F.count("*").alias("n")), "family"))
     few = rest.where(F.col("n") <= FEW).select("family", "part", "node")
     across = few.withColumnsRenamed({"part": "p", "node": "x"}).join(few.withColumnsRenamed({"part": "q", "node": "y"}), "family").where("p < q")
@@ -123,4 +133,6 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     asked = cut(fresh.select(F.col("a").alias("node")).union(fresh.select("b")).union(many.select("node")).distinct())
     texts = cut(texts_of(asked))
     edges = edges.unionByName(jaccard_pairs(fresh, texts, size, least)).unionByName(block_edges(many, texts, size, least))
-    return connected_components(edges)
+    out = connected_components(edges)
+    tidy(spark)
+    return out

@@ -140,8 +140,10 @@ def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: floa
     rows = cut(keyed_rows(text_batches(docs)).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
     nodes = cut(rows.groupBy("text_hash").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")))
     tables = (1 << (radius + 1)) - 1
-    dealt = nodes.select("fp", F.col("text_hash").alias("node")).repartition(1 + nodes.count() * tables // KEYS_A_TASK)
-    keyed = covering_keys(dealt, radius, "node", "fp").select("node", F.xxhash64("table", "key").alias("bucket"))
+    named = cut(nodes.groupBy("fp").agg(F.max(F.struct("n", "text_hash"))["text_hash"].alias("node"), F.count("*").alias("nodes")))
+    dealt = named.select("fp", "node", (F.col("nodes") > 1).alias("crowd")).repartition(1 + named.count() * tables // KEYS_A_TASK)
+    keyed = covering_keys(dealt, radius, "node", "crowd", "fp").select("node", "crowd", F.xxhash64("table", "key").alias("bucket"))
+    inner = cut(nodes.join(named.where("nodes > 1"), "fp").where("text_hash <> node").select("node", F.col("text_hash").alias("member")))
 
     def near(pairs: DataFrame) -> DataFrame:
         fps = nodes.select(F.col("text_hash").alias("node"), "fp")
@@ -152,7 +154,7 @@ def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: floa
         named = cut(wanted.withColumnRenamed("node", "text_hash").join(nodes, "text_hash").select("text_hash", F.col("first.doc_id").alias("doc_id")))
         return fetch(keyed_rows(docs), named, ["text_hash", "doc_id"]).select(F.col("text_hash").alias("node"), "text").dropDuplicates(["node"])
 
-    parts = verified_components(keyed, near, texts_of, size, least)
+    parts = verified_components(keyed, near, texts_of, size, least, inner)
     rooted = nodes.join(parts, nodes["text_hash"] == parts["node"], "left").select("text_hash", "first", F.coalesce("component", "text_hash").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min(F.struct("first", "text_hash")).alias("kept")).select("kept.text_hash", "kept.first.doc_id"))
     return cut(rows.select("doc_id", "text_hash").distinct().join(kept.select("text_hash", "doc_id", F.lit(True).alias("stays")), (kept["text_hash"] == rows["text_hash"]) & kept["doc_id"].eqNullSafe(rows["doc_id"]), "left").where("stays is null").select(rows["doc_id"], rows["text_hash"]))

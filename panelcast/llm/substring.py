@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     paragraphs = every.where("paragraph >= 0")
     place = F.struct("doc_id", "text_hash", "s", "e")
     classes = scratch.table(paragraphs.groupBy(F.col("h").alias("node")).agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("node", F.explode("bands").alias("bucket"))
+    keyed = classes.select("node", F.explode("bands").alias("bucket"), F.lit(False).alias("crowd"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = cut(nodes.join(classes, "node").select("node", "place.doc_id", "place.text_hash", "place.s", "place.e"))
