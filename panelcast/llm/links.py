@@ -94,8 +94,8 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     their least, greatest and xor tell. In a larger one each node first meets one only, the one that
     shares most buckets with others: the text that copies were made from is nearest to all of them, so
     most of a large group is then in one component. A pair within a component can't change the
-    components, so only buckets with several components follow. Those with a pivot of the same
-    component are one family; a family's pairs across components are compared, in a join up to FEW
+    components, so only pivots that met several components follow, with all that they met. Those of the
+    same component are one family; a family's pairs across components are compared, in a join up to FEW
     nodes, else in blocks. No candidate is capped.
     """
     spark = keyed.sparkSession
@@ -106,7 +106,8 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "size"))
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = cut(members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
-    stars = members.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    mates = cut(members.join(pivots, "bucket").select("pivot", "node").distinct())
+    stars = mates.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     stars = stars.unionByName(inner.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")))
     for a, b, sizes in (("x", "y", "size in (2, 3)"), ("x", "z", "size = 3"), ("z", "y", "size = 3")):
         stars = stars.unionByName(met.where(f"{sizes} and not crowd").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
@@ -120,9 +121,9 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     held = nodes.select("node", F.col("node").alias("member")).unionByName(inner).join(parts.withColumnRenamed("node", "member"), "member", "left")
     held = cut(held.select("node", "member", F.coalesce("component", "member").alias("part")))
     spread = cut(held.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")))
-    split = members.join(spread, "node").groupBy("bucket").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("bucket")
-    families = cut(pivots.join(split, "bucket").join(spread, pivots["pivot"] == spread["node"]).select("bucket", F.col("p").alias("family")))
-    rest = fetch(members, families, ["bucket"], LARGE_BUCKETS).select("family", "node")
+    split = mates.join(spread, "node").groupBy("pivot").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("pivot")
+    families = split.join(spread, split["pivot"] == spread["node"]).select("pivot", F.col("p").alias("family"))
+    rest = mates.join(cut(families), "pivot").select("family", "node")
     rest = rest.unionByName(spread.where("p < q").select(F.col("p").alias("family"), "node")).distinct()
     rest = cut(rest.join(held, "node").select("family", F.col("member").alias("node"), "part").distinct())
     rest = cut(rest.join(rest.groupBy("family").agg(F.count("*").alias("n")), "family"))
