@@ -82,11 +82,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Edges (two longs each) that one task of a round reads at least, whatever the session's number of partitions.
+EDGES_A_TASK = 1 << 16
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Columns a, b -> node, component, its smallest node. Self-loops are ignored.
 
     Alternates large-star and small-star steps on an edge table until it is a set of stars; each
-    round joins every node with one minimum, so no neighbourhood is gathered anywhere.
+    round joins every node with one minimum, so no neighbourhood is gathered anywhere. Rounds never
+    add edges, so the first count says how many tasks they need.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -94,6 +99,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = state(e)
+    e = e.coalesce(1 + before[0] // EDGES_A_TASK)
     for i in range(max_rounds):
         if i % 4 == 3:
             tidy(edges.sparkSession)
