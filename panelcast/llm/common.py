@@ -99,16 +99,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = state(e)
-    e = e.coalesce(1 + before[0] // EDGES_A_TASK)
+    tasks = 1 + before[0] // EDGES_A_TASK
     for i in range(max_rounds):
         if i % 4 == 3:
             tidy(edges.sparkSession)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u <> v").distinct())
+        e = cut(small.where("u <> v").coalesce(tasks).distinct())
         after = state(e)
         if after == before:
             break
