@@ -149,7 +149,8 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     drawn = spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, slot int, source_no int, pass int, block long")
     pieces = rows.where("size > 0").select("source_no", "source", "doc_id", "text_hash", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     pieces = pieces.withColumns({"s": F.greatest(F.col("start"), F.col("block") * block) - F.col("start"), "e": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")}).drop("size")
-    return Mix(rows, drawn.join(pieces, ["source_no", "block"]))
+    # Spark estimates drawn by its shards, not by their slots, and would broadcast it whatever its size
+    return Mix(rows, drawn.join(pieces.hint("merge"), ["source_no", "block"]))
 
 
 def mix_report(docs: DataFrame, **settings: object) -> DataFrame:
