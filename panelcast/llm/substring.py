@@ -1,4 +1,4 @@
-"""Repeated passages: paragraph MinHash banding, exact verification, removal by component."""
+"""Repeated passages: paragraph MinHash banding, exact verification, winnowed runs, removal by component."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch, text_batches
+from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch, maybe_in, text_batches
 from panelcast.llm.links import verified_components
 
 #: Words a paragraph needs to count as a passage; those from which runs inside a paragraph count too.
@@ -19,6 +19,10 @@ LEAST_WORDS, LONG_WORDS = 20, 50
 #: 12 bands of 5 rows: a pair of similarity 0.8 collides with probability 0.992, one of 0.9 with 0.99998.
 BANDS, ROWS, SHINGLE, LEAST = 12, 5, 5, 0.8
 BLOCK = 1 << 13
+#: Words of an anchor.
+ANCHOR = 10
+#: What stands for a paragraph's number in the rows of anchors and in the row of a text of LONG_WORDS or more.
+ANCHORS, TEXT = -1, -2
 
 _UNITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("paragraph", pa.int32()), ("h", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("bands", pa.list_(pa.int64()))])
 _UNITS_DDL = "doc_id long, text_hash long, paragraph int, h long, s int, e int, bands array<long>"
@@ -50,22 +54,54 @@ def _sketches(shingles: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarra
     return _mix(keys + _BAND)
 
 
-def units(text: str):
-    """Paragraphs (index, hash, first word, end, band keys) and runs inside long ones (hash, first word, end).
+def _places(hashes: np.ndarray, sizes: np.ndarray):
+    """Windows in which a run is sought: hash, first word, end, and the hash of the window's anchor.
 
-    Runs start and end at words that a hash of two neighbouring words picks, so the same passage has
-    the same runs wherever it stands: a run starts at one word in 8 and ends at the first of one in 4
-    that is 20 words away or more.
+    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more. A window's anchor is its
+    ANCHOR words of the least hash, the last of equals: it depends on the window's words alone, so
+    texts that share a window share its anchor.
     """
-    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    n = len(hashes)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
+    inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE_INVERSE)])
+    prefix = np.r_[np.uint64(0), np.cumsum(hashes * inverse[:-1], dtype=np.uint64)]
+
+    def gram(at: np.ndarray, size: int) -> np.ndarray:
+        return _mix((prefix[at + size] - prefix[at]) * power[at] + np.uint64(size))
+
+    pieces = gram(np.arange(max(0, n - ANCHOR + 1)), ANCHOR)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    out = []
+    for size in (LEAST_WORDS,):
+        at = np.arange(max(0, n - size + 1))
+        at = at[(line[at] == line[at + size - 1]) & (sizes[line[at]] >= LONG_WORDS)]
+        wide = size - ANCHOR + 1
+        best = np.zeros(len(at), np.uint64)
+        for i in range(0, len(at), BLOCK):
+            best[i : i + BLOCK] = np.lib.stride_tricks.sliding_window_view(pieces, wide)[at[i : i + BLOCK]].min(axis=1)
+        out.append((gram(at, size), at, at + size, best))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _lines(text: str) -> list[list[bytes]]:
+    return [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
+def units(text: str):
+    """Paragraphs (index, hash, first word, end, band keys), anchors of the text's windows, each once, and its number of words."""
+    lines = _lines(text)
     sizes = np.array([len(w) for w in lines])
     ends = np.cumsum(sizes)
     words = [w for line in lines for w in line]
     chosen = np.flatnonzero(sizes >= LEAST_WORDS)
-    empty = (chosen, np.zeros(0, np.uint64), chosen, chosen, np.zeros((0, BANDS), np.uint64)), (np.zeros(0, np.uint64), chosen[:0], chosen[:0])
+    none = np.zeros(0, np.uint64)
     if not len(chosen):
-        return empty
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        return (chosen, none, chosen, chosen, np.zeros((0, BANDS), np.uint64)), none, len(words)
+    hashes = _hashes(words)
     first, last = ends[chosen] - sizes[chosen], ends[chosen]
     whole = np.array([xxhash.xxh64_intdigest(b" ".join(lines[i])) for i in chosen], np.uint64)
     rolled = hashes[: len(hashes) - SHINGLE + 1].copy()
@@ -74,25 +110,7 @@ def units(text: str):
     owner = np.repeat(np.arange(len(chosen)), last - first - SHINGLE + 1)
     at = np.concatenate([np.arange(s, e - SHINGLE + 1) for s, e in zip(first, last, strict=True)])
     bands = _sketches((_mix(rolled[at]) >> np.uint64(32)).astype(np.uint32), owner, len(chosen))
-
-    picks = np.zeros(len(words), np.uint64)
-    picks[1:] = _mix(hashes[:-1] * _BASE + hashes[1:])
-    line_end = np.repeat(np.where(sizes >= LONG_WORDS, ends, 0), sizes)
-    begins = np.repeat(ends - sizes, sizes)
-    inside = (line_end > 0) & (np.arange(len(words)) > begins)
-    starts = np.flatnonzero(inside & (picks & np.uint64(7) == 0))
-    stops = np.flatnonzero(inside & (picks & np.uint64(3) == 0))
-    to = np.searchsorted(stops, starts + LEAST_WORDS)
-    starts, to = starts[to < len(stops)], to[to < len(stops)]
-    stop = stops[to] if len(starts) else starts
-    same = stop < line_end[starts]
-    starts, stop = starts[same], stop[same]
-    power = np.cumprod(np.r_[np.uint64(1), np.full(len(words), _BASE)])
-    inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(words), _BASE_INVERSE)])
-    prefix = np.r_[np.uint64(0), np.cumsum(hashes * inverse[:-1], dtype=np.uint64)]
-    runs = _mix((prefix[stop] - prefix[starts]) * power[starts] + (stop - starts).astype(np.uint64))
-    _, once = np.unique(runs, return_index=True)
-    return (chosen, whole, first, last, bands), (runs[once], starts[once], stop[once])
+    return (chosen, whole, first, last, bands), np.unique(_places(hashes, sizes)[3]), len(words)
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
@@ -103,10 +121,13 @@ def unit_table(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(batch["text"].to_pylist()):
                 if not text:
                     continue
-                (paragraph, whole, first, last, bands), (runs, starts, stops) = units(text)
-                n, m = len(paragraph), len(runs)
+                (paragraph, whole, first, last, bands), anchors, length = units(text)
+                n, m = len(paragraph), len(anchors) + (length >= LONG_WORDS)
                 position.append(np.full(n + m, i))
-                for column, x in zip(columns, (np.r_[paragraph, np.full(m, -1)], np.r_[whole, runs], np.r_[first, starts], np.r_[last, stops], (bands, m)), strict=True):
+                own, h = np.full(m, ANCHORS), np.zeros(m, np.uint64)
+                own[len(anchors) :], h[: len(anchors)] = TEXT, anchors
+                zero = np.zeros(m, np.int64)
+                for column, x in zip(columns, (np.r_[paragraph, own], np.r_[whole, h], np.r_[first, zero], np.r_[last, np.where(own == TEXT, length, 0)], (bands, m)), strict=True):
                     column.append(x)
                 if sum(map(len, position)) > 200_000:
                     out.append((position, columns))
@@ -154,11 +175,43 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = attach(paragraphs.select("doc_id", "text_hash", "s", "e", "h"), table, "h", total, F.xxhash64("doc_id", "s")).where("kept is not null")
     doubled = members.where(~F.struct("doc_id", "text_hash", "s", "e").eqNullSafe(F.col("kept"))).select("doc_id", "text_hash", "s", "e", F.col("kept.doc_id").alias("kept_id"))
 
-    runs = every.where("paragraph < 0 and doc_id is not null").select("doc_id", "text_hash", "s", "e", "h")
-    shared = cut(runs.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
+    return cut(doubled.unionByName(repeated_runs(docs, every)))
+
+
+def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
+    """doc_id, text_hash, s, e, kept_id: the windows that a text of a smaller doc_id has too, joined where they meet.
+
+    Texts that share an anchor list their windows around it, and equal windows meet, so a run is found
+    from its first word to its last. Each text takes part once, by its smallest doc_id.
+    """
+    texts = every.where((F.col("paragraph") == TEXT) & F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "s", "e")
+    holders = cut(texts.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")))
+    anchors = every.where((F.col("paragraph") == ANCHORS) & F.col("doc_id").isNotNull()).select("text_hash", "h")
+    shared = cut(anchors.groupBy("h").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n", F.lit(True).alias("met")))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    again = attach(runs, shared, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id").select("doc_id", "text_hash", "s", "e", "kept_id")
-    return cut(doubled.unionByName(again))
+    met = attach(maybe_in(anchors, shared, ["h"])[0], shared, "h", total, F.xxhash64("text_hash")).where("met")
+    wanted = cut(met.groupBy("text_hash").agg(F.collect_set("h").alias("anchors")).join(holders, "text_hash"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    windows = cut(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, "doc_id long, text_hash long, s int, e int, h long"))
+    twice = cut(windows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = attach(windows, twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
+    join = F.udf(merged, "array<struct<s:int,e:int>>")
+    again = again.groupBy("doc_id", "text_hash", "kept_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    again = again.select("doc_id", "text_hash", "kept_id", F.explode(join("spans")).alias("span"))
+    return again.select("doc_id", "text_hash", "span.s", "span.e", "kept_id")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows whose anchor is one of anchors."""
+    for batch in batches:
+        for doc_id, text_hash, text, anchors in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text", "anchors")), strict=True):
+            lines = _lines(text)
+            h, s, e, best = _places(_hashes([w for line in lines for w in line]), np.array([len(w) for w in lines]))
+            own = np.isin(best, np.array(anchors, np.int64).view(np.uint64))
+            n = int(own.sum())
+            columns = [pa.array(x) for x in (np.full(n, doc_id), np.full(n, text_hash), s[own].astype(np.int32), e[own].astype(np.int32), h[own].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "s", "e", "h"])
 
 
 def span_text(text: str, s: str, e: str):
@@ -206,7 +259,7 @@ def substring_classes(docs: DataFrame) -> DataFrame:
     """doc_id, component_id, n_links, removed_words for each row of docs.
 
     Paragraphs (lines) of 20 words or more are linked when their 5-word shingles have a Jaccard
-    similarity of 0.8 or more; runs of 20 words or more inside a line of 50 or more when equal. Of
+    similarity of 0.8 or more; every run of 20 words or more inside a line of 50 or more when equal, whole. Of
     each component the first passage in order of doc_id stays, the others are removed_words.
     component_id is the smallest doc_id that shares passages, directly or over others; n_links counts
     the documents that keep its removed passages. Null, empty and short texts have no passage and are

@@ -114,6 +114,17 @@ def test_substring_classes(docs, nothing):
     assert 12 not in shorter and shorter[0] == rows()[0][1] and len(shorter[16].split()) < 130
 
 
+def test_passages_are_cut_whole(spark):
+    passages = [prose(1000 + i, 50 + i) for i in range(51)] + ["the " * 50, "a b " * 40]
+    texts = [(i, f"{prose(2000 + i, 30, 'klm')} {p} {prose(3000 + i, 30, 'klm')}") for i, p in enumerate(passages)]
+    texts += [(100 + i, f"{prose(4000 + i, 35, 'npr')} {p} {prose(5000 + i, 25, 'npr')}") for i, p in enumerate(passages)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = {r["doc_id"]: r["removed_words"] for r in substring.substring_classes(df).collect()}
+    assert out == {i: 0 for i in range(len(passages))} | {100 + i: len(p.split()) for i, p in enumerate(passages)}
+    shorter = {r["doc_id"]: r["text"] for r in substring.remove_repeats(df).collect()}
+    assert all(shorter[100 + i] == f"{prose(4000 + i, 35, 'npr')} {prose(5000 + i, 25, 'npr')}" for i in range(len(passages)))
+
+
 def test_sketches_in_blocks():
     text = prose(5, 9000)
     whole = substring.units(text)[0][4]
