@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch, maybe_in, text_batches
 from panelcast.llm.links import verified_components
 
-#: Words a paragraph needs to count as a passage; those from which runs inside a paragraph count too.
+#: Words a paragraph needs to count as a passage; those of a line whose inner runs count too, and of a run over line ends.
 LEAST_WORDS, LONG_WORDS = 20, 50
 #: 12 bands of 5 rows: a pair of similarity 0.8 collides with probability 0.992, one of 0.9 with 0.99998.
 BANDS, ROWS, SHINGLE, LEAST = 12, 5, 5, 0.8
@@ -57,9 +57,9 @@ def _sketches(shingles: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarra
 def _places(hashes: np.ndarray, sizes: np.ndarray):
     """Windows in which a run is sought: hash, first word, end, and the hash of the window's anchor.
 
-    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more. A window's anchor is its
-    ANCHOR words of the least hash, the last of equals: it depends on the window's words alone, so
-    texts that share a window share its anchor.
+    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more, and those of LONG_WORDS
+    words that stand in several lines. A window's anchor is its ANCHOR words of the least hash: it
+    depends on the window's words alone, so texts that share a window share its anchor.
     """
     n = len(hashes)
     power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
@@ -72,9 +72,10 @@ def _places(hashes: np.ndarray, sizes: np.ndarray):
     pieces = gram(np.arange(max(0, n - ANCHOR + 1)), ANCHOR)
     line = np.repeat(np.arange(len(sizes)), sizes)
     out = []
-    for size in (LEAST_WORDS,):
+    for size in (LEAST_WORDS, LONG_WORDS):
         at = np.arange(max(0, n - size + 1))
-        at = at[(line[at] == line[at + size - 1]) & (sizes[line[at]] >= LONG_WORDS)]
+        inside = line[at] == line[at + size - 1]
+        at = at[inside & (sizes[line[at]] >= LONG_WORDS) if size == LEAST_WORDS else ~inside]
         wide = size - ANCHOR + 1
         best = np.zeros(len(at), np.uint64)
         for i in range(0, len(at), BLOCK):
@@ -99,9 +100,10 @@ def units(text: str):
     words = [w for line in lines for w in line]
     chosen = np.flatnonzero(sizes >= LEAST_WORDS)
     none = np.zeros(0, np.uint64)
-    if not len(chosen):
-        return (chosen, none, chosen, chosen, np.zeros((0, BANDS), np.uint64)), none, len(words)
     hashes = _hashes(words)
+    anchors = np.unique(_places(hashes, sizes)[3]) if len(words) >= LONG_WORDS else none
+    if not len(chosen):
+        return (chosen, none, chosen, chosen, np.zeros((0, BANDS), np.uint64)), anchors, len(words)
     first, last = ends[chosen] - sizes[chosen], ends[chosen]
     whole = np.array([xxhash.xxh64_intdigest(b" ".join(lines[i])) for i in chosen], np.uint64)
     rolled = hashes[: len(hashes) - SHINGLE + 1].copy()
@@ -110,7 +112,7 @@ def units(text: str):
     owner = np.repeat(np.arange(len(chosen)), last - first - SHINGLE + 1)
     at = np.concatenate([np.arange(s, e - SHINGLE + 1) for s, e in zip(first, last, strict=True)])
     bands = _sketches((_mix(rolled[at]) >> np.uint64(32)).astype(np.uint32), owner, len(chosen))
-    return (chosen, whole, first, last, bands), np.unique(_places(hashes, sizes)[3]), len(words)
+    return (chosen, whole, first, last, bands), anchors, len(words)
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
@@ -182,10 +184,14 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
     """doc_id, text_hash, s, e, kept_id: the windows that a text of a smaller doc_id has too, joined where they meet.
 
     Texts that share an anchor list their windows around it, and equal windows meet, so a run is found
-    from its first word to its last. Each text takes part once, by its smallest doc_id.
+    from its first word to its last. Each text takes part once, by its smallest doc_id; its further
+    documents repeat that one from end to end.
     """
     texts = every.where((F.col("paragraph") == TEXT) & F.col("doc_id").isNotNull()).select("doc_id", "text_hash", "s", "e")
-    holders = cut(texts.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")))
+    held = cut(texts.groupBy("text_hash").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")))
+    holders = held.select("text_hash", F.col("kept_id").alias("doc_id"))
+    copied = held.where("kept_id < top").select("text_hash", "kept_id", "n")
+    copies = attach(texts, copied, "text_hash", texts.count(), F.xxhash64("doc_id")).where("doc_id <> kept_id").select("doc_id", "text_hash", "s", "e", "kept_id")
     anchors = every.where((F.col("paragraph") == ANCHORS) & F.col("doc_id").isNotNull()).select("text_hash", "h")
     shared = cut(anchors.groupBy("h").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n", F.lit(True).alias("met")))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -199,7 +205,7 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
     join = F.udf(merged, "array<struct<s:int,e:int>>")
     again = again.groupBy("doc_id", "text_hash", "kept_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     again = again.select("doc_id", "text_hash", "kept_id", F.explode(join("spans")).alias("span"))
-    return again.select("doc_id", "text_hash", "span.s", "span.e", "kept_id")
+    return again.select("doc_id", "text_hash", "span.s", "span.e", "kept_id").unionByName(copies)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +265,9 @@ def substring_classes(docs: DataFrame) -> DataFrame:
     """doc_id, component_id, n_links, removed_words for each row of docs.
 
     Paragraphs (lines) of 20 words or more are linked when their 5-word shingles have a Jaccard
-    similarity of 0.8 or more; every run of 20 words or more inside a line of 50 or more when equal, whole. Of
-    each component the first passage in order of doc_id stays, the others are removed_words.
-    component_id is the smallest doc_id that shares passages, directly or over others; n_links counts
+    similarity of 0.8 or more; every run of 20 words or more inside a line of 50 or more, and of 50
+    words or more over line ends, when equal, whole. Of each component the first passage in order of
+    doc_id stays, the others are removed_words. component_id is the smallest doc_id that shares passages, directly or over others; n_links counts
     the documents that keep its removed passages. Null, empty and short texts have no passage and are
     their own class; a null id has a null class. Repeated rows are classed alike: equal rows are one
     holder of their passages. Other columns are ignored; an empty table gives no rows.

@@ -125,6 +125,15 @@ def test_passages_are_cut_whole(spark):
     assert all(shorter[100 + i] == f"{prose(4000 + i, 35, 'npr')} {prose(5000 + i, 25, 'npr')}" for i in range(len(passages)))
 
 
+def test_passages_over_line_ends(spark):
+    wrap = lambda t, n, first=0: "\n".join(" ".join(t.split()[max(i, 0) : i + n]) for i in range(-first, len(t.split()), n))
+    shared, verse = prose(6000, 60), prose(6001, 300)
+    texts = [f"{prose(6002, 30, 'klm')}\n{wrap(shared, 10)}\n{prose(6003, 30, 'klm')}", f"{prose(6004, 8, 'npr')}\n{wrap(shared, 7, 3)} {prose(6005, 5, 'npr')}"]
+    texts += [wrap(verse, 6), wrap(verse, 6), wrap(prose(6006, 49), 7), wrap(prose(6006, 49), 7)]
+    out = {r["doc_id"]: r["removed_words"] for r in substring.substring_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 60, 2: 0, 3: 300, 4: 0, 5: 0}
+
+
 def test_sketches_in_blocks():
     text = prose(5, 9000)
     whole = substring.units(text)[0][4]
