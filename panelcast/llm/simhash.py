@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import attach, connected_components, cut, fetch, text_batches
 from panelcast.llm.links import verified_components
+from panelcast.llm.substring import _BASE, _mix, _sketches
 
 BITS = 64
 SEED = 42
@@ -54,6 +55,28 @@ def fingerprint_column(text: str, kind: str = "shingles", size: int = 3):
     return run(F.col(text))
 
 
+def sketch(text: str | None, size: int) -> np.ndarray:
+    """MinHash band keys of a text's shingles, of which a text shorter than a shingle has one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(size, len(hashes))
+    rolled = np.full(len(hashes) - n + 1, n, np.uint64)
+    for k in range(n):
+        rolled = rolled * _BASE + hashes[k : len(hashes) - n + 1 + k]
+    return _sketches((_mix(rolled) >> np.uint64(32)).astype(np.uint32), np.zeros(len(rolled), np.int64), 1)[0].view(np.int64)
+
+
+def sketch_column(text: str, size: int):
+    """Column of the band keys of a text column, an array of longs."""
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([sketch(t, size) for t in texts], dtype=object)
+
+    return run(F.col(text))
+
+
 def hex_column(fingerprint: str):
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
@@ -131,24 +154,25 @@ def simhash_components(docs: DataFrame, kind: str = "shingles", size: int = 3, r
 def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: float = 0.8) -> DataFrame:
     """Rows to drop so that one document of each near-duplicate group stays: doc_id, text_hash.
 
-    Fingerprints of word sets within radius bits are candidates (covering tables), the Jaccard
-    similarity of the whole texts' size-word shingles decides (least or more), and groups are
-    components. The document with the smallest doc_id stays. A row is given by doc_id and the XXH64
+    Fingerprints of word sets within radius bits are candidates (covering tables), and so are texts that
+    share a MinHash band of their size-word shingles, which block edits lose no more than others; the
+    Jaccard similarity of the whole texts' shingles decides (least or more), and groups are components. The document with the smallest doc_id stays. A row is given by doc_id and the XXH64
     of its text (null: empty); null ids sort first. Exact copies are one class, so they make no
     pairs. Repeated rows share a key.
     """
-    rows = cut(keyed_rows(text_batches(docs)).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp")))
-    nodes = cut(rows.groupBy("text_hash").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+    rows = cut(keyed_rows(text_batches(docs)).select("doc_id", "text_hash", F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("has_id"), fingerprint_column("text", "words").alias("fp"), sketch_column("text", size).alias("bands")))
+    nodes = cut(rows.groupBy("text_hash").agg(F.min(F.struct("has_id", "doc_id")).alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     tables = (1 << (radius + 1)) - 1
     named = cut(nodes.groupBy("fp").agg(F.max(F.struct("n", "text_hash"))["text_hash"].alias("node"), F.count("*").alias("nodes")))
     dealt = named.select("fp", "node", (F.col("nodes") > 1).alias("crowd")).repartition(1 + named.count() * tables // KEYS_A_TASK)
     keyed = covering_keys(dealt, radius, "node", "crowd", "fp").select("node", "crowd", F.xxhash64("table", "key").alias("bucket"))
+    keyed = keyed.unionByName(nodes.select(F.col("text_hash").alias("node"), F.lit(False).alias("crowd"), F.explode("bands").alias("bucket")))
     inner = cut(nodes.join(named.where("nodes > 1"), "fp").where("text_hash <> node").select("node", F.col("text_hash").alias("member")))
 
     def near(pairs: DataFrame) -> DataFrame:
-        fps = nodes.select(F.col("text_hash").alias("node"), "fp")
-        both = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "fp_a"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "fp_b"}), "b")
-        return both.where(distance("fp_a", "fp_b") <= radius).select("a", "b")
+        fps = nodes.select(F.col("text_hash").alias("node"), "fp", "bands")
+        both = pairs.join(fps.withColumnsRenamed({"node": "a", "fp": "fp_a", "bands": "bands_a"}), "a").join(fps.withColumnsRenamed({"node": "b", "fp": "fp_b", "bands": "bands_b"}), "b")
+        return both.where((distance("fp_a", "fp_b") <= radius) | F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         named = cut(wanted.withColumnRenamed("node", "text_hash").join(nodes, "text_hash").select("text_hash", F.col("first.doc_id").alias("doc_id")))

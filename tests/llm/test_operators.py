@@ -93,6 +93,13 @@ def test_near_duplicates(docs, nothing):
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_by_block_edits(spark):
+    base = [prose(7000 + i, 200).split() for i in range(12)]
+    texts = [*base, *[w + prose(7100 + i, 38).split() for i, w in enumerate(base)], *[w[:90] + prose(7200 + i, 15).split() + w[105:] for i, w in enumerate(base)], base[0] + prose(7300, 70).split()]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).select("doc_id").collect()) == [*range(12), 36]
+
+
 def test_similar_within_matches_sets():
     texts = [prose(1, 40), prose(1, 40) + " more", prose(2, 40), "", None, prose(2, 41)]
     sets = [links.shingle_set(t, 5) for t in texts]
