@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ def pack(lengths: list[int], capacities: tuple = CAPACITIES, overhead: int = OVE
     """
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     falling = [-lengths[i] for i in order]  # ascending
+    sums = list(accumulate((lengths[i] for i in order), initial=0))
     room: list[tuple[int, int]] = []  # what is free in each open bin
     bins: list[list[int]] = []
     place: dict[int, tuple[int, int]] = {}
@@ -36,11 +38,13 @@ def pack(lengths: list[int], capacities: tuple = CAPACITIES, overhead: int = OVE
             best = None
             for c in (c for c in capacities if c >= n):
                 left, k, used = c - n, at + 1, n
-                for _ in range(16):
+                while left:  # each turn takes all items in a row that fit and leaves less than half of what was free
                     k = bisect_left(falling, -left, k)
-                    if k >= len(falling) or not left or falling[k] == 0:
+                    if k >= len(falling) or falling[k] == 0:
                         break
-                    left, used, k = left + falling[k], used - falling[k], k + 1
+                    end = bisect_right(sums, sums[k] + left, k) - 1
+                    taken = sums[end] - sums[k]
+                    left, used, k = left - taken, used + taken, end
                 if best is None or (c + overhead) / max(used, 1) < best[0]:
                     best = ((c + overhead) / max(used, 1), c)
             free, b = best[1], len(bins)

@@ -188,6 +188,13 @@ def test_packing(docs, nothing):
     assert {(c, u) for _, c, u, _ in packing.pack([5, 3, 2, 6], (4, 8, 16), 1)} == {(16, 16)}
 
 
+@pytest.mark.parametrize("words", [20, 40, 60, 100, 150])
+def test_packing_fills_trials_to_the_end(words):
+    each = 4096 // words
+    found = {(b, c, u) for b, c, u, _ in packing.pack([words] * 8 * each)}
+    assert found == {(b, 4096, each * words) for b in range(8)}
+
+
 def test_language_id(docs, nothing):
     out = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert out[17]["lang_pred"] == out[19]["lang_pred"] == "und" and out[20]["lang_pred"] in ("xx", "yy")
