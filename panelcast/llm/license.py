@@ -65,19 +65,18 @@ def _is_at(start: Column, phrase: str) -> Column:
     return F.when(start >= 0, F.array_join(F.transform(F.slice("words", F.greatest(start, F.lit(0)) + 1, size), _plain), " ") == phrase).otherwise(F.lit(False))
 
 
-def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict = PHRASES, anchors: int = 3, least: float = 0.6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict = PHRASES, least: float = 0.6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, places, base, matches for each row of docs.
 
     places has the start of every base phrase, base the labels of those found, with repeats. matches has
-    label, at and score of every template placed in the text: of the file's licence words those of the
-    highest IDF (anchors of them) give, by their positions in the templates, where a template would
-    start; there each template word that stands in its place adds its IDF, and a placing holds if these
-    are the share least of the template's and its key phrase stands in its place. Null texts are empty;
+    label, at and score of every template placed in the text: the word of the highest IDF in a template's
+    key phrase gives, wherever it stands in the file, where the template would start; there each template
+    word that stands in its place adds its IDF, and a placing holds if these are the share least of the
+    template's and its key phrase stands in its place, so none that holds is missed. Null texts are empty;
     repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
     """
     rare = rare_words(templates, phrases)
     idf = word_idf(docs, text, rare)
-    weight = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(idf[w]))])
     rows = docs.select(F.col(doc_id).alias("doc_id"), words_column(text).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), _plain(w).alias("word"))), lambda h: h["word"].isin(rare))
     none = F.array().cast("array<struct<at:int,word:string>>")
@@ -88,19 +87,14 @@ def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict =
         k = phrase.split().index(key)
         return F.transform(F.filter("hits", lambda h: (h["word"] == key) & _is_at(h["at"] - k, phrase)), lambda h: h["at"] - k)
 
-    # idf is at most as large as this, so that a plain ascending sort puts the rarest words first
-    ranked = F.array_sort(F.transform(F.array_distinct(F.col("hits.word")), lambda w: F.struct((-F.element_at(weight, w)).alias("x"), w.alias("w"))))
-    rows = rows.withColumn("rarest", F.slice(ranked, 1, anchors)["w"])
-
     def placings(label: str, template: str, key: str) -> Column:
         words = template.split()
-        own = {w: [i for i, x in enumerate(words) if x == w] for w in words if w in idf}
         share = {i: idf.get(w, 0.1) for i, w in enumerate(words)}
         total = sum(share.values())
-        where = F.create_map(*[x for w, p in own.items() for x in (F.lit(w), F.array(*map(F.lit, p)))])
-        looked = F.filter("hits", lambda h: h["word"].isin(list(own)) & F.array_contains(F.col("rarest"), h["word"]))
-        offsets = F.array_distinct(F.flatten(F.transform(looked, lambda h: F.transform(F.element_at(where, h["word"]), lambda p: h["at"] - p))))
-        at_key = template.split().index(key.split()[0])
+        at_key = next(i for i in range(len(words)) if words[i : i + len(key.split())] == key.split())
+        rarest = max((w for w in key.split() if w in idf), key=lambda w: (idf[w], w))
+        ahead = at_key + key.split().index(rarest)
+        offsets = F.transform(F.filter("hits", lambda h: h["word"] == rarest), lambda h: h["at"] - ahead)
         score = lambda o: sum((F.when(_plain(F.get("words", o + i)) == w, share[i] / total).otherwise(0.0) for i, w in enumerate(words)), F.lit(0.0))
         scored = F.transform(F.filter(offsets, lambda o: _is_at(o + at_key, key)), lambda o: F.struct(F.lit(label).alias("label"), o.alias("at"), F.least(F.round(score(o), 9), F.lit(1.0)).alias("score")))
         return F.filter(scored, lambda m: m["score"] >= least)

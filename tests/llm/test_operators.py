@@ -261,6 +261,15 @@ def test_license_scan(spark, docs, nothing):
     assert license.license_report(docs).count() == docs.count() and license.license_report(nothing).count() == 0
 
 
+def test_license_scan_of_several_notices(spark):
+    notices = [t for _, t, _ in license.TEMPLATES]
+    texts = [" and so ".join(notices), f"{notices[6]} {notices[5]}", " ".join([notices[0], notices[4], notices[6], notices[5]]), "redistribution binary permitted " * 9 + notices[6]]
+    out = license.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    labels = [r["labels"] for r in out]
+    assert labels[0] == "apache,bsd,cc-by,cc-by-nc,gpl,mit,reserved" and labels[1] == "bsd,reserved" and labels[3] == "reserved"
+    assert {"gpl", "cc-by-nc", "reserved", "bsd"} <= set(labels[2].split(","))
+
+
 def test_tool_calls(spark):
     schemas = {"t": {"a": chat.Argument("integer", least=0), "b": chat.Argument("string", required=False)}}
     calls = [("c", "1", 0, "t", '{"b": "x", "a": 1}', None), ("c", "2", 2, "t", '{"a": -1}', "1"), ("c", "2", 3, "t", "{}", "1"), ("c", "3", 4, "t", '{"b": 1}', "2"), ("c", "4", 5, "u", "[1]", "5"), ("c", "5", 6, "t", "oops", "4"), ("c", None, 7, "t", "{}", None)]
