@@ -41,12 +41,13 @@ def read_wav(data: bytes) -> bytes:
 def peak_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frame and mark of each peak pair, by frame.
 
+    A frame starts at each hop, and silence follows the last sample, so every sample is in a frame.
     Every frame has the loudest bin of each band that is above the frame's mean; it is paired with the
-    next band's peak 1 to FAN frames on. A mark holds both bins and the step between the frames.
+    next band's peak in the same frame (0: none, so a text of one frame has marks too) and 1 to FAN
+    frames on. A mark holds both bins and the step between the frames.
     """
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < WINDOW:
-        x = np.r_[x, np.zeros(WINDOW - len(x), np.float32)]
+    x = np.r_[x, np.zeros(-len(x) % HOP + WINDOW - HOP, np.float32)]
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     taper = np.hanning(WINDOW).astype(np.float32)
     peaks = np.zeros((len(frames), len(BANDS)), np.int32)  # 0: none
@@ -57,9 +58,9 @@ def peak_pairs(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
             best = loud[:, a:b].argmax(axis=1)
             peaks[at : at + BLOCK, i] = np.where(loud[np.arange(len(loud)), a + best] > mean, a + best, 0)
     times, marks = [], []
-    for step in range(1, FAN + 1):
-        first, second = peaks[:-step], np.roll(peaks, -1, axis=1)[step:]
-        t, i = np.nonzero((first > 0) & (second > 0))
+    for step in range(FAN + 1):
+        first, second = peaks[: max(0, len(peaks) - step)], np.roll(peaks, -1, axis=1)[step:]
+        t, i = np.nonzero((first > 0) & ((second > 0) | (step == 0)))
         times.append(t)
         marks.append(first[t, i] << 11 | second[t, i] << 3 | step)
     t, m = np.concatenate(times), np.concatenate(marks)

@@ -220,6 +220,13 @@ def test_media(docs, nothing):
     assert len(times) == len(marks) > 0 and (np.diff(times) >= 0).all()
 
 
+def test_media_hears_every_sample(spark):
+    body, tails = prose(8, 200), (prose(9, 40), prose(10, 40))
+    texts = [*[body[:n] + t[:64] for n in (64, 256, 512) for t in tails], *[prose(11 + i, n) for i, n in enumerate((8, 8, 30, 30))]]
+    features = [r["feature"] for r in media.media_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(set(features)) == len(texts) and not any(f.startswith("0:") for f in features)
+
+
 def test_search_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16)).astype(np.float32)
