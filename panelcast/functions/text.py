@@ -61,6 +61,42 @@ def normal_name(text: Column) -> Column:
     return F.btrim(t, F.lit(" .,"))
 
 
+#: Case endings of names and of the words that go with them, longest first.
+ENDINGS = "(ого|его|ому|ему|ыми|ими|ами|ями|ой|ей|ом|ем|ах|ях|ов|ев|ую|юю|ый|ий|ая|яя|ое|ее|а|я|у|ю|ы|и|е|о|ь|й)"
+
+
+def stemmed(name: Column) -> Column:
+    """A normalised name with its words' case endings off, so that 'орска' and 'орск' are one."""
+    return F.regexp_replace(name, ENDINGS + "( |$)", "$2")
+
+
+def proper_names(text: Column) -> Column:
+    """Capitalised words of a text, and pairs of one and the word after it, normalised and stemmed, each once in order."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^А-Яа-яЁёA-Za-z -]+", " ")
+    one = F.regexp_extract_all(plain, F.lit("([А-ЯЁA-Z][А-Яа-яЁёA-Za-z-]{2,})"))
+    two = F.regexp_extract_all(plain, F.lit("(?=(?<![А-Яа-яЁёA-Za-z-])([А-ЯЁA-Z][А-Яа-яЁёA-Za-z-]{2,} +[А-Яа-яЁёA-Za-z-]+))"))
+    return F.array_distinct(F.transform(F.concat(one, two), lambda x: stemmed(normal_name(x))))
+
+
+def tagged_place(territory: Column, region: Column) -> Column:
+    """mo:id of a territory, else reg:code of its region."""
+    return F.when(territory.isNotNull(), F.concat(F.lit("mo:"), territory.cast("string"))).otherwise(F.concat(F.lit("reg:"), region.cast("string")))
+
+
+def severity(text: Column) -> Column:
+    """A number from 0 to 3; 1 where the text is none."""
+    return F.least(F.greatest(F.coalesce(text.try_cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(3.0))
+
+
+def sorted_words(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(text, " ")), " ")
+
+
+def weighted_similarity(a: Column, b: Column) -> Column:
+    """The best of the plain similarity and, at 95 %, that of the words in order of the alphabet."""
+    return F.greatest(similarity(a, b), 0.95 * similarity(sorted_words(a), sorted_words(b)))
+
+
 def without_prefix(text: Column, prefixes: tuple[str, ...]) -> Column:
     """text less the first listed prefix that it starts with."""
     return F.regexp_replace(text, "^(" + "|".join(prefixes) + r")\s+", "")
@@ -72,6 +108,15 @@ def area_code(text: Column) -> Column:
     return F.substring(F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits), 1, 8)
 
 
+# Generic words before a place's name; the first that fits goes.
+GENERIC = ("городской округ город-курорт", "городской округ город", "городской округ", "город-курорт", "город", "г.", "г", "поселок городского типа", "рабочий поселок", "поселок", "пгт", "село", "деревня", "станица", "хутор", "аул")
+
+
+def bare_name(name: Column) -> Column:
+    """A normalised name less the generic words before it."""
+    return without_prefix(name, tuple(g.replace(".", r"\.") for g in GENERIC))
+
+
 def snippet(text: Column, length: int = 280) -> Column:
     return F.replace(F.substring(text, 1, length), F.lit("\n"), F.lit(" "))
 

@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.arrays import median_of
+from panelcast.operators.expanding import quantiles, ranks, union
 from panelcast.operators.kernels import bocpd, segment_score
 from panelcast.operators.panel import SERIES
+from panelcast.sources.sinks import kept
 
 
 def residuals(records: DataFrame) -> DataFrame:
@@ -36,11 +38,10 @@ def standardised(rows: DataFrame, x: str = "e", keys: tuple = SERIES) -> DataFra
 
 def conformal(rows: DataFrame, t_cal: int = 6, q: float = 0.9) -> DataFrame:
     """|e| over the quantile q of all |e| of the category in earlier months, from the month t_cal on."""
-    months = rows.select("month").distinct().withColumn("_t", F.row_number().over(Window.orderBy("month")) - 1)
-    by_month = rows.where("e is not null").groupBy("category", "month").agg(F.collect_list(F.abs("e")).alias("_a"))
-    later = months.where(F.col("_t") >= t_cal).select(F.col("month").alias("_m"))
-    limits = by_month.join(F.broadcast(later), F.col("month") < F.col("_m")).select("category", F.col("_m").alias("month"), F.explode("_a").alias("_x")).groupBy("category", "month").agg(F.percentile("_x", F.lit(q)).alias("_q"))
-    return rows.join(limits, ["category", "month"], "left").withColumn("score", F.abs("e") / F.when(F.col("_q") > 0, F.col("_q"))).drop("_q")
+    limits = quantiles(rows.select("category", "month", F.abs("e").alias("x")), q, ["category"], inclusive=False)
+    months = rows.select("month").distinct().withColumn("_t", F.row_number().over(Window.orderBy("month")) - 1)  # a row for each month
+    limits = limits.join(F.broadcast(months.where(F.col("_t") >= t_cal)), "month").select("category", "month", F.col("quantile").alias("_q"))
+    return rows.join(F.broadcast(limits), ["category", "month"], "left").withColumn("score", F.abs("e") / F.when(F.col("_q") > 0, F.col("_q"))).drop("_q")
 
 
 def panel_score(rows: DataFrame, least: int = 4) -> DataFrame:
@@ -100,23 +101,14 @@ def regional(rows: DataFrame, least: int = 4) -> DataFrame:
 
 def expanding_median(scores: DataFrame) -> DataFrame:
     """score over the median of all series' scores up to its month."""
-    months = scores.select(F.col("month").alias("_m")).distinct()
-    each = scores.where("score is not null").groupBy("month").agg(F.collect_list("score").alias("_a"))
-    medians = each.join(F.broadcast(months), F.col("month") <= F.col("_m")).select(F.col("_m").alias("month"), F.explode("_a").alias("_x")).groupBy("month").agg(F.median("_x").alias("_d"))
+    medians = quantiles(scores.select("month", F.col("score").alias("x")), 0.5, [], inclusive=True).withColumnRenamed("quantile", "_d")
     return scores.join(F.broadcast(medians), "month", "left").withColumn("score", F.col("score") / F.when(F.col("_d") > 0, F.col("_d"))).drop("_d")
 
 
 def expanding_rank(scores: DataFrame) -> DataFrame:
-    """Share of all scores up to the month that are as large or smaller.
-
-    Each month's scores are reduced to counts of distinct values before they meet the later months.
-    """
-    months = scores.select(F.col("month").alias("_m")).distinct()
-    each = scores.where("score is not null").groupBy("month", "score").agg(F.count("*").alias("_c"))
-    until = each.join(F.broadcast(months), F.col("month") <= F.col("_m")).groupBy("_m", "score").agg(F.sum("_c").alias("_c"))
-    w = Window.partitionBy("_m")
-    ranks = until.select(F.col("_m").alias("month"), "score", (F.sum("_c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_c").over(w)).alias("rank"))
-    return scores.join(ranks, ["month", "score"], "left").withColumn("score", F.col("rank")).drop("rank")
+    """Share of all scores up to the month that are as large or smaller."""
+    found = ranks(scores.select("month", F.col("score").alias("x"))).withColumnRenamed("x", "score")
+    return scores.join(found, ["month", "score"], "left").withColumn("score", F.col("rank")).drop("rank")
 
 
 def either(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -149,18 +141,36 @@ def segmentation(rows: DataFrame, method: str = "pelt") -> DataFrame:
     return by_series(rows.withColumn("x", F.coalesce("e", F.lit(0.0))), segment_score, method=method)
 
 
-def all_scores(rows: DataFrame) -> DataFrame:
-    """detector, territory_id, category, month, score of all detectors."""
-    clean = remove_common(rows)
-    panel, multi, change, region = panel_score(rows), multivariate(clean), change_points(clean), regional(rows)
+def robust(rows: DataFrame, x: str, keys: tuple = SERIES) -> DataFrame:
+    """rows with z: x less the median of its series, over 1.4826 times the median absolute deviation; null where that is 0."""
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumn("_m", F.median(x).over(w)).withColumn("_d", 1.4826 * F.median(F.abs(F.col(x) - F.col("_m"))).over(w))
+    return rows.withColumn("z", (F.col(x) - F.col("_m")) / F.when(F.col("_d") > 1e-9, F.col("_d"))).drop("_m", "_d")
+
+
+def with_news(score: Column, severity: Column, gamma: float, least: int = 2) -> Column:
+    """score, raised by gamma where the month has an incident of severity least or more."""
+    return score * (1 + gamma * F.coalesce(severity >= least, F.lit(False)).cast("int"))
+
+
+def with_surge(score: Column, surge: Column, gamma: float = 0.3) -> Column:
+    """score, raised by gamma for each unit of a positive surge of news."""
+    return score * (1 + gamma * F.greatest(F.coalesce(surge, F.lit(0.0)), F.lit(0.0)))
+
+
+def all_scores(rows: DataFrame, only: tuple = ()) -> DataFrame:
+    """detector, territory_id, category, month, score of all detectors, or of those in only.
+
+    The residuals and the scores that several detectors build on are computed once and stored.
+    """
+    rows = kept(rows)
+    clean = kept(remove_common(rows))
+    panel, multi, change, region = kept(panel_score(rows)), kept(multivariate(clean)), kept(change_points(clean)), kept(regional(rows))
     each = {
-        "conformal_raw": conformal(rows), "conformal": conformal(clean), "panel": panel, "cusum": cusum(clean), "cusum_reset": cusum_reset(clean),
-        "page_hinkley": page_hinkley(clean), "multivariate": multi, "panel_multivariate": mean_of(expanding_median(panel), expanding_median(multi)),
-        "bocpd": change, "pelt": segmentation(clean), "binseg": segmentation(clean, "binseg"), "regional": region,
-        "panel_bocpd": either(expanding_rank(panel), expanding_rank(change)), "panel_regional": either(expanding_rank(panel), expanding_rank(region)),
+        "conformal_raw": lambda: conformal(rows), "conformal": lambda: conformal(clean), "panel": lambda: panel, "cusum": lambda: cusum(clean),
+        "cusum_reset": lambda: cusum_reset(clean), "page_hinkley": lambda: page_hinkley(clean), "multivariate": lambda: multi,
+        "panel_multivariate": lambda: mean_of(expanding_median(panel), expanding_median(multi)),
+        "bocpd": lambda: change, "pelt": lambda: segmentation(clean), "binseg": lambda: segmentation(clean, "binseg"), "regional": lambda: region,
+        "panel_bocpd": lambda: either(expanding_rank(panel), expanding_rank(change)), "panel_regional": lambda: either(expanding_rank(panel), expanding_rank(region)),
     }
-    parts = [x.select(F.lit(name).alias("detector"), *SERIES, "month", "score") for name, x in each.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union([make().select(F.lit(name).alias("detector"), *SERIES, "month", "score") for name, make in each.items() if not only or name in only])

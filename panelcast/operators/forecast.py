@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.panel import SERIES, last_valid
+from panelcast.operators.panel import SERIES, interpolated, last_valid
 
 HORIZONS = (1, 3, 6, 12)
 
@@ -39,14 +41,48 @@ def yearly_growth(dense: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("g", F.avg("_r").over(w.rowsBetween(1 - k, 0))).drop("_r")
 
 
-def category_growth(dense: DataFrame, k: int = 3, more_than: int = 50) -> DataFrame:
-    """category, month, g_cat: the median over series if more than more_than have one, else the growth of their sum."""
+def national(dense: DataFrame) -> DataFrame:
+    """category, month, y: the sum of all series."""
+    return dense.groupBy("category", "month").agg(F.round(F.sum("y"), 2).alias("y"))
+
+
+def weekly_growth(weekly: DataFrame, months: DataFrame, weeks: int = 4, least: int = 2) -> DataFrame:
+    """category, month, g_week: 1 plus the mean percentage of the last weeks that end by the month's end; null for fewer than least.
+
+    weekly: category, week (its last day), pct. A week joins the months whose end is within nine weeks of it.
+    """
+    near = weekly.withColumn("month", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.add_months(F.trunc("week", "MM"), i))))
+    near = near.where((F.col("week") <= F.last_day("month")) & (F.col("week") > F.date_sub(F.last_day("month"), 63))).join(months, "month", "left_semi")
+    last = near.withColumn("_k", F.row_number().over(Window.partitionBy("category", "month").orderBy(F.desc("week")))).where(F.col("_k") <= weeks)
+    return last.groupBy("category", "month").agg(F.when(F.count("pct") >= least, 1 + F.avg("pct") / 100).alias("g_week"))
+
+
+def category_growth(dense: DataFrame, k: int = 3, more_than: int = 50, weekly: DataFrame | None = None) -> DataFrame:
+    """category, month, g_cat: the median over series if more than more_than have one, else the growth of their sum.
+
+    Where weekly has the category, its last weeks stand for the growth of the sum.
+    """
     own = yearly_growth(dense, k)
-    total = dense.groupBy("category", "month").agg(F.round(F.sum("y"), 2).alias("y"))
     w = Window.partitionBy("category").orderBy("month")
-    national = total.withColumn("_r", F.col("y") / F.lag("y", 12).over(w)).select("category", "month", F.avg("_r").over(w.rowsBetween(1 - k, 0)).alias("_national"))
+    total = national(dense).withColumn("_r", F.col("y") / F.lag("y", 12).over(w)).select("category", "month", F.avg("_r").over(w.rowsBetween(1 - k, 0)).alias("_national"))
+    if weekly is not None:
+        total = total.join(weekly_growth(weekly, dense.select("month").distinct()), ["category", "month"], "left").withColumn("_national", F.coalesce("g_week", "_national")).drop("g_week")
     panel = own.groupBy("category", "month").agg(F.median("g").alias("_median"), F.count("g").alias("_n"))
-    return panel.join(national, ["category", "month"]).select("category", "month", F.when(F.col("_n") > more_than, F.col("_median")).otherwise(F.col("_national")).alias("g_cat"))
+    return panel.join(total, ["category", "month"]).select("category", "month", F.when(F.col("_n") > more_than, F.col("_median")).otherwise(F.col("_national")).alias("g_cat"))
+
+
+def regional_growth(dense: DataFrame, k: int = 3, more_than: int = 50, lam: float = 0.0, least: int = 3, more_in_all: int = 1000, weekly: DataFrame | None = None) -> DataFrame:
+    """category, region_code, month, g: category growth drawn by lam to the median of the region's series.
+
+    Regions with fewer than least series with a growth, and months with no more than more_in_all in all, keep the category's.
+    """
+    by_category = category_growth(dense, k, more_than, weekly)
+    own = yearly_growth(dense, k)
+    region = own.groupBy("category", "region_code", "month").agg(F.when(F.count("g") >= least, F.median(F.when(F.col("g") > 0, F.log("g")))).alias("_m"))
+    many = own.groupBy("month").agg((F.count("g") > more_in_all).alias("_many"))
+    rows = region.join(by_category, ["category", "month"]).join(F.broadcast(many), "month")
+    log_g = F.log("g_cat")
+    return rows.select("category", "region_code", "month", F.when(F.col("_many") & F.col("_m").isNotNull(), F.exp(log_g + lam * (F.col("_m") - log_g))).otherwise(F.col("g_cat")).alias("g"))
 
 
 def growth_factors(dense: DataFrame, alpha: float = 0.5, k: int = 3, more_than: int = 50) -> DataFrame:
@@ -67,14 +103,27 @@ def history(dense: DataFrame, origins: list[str]) -> DataFrame:
     return dense.withColumn("origin", F.explode(known))
 
 
-def seasonal_profiles(dense: DataFrame, origins: list[str], k_growth: int = 3, lam_region: float = 0.5, lam_own: float = 0.3, more_than: int = 50, region_least: int = 3) -> DataFrame:
+def national_profile(dense: DataFrame, origins: list[str], years: int = 5) -> DataFrame:
+    """category, origin, moy, s_nat: centred month means of the detrended log of the national series in the last years."""
+    past = history(national(dense).where("y > 0"), origins).where(F.col("month") > F.add_months("origin", -12 * years))
+    w = Window.partitionBy("category", "origin").orderBy("month")
+    rows = past.withColumns({"_l": F.log("y"), "_i": F.row_number().over(w) - 1}).withColumn("_d", F.col("_l") - F.lag("_l", 12).over(w))
+    rows = rows.withColumn("_g", F.coalesce(F.avg("_d").over(Window.partitionBy("category", "origin")) / 12, F.lit(0.0)))
+    means = rows.groupBy("category", "origin", F.month("month").alias("moy")).agg(F.avg(F.col("_l") - F.col("_g") * F.col("_i")).alias("_s"))
+    return means.select("category", "origin", "moy", (F.col("_s") - F.avg("_s").over(Window.partitionBy("category", "origin"))).alias("s_nat"))
+
+
+def seasonal_profiles(dense: DataFrame, origins: list[str], k_growth: int = 3, lam_region: float = 0.5, lam_own: float = 0.3, more_than: int = 50, region_least: int = 3, w_national: dict[str, float] | None = None, growth: DataFrame | None = None) -> DataFrame:
     """territory_id, region_code, category, origin, moy, s, g_month: log deviations by month of the year.
 
-    Category medians, drawn by lam_region to those of the region, drawn by lam_own to the series' own.
+    Category medians (the national profile, where too few series are whole), drawn by lam_region to those of the
+    region, drawn by lam_own to the series' own. w_national: category -> share of the national profile in the
+    category's. growth: as from regional_growth; without it the category's.
     """
-    growth = category_growth(dense, k_growth, more_than).select("category", F.col("month").alias("origin"), (F.log("g_cat") / 12).alias("g_month"))
+    growth = growth if growth is not None else regional_growth(dense, k_growth, more_than)
+    growth = growth.select("category", "region_code", F.col("month").alias("origin"), (F.log("g") / 12).alias("g_month"))
     first = dense.agg(F.min("month").alias("_first"))
-    past = history(dense, origins).join(growth, ["category", "origin"]).crossJoin(F.broadcast(first))
+    past = history(dense, origins).join(growth, ["category", "region_code", "origin"]).crossJoin(F.broadcast(first))
     position = F.months_between("month", "_first")
     level = F.when(F.col("y") > 0, F.log("y")) - F.col("g_month") * position
     own = past.groupBy(*SERIES, "region_code", "origin", "g_month", F.month("month").alias("moy")).agg(F.avg(level).alias("d"))
@@ -85,44 +134,186 @@ def seasonal_profiles(dense: DataFrame, origins: list[str], k_growth: int = 3, l
     rows = own.withColumns({
         "_c": F.when(F.count(whole).over(by_category) > more_than, F.median(whole).over(by_category)),
         "_r": F.when(F.count(whole).over(by_region) >= region_least, F.median(whole).over(by_region)),
-        "_all": F.avg("d").over(by_category),
-    })
-    category = F.coalesce("_c", "_all")  # too few whole series: their plain mean stands for the profile
+    }).join(national_profile(dense, origins), ["category", "origin", "moy"], "left")
+    share = F.coalesce(F.create_map(*[F.lit(x) for pair in w_national.items() for x in pair])[F.col("category")], F.lit(0.0)) if w_national else F.lit(0.0)
+    category = F.when(F.col("_c").isNotNull() & F.col("s_nat").isNotNull(), (1 - share) * F.col("_c") + share * F.col("s_nat")).otherwise(F.coalesce("_c", "s_nat"))
     region = F.when(F.col("_r").isNotNull(), category + lam_region * (F.col("_r") - category)).otherwise(category)
     return rows.select(*SERIES, "region_code", "origin", "moy", "g_month", (region + lam_own * (F.coalesce("d", region) - region)).alias("s"))
 
 
-def damped(g: Column, anchor: Column, phi: float, h: Column) -> Column:
-    """Sum over j to h of anchor + (g - anchor) phi^j."""
-    return h * anchor + (g - anchor) * phi * (1 - F.pow(F.lit(phi), h)) / (1 - phi)
+def damped(g: Column, anchor: Column, phi: Column, h: Column) -> Column:
+    """Sum over j to h of anchor + (g - anchor) phi^j; h times g for a phi of 1."""
+    return F.when(phi == 1, h * g).otherwise(h * anchor + (g - anchor) * phi * (1 - F.pow(phi, h)) / F.when(phi != 1, 1 - phi))
+
+
+def own_trends(recent: DataFrame, beta: float, least: int = 9, reach: float = 0.03) -> DataFrame:
+    """territory_id, category, origin, g_month drawn by beta to the slope of the deseasonalised logs of the last twelve months.
+
+    The slope is held within reach of the growth, and needs least values.
+    """
+    z = F.when(F.col("y") > 0, F.log("y")) - F.col("s")
+    fit = recent.where("_j < 12").groupBy(*SERIES, "origin", "g_month").agg(F.regr_slope(z, -F.col("_j")).alias("_b"), F.count(z).alias("_n"))
+    g = F.col("g_month")
+    held = F.least(F.greatest(F.col("_b"), g - reach), g + reach)
+    return fit.select(*SERIES, "origin", F.when((F.col("_n") >= least) & F.col("_b").isNotNull(), g + beta * (held - g)).otherwise(g).alias("_own"))
+
 
+def seasonal_transfer(dense: DataFrame, asked: DataFrame, origins: list[str], k_level: int = 2, phis: tuple = (1.0,), anchor_years: int = 3, beta_trend: float = 0.0, robust: bool = False, undamped: tuple = (), **profile: object) -> DataFrame:
+    """Level of the last k_level deseasonalised logs, growth (damped to the long-run rate by phi), seasonal profile.
 
-def seasonal_transfer(dense: DataFrame, asked: DataFrame, origins: list[str], k_level: int = 3, phi: float | None = None, anchor_years: int = 3, **profile: float) -> DataFrame:
-    """Level of the last k_level deseasonalised logs, growth (damped to the long-run rate by phi), seasonal profile."""
+    A row for each of asked and each phi; 1 doesn't damp. beta_trend draws growth to the series' own trend; robust takes the
+    median as level; categories in undamped keep their growth.
+    """
     s = seasonal_profiles(dense, origins, **profile)
     past = history(dense, origins).withColumn("moy", F.month("month")).withColumn("_j", F.months_between("origin", "month"))
-    recent = past.where(F.col("_j") < k_level).join(s, [*SERIES, "region_code", "origin", "moy"])
-    level = recent.groupBy(*SERIES, "origin").agg(F.avg(F.when(F.col("y") > 0, F.log("y")) - F.col("s") + F.col("g_month") * F.col("_j")).alias("_level"))
+    recent = past.where(F.col("_j") < max(k_level, 12 if beta_trend else 0)).join(s, [*SERIES, "region_code", "origin", "moy"])
+    if beta_trend:
+        trends = own_trends(recent, beta_trend)
+        recent = recent.join(trends, [*SERIES, "origin"]).withColumn("g_month", F.col("_own")).drop("_own")
+        s = s.join(trends, [*SERIES, "origin"]).withColumn("g_month", F.col("_own")).drop("_own")
+    value = F.when(F.col("y") > 0, F.log("y")) - F.col("s") + F.col("g_month") * F.col("_j")
+    level = recent.where(F.col("_j") < k_level).groupBy(*SERIES, "origin").agg((F.median(value) if robust else F.avg(value)).alias("_level"))
     fallback = at(dense.withColumn("_v", last_valid("y")), "origin", "_v", "_last")
-    total = dense.groupBy("category", "month").agg(F.round(F.sum("y"), 2).alias("y"))
     w = Window.partitionBy("category").orderBy("month")
-    yearly = total.withColumn("_r", F.log(F.col("y") / F.lag("y", 12).over(w)))
+    yearly = national(dense).withColumn("_r", F.log(F.col("y") / F.lag("y", 12).over(w)))
     anchor = yearly.select("category", F.col("month").alias("origin"), (F.avg("_r").over(w.rowsBetween(1 - 12 * anchor_years, 0)) / 12).alias("_a"))
     rows = asked.withColumn("moy", F.month("target")).join(s, [*SERIES, "region_code", "origin", "moy"], "left")
     rows = rows.join(level, [*SERIES, "origin"], "left").join(fallback, [*SERIES, "origin"], "left").join(anchor, ["category", "origin"], "left")
-    grown = F.col("g_month") * F.col("h") if phi is None else damped(F.col("g_month"), F.coalesce("_a", "g_month"), phi, F.col("h"))
+    rows = rows.withColumn("phi", F.explode(F.array(*map(F.lit, phis))))
+    a = F.when(F.col("category").isin(list(undamped)), F.col("g_month")).otherwise(F.coalesce("_a", "g_month")) if undamped else F.coalesce("_a", "g_month")
     start = F.coalesce("_level", F.when(F.col("_last") > 0, F.log("_last")))
-    return rows.withColumn("y_pred", F.exp(start + grown + F.col("s"))).select(*asked.columns, "y_pred")
+    return rows.withColumn("y_pred", F.exp(start + damped(F.col("g_month"), a, F.col("phi"), F.col("h")) + F.col("s"))).select(*asked.columns, "phi", "y_pred")
+
+
+def per_day(dense: DataFrame) -> DataFrame:
+    """dense with y a day, for a model that takes the lengths of months into account; see times_days."""
+    return dense.withColumn("y", F.col("y") / F.dayofmonth(F.last_day("month")))
+
 
+def times_days(forecast: DataFrame) -> DataFrame:
+    return forecast.withColumn("y_pred", F.col("y_pred") * F.dayofmonth(F.last_day("target")))
 
-def records(dense: DataFrame, forecast: DataFrame, model: str) -> DataFrame:
-    """Forecast records with the truth, the year before and the scale of MASE."""
+
+# Forecasts of the deseasonalised logs by a plug-in
+
+
+def deseasonalised(dense: DataFrame, profile: DataFrame, origins: list[str]) -> DataFrame:
+    """territory_id, category, origin, month, z: logs less the profile, gaps filled between the first value and the origin."""
+    past = history(dense, origins).withColumn("moy", F.month("month")).join(profile.drop("region_code", "g_month"), [*SERIES, "origin", "moy"])
+    rows = past.withColumn("z", F.when(F.col("y") > 0, F.log("y")) - F.col("s"))
+    keys = (*SERIES, "origin")
+    known = F.count("z").over(Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_known", known).where("_known > 0")
+    return rows.withColumn("z", interpolated("z", keys)).select(*keys, "month", "z")
+
+
+def backcast(contexts: DataFrame, country: DataFrame, origins: list[str], first: str, start: str, anchor_months: int = 6) -> DataFrame:
+    """contexts with months before first: the series' level in its first months and the national series' moves.
+
+    country: category, month, y. Its log is freed of month means around a line, from what is known at the origin.
+    """
+    past = history(country.where("y > 0"), origins)
+    w = Window.partitionBy("category", "origin")
+    rows = past.withColumns({"_l": F.log("y"), "_i": (F.row_number().over(w.orderBy("month")) - 1).cast("double")})
+    line = rows.groupBy("category", "origin").agg(F.regr_slope("_l", "_i").alias("_b"), F.regr_intercept("_l", "_i").alias("_a"))
+    rows = rows.join(line, ["category", "origin"]).withColumn("_rest", F.col("_l") - F.col("_a") - F.col("_b") * F.col("_i"))
+    rows = rows.withColumn("_d", F.col("_l") - F.avg("_rest").over(Window.partitionBy("category", "origin", F.month("month"))))
+    begin = F.lit(first).cast("date")
+    anchor = F.avg(F.when((F.col("month") >= begin) & (F.col("month") < F.add_months(begin, anchor_months)), F.col("_d"))).over(w)
+    moves = rows.select("category", "origin", "month", (F.col("_d") - anchor).alias("_move")).where((F.col("month") >= start) & (F.col("month") < begin))
+    order = Window.partitionBy(*SERIES, "origin").orderBy("month")
+    base = contexts.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= anchor_months).groupBy(*SERIES, "origin").agg(F.avg("z").alias("_level"))
+    before = base.join(moves, ["category", "origin"]).select(*SERIES, "origin", "month", (F.col("_level") + F.col("_move")).alias("z"))
+    return contexts.unionByName(before)
+
+
+def level_and_drift(contexts: DataFrame, k: int = 3) -> DataFrame:
+    """territory_id, category, origin, level, drift: the mean of the last k values and the slope of all; a plug-in for residual_forecast."""
+    w = Window.partitionBy(*SERIES, "origin").orderBy(F.desc("month"))
+    rows = contexts.withColumn("_j", (F.row_number().over(w) - 1).cast("double"))
+    return rows.groupBy(*SERIES, "origin").agg(F.avg(F.when(F.col("_j") < k, F.col("z"))).alias("level"), F.coalesce(F.regr_slope("z", -F.col("_j")), F.lit(0.0)).alias("drift"))
+
+
+def residual_forecast(dense: DataFrame, asked: DataFrame, contexts: DataFrame, profile: DataFrame, model=level_and_drift) -> DataFrame:
+    """asked with y_pred: a model of the contexts' values plus the profile of the target month; the last value without one.
+
+    model: contexts -> territory_id, category, origin, level, drift. Larger models run there in mapInPandas.
+    """
+    s = profile.select(*SERIES, "origin", "moy", "s")
+    fallback = at(dense.withColumn("_v", last_valid("y")), "origin", "_v", "_last")
+    rows = asked.withColumn("moy", F.month("target")).join(s, [*SERIES, "origin", "moy"], "left").join(model(contexts), [*SERIES, "origin"], "left").join(fallback, [*SERIES, "origin"], "left")
+    return rows.withColumn("y_pred", F.coalesce(F.exp(F.col("level") + F.col("drift") * F.col("h") + F.col("s")), "_last")).select(*asked.columns, "y_pred")
+
+
+# Intervals and the national check
+
+
+def interval_quantiles(records: DataFrame, months: int = 12, shares: tuple = (0.05, 0.1, 0.9, 0.95)) -> DataFrame:
+    """category, h, lo90, lo80, hi80, hi90: quantiles of log errors, linear in h between the horizons of records."""
+    rows = records.where("complete and y_true > 0 and y_pred > 0").withColumn("_r", F.log(F.col("y_true") / F.col("y_pred")))
+    found = rows.groupBy("category", "h").agg(F.percentile("_r", F.array(*map(F.lit, shares))).alias("_q"))
+    names = ["lo90", "lo80", "hi80", "hi90"]
+    found = found.select("category", "h", *[F.get("_q", i).alias(c) for i, c in enumerate(names)])
+    every = found.select("category").distinct().select("category", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("h"))
+    every = every.join(found, ["category", "h"], "left")
+    return every.withColumns({c: interpolated(c, ("category",), "h") for c in names})
+
+
+def with_intervals(forecast: DataFrame, quantiles: DataFrame) -> DataFrame:
+    names = ["lo90", "lo80", "hi80", "hi90"]
+    return forecast.join(F.broadcast(quantiles), ["category", "h"], "left").withColumns({c: F.col("y_pred") * F.exp(c) for c in names})
+
+
+def national_check(dense: DataFrame, forecast: DataFrame, weights: DataFrame, origin: str) -> DataFrame:
+    """category, target and yearly growths in the year after origin: of the panel before, of the country before, as forecast, as it was.
+
+    The panel's sums are weighted (weights: territory_id, w) over whole series. forecast: h from 1 to 12 at origin.
+    """
+    whole = dense.where("complete").join(weights, "territory_id")
+    seen = whole.groupBy("category", "month").agg(F.sum(F.col("y") * F.col("w")).alias("v"))
+    made = forecast.where(F.col("origin") == origin).join(dense.where("complete").select(*SERIES).distinct(), list(SERIES)).join(weights, "territory_id")
+    made = made.groupBy("category", "target").agg(F.sum(F.col("y_pred") * F.col("w")).alias("p"))
+    past = lambda n, name: seen.select("category", F.add_months("month", 12 * n).alias("target"), F.col("v").alias(name))
+    w = Window.partitionBy("category").orderBy("month")
+    grown = national(dense).select("category", "month", (F.col("y") / F.lag("y", 12).over(w) - 1).alias("g"))
+    country = lambda n, name: grown.select("category", F.add_months("month", 12 * n).alias("target"), F.col("g").alias(name))
+    rows = made
+    for side in (past(1, "v1"), past(2, "v2"), country(1, "country_before"), country(0, "country")):
+        rows = rows.join(side, ["category", "target"], "left")
+    return rows.select("category", "target", (F.col("v1") / F.col("v2") - 1).alias("panel_before"), "country_before", (F.col("p") / F.col("v1") - 1).alias("panel_forecast"), "country")
+
+
+def check_summary(check: DataFrame) -> DataFrame:
+    """category and nine means, in percent, of national_check: growths, the gap before, the error, and that of no change."""
+    error, still = F.col("panel_forecast") - F.col("country"), F.col("panel_before") - F.col("country")
+    mean = lambda x, name: (100 * F.avg(x)).alias(name)
+    return check.groupBy("category").agg(
+        *[mean(c, c) for c in ("panel_before", "country_before", "panel_forecast", "country")],
+        mean(F.col("panel_before") - F.col("country_before"), "gap_before"), mean(error, "error"), mean(F.abs(error), "mae"), mean(still, "still_error"), mean(F.abs(still), "still_mae"),
+    )
+
+
+def series_breaks(country: DataFrame, year: int, base: tuple, tolerance: float = 0.1) -> DataFrame:
+    """category, ratio, usual, broken: January over December before in year, against the median of the base years."""
+    w = Window.partitionBy("category").orderBy("month")
+    rows = country.withColumn("_r", F.col("y") / F.lag("y").over(w)).where(F.month("month") == 1)
+    of = lambda cond: F.when(cond, F.col("_r"))
+    out = rows.groupBy("category").agg(F.max(of(F.year("month") == year)).alias("ratio"), F.median(of(F.year("month").between(*base))).alias("usual"))
+    return out.withColumn("broken", F.coalesce(F.abs(F.col("ratio") / F.col("usual") - 1) > tolerance, F.lit(False)))
+
+
+def with_truth(dense: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Forecasts with the truth, the year before and the scale of MASE."""
     w = Window.partitionBy(*SERIES).orderBy("month")
     step = F.abs(F.col("y") - F.lag("y").over(w))
     scaled = dense.withColumn("_step", step).withColumn("mase_scale", F.avg("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     truth = dense.select(*SERIES, F.col("month").alias("target"), F.col("y").alias("y_true"), F.lag("y", 12).over(w).alias("y_lag12"), "complete")
-    rows = forecast.join(truth, [*SERIES, "target"], "left").join(at(scaled, "origin", "mase_scale", "mase_scale"), [*SERIES, "origin"], "left")
-    return rows.withColumn("model", F.lit(model))
+    return forecast.join(truth, [*SERIES, "target"], "left").join(at(scaled, "origin", "mase_scale", "mase_scale"), [*SERIES, "origin"], "left")
+
+
+def records(dense: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
+    """Forecast records of models by name; the truth is joined once for all."""
+    return with_truth(dense, reduce(DataFrame.unionByName, [p.withColumn("model", F.lit(m)) for m, p in models.items()]))
 
 
 def log_mean(records: DataFrame, name: str) -> DataFrame:

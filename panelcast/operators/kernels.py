@@ -7,19 +7,27 @@ from math import lgamma, pi
 import numpy as np
 
 
-def student_log_pdf(x: float, nu: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    gamma = np.vectorize(lgamma, otypes=[float])
+def half_gammas(n: int) -> np.ndarray:
+    """ln gamma(i / 2) for i from 0 to n; the first isn't used."""
+    return np.array([0.0, *[lgamma(i / 2) for i in range(1, n + 1)]])
+
+
+def student_log_pdf(x: float, nu: np.ndarray, mean: np.ndarray, scale: np.ndarray, gammas: np.ndarray | None = None) -> np.ndarray:
+    """Log density of Student's t with whole degrees of freedom nu."""
+    nu = np.asarray(nu)
+    i = np.rint(nu).astype(int)
+    gammas = half_gammas(int(i.max()) + 1) if gammas is None else gammas
     z = (x - mean) / scale
-    return gamma((nu + 1) / 2) - gamma(nu / 2) - np.log(nu * pi) / 2 - np.log(scale) - (nu + 1) / 2 * np.log1p(z * z / nu)
+    return gammas[i + 1] - gammas[i] - np.log(nu * pi) / 2 - np.log(scale) - (nu + 1) / 2 * np.log1p(z * z / nu)
 
 
 def bocpd(z: np.ndarray, hazard: float = 1 / 24) -> np.ndarray:
     """Probability that the current run has at most one value, under a Normal-Gamma model; missing values are passed over."""
-    out = np.full(len(z), np.nan)
+    out, gammas = np.full(len(z), np.nan), half_gammas(len(z) + 4)
     run, mean, kappa, alpha, beta = np.ones(1), np.zeros(1), np.ones(1), np.ones(1), np.ones(1)
     for t in np.flatnonzero(np.isfinite(z)):
         x = z[t]
-        weight = run * np.exp(student_log_pdf(x, 2 * alpha, mean, np.sqrt(beta * (kappa + 1) / (alpha * kappa))))
+        weight = run * np.exp(student_log_pdf(x, 2 * alpha, mean, np.sqrt(beta * (kappa + 1) / (alpha * kappa)), gammas))
         run = np.r_[weight.sum() * hazard, weight * (1 - hazard)]
         run /= run.sum()
         out[t] = run[:2].sum()
@@ -35,27 +43,29 @@ def costs(x: np.ndarray) -> np.ndarray:
     return np.maximum(two[None, :] - two[:, None] - (one[None, :] - one[:, None]) ** 2 / n, 0)
 
 
-def optimal_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2) -> list[int]:
-    """Starts of the segments after the first that minimise cost plus penalty a cut."""
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -penalty
-    for b in range(least, n + 1):
-        starts = np.r_[0, np.arange(least, b - least + 1)]
-        total = best[starts] + cost[starts, b] + penalty
-        back[b] = starts[total.argmin()]
-        best[b] = total.min()
-    cuts = []
-    while n and back[n]:
-        n = back[n]
-        cuts.append(int(n))
+def optimal_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2, grid: int = 5) -> list[int]:
+    """Starts of the segments after the first that minimise cost plus penalty a cut; cuts are multiples of grid."""
+    ends = [b for b in range(grid, n, grid) if b >= least] + [n]
+    best, back = {0: -penalty}, {0: 0}
+    for b in ends:
+        starts = [a for a in best if b - a >= least]
+        if starts:
+            total = [best[a] + cost[a, b] + penalty for a in starts]
+            i = int(np.argmin(total))
+            best[b], back[b] = total[i], starts[i]
+    cuts, at = [], n
+    while back.get(at, 0):
+        at = back[at]
+        cuts.append(at)
     return cuts
 
 
-def binary_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2) -> list[int]:
+def binary_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2, grid: int = 5) -> list[int]:
+    """Starts found by splitting segments at the best multiple of grid as long as it gains more than penalty."""
     cuts, todo = [], [(0, n)]
     while todo:
         a, b = todo.pop()
-        at = np.arange(a + least, b - least + 1)
+        at = np.array([c for c in range(a + grid - a % grid, b, grid) if c - a >= least and b - c >= least], int)
         if len(at):
             gain = cost[a, b] - cost[a, at] - cost[at, b]
             if gain.max() > penalty:
@@ -65,14 +75,19 @@ def binary_cuts(cost: np.ndarray, n: int, penalty: float, least: int = 2) -> lis
     return cuts
 
 
-def segment_score(x: np.ndarray, method: str = "pelt", penalties: tuple = (0.5, 1, 2, 4, 8, 16, 32), start: int = 6) -> np.ndarray:
-    """The largest of rising penalties, in variances of differences, at which a cut still falls on this or the last month."""
+def segment_score(x: np.ndarray, method: str = "pelt", penalties: tuple = (0.5, 1, 2, 4, 8, 16, 32), start: int = 6, grid: int = 5) -> np.ndarray:
+    """The largest of rising penalties, in variances of differences, at which a cut still falls on this or the last month.
+
+    Cuts fall on a grid of months, so only the month after one of them can score; the others aren't searched.
+    """
     out, cost = np.zeros(len(x)), costs(x)
     find = optimal_cuts if method == "pelt" else binary_cuts
     for t in range(start, len(x)):
+        if (t - 1) % grid and t % grid:
+            continue
         unit = np.var(np.diff(x[: t + 1])) or 1e-6
         for p in penalties:
-            if not any(c >= t - 1 for c in find(cost, t + 1, p * unit)):
+            if not any(c >= t - 1 for c in find(cost, t + 1, p * unit, grid=grid)):
                 break
             out[t] = p
     return out

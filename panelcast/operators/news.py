@@ -1,59 +1,199 @@
-"""From messages to events, incidents and territory features."""
+"""From messages to events, places, incidents and territory features."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.text import local_types, national_types, normal_name, similarity, snippet
+from panelcast.functions.text import bare_name, local_types, national_types, normal_name, proper_names, snippet, stemmed, tagged_place, weighted_similarity
 from panelcast.operators.panel import surge
+from panelcast.operators.spatial import within
 
+# Groups of event types.
+GROUPS = {
+    "security": ("drone_attack", "shelling", "evacuation", "terror"),
+    "disaster": ("flood", "fire", "wildfire", "emergency_regime", "weather_extreme"),
+    "infra": ("utility_outage", "transport_disruption", "industrial_accident"),
+    "other": ("epidemic", "enterprise_shock"),
+}
+# Names that also stand for places elsewhere; they count only where their region is named.
+RISKY = ("донецк", "алтай", "мирный", "киров", "троицк", "красноармейск", "октябрьский", "советский", "первомайский", "заречный", "лесной", "северск", "кировск")
+# Cities that are regions, by their names.
+FEDERAL = {"москва": 77, "санкт-петербург": 78, "петербург": 78, "спб": 78, "севастополь": 92}
+# Other names of regions.
+REGION_ALIASES = {
+    "Москва": ("столица",), "Санкт-Петербург": ("петербург", "питер", "спб"), "Московская область": ("подмосковье", "московский регион"),
+    "Ленинградская область": ("ленобласть",), "Кемеровская область": ("кузбасс",), "Республика Башкортостан": ("башкирия", "башкортостан"),
+    "Республика Татарстан": ("татарстан", "татария"), "Республика Крым": ("крым",), "Краснодарский край": ("кубань",), "Приморский край": ("приморье",),
+}
+BIG_CITY, TIMES = 50_000, 10
+
+
+def group_of(event_type: Column) -> Column:
+    return F.create_map(*[F.lit(x) for g, types in GROUPS.items() for t in types for x in (t, g)])[event_type]
+
+
+# Places
+
+
+def territory_aliases(name: Column, short: Column, kind: Column) -> Column:
+    """Normalised names under which a territory stands in the news, by its type."""
+    full, sh = normal_name(name), F.nullif(normal_name(short), F.lit(""))
+    of = lambda *forms: F.array(*[F.format_string(f, sh) for f in forms])
+    adjective = sh.rlike("(ский|цкий|ской|ный)$")
+    more = (
+        F.when(sh.isNull(), F.array().cast("array<string>"))
+        .when((kind == "городской округ") & adjective, of("%s городской округ", "%s округ", "%s район"))
+        .when(kind == "городской округ", of("%s", "город %s", "городской округ %s"))
+        .when(kind.isin("муниципальный район", "муниципальный округ"), of("%s район", "%s муниципальный район", "%s округ", "%s муниципальный округ", "%s городской округ"))
+        .otherwise(of("район %s", "муниципальный округ %s", "%s район", "%s"))
+    )
+    return F.array_union(F.array(full), more)
 
-def expand_events(messages: DataFrame, places: DataFrame) -> DataFrame:
-    """A row for each message, local type and place (one without a place, where none is known), and each national type.
 
-    places: msg_id, channel, territory_id, region_code.
+def gazetteer(territories: DataFrame, settlements: DataFrame, polygons: DataFrame, until: int = 2022, cell: float = 1.0) -> DataFrame:
+    """alias, level (region, mo, settlement), territory_id, region_code, region_name, population, stem.
+
+    territories: versions with territory_id, region_code, region_name, name, name_short, mo_type, year_from, year_to;
+    of the names, versions that end after until count. settlements: id, name, x, y, population; a
+    settlement with people is in the territory whose polygon holds it. Aliases have three letters or more.
     """
-    typed = messages.withColumns({"local": local_types(F.col("text")), "national": national_types(F.col("text")), "snippet": snippet(F.col("text"))})
-    local = typed.withColumn("event_type", F.explode("local")).join(places, ["channel", "msg_id"], "left").withColumn("scope", F.when(F.col("territory_id").isNotNull(), "mo").when(F.col("region_code").isNotNull(), "region").otherwise("unresolved"))
-    wide = typed.withColumn("event_type", F.explode("national")).withColumns({"scope": F.lit("national"), "territory_id": F.lit(None).cast("long"), "region_code": F.lit(None).cast("int")})
-    columns = ["channel", "msg_id", "snippet", "event_type", "scope", "territory_id", "region_code"]
-    return local.select(*columns).unionByName(wide.select(*columns))
+    regions = territories.select("region_code", "region_name").distinct()
+    others = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in REGION_ALIASES.items() for x in pair])
+    name = normal_name(F.col("region_name"))
+    names = F.array_distinct(F.concat(F.array(name, F.regexp_replace(name, "^республика ", "")), F.coalesce(others[F.col("region_name")], F.array().cast("array<string>"))))
+    none = lambda kind: F.lit(None).cast(kind)
+    by_region = regions.select(F.explode(names).alias("alias"), F.lit("region").alias("level"), none("long").alias("territory_id"), "region_code", "region_name", none("long").alias("population"))
+    known = territories.where(F.col("year_to") > until)
+    by_mo = known.select(F.explode(territory_aliases(F.col("name"), F.col("name_short"), F.col("mo_type"))).alias("alias"), F.lit("mo").alias("level"), F.col("territory_id").cast("long").alias("territory_id"), "region_code", "region_name", none("long").alias("population"))
+    live = settlements.where("population > 0").where(~normal_name(F.col("name")).isin(list(FEDERAL)))
+    w = Window.partitionBy("territory_id").orderBy(F.desc("year_from"))
+    latest = territories.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(F.col("territory_id").cast("long").alias("territory_id"), "region_code", "region_name")
+    placed = within(live, polygons, "id", cell).where("territory_id is not null").withColumn("territory_id", F.col("territory_id").cast("long")).join(latest, "territory_id")
+    by_settlement = placed.select(normal_name(F.col("name")).alias("alias"), F.lit("settlement").alias("level"), "territory_id", "region_code", "region_name", F.col("population").cast("long").alias("population"))
+    every = reduce(DataFrame.unionByName, [by_region, by_mo, by_settlement]).where(F.length("alias") >= 3)
+    one = every.groupBy("alias", "level", "territory_id", "region_code").agg(F.min("region_name").alias("region_name"), F.max("population").alias("population"))
+    return one.withColumn("stem", stemmed(F.col("alias")))
+
+
+def name_tokens(messages: DataFrame) -> DataFrame:
+    """channel, msg_id, token, kind for each proper name of a message; a recogniser of names can give kind ner instead."""
+    return messages.select("channel", "msg_id", F.explode(proper_names(F.col("text"))).alias("token"), F.lit("fallback").alias("kind"))
 
 
-def resolve_places(tokens: DataFrame, gazetteer: DataFrame, times: int = 10) -> DataFrame:
-    """channel, msg_id, territory_id, region_code, confidence for each message and named place.
+def resolve_places(tokens: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY, times: int = TIMES) -> DataFrame:
+    """channel, msg_id, territory_id, region_code, level, confidence, matched of the places that each message names.
 
-    tokens: channel, msg_id, token; gazetteer: alias, level, territory_id, region_code, population. A name of
-    several territories is the one in a region that the message also names, else the largest if it is
-    times as large as the next; otherwise only its region counts, if there is just one.
+    tokens: channel, msg_id, token (normalised and stemmed), kind. A name counts where one of its territories is
+    in a region that the message names or in that of a dominant city (high), or if it is itself a
+    dominant city, of big people or more and times as many as the next of its name (medium), or if a recogniser
+    found it and it stands for one territory (medium). Risky names need their region. Of several territories the
+    largest settlement is taken, if it is times as large as the next. Regions without such a
+    place stand for themselves.
     """
-    named = tokens.select("channel", "msg_id", normal_name(F.col("token")).alias("alias")).distinct()
-    found = named.join(gazetteer, "alias")
-    regions = found.where("level = 'region'").select("channel", "msg_id", F.col("region_code").alias("named_region")).distinct()
-    w = Window.partitionBy("channel", "msg_id", "alias")
-    mo = found.where("level <> 'region'").join(regions, ["channel", "msg_id"], "left")
-    mo = mo.groupBy("channel", "msg_id", "alias", "territory_id", "region_code", "population").agg(F.max(F.coalesce(F.col("named_region") == F.col("region_code"), F.lit(False))).alias("near"))
+    key = ["channel", "msg_id", "stem"]
+    token = tokens.select("channel", "msg_id", F.explode(F.array_distinct(F.array("token", bare_name(F.col("token"))))).alias("stem"), (F.col("kind") == "ner").alias("ner"))
+    token = token.groupBy(*key).agg(F.max("ner").alias("ner"))
+    met = token.join(gazetteer.select("stem", "level", F.col("territory_id").cast("long").alias("territory_id"), "region_code", F.col("population").cast("long").alias("population")), "stem")
+    risky = stemmed_set(RISKY)
     size = F.coalesce("population", F.lit(0))
-    order = w.orderBy(F.desc("near"), F.desc(size), "territory_id")
-    mo = mo.withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(w), "_next": F.lead(size).over(order)})
-    best = mo.where("_k = 1").withColumn("confidence", F.when(F.col("near"), "high").when(F.col("_n") == 1, "medium").when(size >= times * F.col("_next"), "low")).where("confidence is not null")
-    best = best.groupBy("channel", "msg_id", "territory_id", "region_code").agg(F.min("confidence").alias("confidence"))
-    bare = regions.withColumnRenamed("named_region", "region_code").join(best.select("channel", "msg_id", "region_code"), ["channel", "msg_id", "region_code"], "left_anti")
-    return best.unionByName(bare.withColumns({"territory_id": F.lit(None).cast("long"), "confidence": F.lit("region")}))
+    towns = met.where("level = 'settlement'").withColumn("_size", size)
+    order = Window.partitionBy(*key).orderBy(F.desc("_size"), "territory_id")
+    first = towns.withColumns({"_k": F.row_number().over(order), "_next": F.lead("_size").over(order)}).where("_k = 1")
+    clear = (F.col("_size") >= big) & (F.col("_next").isNull() | (F.col("_size") >= times * F.greatest("_next", F.lit(1)))) & ~F.col("stem").isin(risky)
+    dominant = first.where(clear).select(*key, F.col("territory_id").alias("_dominant"), F.col("region_code").alias("_region"))
+    regions = met.where("level = 'region'").select("channel", "msg_id", "region_code").unionByName(dominant.select("channel", "msg_id", F.col("_region").alias("region_code"))).distinct()
+    mo = met.where("level <> 'region'").join(regions.withColumn("_named", F.lit(True)), ["channel", "msg_id", "region_code"], "left").join(dominant.drop("_region"), key, "left")
+    w = Window.partitionBy(*key)
+    mo = mo.withColumns({
+        "_in": F.coalesce(F.max("_named").over(w), F.lit(False)),
+        "_single": F.size(F.collect_set("territory_id").over(w)) == 1,
+        "_mo": F.max(F.col("level") == "mo").over(w),
+    })
+    sure = F.col("_single") & F.col("_mo") & F.col("ner") & ~F.col("stem").isin(risky)
+    how = F.when(F.col("_in"), F.when(F.col("_named"), "high")).when(F.col("_dominant").isNotNull(), F.when(F.col("territory_id") == F.col("_dominant"), "medium")).when(sure, "medium")
+    pool = mo.withColumn("confidence", how).where("confidence is not null")
+    each = pool.groupBy(*key, "territory_id").agg(F.min("region_code").alias("region_code"), F.max(F.col("level") == "mo").alias("is_mo"), F.max(F.when(F.col("level") == "settlement", size)).alias("town"), F.min("confidence").alias("confidence"))
+    order = w.orderBy(F.desc_nulls_last("town"), F.desc("territory_id"))
+    each = each.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(order), "_next": F.lead("town").over(order)})
+    chosen = each.where((F.col("_n") == 1) | ((F.col("_k") == 1) & F.col("town").isNotNull() & (F.col("_next").isNull() | (F.col("town") >= times * F.greatest("_next", F.lit(1))))))
+    hits = chosen.groupBy("channel", "msg_id", "territory_id", "region_code", F.when(F.col("is_mo"), "mo").otherwise("settlement").alias("level")).agg(F.min("confidence").alias("confidence"), F.min("stem").alias("matched"))
+    bare = regions.join(hits, ["channel", "msg_id", "region_code"], "left_anti")
+    return hits.unionByName(bare.select("channel", "msg_id", F.lit(None).cast("long").alias("territory_id"), "region_code", F.lit("region").alias("level"), F.lit("high").alias("confidence"), F.lit("").alias("matched")))
+
+
+def stemmed_set(names: tuple) -> list[Column]:
+    return [stemmed(F.lit(n)) for n in names]
+
+
+def expand_events(messages: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for each message, local type and place (an unresolved one, where none is known), and each national type.
+
+    places: as from resolve_places.
+    """
+    typed = messages.withColumns({"_local": local_types(F.col("text")), "_national": national_types(F.col("text")), "snippet": snippet(F.col("text"))})
+    local = typed.withColumn("event_type", F.explode("_local")).join(places, ["channel", "msg_id"], "left").withColumns({"scope": F.lit("local"), "level": F.coalesce("level", F.lit("unresolved")), "confidence": F.coalesce("confidence", F.lit("none")), "matched": F.coalesce("matched", F.lit(""))})
+    wide = typed.withColumn("event_type", F.explode("_national")).withColumns({"scope": F.lit("national"), "level": F.lit("national"), "confidence": F.lit("high"), "matched": F.lit(""), "territory_id": F.lit(None).cast("long"), "region_code": F.lit(None).cast("int")})
+    columns = ["channel", "msg_id", "snippet", "event_type", "scope", "territory_id", "region_code", "level", "confidence", "matched"]
+    return local.select(*columns).unionByName(wide.select(*columns))
 
 
 def candidates(places: DataFrame, gazetteer: DataFrame, k: int = 8, cutoff: float = 80) -> DataFrame:
-    """The k most similar territories of each place within its region: place_id, territory_id, score, rank."""
-    met = places.join(gazetteer, "region_code").withColumn("score", similarity(F.col("name"), F.col("alias"))).where(F.col("score") >= cutoff)
-    each = met.groupBy("place_id", "territory_id").agg(F.max("score").alias("score"), F.max("population").alias("population"))
-    rank = F.row_number().over(Window.partitionBy("place_id").orderBy(F.desc("score"), F.desc("population"), "territory_id"))
+    """The k most similar territories of each place within its region: place_id, territory_id, score, rank.
+
+    The score is the weighted similarity of names, and a ten-millionth of the population breaks near ties. Only names
+    whose lengths can reach the cutoff are compared.
+    """
+    longest = F.greatest(F.length("name"), F.length("alias"))
+    close = 100 * F.least(F.length("name"), F.length("alias")) >= cutoff * longest
+    met = places.join(gazetteer, "region_code").where(close).withColumn("_s", weighted_similarity(F.col("name"), F.col("alias"))).where(F.col("_s") >= cutoff)
+    each = met.groupBy("place_id", "territory_id").agg(F.max(F.col("_s") + F.coalesce("population", F.lit(0)) / 1e7).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("place_id").orderBy(F.desc("score"), "territory_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("place_id", "territory_id", "score", "rank")
 
 
-def decide(choice: Column, n_candidates: Column, territory: Column, region: Column) -> Column:
-    """scope of a chosen place: mo for a candidate's number, region for 0 if it is known; null: dropped."""
-    return F.when((choice >= 1) & (choice <= n_candidates) & territory.isNotNull(), "mo").when((choice == 0) & region.isNotNull(), "region")
+def place_name(place: Column, *fields: str) -> Column:
+    """The first of a place's fields that isn't blank, normalised."""
+    return F.coalesce(*[F.nullif(normal_name(place[f]), F.lit("")) for f in fields])
+
+
+def with_regions(places: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY) -> DataFrame:
+    """places (place: settlement, district, city, region) with region_code and region_only.
+
+    region_only: a federal city without a district, or a place of which only the region is known. Else the code is that
+    of the named region, or of the one region that has a city of the name with big people or more.
+    """
+    city, district, region = place_name(F.col("place"), "city", "settlement"), place_name(F.col("place"), "district"), place_name(F.col("place"), "region")
+    federal = F.create_map(*[F.lit(x) for pair in FEDERAL.items() for x in pair])[city]
+    by_name = gazetteer.where("level = 'region'").groupBy(F.col("alias").alias("_region")).agg(F.min("region_code").alias("_by_name"))
+    cities = gazetteer.where((F.col("level") != "region") & (F.col("population") >= big)).groupBy(F.col("alias").alias("_city")).agg(F.min("region_code").alias("_by_city"), F.count_distinct("region_code").alias("_n")).where("_n = 1").drop("_n")
+    rows = places.withColumns({"_region": region, "_city": city, "_district": district, "_federal": federal})
+    rows = rows.join(by_name, "_region", "left").join(cities, "_city", "left")
+    alone = F.when(F.col("_federal").isNotNull() & F.col("_district").isNull(), F.col("_federal")).when(F.col("_city").isNull() & F.col("_district").isNull(), F.col("_by_name"))
+    code = F.coalesce(alone, "_by_name", "_federal", "_by_city")
+    return rows.withColumns({"region_code": code, "region_only": alone.isNotNull()}).drop("_region", "_city", "_district", "_federal", "_by_name", "_by_city")
+
+
+def exact_unique(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """places (place_id, place, region_code) with exact: the one territory of the region that a name fits exactly.
+
+    Settlement, city and district are tried in this order; the first that fits one territory counts.
+    """
+    names = F.array(*[F.struct(F.lit(i).alias("i"), place_name(F.col("place"), f).alias("alias")) for i, f in enumerate(("settlement", "city", "district"))])
+    asked = places.select("place_id", "region_code", F.inline(names)).where("alias is not null")
+    own = gazetteer.where("level <> 'region'").select("alias", "region_code", "territory_id").distinct()
+    found = asked.join(own, ["alias", "region_code"]).groupBy("place_id", "i").agg(F.min("territory_id").alias("t"), F.count_distinct("territory_id").alias("n")).where("n = 1")
+    return places.join(found.groupBy("place_id").agg(F.min_by("t", "i").alias("exact")), "place_id", "left")
+
+
+def decide(choice: Column, n_candidates: Column, region: Column) -> Column:
+    """mo for a candidate's number, region for 0 or -1 where the region is known; null: dropped."""
+    return F.when((choice >= 1) & (choice <= n_candidates), "mo").when(choice.isin(0, -1) & region.isNotNull(), "region")
+
+
+# Incidents and features
 
 
 def incidents(events: DataFrame, gap_days: int = 3, keys: tuple = ("territory_id", "event_type")) -> DataFrame:
@@ -66,6 +206,13 @@ def incidents(events: DataFrame, gap_days: int = 3, keys: tuple = ("territory_id
     return rows.groupBy(*keys, "month", "_chain").agg(F.first("region_code").alias("region_code"), F.min("published").alias("start"), F.max("severity").alias("severity"), F.count("*").alias("msgs"), F.count_distinct("channel").alias("channels")).drop("_chain")
 
 
+def placed_incidents(events: DataFrame, gap_days: int = 3) -> DataFrame:
+    """incidents by place: a territory, or a region for events without one; with place and group."""
+    placed = events.withColumn("place", tagged_place(F.col("territory_id"), F.col("region_code")))
+    found = incidents(placed, gap_days, ("place", "event_type", "territory_id"))
+    return found.withColumn("group", group_of(F.col("event_type")))
+
+
 def daily_features(events: DataFrame, first: str, last: str, groups: tuple) -> DataFrame:
     """territory_id, month (here: the day), counts by group, all, severity and their surge, over a dense calendar."""
     days = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("month")
@@ -75,3 +222,92 @@ def daily_features(events: DataFrame, first: str, last: str, groups: tuple) -> D
     total = sum((F.col(f"n_{g}") for g in groups), F.lit(0))
     rows = rows.withColumn("n_all", total)
     return rows.withColumn("surge", surge("n_all", ("territory_id",)))
+
+
+def grid(territories: DataFrame, first: str, last: str) -> DataFrame:
+    months = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month")
+    return territories.select("territory_id", "region_code").distinct().select("territory_id", "region_code", months)
+
+
+def counted(rows: DataFrame, keys: list[str], prefix: str, *more: Column) -> DataFrame:
+    """Rows by group and in all, for each of keys."""
+    counts = [F.count_if(F.col("group") == g).alias(f"{prefix}_{g}") for g in GROUPS]
+    return rows.groupBy(*keys).agg(*counts, F.count("*").alias(f"{prefix}_all"), *more)
+
+
+def with_surges(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.withColumns({f"{c}_surge": surge(c, ("territory_id",)) for c in names})
+
+
+def national_counts(events: DataFrame, first: str, last: str, types: tuple) -> DataFrame:
+    """month and the messages of each national type, 0 in months without any; a message counts once for each type."""
+    months = events.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
+    once = events.where("scope = 'national'").select("channel", "msg_id", "event_type", "month").distinct()
+    counts = once.groupBy("month").agg(*[F.count_if(F.col("event_type") == t).alias(f"news_nat_{t}") for t in types])
+    return months.join(counts, "month", "left").na.fill(0)
+
+
+def monthly_features(events: DataFrame, territories: DataFrame, first: str, last: str, national: tuple) -> DataFrame:
+    """territory_id, month, counts of local events by group for the territory and its region, national counts, surges.
+
+    events: channel, msg_id, month, event_type, scope, level, territory_id, region_code. A message counts once for a
+    group and place; unresolved events don't count.
+    """
+    local = events.where("scope = 'local' and level <> 'unresolved'").withColumn("group", group_of(F.col("event_type")))
+    local = local.select("channel", "msg_id", "month", "group", "territory_id", "region_code").where("group is not null").distinct()
+    mo = counted(local.where("territory_id is not null"), ["territory_id", "month"], "news_mo")
+    region = counted(local, ["region_code", "month"], "news_reg")
+    rows = grid(territories, first, last).join(mo, ["territory_id", "month"], "left").join(region, ["region_code", "month"], "left")
+    rows = rows.join(F.broadcast(national_counts(events, first, last, national)), "month", "left").na.fill(0)
+    surging = [f"news_{a}_{b}" for a in ("mo", "reg") for b in ("all", "security", "disaster")]
+    return with_surges(rows.drop("region_code"), surging)
+
+
+def incident_features(events: DataFrame, territories: DataFrame, first: str, last: str, gap_days: int = 3) -> DataFrame:
+    """territory_id, month, incidents by group, severity and messages of the territory, incidents and severity of its region, surges.
+
+    As published, messages are told apart by msg_id alone, whatever their channel.
+    """
+    found = placed_incidents(events.where(group_of(F.col("event_type")).isNotNull()), gap_days)
+    severity = F.sum("severity")
+    mo = counted(found.where("territory_id is not null"), ["territory_id", "month"], "news2_mo", severity.alias("news2_mo_sev"), F.max("severity").alias("news2_mo_max_sev"))
+    heard = events.where(F.col("territory_id").isNotNull() & group_of(F.col("event_type")).isNotNull()).groupBy("territory_id", F.trunc("day", "MM").alias("month")).agg(F.count_distinct("msg_id").alias("news2_mo_msgs"))
+    region = counted(found, ["region_code", "month"], "news2_reg", severity.alias("news2_reg_sev"))
+    rows = grid(territories, first, last).join(mo, ["territory_id", "month"], "left").join(heard, ["territory_id", "month"], "left").join(region, ["region_code", "month"], "left").na.fill(0)
+    return with_surges(rows.drop("region_code"), ["news2_mo_all", "news2_mo_sev", "news2_mo_msgs", "news2_reg_all", "news2_reg_sev"])
+
+
+# Accuracy
+
+
+def validation_sample(events: DataFrame, n: int, seed: str = "42") -> DataFrame:
+    """n located messages, drawn by a hash of their keys; of a message's events the first by type and place."""
+    placed = events.where("scope = 'local' and level <> 'unresolved'")
+    w = Window.partitionBy("channel", "msg_id").orderBy("event_type", "territory_id", "region_code")
+    once = placed.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return once.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "channel", F.col("msg_id").cast("string"))), "channel", "msg_id").limit(n)
+
+
+def judged(events: DataFrame, labelled: DataFrame, manual: DataFrame) -> DataFrame:
+    """Events of labelled messages with row (their number within the message), place_ok, type_ok and group_ok.
+
+    labelled: channel, msg_id, event_type, level, territory_id, region_code, place_final, type_final, of an earlier
+    run: an event that agrees with a right one is right. Where that says nothing, manual (channel, msg_id, row,
+    place_ok, type_ok) does. A wrong type of the right type's group is a right group.
+    """
+    w = Window.partitionBy("channel", "msg_id").orderBy("event_type", "territory_id", "region_code")
+    rows = events.withColumn("row", F.row_number().over(w) - 1)
+    known = labelled.select("channel", "msg_id", *[F.col(c).alias(f"_{c}") for c in ("event_type", "level", "territory_id", "region_code", "place_final", "type_final")])
+    rows = rows.join(known, ["channel", "msg_id"]).join(manual, ["channel", "msg_id", "row"], "left")
+    same = (F.col("_level") == F.col("level")) & F.when(F.col("level") == "region", F.col("_region_code") == F.col("region_code")).otherwise(F.col("_territory_id") == F.col("territory_id"))
+    place = F.coalesce(F.when((F.col("_place_final") == 1) & same, 1), F.col("place_ok"))
+    kind = F.coalesce(F.when((F.col("_type_final") == 1) & (F.col("_event_type") == F.col("event_type")), 1), F.col("type_ok"))
+    rows = rows.withColumns({"place_ok": place, "type_ok": kind})
+    near = (F.col("_type_final") == 1) & (group_of(F.col("_event_type")) == group_of(F.col("event_type")))
+    return rows.withColumn("group_ok", F.when(F.col("type_ok") == 0, F.coalesce(near, F.lit(False)).cast("int")).otherwise(F.col("type_ok"))).drop(*[c for c in rows.columns if c.startswith("_")])
+
+
+def by_message(rows: DataFrame) -> DataFrame:
+    """channel, msg_id, place2, type2, group2: the least of its events' marks, null if one has none."""
+    strict = lambda c: F.when(F.count(c) == F.count("*"), F.min(c))
+    return rows.groupBy("channel", "msg_id").agg(strict("place_ok").alias("place2"), strict("type_ok").alias("type2"), strict("group_ok").alias("group2"), F.count("*").alias("n_rows"))

@@ -54,9 +54,9 @@ def cumulative_index(x: str, keys: tuple) -> Column:
     return 100 * F.exp(F.sum(F.log(F.col(x) / 100)).over(Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def interpolated(x: str, keys: tuple) -> Column:
+def interpolated(x: str, keys: tuple, order: str = "month") -> Column:
     """Linear between known neighbours, the nearest known value at the ends."""
-    w = Window.partitionBy(*keys).orderBy("month")
+    w = Window.partitionBy(*keys).orderBy(order)
     at = F.row_number().over(w)
     known = F.when(F.col(x).isNotNull(), F.struct(at.alias("at"), F.col(x).alias("v")))
     a = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -2,63 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import text as texts
-from panelcast.operators import detect, evaluate, forecast, news, panel, shocks
+from panelcast.operators import detect, evaluate, forecast, news, panel
+from panelcast.plans.registry import BACKTEST, LAG_START, LARGE, SERIES, dense, records, register, residual, rounded, scored
 from panelcast.plans.sql import RECORDS, RESIDUALS, query, scale
 from panelcast.sources.tables import FIRST, LAST, messages, spending, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Series of the star schema count as complete from this many months on; groups as large from this many series on.
-COMPLETE, LARGE = 60, 10
-BACKTEST, LAG_START = "2000-07-01", "1996-01-01"
-SERIES = ["territory_id", "category"]
-
-
-def register(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def dense(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.with_completeness(panel.densify(spending(spark, sf), FIRST, LAST), COMPLETE)
-
-
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    d = dense(spark, sf)
-    asked = forecast.targets(d, BACKTEST, LAST)
-    models = {"naive": forecast.naive(d, asked), "snaive": forecast.seasonal_naive(d, asked), "snaive_growth": forecast.seasonal_growth(d, asked, more_than=LARGE)}
-    return reduce(DataFrame.unionByName, [forecast.records(d, p, m) for m, p in models.items()])
-
-
-def residual(spark: SparkSession, sf: str) -> DataFrame:
-    """Log residuals of the seasonal naive one-step forecast."""
-    w = panel.over_time()
-    lag = F.lag("y", 12).over(w)
-    rows = dense(spark, sf).withColumn("e", F.when((F.col("y") > 0) & (lag > 0), F.log("y") - F.log(lag)))
-    return rows.where(F.col("month") >= LAG_START).select("territory_id", "region_code", "category", "month", "e")
-
-
-def scored(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*SERIES, "month", F.round("score", digits).alias("score"))
-
-
 # Panel
 
 
@@ -159,7 +113,7 @@ def ranks_and_others(spark, sf):
 
 
 def accuracy(spark, sf, model):
-    out = evaluate.summary(records(spark, sf).where(F.col("model") == model), ["h"])
+    out = evaluate.summary(records(spark, sf, (model,)), ["h"])
     return rounded(out, 4, "mae", "mape", "mase", "r2_level", "r2_yoy")
 
 
@@ -234,13 +188,13 @@ def online_stacking(spark, sf):
 s AS (SELECT h, territory_id, category, sum(d) AS s, count(*) AS n FROM d WHERE d IS NOT NULL GROUP BY ALL)
 SELECT h, round(sum(s) / sum(n), 2) AS d_mae, round(avg(CASE WHEN s < 0 THEN 1.0 ELSE 0 END), 6) AS win_share FROM s GROUP BY ALL""", RECORDS))
 def model_compare(spark, sf):
-    out = evaluate.compare(records(spark, sf), "snaive_growth", "snaive")
+    out = evaluate.compare(records(spark, sf, ("snaive", "snaive_growth")), "snaive_growth", "snaive")
     return out.select("h", F.round("d_mae", 2).alias("d_mae"), F.round("win_share", 6).alias("win_share"))
 
 
 @register()
 def cluster_bootstrap(spark, sf):
-    return evaluate.cluster_bootstrap(records(spark, sf), "snaive_growth", "snaive")
+    return evaluate.cluster_bootstrap(records(spark, sf, ("snaive", "snaive_growth")), "snaive_growth", "snaive")
 
 
 @register(query("""
@@ -251,67 +205,7 @@ q AS (SELECT category, h, quantile_cont(r, [0.05, 0.1, 0.9, 0.95]) AS q FROM b W
 SELECT b.h, count(*) AS n, round(avg(CASE WHEN r >= q[2] AND r <= q[3] THEN 1.0 ELSE 0 END), 6) AS cover80, round(avg(CASE WHEN r >= q[1] AND r <= q[4] THEN 1.0 ELSE 0 END), 6) AS cover90
 FROM b LEFT JOIN q ON q.category = b.category AND q.h = b.h WHERE NOT early GROUP BY ALL""", RECORDS))
 def interval_coverage(spark, sf):
-    return rounded(evaluate.interval_coverage(records(spark, sf).where("model = 'snaive_growth'")), 6, "cover80", "cover90")
-
-
-ORIGINS = [f"{2000 + (6 + i) // 12}-{(6 + i) % 12 + 1:02d}-01" for i in range(12)]
-
-PROFILE = """
-past AS (
-  SELECT d.*, o.month AS origin, ln(g_cat) / 12 AS g_month, date_diff('month', DATE '1995-01-01', d.month) AS pos
-  FROM dense d JOIN (SELECT month FROM calendar WHERE month >= DATE '2000-07-01' AND month < DATE '2001-07-01') o ON d.month <= o.month
-  JOIN category_growth c ON c.category = d.category AND c.month = o.month),
-means AS (SELECT territory_id, category, region_code, origin, g_month, month(month) AS moy, avg(CASE WHEN y > 0 THEN ln(y) END - g_month * pos) AS d FROM past GROUP BY ALL),
-centred AS (SELECT * REPLACE (d - avg(d) OVER w AS d), count(d) OVER w AS n FROM means WINDOW w AS (PARTITION BY territory_id, category, origin)),
-medians AS (
-  SELECT *, count(CASE WHEN n = 12 THEN d END) OVER c AS nc, median(CASE WHEN n = 12 THEN d END) OVER c AS mc, avg(d) OVER c AS ac,
-    count(CASE WHEN n = 12 THEN d END) OVER r AS nr, median(CASE WHEN n = 12 THEN d END) OVER r AS mr
-  FROM centred WINDOW c AS (PARTITION BY category, origin, moy), r AS (PARTITION BY category, region_code, origin, moy)),
-drawn AS (SELECT *, CASE WHEN nc > 10 THEN mc ELSE ac END AS sc FROM medians),
-regions AS (SELECT *, CASE WHEN nr >= 3 THEN sc + 0.5 * (mr - sc) ELSE sc END AS sr FROM drawn),
-profile AS (SELECT *, sr + 0.3 * (coalesce(d, sr) - sr) AS s FROM regions)
-"""
-
-
-@register(query("SELECT territory_id, category, origin, moy, round(s, 6) + 0.0 AS s FROM profile", PROFILE))
-def stf_profile(spark, sf):
-    return rounded(forecast.seasonal_profiles(dense(spark, sf), ORIGINS, more_than=LARGE).select(*SERIES, "origin", F.col("moy").cast("long").alias("moy"), "s"), 6, "s")
-
-
-def stf_sql(phi: float | None, k: int) -> str:
-    grown = "g_month * h" if phi is None else f"(h * coalesce(a, g_month) + (g_month - coalesce(a, g_month)) * {phi} * (1 - pow({phi}, h)) / (1 - {phi}))"
-    return query(f"""
-SELECT q.territory_id, q.category, q.origin, h, round(exp(coalesce(level, ln(o.last_y)) + {grown} + s), 2) AS y_pred
-FROM asked q LEFT JOIN profile p ON p.territory_id = q.territory_id AND p.category = q.category AND p.origin = q.origin AND p.moy = month(q.target)
-LEFT JOIN levels l ON l.territory_id = q.territory_id AND l.category = q.category AND l.origin = q.origin
-LEFT JOIN lagged o ON o.territory_id = q.territory_id AND o.category = q.category AND o.month = q.origin
-LEFT JOIN national n ON n.category = q.category AND n.month = q.origin""", PROFILE, f"""levels AS (
-  SELECT t.territory_id, t.category, t.origin, avg(CASE WHEN y > 0 THEN ln(y) END - s + t.g_month * date_diff('month', month, t.origin)) AS level
-  FROM past t JOIN profile p ON p.territory_id = t.territory_id AND p.category = t.category AND p.origin = t.origin AND p.moy = month(t.month)
-  WHERE date_diff('month', month, t.origin) < {k} GROUP BY ALL)""")
-
-
-def transfer(spark, sf, k_level=3, phi=None):
-    d = dense(spark, sf)
-    return forecast.seasonal_transfer(d, forecast.targets(d, BACKTEST, LAST), ORIGINS, k_level, phi, more_than=LARGE)
-
-
-@register(stf_sql(None, 3))
-def stf_forecast(spark, sf):
-    return rounded(transfer(spark, sf).select(*SERIES, "origin", "h", "y_pred"), 2, "y_pred")
-
-
-@register(stf_sql(0.9, 3))
-def stf_damped_forecast(spark, sf):
-    return rounded(transfer(spark, sf, 3, 0.9).select(*SERIES, "origin", "h", "y_pred"), 2, "y_pred")
-
-
-@register()
-def stf_ensemble_accuracy(spark, sf):
-    d = dense(spark, sf)
-    asked = forecast.targets(d, BACKTEST, LAST)
-    members = [forecast.records(d, forecast.seasonal_transfer(d, asked, ORIGINS, k, phi, more_than=LARGE), f"stf_{k}_{phi}") for k in (2, 3, 4) for phi in (None, 0.8, 0.9)]
-    return evaluate.summary(forecast.log_mean(reduce(DataFrame.unionByName, members), "ens_stf9"), ["h"])
+    return rounded(evaluate.interval_coverage(records(spark, sf, ("snaive_growth",))), 6, "cover80", "cover90")
 
 
 # Detection
@@ -447,22 +341,6 @@ def all_detectors(spark, sf):
     return detect.all_scores(residual(spark, sf))
 
 
-@register()
-def shock_evaluation(spark, sf):
-    """Local shocks injected into half the series; thresholds from the clean ones."""
-    d, keys = dense(spark, sf), tuple(SERIES)
-    drawn = shocks.draw_shocks(d, keys, 79, 0.5, seed=7)
-    lag = F.lag("y", 12).over(panel.over_time())
-    rows = shocks.inject(d, drawn, keys, FIRST).withColumn("e", F.when((F.col("y") > 0) & (lag > 0), F.log("y") - F.log(lag))).where(F.col("month") >= LAG_START)
-    rows = rows.select("territory_id", "region_code", "category", "month", "e")
-    clean = detect.remove_common(rows)
-    parts = {"panel": detect.panel_score(rows), "cusum": detect.cusum(clean), "conformal": detect.conformal(clean)}
-    scores = reduce(DataFrame.unionByName, [x.select(F.lit(n).alias("detector"), *SERIES, "month", "score") for n, x in parts.items()])
-    marked = scores.join(drawn.select(*SERIES, F.lit(False).alias("clean")), SERIES, "left").withColumn("clean", F.coalesce("clean", F.lit(True)))
-    marked = marked.withColumn("m", F.months_between("month", F.lit(FIRST).cast("date")).cast("int"))
-    return shocks.evaluate(marked, drawn.select(*SERIES, "t"), shocks.false_alarm_threshold(marked))
-
-
 ALARMS = """mo AS (SELECT territory_id, month, max(score) AS score FROM p1 WHERE month >= DATE '1997-01-01' GROUP BY ALL),
 alarms AS (SELECT *, coalesce(score > quantile_cont(score, 0.8) OVER (PARTITION BY month), false) AS alarm FROM mo),
 events_mo AS (SELECT o_nation AS territory_id, month FROM (SELECT c_nationkey AS o_nation, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1997-02-01' AND o_orderdate < TIMESTAMP '2001-05-01' GROUP BY ALL) WHERE top >= 450000)"""
@@ -490,13 +368,17 @@ def event_window_hits(spark, sf):
 
 
 @register(query("""
-, j AS (SELECT a.*, e.territory_id IS NOT NULL AS event FROM alarms a LEFT JOIN events_mo e ON e.territory_id = a.territory_id AND e.month = a.month WHERE a.score IS NOT NULL),
-s AS (SELECT *, ntile(4) OVER (ORDER BY round(score, 6), territory_id, month) AS quartile FROM j)
+, heads AS (SELECT c_nationkey AS territory_id, CAST(count(*) AS DOUBLE) AS people FROM customer GROUP BY ALL),
+j AS (SELECT a.*, e.territory_id IS NOT NULL AS event, people FROM alarms a JOIN heads h ON h.territory_id = a.territory_id LEFT JOIN events_mo e ON e.territory_id = a.territory_id AND e.month = a.month WHERE a.score IS NOT NULL),
+k AS (SELECT territory_id, row_number() OVER (ORDER BY people, territory_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT territory_id, people FROM j)),
+s AS (SELECT j.*, 1 + CAST(r > 1 + (n - 1) * 0.25 AS INT) + CAST(r > 1 + (n - 1) * 0.5 AS INT) + CAST(r > 1 + (n - 1) * 0.75 AS INT) AS quartile FROM j JOIN k ON k.territory_id = j.territory_id)
 SELECT coalesce(quartile, 0) AS quartile, count(*) AS n, round(avg(CASE WHEN event THEN alarm::INT END) / nullif(avg(CASE WHEN NOT event THEN alarm::INT END), 0), 6) AS lift FROM s GROUP BY ROLLUP (quartile)""", RESIDUALS, PANEL_SCORE, ALARMS))
 def quartile_lift(spark, sf):
+    """Alarm rates with and without an event by quartile of the territories' people."""
+    heads = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("territory_id")).agg(F.count("*").cast("double").alias("people"))
     rows = territory_alarms(spark, sf).where("score is not null").join(large_orders(spark, sf).withColumn("_e", F.lit(True)), ["territory_id", "month"], "left")
-    rows = rows.withColumn("event", F.coalesce("_e", F.lit(False))).withColumn("score", F.round("score", 6))
-    return rounded(evaluate.lift_by_quartile(rows, "score", "event", "alarm"), 6, "lift")
+    rows = rows.join(heads, "territory_id").withColumn("event", F.coalesce("_e", F.lit(False)))
+    return rounded(evaluate.lift_by_quartile(rows, "people", "event", "alarm"), 6, "lift")
 
 
 @register(query("""
@@ -517,11 +399,13 @@ MESSAGES = """WITH m AS (SELECT 'c' || (event_id % 3) AS channel, event_id AS ms
 
 
 @register(MESSAGES + """
-, g AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS month, lag(published) OVER (PARTITION BY territory_id, event_type, date_trunc('month', day) ORDER BY published, channel, msg_id) AS before FROM m),
-c AS (SELECT *, sum(CASE WHEN before IS NULL OR floor((epoch(published) - epoch(before)) / 3600) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY territory_id, event_type, month ORDER BY published, channel, msg_id) AS chain FROM g)
-SELECT territory_id, event_type, month, any_value(region_code) AS region_code, min(published) AS start, max(severity) AS severity, count(*) AS msgs, count(DISTINCT channel) AS channels FROM c GROUP BY territory_id, event_type, month, chain""".replace("floor((epoch(published) - epoch(before)) / 3600) > 3", "floor((floor(epoch(published)) - floor(epoch(before))) / 86400) > 0"))
+, sparse AS (SELECT * FROM m WHERE msg_id % 7 = 0),
+g AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS month, lag(published) OVER (PARTITION BY territory_id, event_type, date_trunc('month', day) ORDER BY published, channel, msg_id) AS before FROM sparse),
+c AS (SELECT *, sum(CASE WHEN before IS NULL OR floor((floor(epoch(published)) - floor(epoch(before))) / 86400) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY territory_id, event_type, month ORDER BY published, channel, msg_id) AS chain FROM g)
+SELECT territory_id, event_type, month, any_value(region_code) AS region_code, min(published) AS start, max(severity) AS severity, count(*) AS msgs, count(DISTINCT channel) AS channels FROM c GROUP BY territory_id, event_type, month, chain""")
 def incident_chains(spark, sf):
-    return news.incidents(messages(spark, sf), gap_days=0)
+    """Chains broken after more than three days; every seventh message, so that there are such gaps."""
+    return news.incidents(messages(spark, sf).where("msg_id % 7 = 0"))
 
 
 @register(MESSAGES + """
@@ -567,15 +451,15 @@ def semi_join_isin(spark, sf):
     return table(spark, sf, "orders").join(c, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-05-01')")
 def anti_join_drop(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").where("o_orderdate >= timestamp_ntz '2001-05-01'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @register("""WITH w AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS week, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY ALL),
 j AS (SELECT m.month, week, v, row_number() OVER (PARTITION BY m.month ORDER BY week DESC) AS k FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders) m JOIN w ON week <= last_day(m.month) AND week > last_day(m.month) - 63)
-SELECT month, CASE WHEN count(*) >= 2 THEN round(avg(v), 2) END AS v, count(*) AS weeks FROM j WHERE k <= 4 GROUP BY ALL""")
+SELECT month, CASE WHEN count(*) >= 2 THEN round(avg(v), 4) END AS v, count(*) AS weeks FROM j WHERE k <= 4 GROUP BY ALL""")
 def asof_last_weeks(spark, sf):
     """Mean of the last four weeks that end by each month's end; a week joins the months whose end is within nine weeks of it."""
     week = F.date_add(F.date_trunc("week", "l_shipdate").cast("date"), 6)
@@ -584,15 +468,21 @@ def asof_last_weeks(spark, sf):
     near = weeks.withColumn("month", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.add_months(F.trunc("week", "MM"), i))))
     near = near.where((F.col("week") <= F.last_day("month")) & (F.col("week") > F.date_sub(F.last_day("month"), 63))).join(months, "month", "left_semi")
     last = near.withColumn("_k", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("week")))).where("_k <= 4")
-    return last.groupBy("month").agg(F.when(F.count("*") >= 2, F.round(F.avg("v"), 2)).alias("v"), F.count("*").alias("weeks"))
+    return last.groupBy("month").agg(F.when(F.count("*") >= 2, F.round(F.avg("v"), 4)).alias("v"), F.count("*").alias("weeks"))
+
+
+SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
+RATIO = "100 * (1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})))"
 
 
-@register("""WITH s AS (SELECT a.n_nationkey AS place_id, b.n_nationkey AS territory_id, 100 * (1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name))) AS score FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)
-SELECT place_id, territory_id, round(score, 6) AS score, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, territory_id) AS rank FROM s WHERE score >= 40 QUALIFY rank <= 3""")
+@register(f"""WITH n AS (SELECT n_nationkey AS id, n_regionkey AS region_code, lower(n_name) AS name FROM nation),
+s AS (SELECT a.id AS place_id, b.id AS territory_id, greatest({RATIO.format("a.name", "b.name")}, 0.95 * {RATIO.format(SORTED.format("a.name"), SORTED.format("b.name"))}) + b.id / 1e7 AS score,
+  greatest({RATIO.format("a.name", "b.name")}, 0.95 * {RATIO.format(SORTED.format("a.name"), SORTED.format("b.name"))}) AS plain FROM n a JOIN n b ON a.region_code = b.region_code AND 100 * least(length(a.name), length(b.name)) >= 40 * greatest(length(a.name), length(b.name)))
+SELECT place_id, territory_id, round(score, 6) AS score, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, territory_id) AS rank FROM s WHERE plain >= 40 QUALIFY rank <= 3""")
 def place_candidates(spark, sf):
     n = table(spark, sf, "nation").withColumn("name", F.lower("n_name"))
     places = n.select(F.col("n_nationkey").alias("place_id"), F.col("n_regionkey").alias("region_code"), "name")
-    gazetteer = n.select(F.col("n_nationkey").alias("territory_id"), F.col("n_regionkey").alias("region_code"), F.col("name").alias("alias"), F.lit(1).alias("population"))
+    gazetteer = n.select(F.col("n_nationkey").alias("territory_id"), F.col("n_regionkey").alias("region_code"), F.col("name").alias("alias"), F.col("n_nationkey").alias("population"))
     return rounded(news.candidates(places, gazetteer, 3, 40), 6, "score").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -661,6 +551,11 @@ def weighted_growth(spark, sf):
     return v.select("category", "month", F.round(F.col("v") / lag - 1, 6).alias("growth"))
 
 
-# A part that starts with a comma continues the list of common table expressions.
-for _name, _sql in ORACLE_SQL.items():
-    ORACLE_SQL[_name] = _sql.replace(")\n\n,", "),").replace(")\n,", "),")
+@register("""WITH r AS (SELECT n_chars AS s, count(*) AS n, sum(quality) AS p FROM labels JOIN documents ON labels.doc_id = documents.doc_id GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER w AS un, sum(p) OVER w AS up, sum(n) OVER () AS tn, sum(p) OVER () AS tp FROM r WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT max(un) AS hn, max(up) AS hp FROM u WHERE s >= (SELECT quantile_cont(n_chars, 0.95) FROM labels JOIN documents ON labels.doc_id = documents.doc_id))
+SELECT round(sum(p * up / un) / max(tp), 6) AS average_precision, round(max(hp / hn), 6) AS precision_top, round(max(hp / tp), 6) AS recall_top, round(max(hp / hn) / max(tp / tn), 6) AS lift_top FROM u CROSS JOIN h""")
+def precision_at_top(spark, sf):
+    """Average precision, and precision, recall and lift in the highest 5 %."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rounded(evaluate.precision_curve(rows, "n_chars", "quality"), 6, "average_precision", "precision_top", "recall_top", "lift_top")

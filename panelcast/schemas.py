@@ -5,4 +5,5 @@ PERIODIC = "period string, name string, value double"
 LABELS = "channel string, msg_id long, row int, place_ok string, type_ok string, comment string"
 EXPORT = "messages array<struct<id: long, type: string, date_unixtime: string, text_entities: array<struct<type: string, text: string>>>>"
 PLACES = "is_incident boolean, event_type string, severity int, in_russia boolean, places array<struct<settlement: string, district: string, city: string, region: string>>"
-FORECAST = "territory_id long, category string, origin date, h int, target date, y_true double, y_pred double, model string"
+POINTS = "territory_id long, lat double, lon double"
+WEATHER = "territory_id int, month date, t2m_c double, t2m_c_anom double, precip_mm_day_anom double, snowfall_mm_day_anom double, wind_ms_anom double"

@@ -1,6 +1,7 @@
 """Guards of the panel engine on hand-made frames, and queries against their SQL."""
 
 import datetime as dt
+import itertools
 import math
 
 import duckdb
@@ -8,28 +9,41 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from panelcast import config
 from panelcast.functions import text
-from panelcast.operators import detect, evaluate, kernels, news, panel
-from panelcast.plans import queries
-from panelcast.sources.tables import read_export
+from panelcast.operators import detect, evaluate, expanding, kernels, news, panel
+from panelcast.plans import catalog, fixtures
+from panelcast.sources.tables import read_export, read_labels
 from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(df):
     df = df[sorted(df.columns)]
-    value = lambda x: "" if pd.isna(x) else f"{float(x):.6g}" if isinstance(x, (int, float)) else str(x)[:19].replace(" 00:00:00", "")
+    value = lambda x: "" if pd.isna(x) else f"{float(x) + 0.0:.9g}" if isinstance(x, (int, float)) else str(x)[:19].replace(" 00:00:00", "")
     return sorted(tuple(map(value, r)) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["panel_monthly", "glue_weighted_mean", "interpolate_gaps", "snaive_growth_backtest", "stf_damped_forecast", "cusum_reset", "panel_detector", "incident_chains", "asof_last_weeks", "string_functions"])
+CHECKED = """panel_monthly glue_weighted_mean interpolate_gaps snaive_growth_backtest stf_damped_forecast stf_own_trend extended_context_forecast forecast_intervals national_summary cusum_reset panel_detector
+conformal_score panel_multivariate panel_regional shock_evaluation event_hit_rates registry_hits early_warning_table incident_chains asof_last_weeks anti_join_drop string_functions static_features points_in_polygons gazetteer_build
+source_chat_export source_labels sink_records resolved_places expanded_events exact_places incident_features news_accuracy precision_at_top quartile_lift""".split()
+
+
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    assert plain(queries.QUERIES[name](spark, SF).toPandas()) == plain(con.sql(queries.ORACLE_SQL[name]).df())
+    made = plain(catalog.QUERIES[name](spark, SF).toPandas())
+    assert made and made == plain(con.sql(catalog.ORACLE_SQL[name]).df())
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
 
 
 def months(n):
@@ -95,3 +109,90 @@ def test_wilson(spark):
 def test_export(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"messages": [{"id": 1, "type": "message", "date_unixtime": "1704067200", "text_entities": [{"type": "plain", "text": "a"}, {"type": "link", "text": "b"}]}, {"id": 2, "type": "service"}]}')
     assert [tuple(r)[:3] for r in read_export(spark, str(tmp_path), "c").collect()] == [("c", 1, "a")]
+
+
+def test_resolved_phrases(spark):
+    """The phrases of the news tests: number of the territory, or of the region alone, or neither."""
+    cases = {
+        "Администрация Орска набирает добровольцев для эвакуации": {(1673, 56)},
+        "В Туапсинском районе Краснодарского края четыре человека пропали": {(662, 23)},
+        "Режим ЧС введен в Оренбургской области": {(None, 56)},
+        "Пожар на рынке в Москве потушен": {(None, 77)},
+        "Пожар в турецком порту Искендерун продолжается": set(),
+        "В Донецке прозвучали взрывы": set(),
+        "В Донецке Ростовской области обесточены дома": {(1795, 61)},
+    }
+    m = spark.createDataFrame([("c", i, t) for i, t in enumerate(cases)], "channel string, msg_id long, text string")
+    found = news.resolve_places(news.name_tokens(m), fixtures.small_gazetteer(spark)).collect()
+    assert [{(r["territory_id"], r["region_code"]) for r in found if r["msg_id"] == i} for i in range(len(cases))] == list(cases.values())
+
+
+def test_change_point_probability_matches_all_segmentations():
+    """Every way to cut a short series, weighed by hazard and the segments' marginal likelihoods."""
+    z, hazard = np.array([0.3, -0.2, 0.1, 2.5, 2.2, -1.0]), 1 / 24
+
+    def evidence(x):
+        kappa, alpha = 1 + len(x), 1 + len(x) / 2
+        beta = 1 + ((x - x.mean()) ** 2).sum() / 2 + len(x) * x.mean() ** 2 / (2 * kappa)
+        return math.lgamma(alpha) - math.lgamma(1) - alpha * math.log(beta) - math.log(kappa) / 2 - len(x) / 2 * math.log(2 * math.pi)
+
+    got = kernels.bocpd(z, hazard)
+    for t in range(1, len(z)):
+        total = recent = 0.0
+        for cuts in itertools.product((0, 1), repeat=t + 1):  # a cut after value i; the last one is the run of length 0
+            ends = [i + 1 for i in range(t + 1) if cuts[i]]
+            parts = np.split(z[: t + 1], ends)
+            weight = hazard ** len(ends) * (1 - hazard) ** (t + 1 - len(ends)) * math.exp(sum(evidence(p) for p in parts if len(p)))
+            total += weight
+            recent += weight * (len(parts[-1]) <= 1)
+        assert got[t] == pytest.approx(recent / total)
+
+
+def test_optimal_cuts_match_every_choice():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x = np.r_[rng.normal(size=7), rng.normal(3, size=6), rng.normal(size=4)]
+        cost, n = kernels.costs(x), len(x)
+        for penalty in (0.5, 3.0, 12.0):
+            def loss(cuts):
+                ends = [0, *cuts, n]
+                return sum(cost[a, b] for a, b in itertools.pairwise(ends)) + penalty * len(cuts)
+
+            every = [c for k in range(4) for c in itertools.combinations((5, 10, 15), k) if all(b - a >= 2 for a, b in itertools.pairwise([0, *c, n]))]
+            assert loss(sorted(kernels.optimal_cuts(cost, n, penalty))) == pytest.approx(min(map(loss, every)))
+            assert set(kernels.binary_cuts(cost, n, penalty)) <= {5, 10, 15}
+
+
+def test_gamma_table():
+    nu = np.array([2.0, 5.0, 40.0])
+    want = [math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - math.log(v * math.pi) / 2 - (v + 1) / 2 * math.log1p(0.49 / v) for v in nu]
+    assert np.allclose(kernels.student_log_pdf(0.7, nu, np.zeros(3), np.ones(3)), want)
+
+
+def test_expanding_quantiles_and_ranks_match_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    rows = [(m, c, float(np.round(rng.normal(), 1))) for m in months(9) for c in "ab" for _ in range(40)]
+    df = spark.createDataFrame(rows, "month date, category string, x double")
+    at = pd.DataFrame(rows, columns=["month", "category", "x"])
+    for r in expanding.quantiles(df, 0.9, ["category"], False).collect():
+        assert r["quantile"] == pytest.approx(at[(at.month < r["month"]) & (at.category == r["category"])].x.quantile(0.9))
+    for r in expanding.ranks(df.select("month", "x")).collect():
+        past = at[at.month <= r["month"]].x
+        assert r["rank"] == pytest.approx((past <= r["x"]).mean())
+
+
+def test_bootstrap_holds_the_mean(spark):
+    rows = [(t, "a", dt.date(2000, 1, 1), 1, m, True, 10.0, 10.0 + e) for t in range(60) for m, e in (("x", 1 + t % 5), ("y", 2 + t % 7))]
+    df = spark.createDataFrame(rows, "territory_id int, category string, origin date, h int, model string, complete boolean, y_true double, y_pred double")
+    r = evaluate.cluster_bootstrap(df, "x", "y").first()
+    mean = np.mean([(1 + t % 5) - (2 + t % 7) for t in range(60)])
+    spread = 1.96 * np.std([(1 + t % 5) - (2 + t % 7) for t in range(60)]) / 60**0.5
+    assert r["ci_low"] == pytest.approx(mean - spread, abs=0.25) and r["ci_high"] == pytest.approx(mean + spread, abs=0.25)
+
+
+def test_settings_and_label_files(spark, tmp_path):
+    assert config.load("stf")["k_level"] == 2 and len(config.load("ensemble")["damp"]) == 3
+    (tmp_path / "more.toml").write_text("[stf]\nk_level = 4\n")
+    assert config.load("stf", tmp_path / "more.toml") == config.load("stf") | {"k_level": 4}
+    (tmp_path / "l.csv").write_bytes("\ufeffchannel;msg_id;row;place_ok;type_ok;comment\nc;1;0;1;;x\n".encode())
+    assert [tuple(r) for r in read_labels(spark, str(tmp_path / "l.csv")).collect()] == [("c", 1, 0, "1", None, "x")]

@@ -1,4 +1,6 @@
-from panelcast.streaming.monitor import online_cusum
+import datetime as dt
+
+from panelcast.streaming.monitor import online_cusum, windowed_counts
 
 
 def test_online_cusum_keeps_state_over_batches(spark, tmp_path):
@@ -11,3 +13,15 @@ def test_online_cusum_keeps_state_over_batches(spark, tmp_path):
         q.awaitTermination()
     got = {r["at"]: r["score"] for r in spark.read.parquet(str(tmp_path / "res")).collect()}
     assert got == {1: 2.5, 2: 4.5, 3: 0.5}
+
+
+def test_windowed_counts_drop_late_messages(spark, tmp_path):
+    src = str(tmp_path / "in")
+    day = lambda n: dt.datetime(2024, 1, n, 12)
+    batches = ([(day(1), 1, 2, "a"), (day(1), 1, 1, "b")], [(day(9), 1, 1, "a")], [(day(2), 1, 5, "a"), (day(20), 1, 1, "a")])
+    for rows in batches:
+        spark.createDataFrame(rows, "published timestamp, territory_id int, severity int, channel string").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("published timestamp, territory_id int, severity int, channel string").parquet(src)
+        windowed_counts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["window"]["start"].day: (r["n"], r["severity"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (2, 3), 9: (1, 1)}
