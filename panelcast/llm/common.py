@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.sources.sinks import shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +19,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word of UTF-8 text."""
+    x = np.frombuffer(data, np.uint8)
+    blank = np.concatenate([[True], (x == 32) | ((x >= 9) & (x <= 13)), [True]])
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    return turns[::2], turns[1::2]
+
+
+def carried(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text, more, and the other columns of docs as the struct _row, so that no name of docs meets one of ours."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *more, F.struct(*others, F.lit(0).alias("_none")).alias("_row"))
+
+
+def unfolded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of docs again, from what carried gave; n_chars is the text's length."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return df.select(*[own[c].alias(c) if c in own else F.col("_row")[c].alias(c) for c in columns])
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -35,19 +58,16 @@ def text_batches(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not root:
-        known = context._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="panelcast-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(root)
-    return root
+    """The folder that driver and executors share; see sinks.shared_folder."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without lineage, in reliable storage that Spark frees with the frame."""
+    """The same rows without lineage, in the shared folder.
+
+    Spark deletes them with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set, else they stay
+    until the folder is cleared.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -90,8 +110,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Columns a, b -> node, component, its smallest node. Self-loops are ignored.
 
     Alternates large-star and small-star steps on an edge table until it is a set of stars; each
-    round joins every node with one minimum, so no neighbourhood is gathered anywhere. Rounds never
-    add edges, so the first count says how many tasks they need.
+    round joins every node with one minimum, and the edges of a node that has many are spread over tasks, so no
+    neighbourhood is gathered anywhere. Rounds never add edges, so the first count says how many tasks they need.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -104,10 +124,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if i % 4 == 3:
             tidy(edges.sparkSession)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = attach(both, low, "u", 2 * before[0], F.xxhash64("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attach(large, low, "u", 2 * before[0], F.xxhash64("v")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.where("u <> v").coalesce(tasks).distinct())
         after = state(e)
         if after == before:
@@ -166,7 +186,7 @@ def attach(rows: DataFrame, table: DataFrame, key: str, rows_in_all: int, salt:
     rest meets in a shuffle, where rows of broadcast keys are spread over salt instead of their key.
     """
     names = [c for c in table.columns if c not in (key, "n")]
-    least = max(1000, rows_in_all // HOT_SHARE)
+    least = max(100, rows_in_all // HOT_SHARE)
     hot = table.where(F.col("n") >= least).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names])
     cold = table.where(F.col("n") < least).select(F.lit(False).alias("_hot"), F.col(key).alias("_salted"), *[F.col(c).alias(f"_cold_{c}") for c in names])
     out = rows.join(F.broadcast(hot), rows[key] == F.col("_key"), "left").drop("_key")
@@ -174,3 +194,11 @@ def attach(rows: DataFrame, table: DataFrame, key: str, rows_in_all: int, salt:
     out = out.withColumn("_salted", F.when(F.col("_hot"), salt.cast(dict(table.dtypes)[key])).otherwise(F.col(key)))
     out = out.join(cold, ["_hot", "_salted"], "left")
     return out.select(*[rows[c] for c in rows.columns], *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names])
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, salt: Column) -> DataFrame:
+    """Inner join of rows with table, unique by key, where frequent keys don't gather their rows in a task."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    known = cut(table.join(counts, key).withColumn("_met", F.lit(True)))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return attach(rows, known, key, total, salt).where("_met").drop("_met")

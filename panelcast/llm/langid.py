@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import text_batches
+from panelcast.llm.common import carried, text_batches
 
 SYMBOLS, DIMENSIONS = 48, 1024
 #: Prototypes are kept on the driver, one for each language; more languages than this are refused.
@@ -134,7 +134,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """docs less those whose language can't be told: no letters, or a cosine below least, near that of random text."""
+    """docs less those whose language can't be told: no letters, or a cosine below least, near that of random text.
+
+    Null texts have no letters. Repeated rows stay or go together; columns of any name are kept; an empty table
+    gives no rows, and one without labels too, as nothing is learned.
+    """
     prototypes = learn(docs.where(~held_out()))
-    found = docs.withColumn("_found", predict(prototypes))
-    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).select(*docs.columns)
+    found = carried(docs, predict(prototypes).alias("found"))
+    kept = found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least))
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import connected_components, cut, fetch, tidy
+from panelcast.llm.common import attach, connected_components, cut, fetch, spread_join, tidy
 
 #: A table of buckets up to this many rows of two longs is broadcast, a larger one shuffled.
 LARGE_BUCKETS = 400_000
@@ -95,8 +95,8 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     shares most buckets with others: the text that copies were made from is nearest to all of them, so
     most of a large group is then in one component. A pair within a component can't change the
     components, so only pivots that met several components follow, with all that they met. Those of the
-    same component are one family; a family's pairs across components are compared, in a join up to FEW
-    nodes, else in blocks. No candidate is capped.
+    same component are one family; all of a family's pairs across components are compared, in a join up to FEW
+    nodes, else in blocks, by the exact similarity alone. No candidate is capped.
     """
     spark = keyed.sparkSession
     inner = inner if inner is not None else spark.createDataFrame([], "node long, member long")
@@ -106,7 +106,7 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "size"))
     own = members.groupBy("node").agg(F.sum("size").alias("weight"), F.collect_list("bucket").alias("buckets"))  # a bucket for each table at most
     pivots = cut(own.select("node", "weight", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
-    mates = cut(members.join(pivots, "bucket").select("pivot", "node").distinct())
+    mates = cut(spread_join(members.select("bucket", "node"), pivots, "bucket", F.xxhash64("node")).select("pivot", "node").distinct())
     stars = mates.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     stars = stars.unionByName(inner.select(F.least("node", "member").alias("a"), F.greatest("node", "member").alias("b")))
     for a, b, sizes in (("x", "y", "size in (2, 3)"), ("x", "z", "size = 3"), ("z", "y", "size = 3")):
@@ -123,13 +123,14 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     spread = cut(held.groupBy("node").agg(F.min("part").alias("p"), F.max("part").alias("q")))
     split = mates.join(spread, "node").groupBy("pivot").agg(F.min("p").alias("p"), F.max("q").alias("q")).where("p < q").select("pivot")
     families = split.join(spread, split["pivot"] == spread["node"]).select("pivot", F.col("p").alias("family"))
-    rest = mates.join(cut(families), "pivot").select("family", "node")
+    rest = spread_join(mates, families, "pivot", F.xxhash64("node")).select("family", "node")
     rest = rest.unionByName(spread.where("p < q").select(F.col("p").alias("family"), "node")).distinct()
     rest = cut(rest.join(held, "node").select("family", F.col("member").alias("node"), "part").distinct())
-    rest = cut(rest.join(rest.groupBy("family").agg(F.count("*").alias("n")), "family"))
+    sizes = rest.groupBy("family").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
+    rest = cut(attach(rest, cut(sizes), "family", rest.count(), F.xxhash64("node")).withColumnRenamed("size", "n"))
     few = rest.where(F.col("n") <= FEW).select("family", "part", "node")
     across = few.withColumnsRenamed({"part": "p", "node": "x"}).join(few.withColumnsRenamed({"part": "q", "node": "y"}), "family").where("p < q")
-    fresh = cut(near(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")))
+    fresh = cut(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     many = rest.where(F.col("n") > FEW).select(F.col("family").alias("bucket"), "node", "n")
     asked = cut(fresh.select(F.col("a").alias("node")).union(fresh.select("b")).union(many.select("node")).distinct())
     texts = cut(texts_of(asked))

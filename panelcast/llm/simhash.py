@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import attach, connected_components, cut, fetch, text_batches
+from panelcast.llm.common import attach, carried, connected_components, cut, fetch, text_batches
 from panelcast.llm.links import verified_components
 from panelcast.llm.substring import _BASE, _mix, _sketches
 
@@ -185,15 +185,19 @@ def near_duplicates(docs: DataFrame, radius: int = 6, size: int = 5, least: floa
 
 
 def drop_near_duplicates(docs: DataFrame, **settings: object) -> DataFrame:
-    """docs less the rows that near_duplicates names; of repeated rows one stays."""
+    """docs less the rows that near_duplicates names; of repeated rows one stays.
+
+    A null text is an empty one, and all of these are one group. A null id is the smallest. Columns of any name are
+    kept as they are; an empty table gives no rows.
+    """
     doomed = near_duplicates(docs, **settings)
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = carried(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     out = fetch(keyed, doomed, ["doc_id", "text_hash"], how="left_anti")
     repeated = cut(keyed.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
     if repeated.limit(1).count():
         once = fetch(out, repeated, ["doc_id", "text_hash"], how="left_anti")
         out = once.unionByName(fetch(out, repeated, ["doc_id", "text_hash"], how="left_semi").dropDuplicates(["doc_id", "text_hash"]))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:

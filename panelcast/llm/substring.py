@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, attach, connected_components, cut, fetch, maybe_in, text_batches
+from panelcast.llm.common import Scratch, attach, carried, connected_components, cut, fetch, maybe_in, text_batches, unfolded
 from panelcast.llm.links import verified_components
 
 #: Words a paragraph needs to count as a passage; those of a line whose inner runs count too, and of a run over line ends.
@@ -202,9 +202,8 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
     twice = cut(windows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     again = attach(windows, twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
-    join = F.udf(merged, "array<struct<s:int,e:int>>")
     again = again.groupBy("doc_id", "text_hash", "kept_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    again = again.select("doc_id", "text_hash", "kept_id", F.explode(join("spans")).alias("span"))
+    again = again.select("doc_id", "text_hash", "kept_id", F.explode(joined("spans")).alias("span"))
     return again.select("doc_id", "text_hash", "span.s", "span.e", "kept_id").unionByName(copies)
 
 
@@ -230,6 +229,18 @@ def span_text(text: str, s: str, e: str):
     return run(F.col(text), F.col(s), F.col(e))
 
 
+def joined(spans: str):
+    """Column of an array of spans s, e: those that meet are one, in order."""
+    one = "struct<s:int,e:int>"
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(F.col(spans).cast(f"array<{one}>")), F.array().cast(f"array<{one}>"), step)
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted((int(x["s"]), int(x["e"])) for x in spans):
@@ -276,8 +287,8 @@ def substring_classes(docs: DataFrame) -> DataFrame:
         spans = repeated_spans(docs, scratch)
     edges = spans.where("doc_id <> kept_id").select(F.col("doc_id").alias("a"), F.col("kept_id").alias("b"))
     parts = connected_components(edges)
-    count = F.udf(lambda x: sum(e - s for s, e in merged(x)), "long")
-    removed = by_document(spans).select("doc_id", "text_hash", count("spans").alias("removed_words"))
+    words = F.aggregate(joined("spans"), F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    removed = by_document(spans).select("doc_id", "text_hash", words.alias("removed_words"))
     links = spans.where("doc_id <> kept_id").groupBy("doc_id", "text_hash").agg(F.count_distinct("kept_id").alias("n_links"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     out = rows.join(removed, ["doc_id", "text_hash"], "left").join(links, ["doc_id", "text_hash"], "left")
@@ -287,7 +298,11 @@ def substring_classes(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut from text; n_chars follows it. Rows left without a word go."""
+    """docs with repeated passages cut from text; n_chars follows it. Rows left without a word go, if words were cut.
+
+    Null and blank texts stay as they are. Repeated rows hold the same passages, so they are cut alike. A null id
+    keeps no run that others are cut for. Columns of any name are kept; an empty table gives no rows.
+    """
     with Scratch(docs.sparkSession) as scratch:
         spans = cut(by_document(repeated_spans(docs, scratch)))
 
@@ -295,7 +310,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def shorten(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([t if x is None else without(t, list(x)) for t, x in zip(texts, lists, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    keyed = carried(docs, F.xxhash64("text").alias("text_hash"))
     out = fetch(keyed, spans, ["doc_id", "text_hash"], how="left")
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(shorten("text", "spans"))).withColumn("n_chars", F.length("text").cast("long"))
-    return out.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(shorten("text", "spans")))
+    return unfolded(out.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
