@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import cut, text_batches, word_count
+from panelcast.llm.common import carried, cut, text_batches, unfolded, word_bounds, word_count
 
 #: Targets are kept on the driver, one row for each source; more sources than this are refused.
 MAX_SOURCES = 100_000
+#: Rows of a source that one window sums up, and how many of these groups the next.
+GROUP_ROWS, PART_GROUPS = 1000, 1000
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -54,19 +57,42 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def log_factorial_step(a: int, b: int) -> float:
+    """ln a! - ln b!, by Stirling's series where both are large, so that the digits of the difference stay."""
+    if min(a, b) < 10_000:
+        return lgamma(a + 1) - lgamma(b + 1)
+    return (a - b) * log(b) + (a + 0.5) * log1p((a - b) / b) - (a - b) + (1 / a - 1 / b) / 12
+
+
+def hypergeometric(good: int, bad: int, need: int, rng: np.random.Generator) -> int:
+    """How many of need slots are good, of good and bad ones in all; numpy's own ends at 1e9.
+
+    Rejection from a flat top with exponential tails around the mode, which lies over every log-concave
+    distribution, so one sampler serves all sizes.
+    """
+    low, high = max(0, need - bad), min(good, need)
+    if low == high:
+        return low
+    mode = min(max((need + 1) * (good + 1) // (good + bad + 2), low), high)
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    top = 0.9 * min(1.0, exp(min(0.0, choose(good, mode) + choose(bad, need - mode) - choose(good + bad, need))))
+    half = 1 + top / 2
+    while True:
+        u, w = rng.random(), 1 - rng.random()
+        y = rng.random() * half / top if u <= half / (1 + half) else (half + rng.exponential()) / top
+        k = mode + round(y) * (1 if rng.random() < 0.5 else -1)
+        if low <= k <= high:
+            ratio = -(log_factorial_step(k, mode) + log_factorial_step(good - k, good - mode) + log_factorial_step(need - k, need - mode) + log_factorial_step(bad - need + k, bad - need + mode))
+            if log(w) + min(0.0, half - top * y) <= ratio:
+                return k
+
+
 def split_counts(counts: np.ndarray, first: int, rng: np.random.Generator) -> np.ndarray:
     """How many of the first slots go to each source if counts in all do: a multinomial given its totals."""
     out, rest, need = np.zeros_like(counts), int(counts.sum()), first
     for i, n in enumerate(map(int, counts)):
         rest -= n
-        low, high = max(0, need - rest), min(n, need)
-        if max(n, rest) < 1_000_000_000:
-            drawn = int(rng.hypergeometric(n, rest, need)) if need else 0
-        else:
-            total = n + rest
-            mean = need * n / total
-            drawn = round(rng.normal(mean, max(0.0, mean * (rest / total) * ((total - need) / (total - 1))) ** 0.5))
-        out[i] = min(max(drawn, low), high)
+        out[i] = hypergeometric(n, rest, need, rng)
         need -= out[i]
     return out
 
@@ -119,12 +145,15 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     slots = np.array([round(targets[s] / sizes[s] * b) if b else 0 for s, b in zip(names, blocks, strict=True)], np.int64)
     known = spark.createDataFrame([(i, s, sizes[s], float(targets[s])) for i, s in enumerate(names)], "source_no int, source string, source_size long, target double")
 
-    groups = max(1, sum(int(r["rows"]) for r in totals) // 5000)
+    groups = max(1, sum(int(r["rows"]) for r in totals) // GROUP_ROWS)
     spread = F.xxhash64("doc_id", "text_hash")
     rows = sized.join(F.broadcast(known.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumns({"_spread": spread, "_group": F.pmod(spread, F.lit(groups))})
-    before = rows.groupBy("source_no", "_group").agg(F.sum("size").alias("words"))
-    before = before.select("source_no", "_group", (F.sum("words").over(Window.partitionBy("source_no").orderBy("_group")) - F.col("words")).alias("base"))
+    before = rows.groupBy("source_no", "_group").agg(F.sum("size").alias("words")).withColumn("_part", F.floor(F.col("_group") / PART_GROUPS))
+    parts = before.groupBy("source_no", "_part").agg(F.sum("words").alias("_all"))
+    parts = parts.select("source_no", "_part", (F.sum("_all").over(Window.partitionBy("source_no").orderBy("_part")) - F.col("_all")).alias("_base"))
+    within = F.sum("words").over(Window.partitionBy("source_no", "_part").orderBy("_group")) - F.col("words")
+    before = before.withColumn("_within", within).join(parts, ["source_no", "_part"]).select("source_no", "_group", (F.col("_base") + F.col("_within")).alias("base"))
     inside = F.sum("size").over(Window.partitionBy("source_no", "_group").orderBy("_spread", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rows = cut(rows.withColumn("_inside", inside).join(before, ["source_no", "_group"]).withColumn("start", F.col("base") + F.col("_inside")).drop("_spread", "_group", "_inside", "base"))
 
@@ -163,21 +192,35 @@ def mix_report(docs: DataFrame, **settings: object) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **settings: object) -> DataFrame:
-    """docs as mixed: a row for each document and pass that takes words of it, text being those words, n_chars their length."""
+    """docs as mixed: a row for each document and pass that takes words of it, text being those words, n_chars their length.
+
+    Words that follow each other keep what stands between them, line ends too; a line end joins the rest. A row is told
+    by doc_id and its text. Null and blank texts are never taken; repeated rows are taken one by one; columns of any
+    name are kept; an empty table gives no rows.
+    """
     mix = mix_sources(docs, **settings)
     spans = mix.placed.groupBy("doc_id", "text_hash", "start", "pass").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     @F.pandas_udf("string")
     def taken(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for text, spans in zip(texts, lists, strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
-            out.append(b" ".join(w for x in sorted(spans, key=lambda x: x["s"]) for w in words[x["s"] : x["e"]]).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        return pd.Series([pieces(text, spans) for text, spans in zip(texts, lists, strict=True)], dtype=object)
 
-    keyed = text_batches(docs).withColumn("text_hash", F.xxhash64("text"))
+    keyed = carried(text_batches(docs), F.xxhash64("text").alias("text_hash"))
     if mix.rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["doc_id", "text_hash"])  # each repeated row has spans of its own
     spans = spans.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     out = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_id"]) & (keyed["text_hash"] == spans["_hash"]))
-    return out.withColumn("text", taken("text", "spans")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return unfolded(out.withColumn("text", taken("text", "spans")), docs.columns)
+
+
+def pieces(text: str, spans: list) -> str:
+    """Words s to e of each span, in order; spans that meet are one stretch of the text."""
+    data = text.encode("utf-8", "surrogatepass")
+    begins, ends = word_bounds(data)
+    whole: list[list[int]] = []
+    for s, e in sorted((int(x["s"]), int(x["e"])) for x in spans):
+        if whole and whole[-1][1] == s:
+            whole[-1][1] = e
+        else:
+            whole.append([s, e])
+    return b"\n".join(data[begins[s] : ends[e - 1]] for s, e in whole).decode("utf-8", "replace")
