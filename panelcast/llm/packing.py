@@ -58,7 +58,10 @@ def pack(lengths: list[int], capacities: tuple = CAPACITIES, overhead: int = OVE
 
 
 def pack_documents(docs: DataFrame, capacities: tuple = CAPACITIES, overhead: int = OVERHEAD, shard_rows: int = 4000) -> DataFrame:
-    """doc_id, copy, piece, start, length, bin, capacity, used, offset: each row's words in sequences.
+    """doc_id, text_hash, copy, piece, start, length, bin, capacity, used, offset: each row's words in sequences.
+
+    A row is told by doc_id, the XXH64 of its text and, among equal rows, copy, so a piece is words start to
+    start + length of just one row.
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest. Rows are
     dealt by hash into shards of about shard_rows pieces, each packed by itself; bin is unique over all
@@ -66,31 +69,36 @@ def pack_documents(docs: DataFrame, capacities: tuple = CAPACITIES, overhead: in
     length 0, with null bin, capacity and used. Other columns are ignored; an empty table gives no rows.
     """
     largest = max(capacities)
-    rows = docs.groupBy("doc_id", word_count(F.col("text")).alias("words")).agg(F.count("*").alias("copies"))
-    rows = rows.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    rows = docs.groupBy("doc_id", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("words")).agg(F.count("*").alias("copies"))
+    rows = rows.select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / largest) - 1, F.lit(0)).cast("long"))
-    pieces = rows.select("doc_id", "copy", "words", F.explode(cuts).alias("piece"))
-    pieces = cut(pieces.select("doc_id", "copy", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("words") - F.col("piece") * largest).alias("length")))
+    pieces = rows.select("doc_id", "text_hash", "copy", "words", F.explode(cuts).alias("piece"))
+    pieces = cut(pieces.select("doc_id", "text_hash", "copy", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest), F.col("words") - F.col("piece") * largest).alias("length")))
     full = pieces.where("length > 0")
     shards = max(1, full.count() // shard_rows)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "copy", "piece"], na_position="first", ignore_index=True)
+        part = part.sort_values(["doc_id", "text_hash", "copy", "piece"], na_position="first", ignore_index=True)
         found = pack(part["length"].tolist(), capacities, overhead)
         for i, name in enumerate(("bin", "capacity", "used", "offset")):
             part[name] = [x[i] for x in found]
         part["bin"] += int(key[0]) * (1 << 24)
-        return part[["doc_id", "copy", "piece", "start", "length", "bin", "capacity", "used", "offset"]]
+        return part[["doc_id", "text_hash", "copy", "piece", "start", "length", "bin", "capacity", "used", "offset"]]
 
-    schema = f"doc_id {dict(pieces.dtypes)['doc_id']}, copy long, piece long, start long, length long, bin long, capacity long, used long, offset long"
-    dealt = full.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece", "length"), F.lit(shards)))
+    schema = f"doc_id {dict(pieces.dtypes)['doc_id']}, text_hash long, copy long, piece long, start long, length long, bin long, capacity long, used long, offset long"
+    dealt = full.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "copy", "piece"), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(run, schema)
-    blank = pieces.where("length = 0").select("doc_id", "copy", "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in ("bin", "capacity", "used")], F.lit(0).cast("long").alias("offset"))
+    blank = pieces.where("length = 0").select("doc_id", "text_hash", "copy", "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in ("bin", "capacity", "used")], F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(blank)
 
 
 def sequences(docs: DataFrame, **settings: object) -> DataFrame:
-    """bin, capacity, used, doc_ids, lengths: a row for each sequence, its pieces in order."""
+    """bin, capacity, used, doc_ids, text_hashes, copies, starts, lengths: a row for each sequence, its pieces in order.
+
+    doc_id, text_hash and copy tell the row of docs that a piece is from. Null and blank texts are in no sequence;
+    repeated rows are packed one by one; other columns are ignored; an empty table gives no rows.
+    """
     pieces = pack_documents(docs, **settings).where("bin is not null")
-    rows = pieces.groupBy("bin", "capacity", "used").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length"))).alias("parts"))
-    return rows.select("bin", "capacity", "used", F.col("parts.doc_id").alias("doc_ids"), F.col("parts.start").alias("starts"), F.col("parts.length").alias("lengths"))
+    rows = pieces.groupBy("bin", "capacity", "used").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "text_hash", "copy", "start", "length"))).alias("parts"))
+    names = {"doc_id": "doc_ids", "text_hash": "text_hashes", "copy": "copies", "start": "starts", "length": "lengths"}
+    return rows.select("bin", "capacity", "used", *[F.col(f"parts.{a}").alias(b) for a, b in names.items()])
