@@ -17,15 +17,21 @@ PHRASES = {
 #: Templates with their labels and the phrase that must stand where the template has it.
 TEMPLATES = (
     ("gpl", "licensed under the gnu general public license version 3", "gnu general public license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
     ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("cc-by", "licensed under cc by 4 0", "cc by"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("reserved", "all rights reserved", "rights reserved"),
 )
-#: Words of templates too common to look a template up by.
-FUNCTION_WORDS = frozenset("all and are by in or the under use with without 0 2 3 4".split())
 #: A lower-cased word is a run of digits, a-z and what isn't ASCII; A-Z count as they are lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,9 +51,16 @@ def _one_of(word: Column, known: list[str]) -> Column:
     return F.lower(word).isin(known) & _plain(word).isin(known)
 
 
-def rare_words(templates: tuple = TEMPLATES, phrases: dict = PHRASES) -> list[str]:
-    """The words by which templates and phrases are looked up."""
-    return sorted({w for _, t, _ in templates for w in t.split() if w not in FUNCTION_WORDS} | {w for p in phrases for w in p.split() if w not in FUNCTION_WORDS})
+def vocabulary(templates: tuple = TEMPLATES, phrases: dict = PHRASES) -> list[str]:
+    """All words of templates and phrases."""
+    return sorted({w for _, t, _ in templates for w in t.split()} | {w for p in phrases for w in p.split()})
+
+
+def anchors(phrase: str, idf: dict[str, float], most: int = 2) -> list[tuple[str, int]]:
+    """The words of highest IDF of a phrase and their places in it; a word is taken where it stands first."""
+    words = phrase.split()
+    ranked = sorted({w: words.index(w) for w in words}.items(), key=lambda x: (-idf[x[0]], x[0]))
+    return ranked[:most]
 
 
 def word_idf(docs: DataFrame, text: str, words: list[str]) -> dict[str, float]:
@@ -55,7 +68,7 @@ def word_idf(docs: DataFrame, text: str, words: list[str]) -> dict[str, float]:
     found = F.array_distinct(F.transform(F.filter("words", lambda w: _one_of(w, words)), _plain))
     seen = docs.select(words_column(text).alias("words")).select(F.explode(F.concat(found, F.array(F.lit("")))).alias("w")).groupBy("w").count()
     counts = {r["w"]: r["count"] for r in seen.collect()}  # at most one row for each given word, and one for all
-    n = counts.get("", 0)
+    n = max(counts.get("", 0), 1)
     return {w: log(1 + n / max(counts.get(w, 0), 1)) for w in words}
 
 
@@ -68,43 +81,47 @@ def _is_at(start: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict = PHRASES, least: float = 0.6, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, places, base, matches for each row of docs.
 
-    places has the start of every base phrase, base the labels of those found, with repeats. matches has
-    label, at and score of every template placed in the text: the word of the highest IDF in a template's
-    key phrase gives, wherever it stands in the file, where the template would start; there each template
-    word that stands in its place adds its IDF, and a placing holds if these are the share least of the
-    template's and its key phrase stands in its place, so none that holds is missed. Null texts are empty;
-    repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
+    places has the start of every base phrase, base the labels of those found, with repeats. matches has label, at and
+    score of every template placed in the text. The file's occurrences of the two words of highest IDF in a key
+    phrase are its postings; each gives a start by its relative position, and only starts that both give are
+    kept. There the key phrase must stand, and a placing holds if the template words in their places have the
+    share least of the template's IDF. A key phrase has both words in their places, so none that holds is missed.
+    Null texts are empty; repeated rows give repeated rows; other columns are ignored; an empty table gives no rows.
     """
-    rare = rare_words(templates, phrases)
-    idf = word_idf(docs, text, rare)
+    idf = word_idf(docs, text, vocabulary(templates, phrases))
+    rare = sorted({w for p in (*phrases, *[key for _, _, key in templates]) for w, _ in anchors(p, idf)})
     rows = docs.select(F.col(doc_id).alias("doc_id"), words_column(text).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), _plain(w).alias("word"))), lambda h: h["word"].isin(rare))
     none = F.array().cast("array<struct<at:int,word:string>>")
     rows = rows.withColumn("hits", F.when(F.exists("words", lambda w: _one_of(w, rare)), hits).otherwise(none))
 
+    def shifted(word: str, k: int) -> Column:
+        return F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - k)
+
     def starts(phrase: str) -> Column:
-        key = max((w for w in phrase.split() if w in idf), key=lambda w: (idf[w], w))
-        k = phrase.split().index(key)
-        return F.transform(F.filter("hits", lambda h: (h["word"] == key) & _is_at(h["at"] - k, phrase)), lambda h: h["at"] - k)
+        """Places where all of a phrase's words stand."""
+        found = [shifted(w, k) for w, k in anchors(phrase, idf)]
+        common = found[0]
+        for other in found[1:]:
+            common = F.array_intersect(common, other)
+        return F.filter(common, lambda at: _is_at(at, phrase))
 
     def placings(label: str, template: str, key: str) -> Column:
         words = template.split()
-        share = {i: idf.get(w, 0.1) for i, w in enumerate(words)}
-        total = sum(share.values())
-        at_key = next(i for i in range(len(words)) if words[i : i + len(key.split())] == key.split())
-        rarest = max((w for w in key.split() if w in idf), key=lambda w: (idf[w], w))
-        ahead = at_key + key.split().index(rarest)
-        offsets = F.transform(F.filter("hits", lambda h: h["word"] == rarest), lambda h: h["at"] - ahead)
-        score = lambda o: sum((F.when(_plain(F.get("words", o + i)) == w, share[i] / total).otherwise(0.0) for i, w in enumerate(words)), F.lit(0.0))
-        scored = F.transform(F.filter(offsets, lambda o: _is_at(o + at_key, key)), lambda o: F.struct(F.lit(label).alias("label"), o.alias("at"), F.least(F.round(score(o), 9), F.lit(1.0)).alias("score")))
+        total = sum(idf[w] for w in words)
+        ahead = next(i for i in range(len(words)) if words[i : i + len(key.split())] == key.split())
+        score = lambda o: sum((F.when((o + i >= 0) & (_plain(F.get("words", o + i)) == w), idf[w] / total).otherwise(0.0) for i, w in enumerate(words)), F.lit(0.0))
+        scored = F.transform(F.col(keys[key]), lambda at: F.struct(F.lit(label).alias("label"), (at - ahead).alias("at"), F.least(F.round(score(at - ahead), 9), F.lit(1.0)).alias("score")))
         return F.filter(scored, lambda m: m["score"] >= least)
 
+    wanted = list(dict.fromkeys([*phrases, *[key for _, _, key in templates]]))
+    keys = {p: f"at{i}" for i, p in enumerate(wanted)}
     empty = F.array().cast("array<struct<label:string,at:int,score:double>>")
     any_hit = F.size("hits") > 0
-    no_places = F.array().cast("array<int>")
-    found = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[F.when(any_hit, starts(p)).otherwise(no_places).alias(f"p{i}") for i, p in enumerate(phrases)], F.when(any_hit, F.concat(*[placings(*t) for t in templates])).otherwise(empty).alias("matches"))
-    labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]))
-    return found.select("doc_id", "n_words", F.concat(*[F.col(f"p{i}") for i in range(len(phrases))]).alias("places"), labels.alias("base"), "matches")
+    rows = rows.select("doc_id", "words", *[F.when(any_hit, starts(p)).otherwise(F.array().cast("array<int>")).alias(c) for p, c in keys.items()])
+    some = F.size(F.concat(*[F.col(keys[key]) for key in dict.fromkeys(k for _, _, k in templates)])) > 0
+    labels = F.array_compact(F.array(*[F.when(F.size(keys[p]) > 0, F.lit(x)) for p, x in phrases.items()]))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(*[F.col(keys[p]) for p in phrases]).alias("places"), labels.alias("base"), F.when(some, F.concat(*[placings(*t) for t in templates])).otherwise(empty).alias("matches"))
 
 
 def license_report(docs: DataFrame, **settings: object) -> DataFrame:
