@@ -14,7 +14,10 @@ from panelcast.llm.common import Scratch, cut
 
 #: The index is fitted on at most so many vectors, those with the least hashed ids; every row is indexed.
 SAMPLE = 8192
-MAX_LISTS = 1024
+#: Coarse centroids fitted at once; an index of more lists has a second level, centroids of what is left of them.
+FIRST_LEVEL = 1024
+#: Dimensions of vectors, each searched by itself, that a table may have; more are refused.
+MAX_DIMENSIONS = 64
 #: Rows of an inverted list, and queries that visit it, which one task compares.
 LIST_BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -54,9 +57,16 @@ class Index:
 
     @staticmethod
     def fit(sample: np.ndarray, lists: int, parts: int, recall: float, top: int, seed: int = 3) -> Index:
-        """probes is the least number of nearest lists that holds the share recall of the sample's own neighbours."""
+        """probes is the least number of nearest lists that holds the share recall of the sample's own neighbours.
+
+        Up to FIRST_LEVEL lists have a centroid each; more are the sums of coarse centroids and of centroids of the
+        sample's residuals, so that lists follow the table while the sample stays as it is.
+        """
         rng = np.random.default_rng(seed)
-        centres = k_means(sample, lists, rng)
+        centres = k_means(sample, min(lists, FIRST_LEVEL), rng)
+        if lists > len(centres):
+            second = k_means(sample - centres[assign(sample, centres)], -(-lists // len(centres)), rng)
+            centres = (centres[:, None] + second[None]).reshape(-1, sample.shape[1])
         own = assign(sample, centres)
         rest = (sample - centres[own]).reshape(len(sample), parts, -1)
         codebooks = np.stack([k_means(rest[:, p], 256, rng) for p in range(parts)])
@@ -85,20 +95,29 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, parts: int = 16, r
     A query visits the lists nearest to it. In each block of a list, distances from tables of the query
     against the codebooks choose keep rows, and all that tie with the last of them; the exact cosine in
     double precision ranks those, ties by smaller vec_id. Rows of the query's own vec_id are no
-    candidates. Vectors that are null, zero or hold null or non-finite components, those of another
-    dimension than most, and null ids take no part. Repeated queries are answered once; repeated rows
-    are candidates each. Other columns are ignored; an empty table gives no rows.
+    candidates. Vectors that are null, zero or hold null or non-finite components, and null ids take no
+    part. A cosine needs equal dimensions, so vectors of each dimension are indexed and searched by themselves.
+    Repeated queries are answered once, by the least of their vectors; repeated rows are candidates each. Other
+    columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").where(usable(F.col("embedding")))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    rows, n = rows.where(F.size("embedding") == sizes["d"]), sizes["n"]
+    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(MAX_DIMENSIONS + 1).collect()
+    if len(sizes) > MAX_DIMENSIONS:
+        raise ValueError(f"more than {MAX_DIMENSIONS} dimensions")
+    found = [search_dimension(rows.where(F.size("embedding") == r["d"]), r["n"], r["d"], every, top, parts, recall, keep) for r in sizes]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for part in found:
+        out = out.unionByName(part)
+    return out
+
+
+def search_dimension(rows: DataFrame, n: int, dimension: int, every: int, top: int, parts: int, recall: float, keep: int) -> DataFrame:
+    """search for n vectors of one dimension, all usable."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    parts = next(p for p in range(min(parts, sizes["d"]), 0, -1) if sizes["d"] % p == 0)
-    index = Index.fit(unit(sample["embedding"]), int(min(MAX_LISTS, max(1, n**0.5 / 4))), parts, recall, top)
+    parts = next(p for p in range(min(parts, dimension), 0, -1) if dimension % p == 0)
+    index = Index.fit(unit(sample["embedding"]), int(max(1, n**0.5 / 4)), parts, recall, top)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -117,11 +136,11 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, parts: int = 16, r
     kind = dict(rows.dtypes)["embedding"]
     with Scratch(spark) as scratch:
         indexed = scratch.table(rows.mapInPandas(place, f"vec_id long, embedding {kind}, list int, codes binary"), "index")
-        queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+        queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         visits = scratch.table(queries.mapInPandas(visit, f"query_id long, embedding {kind}, list int"), "visits")
-        count = lambda df: df.groupBy("list").agg(F.count("*").alias("n"))  # noqa: E731  at most MAX_LISTS rows
+        count = lambda df: df.groupBy("list").agg(F.count("*").alias("n"))  # noqa: E731  a row for each list
         shape = count(indexed).withColumnRenamed("n", "rows").join(count(visits), "list")
-        shape = F.broadcast(cut(shape.select("list", F.ceil(F.col("rows") / LIST_BLOCK).alias("x"), F.ceil(F.col("n") / QUERY_BLOCK).alias("y"))))
+        shape = cut(shape.select("list", F.ceil(F.col("rows") / LIST_BLOCK).alias("x"), F.ceil(F.col("n") / QUERY_BLOCK).alias("y")))
         left = indexed.join(shape, "list").withColumn("at", F.pmod(F.xxhash64("vec_id"), F.col("x"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("y") - 1)))
         right = visits.join(shape, "list").withColumn("to", F.pmod(F.xxhash64("query_id"), F.col("y"))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x") - 1)))
 
