@@ -22,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": _over("documents", packing.pack_documents),
     "op7_media_fingerprints": _over("documents", media.media_digest),
     "op8_nearest_neighbours": _over("embeddings", ann.search),
-    "op9_url_filters": _over("pages", lambda t: urlfilter.page_verdicts(t, urlfilter.default_entries(t.sparkSession))),
+    "op9_url_filters": _over("pages", lambda t: urlfilter.page_verdicts(t, urlfilter.entries_of(t))),
     "op10_license_scan": _over("documents", license.license_report),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import cut, fetch
+from panelcast.llm.common import attach, cut, fetch
 
 #: date, list, operation, host suffix. The tables hold no list, so the query brings this small one.
 LIST_ENTRIES = (
@@ -29,6 +29,20 @@ def default_entries(spark: SparkSession) -> DataFrame:
     return rows.withColumn("entry_date", F.to_date("entry_date"))
 
 
+def entries_of(pages: DataFrame) -> DataFrame:
+    """A dated list over the pages' own hosts, and the fixed entries: a quarter of the hosts is blocked for a time, some are allowed.
+
+    The tables hold no list. Digits of the MD5 of a host say whether and when it is added and removed.
+    """
+    hosts = pages.select(host_of("url").alias("suffix")).where("suffix is not null").distinct().withColumn("_d", F.md5("suffix"))
+    digits = lambda at, n: F.conv(F.substring("_d", at, n), 16, 10).cast("int")
+    first = F.date_add(F.to_date(F.lit("2024-01-01")), digits(2, 3) % 300)
+    entry = lambda when, name, kind, day: F.when(when, F.struct(day.alias("entry_date"), F.lit(name).alias("list"), F.lit(kind).alias("operation")))
+    blocked, ends, allowed = digits(1, 1) < 4, digits(5, 1) < 8, digits(6, 1) < 2
+    made = F.array_compact(F.array(entry(blocked, "block", "add", first), entry(blocked & ends, "block", "remove", F.date_add(first, 60)), entry(allowed, "allow", "add", first)))
+    return hosts.select("suffix", F.inline(made)).select("entry_date", "list", "operation", "suffix").unionByName(default_entries(pages.sparkSession))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """list, suffix, since, until: the days, since included and until not, on which an entry is active.
 
@@ -58,16 +72,20 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     of captures by the new names are replaced.
     """
     rows = captures.drop("host", "verdict", "suffix", "since", "active").withColumn("host", host_of("url"))
-    asked = rows.select("host", "fetch_date").where("host is not null and fetch_date is not null").distinct()
+    asked = rows.where("host is not null and fetch_date is not null").groupBy("host", "fetch_date").agg(F.count("*").alias("n"))
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     known = cut(validity(entries))
-    met = fetch(asked.select("host", "fetch_date", F.explode(ends).alias("suffix")), known, ["suffix"])
+    met = fetch(asked.select("host", "fetch_date", "n", F.explode(ends).alias("suffix")), known, ["suffix"])
     met = met.where((F.col("since") <= F.col("fetch_date")) & (F.col("until").isNull() | (F.col("fetch_date") < F.col("until"))))
     best = F.struct(F.length("suffix").alias("n"), (F.col("list") == "allow").alias("allows"), "list", "suffix", "since")
-    judged = met.groupBy("host", "fetch_date").agg(F.max(best).alias("best"), F.count("*").alias("active"))
-    judged = judged.select("host", "fetch_date", F.col("best.list").alias("verdict"), "best.suffix", "best.since", "active")
-    out = rows.join(judged, ["host", "fetch_date"], "left")
+    judged = met.groupBy("host", "fetch_date", "n").agg(F.max(best).alias("best"), F.count("*").alias("active"))
+    day = lambda: F.concat_ws("|", "host", F.col("fetch_date").cast("string"))
+    judged = cut(judged.select(day().alias("_day"), "n", F.col("best.list").alias("verdict"), "best.suffix", "best.since", "active"))
+    total = judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # what has no host or date meets nothing, and neither it nor a frequent host is gathered in a task
+    some = rows.withColumn("_day", F.when(F.col("host").isNotNull() & F.col("fetch_date").isNotNull(), day()).otherwise(F.concat(F.lit("|"), F.xxhash64(*captures.columns).cast("string"))))
+    out = attach(some, judged, "_day", total, F.xxhash64(*captures.columns)).drop("_day")
     return out.withColumns({"verdict": F.coalesce("verdict", F.lit("none")), "active": F.coalesce("active", F.lit(0)).cast("long")})
 
 
@@ -79,7 +97,10 @@ def page_verdicts(pages: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 PAGE_VERDICTS_SQL = f"""
-WITH entries(entry_date, list, operation, suffix) AS (VALUES {", ".join(f"(DATE '{a}', '{b}', '{c}', '{d}')" for a, b, c, d in LIST_ENTRIES)}),
+WITH fixed(entry_date, list, operation, suffix) AS (VALUES {", ".join(f"(DATE '{a}', '{b}', '{c}', '{d}')" for a, b, c, d in LIST_ENTRIES)}),
+hosts AS (SELECT DISTINCT nullif(regexp_replace(lower(regexp_extract(url, '^(?i)https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\\.+$', ''), '') AS suffix FROM pages),
+digits AS (SELECT suffix, CAST('0x' || substr(md5(suffix), 1, 1) AS INT) AS a, CAST('0x' || substr(md5(suffix), 5, 1) AS INT) AS b, CAST('0x' || substr(md5(suffix), 6, 1) AS INT) AS c, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(suffix), 2, 3) AS INT) % 300 AS INT) AS first FROM hosts WHERE suffix IS NOT NULL),
+entries AS (SELECT * FROM fixed UNION ALL SELECT first, 'block', 'add', suffix FROM digits WHERE a < 4 UNION ALL SELECT first + 60, 'block', 'remove', suffix FROM digits WHERE a < 4 AND b < 8 UNION ALL SELECT first, 'allow', 'add', suffix FROM digits WHERE c < 2),
 changes AS (SELECT list, suffix, entry_date, bool_or(operation = 'remove') AS gone FROM entries GROUP BY ALL),
 dated AS (SELECT *, lead(entry_date) OVER (PARTITION BY list, suffix ORDER BY entry_date) AS until FROM changes),
 active AS (SELECT list, suffix, entry_date AS since, until FROM dated WHERE NOT gone),
