@@ -57,7 +57,7 @@ def levels(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
     n, rounds = state.where("up is not null").count(), 0
     while n and rounds < min(max_rounds, n.bit_length() + 1):
         above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        moved = state.where("up is not null").join(above, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
+        moved = state.where("up is not null").join(above.hint("shuffle_hash"), "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
         state = cut(state.where("up is null").unionByName(moved))
         rounds += 1
         if not state.where("up is not null").limit(1).count():
@@ -81,8 +81,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     answers = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "content")).alias("r"), F.count("*").alias("n_results"))
     known = own.select(F.col("call_id").alias("parent"))
     asked = own.select(F.col("call_id").alias("node"), F.col("c.parent_id").alias("parent"))
-    parents = asked.where("parent is not null").join(known, "parent").select("node", "parent").unionByName(asked.join(known, "parent", "left_anti").select("node", F.lit(None).cast("string").alias("parent")))
-    both = own.join(answers, "call_id", "full").join(levels(parents).withColumnRenamed("node", "call_id"), "call_id", "left")
+    parents = asked.where("parent is not null").join(known.hint("shuffle_hash"), "parent").select("node", "parent").unionByName(asked.join(known.hint("shuffle_hash"), "parent", "left_anti").select("node", F.lit(None).cast("string").alias("parent")))
+    both = own.join(answers.hint("shuffle_hash"), "call_id", "full").join(levels(parents).withColumnRenamed("node", "call_id").hint("shuffle_hash"), "call_id", "left")
     c, r = F.col("c"), F.col("r")
     status = F.when(c.isNull(), "orphan").when(F.col("level").isNull(), "cycle").when(r.isNull(), "pending").when(r["turn"] < c["turn"], "early").otherwise("linked")
     parsed = F.to_json(F.try_parse_json(c["arguments"]))
