@@ -17,6 +17,8 @@ from panelcast.llm.common import carried, cut, text_batches, unfolded, word_boun
 MAX_SOURCES = 100_000
 #: Rows of a source that one window sums up, and how many of these groups the next.
 GROUP_ROWS, PART_GROUPS = 1000, 1000
+#: Blocks that a source is cut into at least, so that whole blocks come near its target.
+LEAST_BLOCKS = 200
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -126,7 +128,8 @@ class Mix:
 def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 128, shard_slots: int = 1024, seed: int = 7) -> Mix:
     """Draw each source's blocks of words until its target is met.
 
-    A source's documents, in hashed order, are one run of words cut into blocks. Each output shard draws
+    A source's documents, in hashed order, are one run of words cut into blocks of one length (block, or less for a
+    source of fewer than LEAST_BLOCKS of these). Each output shard draws
     how many slots go to each source; a source's n-th slot takes the block that a pseudorandom
     permutation puts n-th, a new permutation for every pass over the source. Blocks and slots meet in a
     join on source and block. No pass repeats a block, so no document is taken more often than cap
@@ -141,9 +144,10 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
     sizes = {r["source"]: int(r["words"]) for r in totals}
     targets = source_targets(sizes, weights, share, cap)
     names = list(targets)
-    blocks = np.array([-(-sizes[s] // block) for s in names], np.int64)
+    block_of = {s: max(1, min(block, sizes[s] // LEAST_BLOCKS)) for s in names}
+    blocks = np.array([-(-sizes[s] // block_of[s]) for s in names], np.int64)
     slots = np.array([round(targets[s] / sizes[s] * b) if b else 0 for s, b in zip(names, blocks, strict=True)], np.int64)
-    known = spark.createDataFrame([(i, s, sizes[s], float(targets[s])) for i, s in enumerate(names)], "source_no int, source string, source_size long, target double")
+    known = spark.createDataFrame([(i, s, sizes[s], float(targets[s]), block_of[s]) for i, s in enumerate(names)], "source_no int, source string, source_size long, target double, _block long")
 
     groups = max(1, sum(int(r["rows"]) for r in totals) // GROUP_ROWS)
     spread = F.xxhash64("doc_id", "text_hash")
@@ -176,8 +180,8 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5,
 
     parts = max(1, min(shards, -(-shards // 8)))
     drawn = spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, slot int, source_no int, pass int, block long")
-    pieces = rows.where("size > 0").select("source_no", "source", "doc_id", "text_hash", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    pieces = pieces.withColumns({"s": F.greatest(F.col("start"), F.col("block") * block) - F.col("start"), "e": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")}).drop("size")
+    pieces = rows.where("size > 0").select("source_no", "source", "doc_id", "text_hash", "start", "size", "_block", F.explode(F.expr("sequence(start div _block, (start + size - 1) div _block)")).alias("block"))
+    pieces = pieces.withColumns({"s": F.greatest(F.col("start"), F.col("block") * F.col("_block")) - F.col("start"), "e": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("_block")) - F.col("start")}).drop("size", "_block")
     # Spark estimates drawn by its shards, not by their slots, and would broadcast it whatever its size
     return Mix(rows, drawn.join(pieces.hint("merge"), ["source_no", "block"]))
 
