@@ -24,10 +24,47 @@ RISKY = ("донецк", "алтай", "мирный", "киров", "троиц
 FEDERAL = {"москва": 77, "санкт-петербург": 78, "петербург": 78, "спб": 78, "севастополь": 92}
 # Other names of regions.
 REGION_ALIASES = {
-    "Москва": ("столица",), "Санкт-Петербург": ("петербург", "питер", "спб"), "Московская область": ("подмосковье", "московский регион"),
-    "Ленинградская область": ("ленобласть",), "Кемеровская область": ("кузбасс",), "Республика Башкортостан": ("башкирия", "башкортостан"),
-    "Республика Татарстан": ("татарстан", "татария"), "Республика Крым": ("крым",), "Краснодарский край": ("кубань",), "Приморский край": ("приморье",),
-}
+    "Москва": ("москва", "столица"),
+    "Санкт-Петербург": ("петербург", "санкт-петербург", "питер", "спб"),
+    "Московская область": ("подмосковье", "московский регион"),
+    "Ленинградская область": ("ленобласть",),
+    "Кемеровская область": ("кузбасс", "кемеровская область - кузбасс", "кемеровская область — кузбасс"),
+    "Ханты-Мансийский автономный округ — Югра": ("югра", "хмао", "хмао-югра", "ханты-мансийский автономный округ", "ханты-мансийский автономный округ - югра"),
+    "Ямало-Ненецкий автономный округ": ("ямал", "янао", "ямало-ненецкий округ"),
+    "Ненецкий автономный округ": ("нао",),
+    "Республика Саха (Якутия)": ("якутия", "республика саха", "саха"),
+    "Республика Башкортостан": ("башкирия", "башкортостан"),
+    "Республика Татарстан": ("татарстан", "татария"),
+    "Чувашская Республика": ("чувашия",),
+    "Удмуртская Республика": ("удмуртия",),
+    "Республика Мордовия": ("мордовия",),
+    "Чеченская Республика": ("чечня",),
+    "Кабардино-Балкарская Республика": ("кабардино-балкария", "кбр"),
+    "Карачаево-Черкесская Республика": ("карачаево-черкесия", "кчр"),
+    "Республика Северная Осетия — Алания": ("северная осетия", "северная осетия-алания", "алания"),
+    "Республика Крым": ("крым",),
+    "Севастополь": ("севастополь",),
+    "Приморский край": ("приморье",),
+    "Ставропольский край": ("ставрополье",),
+    "Краснодарский край": ("кубань",),
+    "Забайкальский край": ("забайкалье",),
+    "Чукотский автономный округ": ("чукотка",),
+    "Камчатский край": ("камчатка",),
+    "Республика Хакасия": ("хакасия",),
+    "Республика Тыва": ("тыва", "тува"),
+    "Республика Бурятия": ("бурятия",),
+    "Республика Калмыкия": ("калмыкия",),
+    "Республика Карелия": ("карелия",),
+    "Республика Коми": ("коми",),
+    "Республика Адыгея": ("адыгея",),
+    "Республика Алтай": ("горный алтай",),
+    "Республика Ингушетия": ("ингушетия",),
+    "Республика Дагестан": ("дагестан",),
+    "Республика Марий Эл": ("марий эл",),
+    "Еврейская автономная область": ("еао",),
+    "Пермский край": ("прикамье",),
+    "Алтайский край": ("алтайский край",),
+}
 BIG_CITY, TIMES = 50_000, 10
 
 
@@ -143,15 +180,18 @@ def expand_events(messages: DataFrame, places: DataFrame) -> DataFrame:
 def candidates(places: DataFrame, gazetteer: DataFrame, k: int = 8, cutoff: float = 80) -> DataFrame:
     """The k most similar territories of each place within its region: place_id, territory_id, score, rank.
 
-    The score is the weighted similarity of names, and a ten-millionth of the population breaks near ties. Only names
-    whose lengths can reach the cutoff are compared.
+    The score is the weighted similarity of names, and a ten-millionth of the population breaks near ties. Each name of
+    a region is looked up once, whatever the number of places, among the aliases whose length can reach the cutoff.
     """
-    longest = F.greatest(F.length("name"), F.length("alias"))
-    close = 100 * F.least(F.length("name"), F.length("alias")) >= cutoff * longest
-    met = places.join(gazetteer, "region_code").where(close).withColumn("_s", weighted_similarity(F.col("name"), F.col("alias"))).where(F.col("_s") >= cutoff)
-    each = met.groupBy("place_id", "territory_id").agg(F.max(F.col("_s") + F.coalesce("population", F.lit(0)) / 1e7).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("place_id").orderBy(F.desc("score"), "territory_id"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("place_id", "territory_id", "score", "rank")
+    length = lambda c: F.explode(F.sequence(F.ceil(cutoff / 100 * F.length(c)).cast("int"), F.floor(F.length(c) * 100 / cutoff).cast("int")))
+    names = places.select("region_code", "name").distinct()
+    aliases = gazetteer.withColumn("_n", F.length("alias"))
+    met = names.where(F.length("name") > 0).withColumn("_n", length("name")).join(aliases, ["region_code", "_n"])
+    met = met.withColumn("_s", weighted_similarity(F.col("name"), F.col("alias"))).where(F.col("_s") >= cutoff)
+    each = met.groupBy("region_code", "name", "territory_id").agg(F.max(F.col("_s") + F.coalesce("population", F.lit(0)) / 1e7).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("region_code", "name").orderBy(F.desc("score"), "territory_id"))
+    best = each.withColumn("rank", rank).where(F.col("rank") <= k)
+    return places.join(best, ["region_code", "name"]).select("place_id", "territory_id", "score", "rank")
 
 
 def place_name(place: Column, *fields: str) -> Column:

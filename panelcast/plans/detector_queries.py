@@ -14,7 +14,7 @@ from panelcast.plans.queries import MULTI, PANEL_SCORE
 from panelcast.plans.registry import LAG_START, LARGE, SERIES, dense, register, residual, rounded, scored
 from panelcast.plans.sql import RESIDUALS, query
 from panelcast.sources.sinks import kept
-from panelcast.sources.tables import FIRST, LAST, table
+from panelcast.sources.tables import FIRST, LAST, spending, table
 
 SETTINGS = config.load("changepoint")
 SEED = SETTINGS["seed"]
@@ -162,8 +162,6 @@ SELECT p.territory_id, p.category, p.month, round(score * (1 + 0.3 * greatest(co
   SELECT territory_id, month, CASE WHEN count(*) OVER w >= 3 THEN ln(1 + n) - ln(1 + avg(n) OVER w) END AS surge FROM (SELECT territory_id, month, sum(n_orders) AS n FROM panel GROUP BY ALL) WINDOW w AS (PARTITION BY territory_id ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) s
 ON s.territory_id = p.territory_id AND s.month = p.month""", RESIDUALS, PANEL_SCORE))
 def surge_adjusted_scores(spark, sf):
-    from panelcast.sources.tables import spending
-
     n = spending(spark, sf).groupBy("territory_id", "month").agg(F.sum("n_orders").alias("n"))
     n = n.select("territory_id", "month", panel.surge("n", ("territory_id",)).alias("surge"))
     p = detect.panel_score(residual(spark, sf)).join(n, ["territory_id", "month"], "left")

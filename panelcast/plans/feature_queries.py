@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import text as texts
 from panelcast.operators import news, spatial, territory
 from panelcast.plans import fixtures as fx
 from panelcast.plans.registry import SERIES, dense, records, register, residual, rounded
-from panelcast.plans.sql import PANEL, RECORDS, RESIDUALS, query
+from panelcast.plans.sql import RECORDS, RESIDUALS, query
 from panelcast.sources import sinks, tables
 from panelcast.sources.tables import spending, table
 
@@ -209,8 +209,6 @@ CPI_GROUPS = {"BUILDING": "cpi_building", "MACHINERY": "cpi_machinery"}
 
 def cpi(spark, sf) -> DataFrame:
     """Monthly index of a region's spending by category; one region has none."""
-    from pyspark.sql import Window
-
     rows = dense(spark, sf).where("region_code <> 4").groupBy("region_code", "category", "month").agg(F.round(F.sum("y"), 2).alias("y"))
     lag = F.lag("y").over(Window.partitionBy("region_code", "category").orderBy("month"))
     return rows.select("region_code", "month", F.col("category").alias("group"), F.round(100 * F.col("y") / F.when(lag > 0, lag), 6).alias("cpi_mom"))
@@ -295,13 +293,11 @@ def pivot_mean(spark, sf):
 @register(query("SELECT territory_id, category, month, y, row_number() OVER (ORDER BY territory_id, category, month) AS place FROM panel WHERE territory_id < 3 QUALIFY place <= 50"))
 def first_rows(spark, sf):
     """The first rows of the sorted panel, numbered."""
-    from pyspark.sql import Window
-
     head = spending(spark, sf).where("territory_id < 3").orderBy("territory_id", "category", "month").limit(50)
     return head.select(*SERIES, "month", "y", F.row_number().over(Window.orderBy("territory_id", "category", "month")).alias("place"))
 
 
-@register("SELECT o_custkey, list_sort(list_distinct(list_concat(list(o_orderstatus), list(left(o_orderpriority, 1))))) AS tags FROM orders GROUP BY ALL".replace("AS tags", "AS l").replace("SELECT o_custkey, list_sort", "SELECT o_custkey, array_to_string(list_sort").replace("))) AS l", "))), ',') AS tags"))
+@register("SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list(o_orderstatus), list(left(o_orderpriority, 1))))), ',') AS tags FROM orders GROUP BY ALL")
 def united_tags(spark, sf):
     """The union of two sets for each customer."""
     both = F.array_union(F.collect_set("o_orderstatus"), F.collect_set(F.substring("o_orderpriority", 1, 1)))
@@ -311,8 +307,6 @@ def united_tags(spark, sf):
 @register("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) = 1")
 def keep_first(spark, sf):
     """Of rows with an equal key the first in order."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber")
     return table(spark, sf, "lineitem").withColumn("_k", F.row_number().over(w)).where("_k = 1").select("l_orderkey", "l_linenumber", "l_partkey")
 

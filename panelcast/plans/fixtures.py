@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.text import LOCAL_EVENTS, NATIONAL_EVENTS
+from panelcast.functions.text import LOCAL_EVENTS, NATIONAL_EVENTS, stemmed
 from panelcast.sources.tables import table
 
 KINDS = ("городской округ", "муниципальный район", "муниципальный округ", "внутригородская территория")
@@ -106,7 +106,7 @@ news_calendar AS (SELECT CAST(unnest(generate_series(DATE '{FIRST_NEWS}', DATE '
 news_grid AS (SELECT n_nationkey AS territory_id, n_regionkey AS region_code, month FROM nation CROSS JOIN news_calendar)
 """
 
-# Hand-made phrases with places in several cases; the last two words of each list item are its truth in the tests.
+# Hand-made phrases with places in several cases.
 PHRASES = (
     "Администрация Орска набирает добровольцев для эвакуации",
     "В Туапсинском районе Краснодарского края четыре человека пропали",
@@ -147,8 +147,6 @@ PLACES = (
 
 
 def small_gazetteer(spark: SparkSession) -> DataFrame:
-    from panelcast.functions.text import stemmed
-
     rows = spark.createDataFrame([(*p[:4], None, p[4]) for p in PLACES], "alias string, level string, territory_id long, region_code int, region_name string, population long")
     return rows.withColumn("stem", stemmed(F.col("alias")))
 

@@ -114,7 +114,7 @@ def answers(spark, sf) -> DataFrame:
     k = F.col("event_id")
     one = lambda i: F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("settlement", "district", "city", "region"), p, strict=True)]) for p in ANSWER_PLACES]), ((k + i) % len(ANSWER_PLACES) + 1).cast("int"))
     body = F.to_json(F.struct((k % 4 != 0).alias("is_incident"), F.lit("fire").alias("event_type"), (k % 5).cast("int").alias("severity"), F.lit(True).alias("in_russia"), F.array(*[one(i) for i in range(4)]).alias("places")))
-    return table(spark, sf, "events").select(k.alias("msg_id"), F.when(k % 9 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("answer: "), body, F.lit(" .")))  .alias("answer"))
+    return table(spark, sf, "events").select(k.alias("msg_id"), F.when(k % 9 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("answer: "), body, F.lit(" ."))).alias("answer"))
 
 
 def answered_places(spark, sf) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 
 from panelcast import config
 from panelcast.functions import text
-from panelcast.operators import detect, evaluate, expanding, kernels, news, panel
+from panelcast.operators import detect, evaluate, expanding, forecast, kernels, learn, news, panel
 from panelcast.plans import catalog, fixtures
 from panelcast.sources.tables import read_export, read_labels
 from pyspark.sql import functions as F
@@ -196,3 +196,50 @@ def test_settings_and_label_files(spark, tmp_path):
     assert config.load("stf", tmp_path / "more.toml") == config.load("stf") | {"k_level": 4}
     (tmp_path / "l.csv").write_bytes("\ufeffchannel;msg_id;row;place_ok;type_ok;comment\nc;1;0;1;;x\n".encode())
     assert [tuple(r) for r in read_labels(spark, str(tmp_path / "l.csv")).collect()] == [("c", 1, 0, "1", None, "x")]
+
+
+def learning_panel(spark):
+    """Series whose growth flips its sign with the category, which the base forecast doesn't know."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for s in range(24):
+        y, sign = 100.0, 1 if s % 2 else -1
+        for m in months(30):
+            y *= math.exp(0.05 * sign + rng.normal(scale=0.005))
+            rows.append((s, s % 3, "ab"[s % 2], m, y, True))
+    return spark.createDataFrame(rows, "territory_id int, region_code int, category string, month date, y double, complete boolean")
+
+
+def test_boosted_correction_learns_and_does_not_look_ahead(spark):
+    d = learning_panel(spark).cache()
+    base = forecast.naive(d, forecast.targets(d, "2000-08-01", "2002-06-01", (1, 3)))
+    asked = ["2001-12-01", "2002-02-01"]
+    run = lambda p, b: {(r["territory_id"], r["origin"], r["h"]): r["y_pred"] for r in learn.corrected(p, b, ["2002-01-01"], asked, trees=3).collect()}
+    got = run(d, base)
+    plain_ = {(r["territory_id"], r["origin"], r["h"]): r["y_pred"] for r in base.collect()}
+    assert all(got[k] == plain_[k] for k in got if k[1] == dt.date(2001, 12, 1))  # before the first training
+    assert len(got) == 24 * 4 and any(abs(got[k] / plain_[k] - 1) > 1e-6 for k in got)
+    late = F.col("month") > "2002-02-01"
+    changed = d.withColumn("y", F.when(late, F.col("y") * 9).otherwise(F.col("y")))
+    assert run(changed, base) == pytest.approx(got)
+
+
+def test_early_warning_ranks_shocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, m, float(x := rng.normal()), float(rng.normal()), float(x > 1)) for t in range(40) for m in months(20)]
+    table = spark.createDataFrame(rows, "territory_id int, month date, score double, other double, y_next double")
+    out = learn.early_warning(table, {"score": ["score"], "other": ["other"]}, "2001-01-01", "2001-02-01", trees=3).cache()
+    area = lambda n: evaluate.auc(out.where(F.col("features") == n), "p", "y_next").first()["auc"]
+    assert area("score") > 0.95 and abs(area("other") - 0.5) < 0.15
+
+
+def test_detectors_take_the_greater_rank(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, s % 2, "a", m, float(rng.normal())) for s in range(8) for m in months(12)]
+    df = spark.createDataFrame(rows, "territory_id int, region_code int, category string, month date, e double")
+    out = detect.all_scores(df, ("panel", "bocpd", "panel_bocpd")).toPandas().pivot_table(index=["territory_id", "month"], columns="detector", values="score")
+    for name in ("panel", "bocpd"):
+        ranks = [(out[name][out.index.get_level_values("month") <= m].dropna() <= v).mean() if v == v else np.nan for (_, m), v in out[name].items()]
+        out[f"{name}_rank"] = ranks
+    want = np.fmax(out["panel_rank"], out["bocpd_rank"])
+    assert np.allclose(out["panel_bocpd"], want, equal_nan=True)
