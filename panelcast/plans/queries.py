@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import text as texts
 from panelcast.operators import detect, evaluate, forecast, news, panel
-from panelcast.plans.registry import BACKTEST, LAG_START, LARGE, SERIES, dense, records, register, residual, rounded, scored
+from panelcast.plans.registry import LARGE, SERIES, dense, records, register, residual, rounded, scored
 from panelcast.plans.sql import RECORDS, RESIDUALS, query, scale
-from panelcast.sources.tables import FIRST, LAST, messages, spending, table
+from panelcast.sources.tables import LAST, messages, spending, table
 
 # Panel
 
