@@ -57,8 +57,8 @@ def _sketches(shingles: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarra
 def _places(hashes: np.ndarray, sizes: np.ndarray):
     """Windows in which a run is sought: hash, first word, end, and the hash of the window's anchor.
 
-    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more, and those of LONG_WORDS
-    words that stand in several lines. A window's anchor is its ANCHOR words of the least hash: it
+    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more, and all those of LONG_WORDS
+    words, wherever lines end. A window's anchor is its ANCHOR words of the least hash: it
     depends on the window's words alone, so texts that share a window share its anchor.
     """
     n = len(hashes)
@@ -74,8 +74,8 @@ def _places(hashes: np.ndarray, sizes: np.ndarray):
     out = []
     for size in (LEAST_WORDS, LONG_WORDS):
         at = np.arange(max(0, n - size + 1))
-        inside = line[at] == line[at + size - 1]
-        at = at[inside & (sizes[line[at]] >= LONG_WORDS) if size == LEAST_WORDS else ~inside]
+        if size == LEAST_WORDS:
+            at = at[(line[at] == line[at + size - 1]) & (sizes[line[at]] >= LONG_WORDS)]
         wide = size - ANCHOR + 1
         best = np.zeros(len(at), np.uint64)
         for i in range(0, len(at), BLOCK):
@@ -275,21 +275,23 @@ def by_document(spans: DataFrame) -> DataFrame:
 def substring_classes(docs: DataFrame) -> DataFrame:
     """doc_id, component_id, n_links, removed_words for each row of docs.
 
-    Paragraphs (lines) of 20 words or more are linked when their 5-word shingles have a Jaccard
+    Paragraphs (lines) of 20 words or more repeat each other when their 5-word shingles have a Jaccard
     similarity of 0.8 or more; every run of 20 words or more inside a line of 50 or more, and of 50
-    words or more over line ends, when equal, whole. Of each component the first passage in order of
-    doc_id stays, the others are removed_words. component_id is the smallest doc_id that shares passages, directly or over others; n_links counts
-    the documents that keep its removed passages. Null, empty and short texts have no passage and are
+    words or more over line ends, when equal, whole. Of each component of passages the first in order of
+    doc_id stays, the others are removed_words, and n_links counts the documents that keep them. Documents are of one
+    class when a stretch of 50 words or more of one is kept by the other, directly or over others: a short line that many have ties
+    none. component_id is the smallest doc_id of the class. Null, empty and short texts have no passage and are
     their own class; a null id has a null class. Repeated rows are classed alike: equal rows are one
     holder of their passages. Other columns are ignored; an empty table gives no rows.
     """
     with Scratch(docs.sparkSession) as scratch:
         spans = repeated_spans(docs, scratch)
-    edges = spans.where("doc_id <> kept_id").select(F.col("doc_id").alias("a"), F.col("kept_id").alias("b"))
-    parts = connected_components(edges)
+    held = spans.where("doc_id <> kept_id").groupBy("doc_id", "text_hash", "kept_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    held = held.select("doc_id", "text_hash", "kept_id", F.exists(joined("spans"), lambda x: x["e"] - x["s"] >= LONG_WORDS).alias("long"))
+    parts = connected_components(held.where("long").select(F.col("doc_id").alias("a"), F.col("kept_id").alias("b")))
     words = F.aggregate(joined("spans"), F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     removed = by_document(spans).select("doc_id", "text_hash", words.alias("removed_words"))
-    links = spans.where("doc_id <> kept_id").groupBy("doc_id", "text_hash").agg(F.count_distinct("kept_id").alias("n_links"))
+    links = held.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_links"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     out = rows.join(removed, ["doc_id", "text_hash"], "left").join(links, ["doc_id", "text_hash"], "left")
     out = out.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
