@@ -159,13 +159,18 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, on: list[str]) -> tuple[DataFra
     return tuple(tested.where(x).select(*rows.columns) for x in (F.col("_may"), ~F.col("_may")))
 
 
+#: Bytes of a table, written as JSON, that is broadcast at most.
+BROADCAST_BYTES = 1 << 25
+
+
 def fetch(rows: DataFrame, wanted: DataFrame, on: list[str], limit: int = 100_000, how: str = "inner") -> DataFrame:
     """rows joined null-safely with wanted (cut before); how is inner, left, left_semi or left_anti.
 
-    wanted is broadcast only if it has limit rows at most. Else both are shuffled, but of rows only what
-    may have a partner; for outer and anti joins the rest is added after.
+    wanted is broadcast only if it has limit rows and BROADCAST_BYTES at most. Else both are shuffled, but of rows
+    only what may have a partner; for outer and anti joins the rest is added after.
     """
-    few = wanted.limit(limit + 1).count() <= limit
+    size = wanted.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*wanted.columns)))), F.lit(0))).first()
+    few = size[0] <= limit and size[1] <= BROADCAST_BYTES
     rest = None
     if not few:
         rows, rest = maybe_in(rows, wanted, on)
