@@ -141,6 +141,54 @@ def test_passages_over_line_ends(spark):
     assert out == {0: 0, 1: 60, 2: 0, 3: 300, 4: 0, 5: 0}
 
 
+def test_short_common_lines_tie_no_documents(spark):
+    line = prose(8000, 30)
+    texts = [f"{prose(8001 + i, 40)}\n{line}\n{prose(8100 + i, 40)}" for i in range(6)]
+    texts.append(f"{prose(8200, 40)}\n{prose(8101, 40)} {prose(8300, 30)}\n{texts[2]}")
+    out = {r["doc_id"]: r for r in substring.substring_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i]["component_id"] for i in range(7)] == [0, 1, 2, 3, 4, 5, 1 if out[6]["component_id"] == 1 else 2]
+    assert out[0]["removed_words"] == 0 and all(out[i]["removed_words"] == 30 and out[i]["n_links"] == 1 for i in range(1, 6)) and out[6]["removed_words"] >= 110
+
+
+def longest_shared(words, earlier):
+    """Words of a text that lie in a stretch of 50 or more that an earlier text has, found by trying every start."""
+    inside = set()
+    for other in earlier:
+        at = {}
+        for j, w in enumerate(other):
+            at.setdefault(w, []).append(j)
+        for i, w in enumerate(words):
+            for j in at.get(w, []):
+                n = 0
+                while i + n < len(words) and j + n < len(other) and words[i + n] == other[j + n]:
+                    n += 1
+                if n >= 50:
+                    inside |= set(range(i, i + n))
+    return inside
+
+
+def test_long_repeats_match_every_start(spark):
+    r = random.Random(11)
+    shared = [prose(9000 + i, r.randint(50, 90)).split() for i in range(6)]
+    texts = []
+    for i in range(30):
+        words = prose(9100 + i, r.randint(5, 60), "klmnp").split()
+        for _ in range(r.randint(0, 2)):
+            s = r.choice(shared)
+            words += s[r.randint(0, 10) :] + prose(9200 + i, r.randint(1, 30), "rstvw").split()
+        out = ""
+        for k, w in enumerate(words):
+            out += ("" if not k else "\n" if r.random() < 0.08 else " ") + w
+        texts.append(out)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with substring.Scratch(spark) as scratch:
+        spans = substring.repeated_spans(df, scratch).where("doc_id <> kept_id").collect()
+    found = {i: {w for x in spans if x["doc_id"] == i for w in range(x["s"], x["e"])} for i in range(30)}
+    want = {i: longest_shared(texts[i].split(), [t.split() for t in texts[:i]]) for i in range(30)}
+    assert any(want.values()) and all(want[i] <= found[i] for i in want)
+    assert all(len(found[i] - want[i]) == 0 or min(len(x.split()) for x in texts[i].split("\n")) < 50 for i in want)
+
+
 def test_sketches_in_blocks():
     text = prose(5, 9000)
     whole = substring.units(text)[0][4]
@@ -167,6 +215,31 @@ def test_mix(docs, nothing):
     assert texts.text.str.split().map(len).sum() == out.taken.sum()
 
 
+def test_mix_matches_a_plain_draw(spark):
+    """Every slot of every source taken one by one: its pass, its block, and the words of the documents there."""
+    texts = [(i, prose(300 + i, 20 + 37 * (i % 9)), "abc"[i % 3] if i % 7 else None) for i in range(90)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    mix = mixing.mix_sources(df, shard_slots=50)
+    rows, placed = mix.rows.toPandas(), mix.placed.toPandas()
+    sizes = {s: sum(len(t.split()) for _, t, x in texts if x == s) for s in ("a", "b", "c", None)}
+    targets = mixing.source_targets(sizes)
+    want = []
+    for no, s in enumerate(targets):
+        length = max(1, min(128, sizes[s] // mixing.LEAST_BLOCKS))
+        blocks = -(-sizes[s] // length)
+        own = rows[rows.source_no == no].sort_values("start")
+        assert own.start.tolist() == [0, *own["size"].cumsum().tolist()[:-1]]
+        for n in range(round(targets[s] / sizes[s] * blocks)):
+            turn, block = n // blocks, int(mixing.permute(np.array([n % blocks]), blocks, 7 + 1_000_003 * no + n // blocks)[0])
+            for r in own.itertuples():
+                a, b = max(r.start, block * length), min(r.start + r.size, (block + 1) * length)
+                if a < b:
+                    want.append((no, turn, block, r.doc_id, a - r.start, b - r.start))
+    assert sorted(want) == sorted(placed[["source_no", "pass", "block", "doc_id", "s", "e"]].itertuples(index=False, name=None))
+    counts = placed.drop_duplicates(["shard", "slot"]).groupby("shard").size()
+    assert (counts[:-1] == 50).all() and 0 < counts.iloc[-1] <= 50
+
+
 def test_permutation_and_shards():
     for n in (1, 2, 7, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 9)) == list(range(n))
@@ -209,6 +282,26 @@ def test_language_accuracy(spark):
     assert len(out) > 20 and all(r["lang_pred"] == "ab"[r["doc_id"] % 2] for r in out)
 
 
+def test_language_scores_match_plain_vectors(spark):
+    """Prototypes and cosines from the letters' vectors one trigram at a time."""
+    texts = [(i, prose(400 + i, 12, "bcdfgh" if i % 2 else "kdlmnp"), "ab"[i % 2]) for i in range(40)]
+    letters, table = langid.letter_vectors().astype(float), langid.symbol_table()
+
+    def vector(text):
+        s, counts = [0, *[table[ord(c)] for c in text.lower()], 0], {}
+        for i in range(1, len(s) - 1):
+            if s[i]:
+                counts[tuple(s[i - 1 : i + 2])] = counts.get(tuple(s[i - 1 : i + 2]), 0) + 1
+        out = sum(n**0.5 * np.roll(letters[x], 2) * np.roll(letters[y], 1) * letters[z] for (x, y, z), n in counts.items())
+        return out / sum(counts.values()) ** 0.5
+
+    sums = {x: sum(vector(t) for i, t, y in texts if y == x and zlib.crc32(str(i).encode()) % 4 != 2) for x in "ab"}
+    for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect():
+        v = vector(texts[r["doc_id"]][1])
+        cosine = {x: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for x, s in sums.items()}
+        assert r["lang_pred"] == max(cosine, key=cosine.get) and r["score"] == pytest.approx(max(cosine.values()), abs=1e-4)
+
+
 def test_media(docs, nothing):
     for r in media.media_digest(docs).collect():
         data = (next((t for i, t, *_ in rows() if i == r["doc_id"]), "a null id") or "").encode()
