@@ -91,10 +91,9 @@ def top_share_alarms(scores: DataFrame, budget: float, by: list[str]) -> DataFra
 
 def event_hits(alarms: DataFrame, events: DataFrame, before: int = 1, after: int = 2) -> DataFrame:
     """events (territory_id, month) with hit: an alarm of the territory from before months earlier to after months later."""
-    a = alarms.where("alarm").select("territory_id", F.col("month").alias("_m")).distinct()
-    e = events.select("territory_id", "month").distinct()
-    near = e.join(a, "territory_id", "left").withColumn("_in", F.col("_m").between(F.add_months("month", -before), F.add_months("month", after)))
-    return near.groupBy("territory_id", "month").agg(F.coalesce(F.max("_in"), F.lit(False)).alias("hit"))
+    on = alarms.where("alarm").select("territory_id", F.col("month").alias("_at"), F.lit(True).alias("_on")).distinct()
+    near = events.select("territory_id", "month").distinct().withColumn("_at", F.explode(F.transform(F.sequence(F.lit(-before), F.lit(after)), lambda i: F.add_months("month", i))))
+    return near.join(on, ["territory_id", "_at"], "left").groupBy("territory_id", "month").agg(F.coalesce(F.max("_on"), F.lit(False)).alias("hit"))
 
 
 #: Ranges that sums over sorted scores are cut into.
