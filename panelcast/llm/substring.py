@@ -54,34 +54,55 @@ def _sketches(shingles: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarra
     return _mix(keys + _BAND)
 
 
-def _places(hashes: np.ndarray, sizes: np.ndarray):
-    """Windows in which a run is sought: hash, first word, end, and the hash of the window's anchor.
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width values in a row, in log2(width) steps."""
+    span = 1
+    while 2 * span <= width and len(x) > span:
+        x, span = np.minimum(x[:-span], x[span:]), 2 * span
+    rest = width - span
+    return np.minimum(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
 
-    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more, and all those of LONG_WORDS
-    words, wherever lines end. A window's anchor is its ANCHOR words of the least hash: it
-    depends on the window's words alone, so texts that share a window share its anchor.
-    """
+
+def _grams(hashes: np.ndarray):
+    """A function of first words and a size to the hashes of the word runs there."""
     n = len(hashes)
     power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
     inverse = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE_INVERSE)])
     prefix = np.r_[np.uint64(0), np.cumsum(hashes * inverse[:-1], dtype=np.uint64)]
+    return lambda at, size: _mix((prefix[at + size] - prefix[at]) * power[at] + np.uint64(size))
+
 
-    def gram(at: np.ndarray, size: int) -> np.ndarray:
-        return _mix((prefix[at + size] - prefix[at]) * power[at] + np.uint64(size))
+def _places(hashes: np.ndarray, sizes: np.ndarray, gram) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Windows in which a run is sought: size, first words, and the hashes of the windows' anchors.
 
+    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more, those of LONG_WORDS words that
+    stand in several lines, and those of LONG_WORDS words inside a line. A window's anchor is its ANCHOR words of the
+    least hash: it depends on the window's words alone, so texts that share a window share its anchor.
+    """
+    n = len(hashes)
     pieces = gram(np.arange(max(0, n - ANCHOR + 1)), ANCHOR)
     line = np.repeat(np.arange(len(sizes)), sizes)
-    out = []
-    for size in (LEAST_WORDS, LONG_WORDS):
-        at = np.arange(max(0, n - size + 1))
-        if size == LEAST_WORDS:
-            at = at[(line[at] == line[at + size - 1]) & (sizes[line[at]] >= LONG_WORDS)]
-        wide = size - ANCHOR + 1
-        best = np.zeros(len(at), np.uint64)
-        for i in range(0, len(at), BLOCK):
-            best[i : i + BLOCK] = np.lib.stride_tricks.sliding_window_view(pieces, wide)[at[i : i + BLOCK]].min(axis=1)
-        out.append((gram(at, size), at, at + size, best))
-    return tuple(map(np.concatenate, zip(*out, strict=True)))
+    short, long = np.arange(max(0, n - LEAST_WORDS + 1)), np.arange(max(0, n - LONG_WORDS + 1))
+    inside = line[long] == line[long + LONG_WORDS - 1]
+    short = short[(line[short] == line[short + LEAST_WORDS - 1]) & (sizes[line[short]] >= LONG_WORDS)]
+    best = {size: sliding_min(pieces, size - ANCHOR + 1) for size in (LEAST_WORDS, LONG_WORDS)}
+    return [(size, at, best[size][at]) for size, at in ((LEAST_WORDS, short), (LONG_WORDS, long[~inside]), (LONG_WORDS, long[inside]))]
+
+
+def _once(best: np.ndarray) -> np.ndarray:
+    """The different values; neighbours mostly are equal, so few are left to sort."""
+    return np.unique(best[np.r_[True, best[1:] != best[:-1]]]) if len(best) else best
+
+
+def _anchors(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a text's windows, each once, and whether a window over line ends has it.
+
+    A window of LONG_WORDS inside a line has the anchor of a shorter one in it, so the first two kinds have all.
+    """
+    (_, _, short), (_, _, across), _ = _places(hashes, sizes, _grams(hashes))
+    across = _once(across)
+    found = np.union1d(_once(short), across)
+    return found, np.isin(found, across)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -93,7 +114,7 @@ def _lines(text: str) -> list[list[bytes]]:
 
 
 def units(text: str):
-    """Paragraphs (index, hash, first word, end, band keys), anchors of the text's windows, each once, and its number of words."""
+    """Paragraphs (index, hash, first word, end, band keys), anchors of the text's windows with their kind, and its number of words."""
     lines = _lines(text)
     sizes = np.array([len(w) for w in lines])
     ends = np.cumsum(sizes)
@@ -101,7 +122,7 @@ def units(text: str):
     chosen = np.flatnonzero(sizes >= LEAST_WORDS)
     none = np.zeros(0, np.uint64)
     hashes = _hashes(words)
-    anchors = np.unique(_places(hashes, sizes)[3]) if len(words) >= LONG_WORDS else none
+    anchors = _anchors(hashes, sizes) if len(words) >= LONG_WORDS else (none, none)
     if not len(chosen):
         return (chosen, none, chosen, chosen, np.zeros((0, BANDS), np.uint64)), anchors, len(words)
     first, last = ends[chosen] - sizes[chosen], ends[chosen]
@@ -123,13 +144,12 @@ def unit_table(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(batch["text"].to_pylist()):
                 if not text:
                     continue
-                (paragraph, whole, first, last, bands), anchors, length = units(text)
+                (paragraph, whole, first, last, bands), (anchors, across), length = units(text)
                 n, m = len(paragraph), len(anchors) + (length >= LONG_WORDS)
                 position.append(np.full(n + m, i))
-                own, h = np.full(m, ANCHORS), np.zeros(m, np.uint64)
-                own[len(anchors) :], h[: len(anchors)] = TEXT, anchors
-                zero = np.zeros(m, np.int64)
-                for column, x in zip(columns, (np.r_[paragraph, own], np.r_[whole, h], np.r_[first, zero], np.r_[last, np.where(own == TEXT, length, 0)], (bands, m)), strict=True):
+                own, h, kind = np.full(m, ANCHORS), np.zeros(m, np.uint64), np.zeros(m, np.int64)
+                own[len(anchors) :], h[: len(anchors)], kind[: len(anchors)] = TEXT, anchors, across
+                for column, x in zip(columns, (np.r_[paragraph, own], np.r_[whole, h], np.r_[first, kind], np.r_[last, np.where(own == TEXT, length, 0)], (bands, m)), strict=True):
                     column.append(x)
                 if sum(map(len, position)) > 200_000:
                     out.append((position, columns))
@@ -192,30 +212,36 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
     holders = held.select("text_hash", F.col("kept_id").alias("doc_id"))
     copied = held.where("kept_id < top").select("text_hash", "kept_id", "n")
     copies = attach(texts, copied, "text_hash", texts.count(), F.xxhash64("doc_id")).where("doc_id <> kept_id").select("doc_id", "text_hash", "s", "e", "kept_id")
-    anchors = every.where((F.col("paragraph") == ANCHORS) & F.col("doc_id").isNotNull()).select("text_hash", "h")
-    shared = cut(anchors.groupBy("h").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.count("*").alias("n")).where("low < high").select("h", "n", F.lit(True).alias("met")))
+    anchors = every.where((F.col("paragraph") == ANCHORS) & F.col("doc_id").isNotNull()).select("text_hash", "h", "s")
+    shared = cut(anchors.groupBy("h").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.max("s").alias("across"), F.count("*").alias("n")).where("low < high").select("h", "n", "across"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = attach(maybe_in(anchors, shared, ["h"])[0], shared, "h", total, F.xxhash64("text_hash")).where("met")
-    wanted = cut(met.groupBy("text_hash").agg(F.collect_set("h").alias("anchors")).join(holders, "text_hash"))
+    met = attach(maybe_in(anchors, shared, ["h"])[0], shared, "h", total, F.xxhash64("text_hash")).where("across is not null")
+    wanted = cut(met.groupBy("text_hash").agg(F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("across") > 0, F.col("h"))).alias("across")).join(holders, "text_hash"))
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     windows = cut(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, "doc_id long, text_hash long, s int, e int, h long"))
     twice = cut(windows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    again = attach(windows, twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
+    again = attach(maybe_in(windows, twice, ["h"])[0], twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
     again = again.groupBy("doc_id", "text_hash", "kept_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     again = again.select("doc_id", "text_hash", "kept_id", F.explode(joined("spans")).alias("span"))
     return again.select("doc_id", "text_hash", "span.s", "span.e", "kept_id").unionByName(copies)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchor is one of anchors."""
+    """The windows whose anchor is one of anchors; those of LONG_WORDS inside a line only where another text may have it over line ends."""
     for batch in batches:
-        for doc_id, text_hash, text, anchors in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text", "anchors")), strict=True):
+        for doc_id, text_hash, text, anchors, across in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text", "anchors", "across")), strict=True):
             lines = _lines(text)
-            h, s, e, best = _places(_hashes([w for line in lines for w in line]), np.array([len(w) for w in lines]))
-            own = np.isin(best, np.array(anchors, np.int64).view(np.uint64))
-            n = int(own.sum())
-            columns = [pa.array(x) for x in (np.full(n, doc_id), np.full(n, text_hash), s[own].astype(np.int32), e[own].astype(np.int32), h[own].view(np.int64))]
+            hashes = _hashes([w for line in lines for w in line])
+            known, wide = (np.array(x, np.int64).view(np.uint64) for x in (anchors, across))
+            gram, s, e, h = _grams(hashes), [], [], []
+            for (size, at, best), wanted in zip(_places(hashes, np.array([len(w) for w in lines]), gram), (known, known, wide), strict=True):
+                own = at[np.isin(best, wanted)]
+                s.append(own)
+                e.append(own + size)
+                h.append(gram(own, size))
+            s, e, h = map(np.concatenate, (s, e, h))
+            columns = [pa.array(x) for x in (np.full(len(s), doc_id), np.full(len(s), text_hash), s.astype(np.int32), e.astype(np.int32), h.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "s", "e", "h"])
 
 
