@@ -66,8 +66,8 @@ ENDINGS = "(ого|его|ому|ему|ыми|ими|ами|ями|ой|ей|о
 
 
 def stemmed(name: Column) -> Column:
-    """A normalised name with its words' case endings off, so that 'орска' and 'орск' are one."""
-    return F.regexp_replace(name, ENDINGS + "( |$)", "$2")
+    """A normalised name with its words' case endings off, so that 'орска' and 'орск' are one; three letters stay at least."""
+    return F.regexp_replace(name, "([а-яё]{3})" + ENDINGS + "( |$)", "$1$3")
 
 
 def proper_names(text: Column) -> Column:

@@ -56,7 +56,7 @@ def prefiltered_messages(spark, sf):
 
 
 def stem_sql(name: str) -> str:
-    return f"regexp_replace({name}, '{texts.ENDINGS}( |$)', '\\2', 'g')"
+    return f"regexp_replace({name}, '([а-яё]{{3}}){texts.ENDINGS}( |$)', '\\1\\3', 'g')"
 
 
 GENERIC_SQL = "^(" + "|".join(g.replace(".", r"\.") for g in texts.GENERIC) + r")\s+"
