@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import ann, chat, langid, license, media, mixing, packing, simhash, substring, urlfilter
+from panelcast.llm import ann, chat, langid, license, maintext, media, merkle, mixing, negatives, packing, simhash, substring, urlfilter
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,9 +24,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": _over("embeddings", ann.search),
     "op9_url_filters": _over("pages", lambda t: urlfilter.page_verdicts(t, urlfilter.entries_of(t))),
     "op10_license_scan": _over("documents", license.license_report),
+    "op11_hard_negatives": _over("embeddings", negatives.mine),
+    "op12_main_text": _over("pages", maintext.main_text),
+    "op13_merkle_manifest": _over("documents", merkle.manifest),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_link_tool_calls": chat.LINKED_TURNS_SQL,
     "op9_url_filters": urlfilter.PAGE_VERDICTS_SQL,
+    "op11_hard_negatives": negatives.MINED_SQL,
+    "op13_merkle_manifest": merkle.MANIFEST_SQL,
 }
