@@ -88,15 +88,6 @@ def severity(text: Column) -> Column:
     return F.least(F.greatest(F.coalesce(text.try_cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(3.0))
 
 
-def sorted_words(text: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(text, " ")), " ")
-
-
-def weighted_similarity(a: Column, b: Column) -> Column:
-    """The best of the plain similarity and, at 95 %, that of the words in order of the alphabet."""
-    return F.greatest(similarity(a, b), 0.95 * similarity(sorted_words(a), sorted_words(b)))
-
-
 def without_prefix(text: Column, prefixes: tuple[str, ...]) -> Column:
     """text less the first listed prefix that it starts with."""
     return F.regexp_replace(text, "^(" + "|".join(prefixes) + r")\s+", "")

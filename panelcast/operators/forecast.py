@@ -237,12 +237,13 @@ def level_and_drift(contexts: DataFrame, k: int = 3) -> DataFrame:
 def residual_forecast(dense: DataFrame, asked: DataFrame, contexts: DataFrame, profile: DataFrame, model=level_and_drift) -> DataFrame:
     """asked with y_pred: a model of the contexts' values plus the profile of the target month; the last value without one.
 
-    model: contexts -> territory_id, category, origin, level, drift. Larger models run there in mapInPandas.
+    model: contexts -> territory_id, category, origin, level, drift and maybe phi, the drift's damping. Larger models run there in mapInPandas.
     """
-    s = profile.select(*SERIES, "origin", "moy", "s")
+    s, made = profile.select(*SERIES, "origin", "moy", "s"), model(contexts)
     fallback = at(dense.withColumn("_v", last_valid("y")), "origin", "_v", "_last")
-    rows = asked.withColumn("moy", F.month("target")).join(s, [*SERIES, "origin", "moy"], "left").join(model(contexts), [*SERIES, "origin"], "left").join(fallback, [*SERIES, "origin"], "left")
-    return rows.withColumn("y_pred", F.coalesce(F.exp(F.col("level") + F.col("drift") * F.col("h") + F.col("s")), "_last")).select(*asked.columns, "y_pred")
+    rows = asked.withColumn("moy", F.month("target")).join(s, [*SERIES, "origin", "moy"], "left").join(made, [*SERIES, "origin"], "left").join(fallback, [*SERIES, "origin"], "left")
+    moved = damped(F.col("drift"), F.lit(0.0), F.col("phi"), F.col("h")) if "phi" in made.columns else F.col("drift") * F.col("h")
+    return rows.withColumn("y_pred", F.coalesce(F.exp(F.col("level") + moved + F.col("s")), "_last")).select(*asked.columns, "y_pred")
 
 
 # Intervals and the national check

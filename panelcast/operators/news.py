@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.text import bare_name, local_types, national_types, normal_name, proper_names, snippet, stemmed, tagged_place, weighted_similarity
+from panelcast.functions.text import bare_name, local_types, national_types, normal_name, proper_names, snippet, stemmed, tagged_place
+from panelcast.operators.matching import closest, similar
 from panelcast.operators.panel import surge
 from panelcast.operators.spatial import within
 
@@ -177,21 +178,20 @@ def expand_events(messages: DataFrame, places: DataFrame) -> DataFrame:
     return local.select(*columns).unionByName(wide.select(*columns))
 
 
-def candidates(places: DataFrame, gazetteer: DataFrame, k: int = 8, cutoff: float = 80) -> DataFrame:
+def candidates(places: DataFrame, gazetteer: DataFrame, k: int = 8, cutoff: float = 80, limit: int = 40) -> DataFrame:
     """The k most similar territories of each place within its region: place_id, territory_id, score, rank.
 
-    The score is the weighted similarity of names, and a ten-millionth of the population breaks near ties. Each name of
-    a region is looked up once, whatever the number of places, among the aliases whose length can reach the cutoff.
+    places: place_id, region_code, name, a row for each name of a place. The score is the best weighted ratio of a name, cutoff or more,
+    and a ten-millionth of the population breaks near ties. Each name of a region is looked up once, in an index of the aliases' grams,
+    and brings its limit most similar aliases at most (ties by alias, then territory), a feature of the search.
     """
-    length = lambda c: F.explode(F.sequence(F.ceil(cutoff / 100 * F.length(c)).cast("int"), F.floor(F.length(c) * 100 / cutoff).cast("int")))
-    names = places.select("region_code", "name").distinct()
-    aliases = gazetteer.withColumn("_n", F.length("alias"))
-    met = names.where(F.length("name") > 0).withColumn("_n", length("name")).join(aliases, ["region_code", "_n"])
-    met = met.withColumn("_s", weighted_similarity(F.col("name"), F.col("alias"))).where(F.col("_s") >= cutoff)
-    each = met.groupBy("region_code", "name", "territory_id").agg(F.max(F.col("_s") + F.coalesce("population", F.lit(0)) / 1e7).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("region_code", "name").orderBy(F.desc("score"), "territory_id"))
-    best = each.withColumn("rank", rank).where(F.col("rank") <= k)
-    return places.join(best, ["region_code", "name"]).select("place_id", "territory_id", "score", "rank")
+    best = similar(places, gazetteer, cutoff).join(gazetteer.select("region_code", "alias", "territory_id", "population"), ["region_code", "alias"])
+    rank = F.row_number().over(Window.partitionBy("region_code", "name").orderBy(F.desc("similarity"), "alias", "territory_id"))
+    best = best.withColumn("_k", rank).where(F.col("_k") <= limit)
+    best = best.groupBy("region_code", "name", "territory_id").agg(F.max(F.col("similarity") + F.coalesce("population", F.lit(0)) / 1e7).alias("score"))
+    each = places.select("place_id", "region_code", "name").distinct().join(best, ["region_code", "name"]).groupBy("place_id", "territory_id").agg(F.max("score").alias("score"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("place_id").orderBy(F.desc("score"), "territory_id")))
+    return ranked.where(F.col("rank") <= k).select("place_id", "territory_id", "score", "rank")
 
 
 def place_name(place: Column, *fields: str) -> Column:
@@ -199,17 +199,22 @@ def place_name(place: Column, *fields: str) -> Column:
     return F.coalesce(*[F.nullif(normal_name(place[f]), F.lit("")) for f in fields])
 
 
-def with_regions(places: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY) -> DataFrame:
+def with_regions(places: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY, cutoff: float = 88) -> DataFrame:
     """places (place: settlement, district, city, region) with region_code and region_only.
 
     region_only: a federal city without a district, or a place of which only the region is known. Else the code is that
-    of the named region, or of the one region that has a city of the name with big people or more.
+    of the named region, or of the one region that has a city of the name with big people or more. A region's name that
+    none has counts as the most similar one, of a weighted ratio of cutoff or more.
     """
     city, district, region = place_name(F.col("place"), "city", "settlement"), place_name(F.col("place"), "district"), place_name(F.col("place"), "region")
     federal = F.create_map(*[F.lit(x) for pair in FEDERAL.items() for x in pair])[city]
     by_name = gazetteer.where("level = 'region'").groupBy(F.col("alias").alias("_region")).agg(F.min("region_code").alias("_by_name"))
     cities = gazetteer.where((F.col("level") != "region") & (F.col("population") >= big)).groupBy(F.col("alias").alias("_city")).agg(F.min("region_code").alias("_by_city"), F.count_distinct("region_code").alias("_n")).where("_n = 1").drop("_n")
     rows = places.withColumns({"_region": region, "_city": city, "_district": district, "_federal": federal})
+    aliases = by_name.select(F.lit(0).alias("_all"), F.col("_region").alias("alias"))
+    unknown = rows.where("_region is not null").select("_region").distinct().join(by_name, "_region", "left_anti").select(F.lit(0).alias("_all"), F.col("_region").alias("name"))
+    found = closest(unknown, aliases, cutoff, "_all").select(F.col("name").alias("_said"), F.col("alias").alias("_region")).join(by_name, "_region")
+    by_name = by_name.unionByName(found.select(F.col("_said").alias("_region"), "_by_name"))
     rows = rows.join(by_name, "_region", "left").join(cities, "_city", "left")
     alone = F.when(F.col("_federal").isNotNull() & F.col("_district").isNull(), F.col("_federal")).when(F.col("_city").isNull() & F.col("_district").isNull(), F.col("_by_name"))
     code = F.coalesce(alone, "_by_name", "_federal", "_by_city")

@@ -469,21 +469,6 @@ def asof_last_weeks(spark, sf):
     return last.groupBy("month").agg(F.when(F.count("*") >= 2, F.round(F.avg("v"), 4)).alias("v"), F.count("*").alias("weeks"))
 
 
-SORTED = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
-RATIO = "100 * (1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})))"
-
-
-@register(f"""WITH n AS (SELECT n_nationkey AS id, n_regionkey AS region_code, lower(n_name) AS name FROM nation),
-s AS (SELECT a.id AS place_id, b.id AS territory_id, greatest({RATIO.format("a.name", "b.name")}, 0.95 * {RATIO.format(SORTED.format("a.name"), SORTED.format("b.name"))}) + b.id / 1e7 AS score,
-  greatest({RATIO.format("a.name", "b.name")}, 0.95 * {RATIO.format(SORTED.format("a.name"), SORTED.format("b.name"))}) AS plain FROM n a JOIN n b ON a.region_code = b.region_code AND 100 * least(length(a.name), length(b.name)) >= 40 * greatest(length(a.name), length(b.name)))
-SELECT place_id, territory_id, round(score, 6) AS score, row_number() OVER (PARTITION BY place_id ORDER BY score DESC, territory_id) AS rank FROM s WHERE plain >= 40 QUALIFY rank <= 3""")
-def place_candidates(spark, sf):
-    n = table(spark, sf, "nation").withColumn("name", F.lower("n_name"))
-    places = n.select(F.col("n_nationkey").alias("place_id"), F.col("n_regionkey").alias("region_code"), "name")
-    gazetteer = n.select(F.col("n_nationkey").alias("territory_id"), F.col("n_regionkey").alias("region_code"), F.col("name").alias("alias"), F.col("n_nationkey").alias("population"))
-    return rounded(news.candidates(places, gazetteer, 3, 40), 6, "score").withColumn("rank", F.col("rank").cast("long"))
-
-
 @register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_fields(spark, sf):
     e = table(spark, sf, "events")
