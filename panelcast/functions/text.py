@@ -112,12 +112,6 @@ def snippet(text: Column, length: int = 280) -> Column:
     return F.replace(F.substring(text, 1, length), F.lit("\n"), F.lit(" "))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 less edit distance over the longer length, in percent."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 100 * (1 - F.levenshtein(a, b) / longest)).otherwise(100.0)
-
-
 def json_object(text: Column, schema: str) -> Column:
     """The struct in the text from its first brace to its last; null if there is none."""
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)

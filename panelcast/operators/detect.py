@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.arrays import median_of
 from panelcast.operators.expanding import quantiles, ranks, union
-from panelcast.operators.kernels import bocpd, segment_score
+from panelcast.operators.folds import change_probability, expanding_scale, over_series, segment_score
 from panelcast.operators.panel import SERIES
 from panelcast.sources.sinks import kept
 
@@ -21,11 +19,7 @@ def residuals(records: DataFrame) -> DataFrame:
 
 def with_scale(rows: DataFrame, x: str, keys: tuple = SERIES, least: int = 4, floor: float = 0.01) -> DataFrame:
     """rows with scale: 1.4826 times the median absolute deviation of the months before, floor at least; null before least values."""
-    past = F.collect_list(x).over(Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1))
-    rows, before = rows.withColumn("_before", past), F.col("_before")
-    # the one-element array binds the centre, so that it is found once and not for each value
-    spread = F.transform(F.array(median_of(before)), lambda m: median_of(F.transform(before, lambda v: F.abs(v - m))))
-    return rows.withColumn("scale", F.when(F.size(before) >= least, F.greatest(1.4826 * F.get(spread, F.lit(0)), F.lit(floor)))).drop("_before")
+    return over_series(rows, x, keys, lambda v: expanding_scale(v, least, floor), "scale")
 
 
 def remove_common(rows: DataFrame) -> DataFrame:
@@ -122,23 +116,14 @@ def mean_of(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*keys, F.col("score").alias("_b")), keys).withColumn("score", 0.5 * (F.col("score") + F.col("_b"))).drop("_b")
 
 
-def by_series(rows: DataFrame, kernel, **settings: float) -> DataFrame:
-    """A kernel over each series' values in order of month; a series is as long as the calendar."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("month", ignore_index=True)
-        return part.assign(score=kernel(part["x"].to_numpy(float), **settings)).drop(columns="x")
-
-    columns = [f"{c} {t}" for c, t in rows.drop("x").dtypes]
-    return rows.groupBy(*SERIES).applyInPandas(run, ", ".join([*columns, "score double"]))
-
-
 def change_points(rows: DataFrame, hazard: float = 1 / 24) -> DataFrame:
-    return by_series(standardised(rows).withColumnRenamed("z", "x"), bocpd, hazard=hazard)
+    """Probability of a run of at most one value."""
+    return over_series(standardised(rows), "z", SERIES, lambda v: change_probability(v, hazard), "score").drop("z")
 
 
 def segmentation(rows: DataFrame, method: str = "pelt") -> DataFrame:
-    return by_series(rows.withColumn("x", F.coalesce("e", F.lit(0.0))), segment_score, method=method)
+    """The penalty at which the last cut stays, by an optimal segmentation (pelt) or by splitting (binseg); a missing value counts as 0."""
+    return over_series(rows.withColumn("x", F.coalesce("e", F.lit(0.0))), "x", SERIES, lambda v: segment_score(v, method), "score").drop("x")
 
 
 def robust(rows: DataFrame, x: str, keys: tuple = SERIES) -> DataFrame:

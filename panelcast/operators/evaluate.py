@@ -51,17 +51,42 @@ def compare(records: DataFrame, model: str, ref: str) -> DataFrame:
     return by_series.groupBy("h").agg((F.sum("s") / F.sum("n")).alias("d_mae"), F.avg((F.col("s") < 0).cast("double")).alias("win_share"))
 
 
+#: Clusters of a bucket in which ranks are given, and draws of a row from which they are exploded.
+RANKED, DRAWN = 1024, 4096
+
+
+def ranked_clusters(clusters: DataFrame, by: str, key: str) -> DataFrame:
+    """clusters, unique by (by, key), with rank from 0 within by, and size, the clusters of by.
+
+    Ranks are given within buckets of about RANKED clusters and moved on by the sizes of the buckets before, so no task sorts all.
+    """
+    sizes = clusters.groupBy(by).agg(F.count("*").alias("size"))
+    rows = clusters.join(sizes, by).withColumn("_b", F.pmod(F.xxhash64(key), F.ceil(F.col("size") / RANKED)))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(by, "_b").agg(F.count("*").alias("_n")).select(by, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_b").orderBy(key)) - 1
+    return rows.withColumn("_own", own).join(offsets, [by, "_b"]).withColumn("rank", F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
+
+
+def resample_counts(sizes: DataFrame, by: str, draws: int) -> DataFrame:
+    """by, draw, rank, w: how often each rank is drawn when size of them are drawn with replacement, draws times; ranks never drawn are left out.
+
+    A pick is the MD5 of (by, draw, number) modulo size, so that it doesn't depend on where it is computed.
+    """
+    each = sizes.select(by, "size", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    each = each.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(DRAWN).cast("long"))))
+    each = each.withColumn("_j", F.explode(F.sequence("_from", F.least(F.col("_from") + DRAWN, F.col("size")) - 1)))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", by, "draw", "_j")), 1, 13), 16, 10).cast("long")
+    return each.groupBy(by, "draw", (number % F.col("size")).alias("rank")).agg(F.count("*").alias("w"))
+
+
 def cluster_bootstrap(records: DataFrame, model: str, ref: str, draws: int = 500) -> DataFrame:
-    """h, ci_low, ci_high of d_mae, resampling territories with Poisson weights from hashes."""
+    """h, ci_low, ci_high of d_mae: of each draw as many territories with replacement as there are."""
     by_cluster = differences(records, model, ref).groupBy("h", "territory_id").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
-    rows = by_cluster.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.pmod(F.xxhash64("territory_id", "draw"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, term, below = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(8):  # inverse distribution function of a Poisson variable of mean 1
-        below += term
-        term /= k + 1
-        weight = weight + (u > below).cast("int")
-    mean = rows.withColumn("w", weight).groupBy("h", "draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    ranked = ranked_clusters(by_cluster, "h", "territory_id")
+    counts = resample_counts(ranked.select("h", "size").distinct(), "h", draws)
+    rows = counts.join(ranked.select("h", "rank", "s", "n"), ["h", "rank"])
+    mean = rows.groupBy("h", "draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
     return mean.groupBy("h").agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
 
 

@@ -190,11 +190,6 @@ def model_compare(spark, sf):
     return out.select("h", F.round("d_mae", 2).alias("d_mae"), F.round("win_share", 6).alias("win_share"))
 
 
-@register()
-def cluster_bootstrap(spark, sf):
-    return evaluate.cluster_bootstrap(records(spark, sf, ("snaive", "snaive_growth")), "snaive_growth", "snaive")
-
-
 @register(query("""
 , r AS (SELECT *, ln(y_true / y_pred) AS r FROM core WHERE model = 'snaive_growth' AND y_true > 0 AND y_pred > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY origin) AS k, count(*) OVER (PARTITION BY h) AS c FROM (SELECT DISTINCT h, origin FROM r)),
@@ -319,26 +314,6 @@ def panel_regional(spark, sf):
     return scored(detect.either(detect.expanding_rank(detect.panel_score(rows)), detect.expanding_rank(detect.regional(rows))), 9)
 
 
-@register()
-def bocpd_score(spark, sf):
-    return detect.change_points(detect.remove_common(residual(spark, sf)))
-
-
-@register()
-def pelt_score(spark, sf):
-    return detect.segmentation(detect.remove_common(residual(spark, sf)))
-
-
-@register()
-def binseg_score(spark, sf):
-    return detect.segmentation(detect.remove_common(residual(spark, sf)), "binseg")
-
-
-@register()
-def all_detectors(spark, sf):
-    return detect.all_scores(residual(spark, sf))
-
-
 ALARMS = """mo AS (SELECT territory_id, month, max(score) AS score FROM p1 WHERE month >= DATE '1997-01-01' GROUP BY ALL),
 alarms AS (SELECT *, coalesce(score > quantile_cont(score, 0.8) OVER (PARTITION BY month), false) AS alarm FROM mo),
 events_mo AS (SELECT o_nation AS territory_id, month FROM (SELECT c_nationkey AS o_nation, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1997-02-01' AND o_orderdate < TIMESTAMP '2001-05-01' GROUP BY ALL) WHERE top >= 450000)"""

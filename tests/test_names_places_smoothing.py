@@ -186,3 +186,46 @@ def test_raw_indices(spark):
     rows = smoothing.with_indices(df).collect()
     for row in rows:
         assert row["index"] == pytest.approx(season[row["moy"] - 1] * 12 / sum(season) if row["territory_id"] == 1 else 1.0)
+
+
+def test_folds_match_plain_kernels(spark):
+    """Change points and segments by folds against numpy loops; the scale against its definition."""
+    import kernels
+    import numpy as np
+
+    from panelcast.operators import folds
+
+    r = np.random.default_rng(1)
+    series = [r.normal(size=n).tolist() for n in (1, 2, 6, 7, 30, 80)] + [[0.0] * 40, [1.0] * 20 + [9.0] * 20 + [2.0] * 21, (r.normal(size=61) + np.repeat([0, 5, -3], [20, 20, 21])).tolist()]
+    df = spark.createDataFrame(list(enumerate(series)), "i int, x array<double>")
+    rows = df.select("x", *[F.expr(e).alias(n) for n, e in (("p", folds.segment_score("x")), ("b", folds.segment_score("x", "binseg")), ("c", folds.change_probability("x")), ("s", folds.expanding_scale("x")))]).collect()
+    assert max(max(row["p"]) for row in rows) == 32
+    for row in rows:
+        x = np.array(row["x"])
+        assert np.allclose(kernels.segment_score(x), row["p"]) and np.allclose(kernels.segment_score(x, "binseg"), row["b"]) and np.allclose(kernels.bocpd(x), row["c"])
+        for t, s in enumerate(row["s"]):
+            assert s == (None if t < 4 else pytest.approx(max(0.01, 1.4826 * np.median(abs(x[:t] - np.median(x[:t]))))))
+
+
+def test_folds_pass_over_missing_values(spark):
+    from panelcast.operators import folds
+
+    row = spark.createDataFrame([([1.0, None, 2.0, 4.0, 7.0, None, 9.0],)], "x array<double>").select(F.expr(folds.change_probability("x")).alias("c"), F.expr(folds.expanding_scale("x")).alias("s")).first()
+    assert [v is None for v in row["c"]] == [False, True, False, False, False, True, False]
+    assert row["s"] == [None] * 5 + [pytest.approx(1.4826 * 1.5)] * 2
+
+
+def test_resampled_counts(spark, monkeypatch):
+    """Counts of each draw sum to the number of clusters, whatever the blocks; ranks are each given once."""
+    from panelcast.operators import evaluate
+
+    monkeypatch.setattr(evaluate, "DRAWN", 7)
+    monkeypatch.setattr(evaluate, "RANKED", 10)
+    clusters = spark.createDataFrame([(h, t) for h in (1, 3) for t in range(40 + h)], "h int, territory_id int")
+    ranked = evaluate.ranked_clusters(clusters, "h", "territory_id")
+    assert sorted((r["h"], r["rank"]) for r in ranked.collect()) == [(h, k) for h in (1, 3) for k in range(40 + h)]
+    counts = evaluate.resample_counts(ranked.select("h", "size").distinct(), "h", 50)
+    sums = {(r["h"], r["draw"]): r["n"] for r in counts.groupBy("h", "draw").agg(F.sum("w").alias("n")).collect()}
+    assert sums == {(h, d): 40 + h for h in (1, 3) for d in range(1, 51)}
+    spread = counts.where("h = 1").groupBy("rank").agg((F.sum("w") / 50).alias("w")).collect()
+    assert len(spread) == 41 and all(0.4 < r["w"] < 1.8 for r in spread)

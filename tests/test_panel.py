@@ -5,13 +5,14 @@ import itertools
 import math
 
 import duckdb
+import kernels
 import numpy as np
 import pandas as pd
 import pytest
 
 from panelcast import config
 from panelcast.functions import text
-from panelcast.operators import detect, evaluate, expanding, forecast, kernels, learn, news, panel
+from panelcast.operators import detect, evaluate, expanding, forecast, learn, news, panel
 from panelcast.plans import catalog, fixtures
 from panelcast.sources.tables import read_export, read_labels
 from pyspark.sql import functions as F
