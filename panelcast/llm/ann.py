@@ -16,10 +16,10 @@ from panelcast.llm.common import Scratch, cut
 SAMPLE = 8192
 #: Coarse centroids fitted at once; an index of more lists has a second level, centroids of what is left of them.
 FIRST_LEVEL = 1024
-#: Dimensions of vectors, each searched by itself, that a table may have; more are refused.
-MAX_DIMENSIONS = 64
+#: Dimensions of vectors that have an index of their own, the most frequent; all vectors of each other one are a list.
+INDEXED = 16
 #: Rows of an inverted list, and queries that visit it, which one task compares.
-LIST_BLOCK, QUERY_BLOCK = 4096, 512
+LIST_BLOCK, QUERY_BLOCK = 4096, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -85,90 +85,110 @@ class Index:
         rest = (x - self.centres[lists]).reshape(len(x), len(self.codebooks), -1)
         return np.stack([assign(rest[:, p], self.codebooks[p]) for p in range(len(self.codebooks))], axis=1).astype(np.uint8)
 
-    def visits(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+    def visits(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The probes lists nearest to each of x, and as many more as it takes until they have least rows; lists without rows are passed over."""
+        order = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")
+        out = []
+        for row in order:
+            row = row[sizes[row] > 0]
+            enough = int(np.searchsorted(np.cumsum(sizes[row]), least)) + 1
+            out.append(row[: max(self.probes, enough)])
+        return out
 
 
 def search(vectors: DataFrame, every: int = 50, top: int = 5, parts: int = 16, recall: float = 0.99, keep: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows by cosine of each vec_id divisible by every.
 
-    A query visits the lists nearest to it. In each block of a list, distances from tables of the query
-    against the codebooks choose keep rows, and all that tie with the last of them; the exact cosine in
-    double precision ranks those, ties by smaller vec_id. Rows of the query's own vec_id are no
-    candidates. Vectors that are null, zero or hold null or non-finite components, and null ids take no
-    part. A cosine needs equal dimensions, so vectors of each dimension are indexed and searched by themselves.
-    Repeated queries are answered once, by the least of their vectors; repeated rows are candidates each. Other
-    columns are ignored; an empty table gives no rows.
+    A query visits the lists nearest to it, and further ones until they have top candidates, so that it has fewer only where the table
+    has. In each block of a list, distances from tables of the query against the codebooks choose keep rows, and all that tie with the
+    last of them; the exact cosine in double precision ranks those, ties by smaller vec_id. Rows of the query's own vec_id are no
+    candidates. Vectors that are null, zero or hold null or non-finite components, and null ids take no part. A cosine needs equal
+    dimensions, so vectors of each dimension meet among themselves; those of a dimension that has no index of its own, in one list each.
+    Repeated queries are answered once, by the least of their vectors; repeated rows are candidates each. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").where(usable(F.col("embedding")))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(MAX_DIMENSIONS + 1).collect()
-    if len(sizes) > MAX_DIMENSIONS:
-        raise ValueError(f"more than {MAX_DIMENSIONS} dimensions")
-    found = [search_dimension(rows.where(F.size("embedding") == r["d"]), r["n"], r["d"], every, top, parts, recall, keep) for r in sizes]
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    for part in found:
-        out = out.unionByName(part)
-    return out
-
-
-def search_dimension(rows: DataFrame, n: int, dimension: int, every: int, top: int, parts: int, recall: float, keep: int) -> DataFrame:
-    """search for n vectors of one dimension, all usable."""
-    spark = rows.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").where(usable(F.col("embedding"))).withColumn("d", F.size("embedding"))
+    with Scratch(spark) as scratch:
+        sizes = rows.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(INDEXED).collect()
+        indexes = {r["d"]: fitted(rows.where(F.col("d") == r["d"]), r["n"], r["d"], parts, recall, top) for r in sizes}
+        return cut(searched(rows, indexes, scratch, every, top, keep))
+
+
+def fitted(rows: DataFrame, n: int, dimension: int, parts: int, recall: float, top: int) -> Index:
+    """The index of n vectors of one dimension, from those with the least hashed ids."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     parts = next(p for p in range(min(parts, dimension), 0, -1) if dimension % p == 0)
-    index = Index.fit(unit(sample["embedding"]), int(max(1, n**0.5 / 4)), parts, recall, top)
+    return Index.fit(unit(sample["embedding"]), int(max(1, n**0.5 / 4)), parts, recall, top)
+
+
+def searched(rows: DataFrame, indexes: dict[int, Index], scratch: Scratch, every: int, top: int, keep: int) -> DataFrame:
+    """search over usable rows with their dimension d."""
+    kind = dict(rows.dtypes)["embedding"]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                x = unit(b["embedding"])
-                lists = index.lists_of(x)
-                yield b.assign(list=lists, codes=[c.tobytes() for c in index.codes_of(x, lists)])
+            for d, part in b.groupby("d"):
+                index = indexes.get(d)
+                if index:
+                    x = unit(part["embedding"])
+                    lists = index.lists_of(x)
+                    yield part.assign(list=lists, codes=[c.tobytes() for c in index.codes_of(x, lists)])
+                else:
+                    yield part.assign(list=0, codes=b"")
+
+    indexed = scratch.table(rows.mapInPandas(place, f"vec_id long, embedding {kind}, d int, list int, codes binary"), "index")
+    # a row for each list of an index; candidates of a query are distinct from its own id's rows, of which there are as many as repeats
+    filled = {(r["d"], r["list"]): r["n"] for r in indexed.where(F.col("d").isin(list(indexes))).groupBy("d", "list").agg(F.count("*").alias("n")).collect()}
+    counts = {d: np.array([filled.get((d, i), 0) for i in range(len(x.centres))]) for d, x in indexes.items()}
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                found = index.visits(unit(b["embedding"]))
-                again = b.iloc[np.repeat(np.arange(len(b)), found.shape[1])]
-                yield again.rename(columns={"vec_id": "query_id"}).assign(list=found.ravel())
-
-    kind = dict(rows.dtypes)["embedding"]
-    with Scratch(spark) as scratch:
-        indexed = scratch.table(rows.mapInPandas(place, f"vec_id long, embedding {kind}, list int, codes binary"), "index")
-        queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        visits = scratch.table(queries.mapInPandas(visit, f"query_id long, embedding {kind}, list int"), "visits")
-        count = lambda df: df.groupBy("list").agg(F.count("*").alias("n"))  # noqa: E731  a row for each list
-        shape = count(indexed).withColumnRenamed("n", "rows").join(count(visits), "list")
-        shape = cut(shape.select("list", F.ceil(F.col("rows") / LIST_BLOCK).alias("x"), F.ceil(F.col("n") / QUERY_BLOCK).alias("y")))
-        left = indexed.join(shape, "list").withColumn("at", F.pmod(F.xxhash64("vec_id"), F.col("x"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("y") - 1)))
-        right = visits.join(shape, "list").withColumn("to", F.pmod(F.xxhash64("query_id"), F.col("y"))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x") - 1)))
-
-        def compare(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = {"query_id": [], "vec_id": [], "score": []}
-            if len(own) and len(asked):
-                own = own.sort_values("vec_id", kind="stable")
-                ids, centre = own["vec_id"].to_numpy(), index.centres[int(own["list"].iloc[0])]
+            for d, part in b.groupby("d"):
+                found = [np.zeros(1, int)] * len(part)
+                if d in indexes:
+                    x, repeats = unit(part["embedding"]), part["repeats"].to_numpy()
+                    found = [indexes[d].visits(x[i : i + 1], counts[d], top + repeats[i])[0] for i in range(len(x))]
+                again = part.iloc[np.repeat(np.arange(len(part)), [len(f) for f in found])]
+                yield again.rename(columns={"vec_id": "query_id"}).drop(columns="repeats").assign(list=np.concatenate(found))
+
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "d").agg(F.min("embedding").alias("embedding"), F.count("*").alias("repeats"))
+    queries = queries.withColumn("_k", F.row_number().over(Window.partitionBy("vec_id").orderBy("d"))).where("_k = 1").drop("_k")
+    visits = scratch.table(queries.mapInPandas(visit, f"query_id long, d int, embedding {kind}, list int"), "visits")
+    keys = ["d", "list"]
+    count = lambda df: df.groupBy(*keys).agg(F.count("*").alias("n"))
+    shape = count(indexed).withColumnRenamed("n", "rows").join(count(visits), keys)
+    shape = cut(shape.select(*keys, F.ceil(F.col("rows") / LIST_BLOCK).alias("x"), F.ceil(F.col("n") / QUERY_BLOCK).alias("y")))
+    left = indexed.join(shape, keys).withColumn("at", F.pmod(F.xxhash64("vec_id"), F.col("x"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("y") - 1)))
+    right = visits.join(shape, keys).withColumn("to", F.pmod(F.xxhash64("query_id"), F.col("y"))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x") - 1)))
+
+    def compare(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": []}
+        if len(own) and len(asked):
+            own = own.sort_values("vec_id", kind="stable")
+            index, ids = indexes.get(int(own["d"].iloc[0])), own["vec_id"].to_numpy()
+            raw = np.array([np.asarray(v, np.float64) for v in own["embedding"]])
+            norms = np.sqrt((raw * raw).sum(axis=1))
+            if index:
+                centre = index.centres[int(own["list"].iloc[0])]
                 codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), -1).astype(np.int64)
-                raw = np.array([np.asarray(v, np.float64) for v in own["embedding"]])
-                norms = np.sqrt((raw * raw).sum(axis=1))
                 offsets = np.arange(codes.shape[1]) * index.codebooks.shape[1]
-                for query_id, vector in zip(asked["query_id"], asked["embedding"], strict=True):
-                    q = np.asarray(vector, np.float64)
-                    length = np.sqrt((q * q).sum())
+            for query_id, vector in zip(asked["query_id"], asked["embedding"], strict=True):
+                q = np.asarray(vector, np.float64)
+                length = np.sqrt((q * q).sum())
+                close = np.flatnonzero(ids != query_id)
+                if index and len(close) > keep:
                     table = np.einsum("pcd,pd->pc", index.codebooks, (q / length).reshape(len(index.codebooks), -1)).ravel()
-                    near = table[codes + offsets].sum(axis=1) + centre @ q / length
-                    near[ids == query_id] = -np.inf
-                    least = np.partition(near, -keep)[-keep] if len(near) > keep else -np.inf
-                    close = np.flatnonzero((near >= least - 1e-9) & (ids != query_id))
-                    score = (raw[close] * q).sum(axis=1) / (norms[close] * length)
-                    best = np.lexsort((ids[close], -score))[:top]
-                    out["query_id"] += [query_id] * len(best)
-                    out["vec_id"] += ids[close][best].tolist()
-                    out["score"] += score[best].tolist()
-            return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-        cells = left.groupBy("list", "at", "to").cogroup(right.groupBy("list", "at", "to"))
-        found = cells.applyInPandas(compare, "query_id long, vec_id long, score double")
-        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-        return cut(ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"))
+                    near = table[codes[close] + offsets].sum(axis=1) + centre @ q / length
+                    close = close[near >= np.partition(near, -keep)[-keep] - 1e-9]
+                score = (raw[close] * q).sum(axis=1) / (norms[close] * length)
+                best = np.lexsort((ids[close], -score))[:top]
+                out["query_id"] += [query_id] * len(best)
+                out["vec_id"] += ids[close][best].tolist()
+                out["score"] += score[best].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    cells = left.groupBy(*keys, "at", "to").cogroup(right.groupBy(*keys, "at", "to"))
+    found = cells.applyInPandas(compare, "query_id long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

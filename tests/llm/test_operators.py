@@ -497,7 +497,36 @@ def test_two_level_index():
     old, ann.FIRST_LEVEL = ann.FIRST_LEVEL, 4
     index = ann.Index.fit(x, 15, 4, 0.99, 5)
     ann.FIRST_LEVEL = old
-    assert index.centres.shape == (16, 8) and index.visits(x[:3]).shape[1] == index.probes
+    assert index.centres.shape == (16, 8)
+    sizes = np.bincount(index.lists_of(x), minlength=16)
+    assert all(len(v) >= min(index.probes, (sizes > 0).sum()) and sizes[v].sum() >= 9 for v in index.visits(x[:3], sizes, 9))
+    assert all(sizes[v].sum() == 600 for v in index.visits(x[:3], sizes, 600))
+
+
+def test_small_far_groups_have_all_their_neighbours(spark):
+    """A query whose lists hold fewer rows than asked for goes on to others."""
+    r = np.random.default_rng(11)
+    for seed in range(3):
+        centres = r.normal(size=(5, 16))
+        rows = [(i, (centres[i % 5] + 0.4 * r.normal(size=16)).tolist()) for i in range(600)]
+        rows += [(5000 + i, (-20 * centres.sum(axis=0) + 0.01 * r.normal(size=16)).tolist()) for i in range(3)]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+        per = {}
+        for x in got:
+            per.setdefault(x["query_id"], []).append(x["vec_id"])
+        assert {len(v) for v in per.values()} == {5} and set(per) == {i for i, _ in rows if i % 50 == 0} and set(per[5000][:2]) == {5001, 5002}
+
+
+def test_many_dimensions(spark):
+    rows = [(i, [1.0 + i % 7] + [float(j % 3) + 0.1 * i for j in range(i % 70)]) for i in range(700)] + [(0, [1.0, 2.0]), (50, None), (100, [0.0])]
+    rows = [(i, v and [float(np.float32(x)) for x in v]) for i, v in rows]
+    got = {}
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    use = [(i, np.array(v)) for i, v in rows if v and any(v)]
+    for q, v in [(q, v) for q, v in use if q % 50 == 0 and (q, len(v)) != (0, 2)]:
+        near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), i) for i, w in use if i != q and len(w) == len(v))
+        assert len(got.get(q, [])) == min(5, len(near)) and set(got.get(q, [])) <= {i for _, i in near}
 
 
 def test_search_by_dimension(spark):
@@ -538,3 +567,16 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "no")).count() == 0
     ids = {i for r in out for i in r["doc_ids"]}
     assert out and not ids & {12, 13, 14, 17, 18, 19} and all(sum(r["lengths"]) == r["used"] <= r["capacity"] for r in out)
+
+
+def test_languages_are_the_same_however_rows_are_dealt(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30, "bcdf" if i % 2 else "ghklm"), "xy"[i % 2], "s", 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [{tuple(r) for r in langid.identify(docs.repartition(n, "doc_id")).collect()} for n in (1, 2, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 300
+
+
+def test_documents_without_any_label_stay(spark):
+    docs = spark.createDataFrame([(1, "some words here", None, "s", 1, 5), (2, None, None, "s", 1, 5), (3, "12 !", None, "s", 1, 5)], "doc_id long, text string, lang string, source string, n_chars long, _none int")
+    assert [r["doc_id"] for r in langid.keep_identified(docs).collect()] == [1]
+    labelled = docs.union(spark.createDataFrame([(i, prose(i, 40), "xx", "s", 1, 6) for i in range(5, 30)], docs.schema))
+    assert {r["_none"] for r in langid.keep_identified(labelled).collect() if r["doc_id"] > 4} == {6}
