@@ -30,7 +30,9 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def carried(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, text, more, and the other columns of docs as the struct _row, so that no name of docs meets one of ours."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", *more, F.struct(*others, F.lit(0).alias("_none")).alias("_row"))
+    # a struct needs a field; its name is none of docs
+    none = "_" + max(others, key=len, default="none")
+    return docs.select("doc_id", "text", *more, F.struct(*others, F.lit(0).alias(none)).alias("_row"))
 
 
 def unfolded(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from panelcast.llm.common import carried, text_batches
 SYMBOLS, DIMENSIONS = 48, 1024
 #: Prototypes are kept on the driver, one for each language; more languages than this are refused.
 MAX_LANGUAGES = 10_000
-#: Vectors are summed as multiples of this, so that sums don't depend on their order.
+#: Weights are whole multiples of one part in so many, so that sums don't depend on their order.
 GRAIN = 1 << 20
 
 
@@ -32,7 +32,10 @@ def letter_vectors(seed: int = 5) -> np.ndarray:
 
 
 def trigrams(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the trigrams around each letter and their weights, of Euclidean length 1; none without letters."""
+    """Codes of the trigrams around each letter and their weights, in GRAINs of a vector of length 1; none without letters.
+
+    Weights are whole, so that sums of them are exact in any order, however rows are dealt to batches.
+    """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     high = points >= len(table)
     s = table[np.where(high, 0, points)]
@@ -42,11 +45,11 @@ def trigrams(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.r_[0, s, 0]
     s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
     if len(s) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0)
     middle = s[1:-1] > 0
     codes, counts = np.unique(((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])[middle], return_counts=True)
-    weights = np.sqrt(counts).astype(np.float32)
-    return codes, weights / np.linalg.norm(weights) if len(codes) else weights
+    weights = np.sqrt(counts)
+    return codes, np.rint(weights / np.linalg.norm(weights) * GRAIN)
 
 
 def bundle(codes: list[np.ndarray], weights: list[np.ndarray], rows: np.ndarray, n: int, letters: np.ndarray) -> np.ndarray:
@@ -55,10 +58,10 @@ def bundle(codes: list[np.ndarray], weights: list[np.ndarray], rows: np.ndarray,
     A trigram's vector is the product of its letters' vectors, each rotated by its place.
     """
     found, at = np.unique(np.concatenate(codes), return_inverse=True)
-    counts = np.zeros((n, len(found)), np.float32)
+    counts = np.zeros((n, len(found)))
     np.add.at(counts, (np.repeat(rows, [len(c) for c in codes]), at), np.concatenate(weights))
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    out = np.zeros((n, DIMENSIONS), np.float32)
+    out = np.zeros((n, DIMENSIONS))
     for i in range(0, len(found), 1024):  # so that memory doesn't follow the number of trigrams
         x = found[i : i + 1024]
         out += counts[:, i : i + 1024] @ (first[x // (SYMBOLS * SYMBOLS)] * second[x // SYMBOLS % SYMBOLS] * letters[x % SYMBOLS])
@@ -77,7 +80,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
                 each = [trigrams(t, table) for t in part["text"]]
                 vectors = bundle([c for c, _ in each], [w for _, w in each], np.array([langs[x] for x in part["lang"]]), len(langs), letters)
                 for x, i in langs.items():
-                    sums[x] = sums.get(x, 0) + np.rint(vectors[i].astype(np.float64) * GRAIN)
+                    sums[x] = sums.get(x, 0) + vectors[i]
         if sums:
             yield pd.DataFrame({"lang": list(sums), "vector": [v.astype(np.int64) for v in sums.values()]})
 
@@ -98,7 +101,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
 def predict(prototypes: dict[str, list[float]], text: str = "text") -> Column:
     """Struct lang_pred, score: the nearest prototype and its cosine, 0 if negative; ties go to the first
     by name. A text that is null or has no letter, and any text if nothing was learned, is und with 0."""
-    names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(len(prototypes), DIMENSIONS)
+    names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float64).reshape(len(prototypes), DIMENSIONS)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -109,7 +112,7 @@ def predict(prototypes: dict[str, list[float]], text: str = "text") -> Column:
                 each = {at + i: x for i, t in enumerate(texts.iloc[at : at + 256]) if t is not None and len((x := trigrams(t, table))[0])}
                 if each and names:
                     vectors = bundle([c for c, _ in each.values()], [w for _, w in each.values()], np.arange(len(each)), len(each), letters)
-                    cosines = vectors @ matrix.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+                    cosines = np.round(vectors @ matrix.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), 9)
                     best = cosines.argmax(axis=1)
                     langs[list(each)] = np.array(names, object)[best]
                     scores[list(each)] = np.clip(cosines[np.arange(len(best)), best], 0, 1)
@@ -137,9 +140,11 @@ def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """docs less those whose language can't be told: no letters, or a cosine below least, near that of random text.
 
     Null texts have no letters. Repeated rows stay or go together; columns of any name are kept; an empty table
-    gives no rows, and one without labels too, as nothing is learned.
+    gives no rows. Without labels nothing is learned, and all that have a letter stay.
     """
     prototypes = learn(docs.where(~held_out()))
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = carried(docs, predict(prototypes).alias("found"))
     kept = found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= least))
     return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
