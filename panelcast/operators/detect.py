@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.operators.expanding import quantiles, ranks, union
 from panelcast.operators.folds import change_probability, expanding_scale, over_series, segment_score
 from panelcast.operators.panel import SERIES
+from panelcast.operators.selection import grouped_quantile, with_grouped_quantile
 from panelcast.sources.sinks import kept
 
 
@@ -23,7 +24,9 @@ def with_scale(rows: DataFrame, x: str, keys: tuple = SERIES, least: int = 4, fl
 
 
 def remove_common(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("e", F.col("e") - F.median("e").over(Window.partitionBy("category", "month")))
+    """e less the median of its category in the month."""
+    rows = with_grouped_quantile(rows, ["category", "month"], "e", 0.5, "_common")
+    return rows.withColumn("e", F.col("e") - F.col("_common")).drop("_common")
 
 
 def standardised(rows: DataFrame, x: str = "e", keys: tuple = SERIES) -> DataFrame:
@@ -40,9 +43,10 @@ def conformal(rows: DataFrame, t_cal: int = 6, q: float = 0.9) -> DataFrame:
 
 def panel_score(rows: DataFrame, least: int = 4) -> DataFrame:
     """Residual less the median of the category in the region (of all, where the region has fewer than least series), in own scales."""
-    region, category = Window.partitionBy("category", "region_code", "month"), Window.partitionBy("category", "month")
-    n = F.count("*").over(region)  # the calendar is dense: every series has a row
-    rows = rows.withColumn("_d", F.col("e") - F.when(n >= least, F.median("e").over(region)).otherwise(F.median("e").over(category)))
+    region, category = ["category", "region_code", "month"], ["category", "month"]
+    n = rows.groupBy(*region).agg(F.count("*").alias("_n"))  # the calendar is dense: every series has a row
+    rows = with_grouped_quantile(with_grouped_quantile(rows, region, "e", 0.5, "_r"), category, "e", 0.5, "_c").join(n, region)
+    rows = rows.withColumn("_d", F.col("e") - F.when(F.col("_n") >= least, F.col("_r")).otherwise(F.col("_c"))).drop("_r", "_c", "_n")
     return standardised(rows, "_d").withColumn("score", F.abs("z")).drop("_d", "z")
 
 
@@ -88,7 +92,8 @@ def regional(rows: DataFrame, least: int = 4) -> DataFrame:
     """Median of the region's residuals less the category's, in the regional series' own scales, for each of its territories."""
     e = remove_common(rows)
     keys = ("category", "region_code")
-    region = e.groupBy(*keys, "month").agg(F.median("e").alias("_m"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    many = e.groupBy(*keys, "month").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    region = grouped_quantile(e, [*keys, "month"], "e", 0.5, "_m").join(many, [*keys, "month"])
     region = with_scale(region, "_m", keys).select(*keys, "month", (F.abs("_m") / F.col("scale")).alias("score"))
     return rows.join(region, [*keys, "month"], "left")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.selection import with_grouped_quantile
+
 
 def core(records: DataFrame) -> DataFrame:
     return records.where("complete and y_true is not null and y_pred is not null")
@@ -110,8 +112,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def top_share_alarms(scores: DataFrame, budget: float, by: list[str]) -> DataFrame:
     """alarm: whether the score is above the quantile 1 - budget of its group."""
-    limit = F.percentile("score", F.lit(1 - budget)).over(Window.partitionBy(*by))
-    return scores.withColumn("alarm", F.coalesce(F.col("score") > limit, F.lit(False)))
+    rows = with_grouped_quantile(scores, by, "score", 1 - budget, "_limit")
+    return rows.withColumn("alarm", F.coalesce(F.col("score") > F.col("_limit"), F.lit(False))).drop("_limit")
 
 
 def event_hits(alarms: DataFrame, events: DataFrame, before: int = 1, after: int = 2) -> DataFrame:

@@ -103,9 +103,15 @@ def history(dense: DataFrame, origins: list[str]) -> DataFrame:
     return dense.withColumn("origin", F.explode(known))
 
 
+def at_origins(dense: DataFrame, origins: list[str], months: int) -> DataFrame:
+    """Rows of the last months at each origin."""
+    near = F.filter(F.array(*[F.lit(o).cast("date") for o in origins]), lambda o: (o >= F.col("month")) & (F.add_months(o, -months) < F.col("month")))
+    return dense.withColumn("origin", F.explode(near))
+
+
 def national_profile(dense: DataFrame, origins: list[str], years: int = 5) -> DataFrame:
     """category, origin, moy, s_nat: centred month means of the detrended log of the national series in the last years."""
-    past = history(national(dense).where("y > 0"), origins).where(F.col("month") > F.add_months("origin", -12 * years))
+    past = at_origins(national(dense).where("y > 0"), origins, 12 * years)
     w = Window.partitionBy("category", "origin").orderBy("month")
     rows = past.withColumns({"_l": F.log("y"), "_i": F.row_number().over(w) - 1}).withColumn("_d", F.col("_l") - F.lag("_l", 12).over(w))
     rows = rows.withColumn("_g", F.coalesce(F.avg("_d").over(Window.partitionBy("category", "origin")) / 12, F.lit(0.0)))
@@ -123,10 +129,14 @@ def seasonal_profiles(dense: DataFrame, origins: list[str], k_growth: int = 3, l
     growth = growth if growth is not None else regional_growth(dense, k_growth, more_than)
     growth = growth.select("category", "region_code", F.col("month").alias("origin"), (F.log("g") / 12).alias("g_month"))
     first = dense.agg(F.min("month").alias("_first"))
-    past = history(dense, origins).join(growth, ["category", "region_code", "origin"]).crossJoin(F.broadcast(first))
-    position = F.months_between("month", "_first")
-    level = F.when(F.col("y") > 0, F.log("y")) - F.col("g_month") * position
-    own = past.groupBy(*SERIES, "region_code", "origin", "g_month", F.month("month").alias("moy")).agg(F.avg(level).alias("d"))
+    # the mean of logs less growth times position is that of each: running sums by month of the year give it at every origin, and
+    # the last twelve months of an origin hold one row for each month of the year
+    known = F.when(F.col("y") > 0, F.log("y"))
+    w = Window.partitionBy(*SERIES, "moy").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    running = dense.crossJoin(F.broadcast(first)).withColumns({"moy": F.month("month"), "_position": F.months_between("month", "_first")})
+    running = running.select(*SERIES, "region_code", "month", "moy", F.count(known).over(w).alias("_n"), F.sum(known).over(w).alias("_sum"), F.sum(F.when(known.isNotNull(), F.col("_position"))).over(w).alias("_at"))
+    rows = at_origins(running, origins, 12).join(growth, ["category", "region_code", "origin"])
+    own = rows.select(*SERIES, "region_code", "origin", "g_month", "moy", ((F.col("_sum") - F.col("g_month") * F.col("_at")) / F.col("_n")).alias("d"))
     series = Window.partitionBy(*SERIES, "origin")
     own = own.withColumns({"_n": F.count("d").over(series), "d": F.col("d") - F.avg("d").over(series)})
     whole = F.when(F.col("_n") == 12, F.col("d"))
@@ -165,8 +175,8 @@ def seasonal_transfer(dense: DataFrame, asked: DataFrame, origins: list[str], k_
     median as level; categories in undamped keep their growth.
     """
     s = seasonal_profiles(dense, origins, **profile)
-    past = history(dense, origins).withColumn("moy", F.month("month")).withColumn("_j", F.months_between("origin", "month"))
-    recent = past.where(F.col("_j") < max(k_level, 12 if beta_trend else 0)).join(s, [*SERIES, "region_code", "origin", "moy"])
+    past = at_origins(dense, origins, max(k_level, 12 if beta_trend else 0)).withColumn("moy", F.month("month")).withColumn("_j", F.months_between("origin", "month"))
+    recent = past.join(s, [*SERIES, "region_code", "origin", "moy"])
     if beta_trend:
         trends = own_trends(recent, beta_trend)
         recent = recent.join(trends, [*SERIES, "origin"]).withColumn("g_month", F.col("_own")).drop("_own")

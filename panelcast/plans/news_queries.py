@@ -103,6 +103,52 @@ def expanded_events(spark, sf):
     return out.select("channel", "msg_id", "event_type", "scope", "territory_id", "region_code", "level", "confidence")
 
 
+#: Texts are the documents; places are named by a word of a page's title, by turns as a region, a municipality and a settlement.
+TITLED = """titled AS (SELECT page_id, lower(regexp_extract(regexp_extract(html, '<title>([^<]*)', 1), '[A-Za-z]{3,}', 0)) AS alias FROM pages),
+places AS (SELECT alias, ['region', 'mo', 'settlement'][page_id % 3 + 1] AS level, CASE WHEN page_id % 3 > 0 THEN page_id END AS territory_id, (page_id % 40)::INT AS region_code, CASE WHEN page_id % 3 = 2 THEN page_id * 99991 % 300000 END AS population FROM titled WHERE alias <> '')"""
+NAMES_OF_TEXTS = """tok AS (SELECT channel, msg_id, unnest(list_concat(list_filter(w, lambda x: regexp_matches(x, '^[А-ЯЁA-Z][А-Яа-яЁёA-Za-z-][А-Яа-яЁёA-Za-z-]+$')),
+  list_filter(list_transform(w[1:len(w) - 1], lambda x, i: CASE WHEN regexp_matches(x, '^[А-ЯЁA-Z][А-Яа-яЁёA-Za-z-][А-Яа-яЁёA-Za-z-]+$') AND regexp_matches(w[i + 1], '^[А-Яа-яЁёA-Za-z-]+$') THEN x || ' ' || w[i + 1] END), lambda x: x IS NOT NULL))) AS token FROM words),
+"""
+DOCUMENTS_RESOLVED = RESOLVED.replace(fx.PHRASED, "said AS (SELECT coalesce(source, '') AS channel, doc_id AS msg_id, text FROM documents WHERE text IS NOT NULL)").replace(fx.GAZETTEER, TITLED)
+DOCUMENTS_RESOLVED = DOCUMENTS_RESOLVED[: DOCUMENTS_RESOLVED.index("cap AS")] + NAMES_OF_TEXTS + DOCUMENTS_RESOLVED[DOCUMENTS_RESOLVED.index("named AS") :]
+
+
+def titled_places(spark, sf) -> DataFrame:
+    k = F.col("page_id")
+    alias = F.lower(F.regexp_extract(F.regexp_extract("html", "<title>([^<]*)", 1), "[A-Za-z]{3,}", 0))
+    rows = table(spark, sf, "pages").select(
+        alias.alias("alias"), F.element_at(F.array(*map(F.lit, ("region", "mo", "settlement"))), (k % 3 + 1).cast("int")).alias("level"), F.when(k % 3 > 0, k).alias("territory_id"),
+        (k % 40).cast("int").alias("region_code"), F.lit(None).cast("string").alias("region_name"), F.when(k % 3 == 2, k * 99991 % 300000).alias("population"),
+    )
+    return rows.where("alias <> ''").withColumn("stem", texts.stemmed(F.col("alias")))
+
+
+def document_messages(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("channel"), F.col("doc_id").alias("msg_id"), "text")
+
+
+@register("WITH " + DOCUMENTS_RESOLVED + "SELECT channel, msg_id, territory_id, region_code, level, confidence, matched FROM resolved")
+def document_places(spark, sf):
+    """Places that the documents' whole texts name, of a gazetteer made of the pages' titles."""
+    return news.resolve_places(news.name_tokens(document_messages(spark, sf)), titled_places(spark, sf))
+
+
+RECOGNISED = DOCUMENTS_RESOLVED.replace("WHEN dom = territory_id THEN 'medium' END", f"WHEN dom IS NOT NULL THEN CASE WHEN dom = territory_id THEN 'medium' END WHEN NOT risky AND bool_or(level = 'mo') OVER (PARTITION BY channel, msg_id, stem) AND min(territory_id) OVER (PARTITION BY channel, msg_id, stem) = max(territory_id) OVER (PARTITION BY channel, msg_id, stem) THEN 'medium' END")
+
+
+@register("WITH " + RECOGNISED + "SELECT channel, msg_id, territory_id, region_code, level, confidence, matched FROM resolved")
+def recognised_places(spark, sf):
+    """The same, with the names as a recogniser's, of which an unambiguous municipality counts by itself."""
+    tokens = news.name_tokens(document_messages(spark, sf)).withColumn("kind", F.lit("ner"))
+    return news.resolve_places(tokens, titled_places(spark, sf))
+
+
+@register("SELECT doc_id, replace(substring(text, 1, 280), chr(10), ' ') AS snippet FROM documents")
+def text_snippets(spark, sf):
+    """The beginning of each document on one line."""
+    return table(spark, sf, "documents").select("doc_id", texts.snippet(F.col("text")).alias("snippet"))
+
+
 # Answers of a language model, as JSON
 
 

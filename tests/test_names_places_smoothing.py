@@ -229,3 +229,43 @@ def test_resampled_counts(spark, monkeypatch):
     assert sums == {(h, d): 40 + h for h in (1, 3) for d in range(1, 51)}
     spread = counts.where("h = 1").groupBy("rank").agg((F.sum("w") / 50).alias("w")).collect()
     assert len(spread) == 41 and all(0.4 < r["w"] < 1.8 for r in spread)
+
+
+def test_quantiles_of_large_groups(spark, monkeypatch):
+    """Groups beyond the bound are searched by ranges: ties, negative and huge values, null keys and values."""
+    import numpy as np
+
+    from panelcast.operators import selection
+
+    monkeypatch.setattr(selection, "GATHERED", 20)
+    r = random.Random(9)
+    groups = {"a": [r.gauss(0, 1) for _ in range(500)], "b": [5.0] * 90 + [6.0] * 91, "c": [1.0, 2.0], None: [r.choice([-1e300, 1e300, 0.0, 1e-9]) for _ in range(61)], "d": [float(i) for i in range(100)], "e": [], "f": [10.0 ** r.randint(-9, 9) for _ in range(300)]}
+    rows = [(k, x) for k, v in groups.items() for x in [*v, None]]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = {x["k"]: x["v"] for x in selection.grouped_quantile(df, ["k"], "x", q, "v").collect()}
+        assert set(got) == set(groups)
+        for k, v in groups.items():
+            assert got[k] == (pytest.approx(float(np.quantile(v, q)), rel=1e-12) if v else None)
+    assert selection.grouped_quantile(df, [], "x", 0.5, "v").first()["v"] == pytest.approx(float(np.median([x for _, x in rows if x is not None])))
+    joined = selection.with_grouped_quantile(df, ["k"], "x", 0.5, "v")
+    assert joined.count() == len(rows) and joined.columns == ["k", "x", "v"]
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_asof_join_matches_brute_force(spark, before):
+    """A key with most rows, ties, keys without right rows, null keys and times; ranges are many more than keys."""
+    from panelcast.operators.asof import asof_join
+
+    r = random.Random(12)
+    left = [(i, r.choice(["hot"] * 8 + ["b", "c", "none", None]), r.choice([None, *range(60)])) for i in range(400)]
+    right = [(r.choice(["hot"] * 6 + ["b", "c", "far", None]), r.choice([None, *range(0, 60, 3)]), r.randint(0, 5), r.choice(["x", "y", None])) for _ in range(150)]
+    a = spark.createDataFrame(left, "i int, k string, t int")
+    b = spark.createDataFrame(right, "k string, u int, v int, w string")
+    got = {x["i"]: (x["u"], x["v"], x["w"]) for x in asof_join(a, b, ["k"], "t", ["v", "w"], "u", before).collect()}
+    rank = lambda x: (x[1], x[2], x[3] is not None, x[3] or "")
+    for i, k, t in left:
+        past = [x for x in right if k is not None and t is not None and x[0] == k and x[1] is not None and (x[1] < t if before else x[1] <= t)]
+        assert got[i] == (max(past, key=rank)[1:] if past else (None, None, None))
+    assert len(got) == len(left)
+    assert asof_join(a, b.limit(0), ["k"], "t", ["v"], "u").count() == len(left) and asof_join(a.limit(0), b, ["k"], "t", ["v"], "u").count() == 0
