@@ -6,6 +6,7 @@ from panelcast.operators import detect, evaluate
 from panelcast.plans.queries import PANEL_SCORE, RANKS, Z, REGIONAL
 from panelcast.plans.registry import ORACLE_SQL, records, register, residual, rounded, scored
 from panelcast.plans.sql import RECORDS, RESIDUALS, query
+from pyspark.sql import functions as F
 
 
 def recursive(select: str, *parts: str) -> str:
@@ -85,7 +86,7 @@ SELECT e.territory_id, e.category, e.month, round(abs(e.e) / q.q, 6) AS score FR
 LEFT JOIN (SELECT t.category, t.month, quantile_cont(abs(p.e), 0.9) AS q FROM (SELECT DISTINCT category, month FROM e0 WHERE month >= DATE '1996-07-01') t JOIN e0 p ON p.category = t.category AND p.month < t.month GROUP BY ALL) q
 ON q.category = e.category AND q.month = e.month""", RESIDUALS)
 RANKED_BOCPD = RANKS.replace("rr AS", "br AS").replace("FROM r1 a", "FROM b1 a")
-PANEL_BOCPD = recursive("""SELECT e.territory_id, e.category, e.month, round(greatest(p.score, b.score), 6) AS score FROM e1 e
+PANEL_BOCPD = recursive("""SELECT e.territory_id, e.category, e.month, round(greatest(p.score, b.score), 9) AS score FROM e1 e
 LEFT JOIN pr p ON p.territory_id = e.territory_id AND p.category = e.category AND p.month = e.month LEFT JOIN br b ON b.territory_id = e.territory_id AND b.category = e.category AND b.month = e.month""", RESIDUALS, PANEL_SCORE, BOCPD, RANKED_BOCPD)
 EACH = {
     "conformal_raw": CONFORMAL_RAW, "panel_bocpd": PANEL_BOCPD, "conformal": "conformal_score", "panel": "panel_detector", "cusum": "cusum_closed_form", "cusum_reset": "cusum_reset", "page_hinkley": "page_hinkley",
@@ -97,13 +98,14 @@ EACH = {
 def panel_bocpd(spark, sf):
     """The greater of the expanding ranks of the panel's score and of the run's."""
     rows = residual(spark, sf)
-    return scored(detect.either(detect.expanding_rank(detect.panel_score(rows)), detect.expanding_rank(detect.change_points(detect.remove_common(rows)))))
+    return scored(detect.either(detect.expanding_rank(detect.panel_score(rows)), detect.expanding_rank(detect.change_points(detect.remove_common(rows)))), 9)
 
 
-@register(" UNION ALL ".join(f"SELECT '{name}' AS detector, territory_id, category, month, round(score, 6) AS score FROM ({ORACLE_SQL.get(sql, sql).replace('r.score), 9)', 'r.score), 6)')})" for name, sql in EACH.items()))
+@register(" UNION ALL ".join(f"SELECT '{name}' AS detector, territory_id, category, month, score FROM ({ORACLE_SQL.get(sql, sql)})" for name, sql in EACH.items()))
 def all_detectors(spark, sf):
-    """All detectors over the same residuals."""
-    return rounded(detect.all_scores(residual(spark, sf)), 6, "score")
+    """All detectors over the same residuals; ranks have nine digits, as in their own queries."""
+    rank = F.col("detector").isin("panel_bocpd", "panel_regional")
+    return detect.all_scores(residual(spark, sf)).withColumn("score", F.when(rank, F.round("score", 9)).otherwise(F.round("score", 6)))
 
 
 @register(query("""

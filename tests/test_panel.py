@@ -28,7 +28,8 @@ def plain(df):
 
 
 CHECKED = """panel_monthly glue_weighted_mean interpolate_gaps snaive_growth_backtest stf_own_trend forecast_intervals cusum_reset conformal_score panel_regional shock_evaluation registry_hits
-early_warning_table incident_chains anti_join_drop static_features points_in_polygons source_chat_export source_labels resolved_places exact_places news_accuracy quartile_lift""".split()
+early_warning_table incident_chains anti_join_drop static_features points_in_polygons source_chat_export source_labels resolved_places exact_places news_accuracy quartile_lift
+theta_forecast ets_raw_forecast closest_names points_in_parts nearest_places bocpd_score pelt_score binseg_score cluster_bootstrap shipments_asof_orders""".split()
 
 
 @pytest.mark.parametrize("name", CHECKED)
