@@ -297,7 +297,7 @@ def warning_table(scores: DataFrame, limit: DataFrame, region_of: DataFrame, now
     scores: territory_id, category, month, score; limit: one row, limit.
     """
     rows = scores.crossJoin(F.broadcast(limit)).groupBy("territory_id", "month").agg(F.max(F.coalesce(F.col("score") > F.col("limit"), F.lit(False)).cast("double")).alias("alarm"), F.max(F.coalesce("score", F.lit(0.0))).alias("score"))
-    rows = rows.join(F.broadcast(region_of), "territory_id")
+    rows = rows.join(region_of, "territory_id")
     group, own = Window.partitionBy("region_code", "month"), Window.partitionBy("territory_id").orderBy("month")
     rows = rows.withColumn("others", (F.sum("alarm").over(group) - F.col("alarm")) / F.greatest(F.count("*").over(group) - 1, F.lit(1)))
     if nowcast:

@@ -45,7 +45,7 @@ def quantiles(rows: DataFrame, q: float, by: list[str], inclusive: bool) -> Data
     sums = sums.withColumns({"at": place, "low": F.floor(place), "high": F.ceil(place)})
     holds = lambda p: (F.col("before") <= F.col(p)) & (F.col(p) < F.col("before") + F.col("c"))
     wanted = sums.where(holds("low") | holds("high")).drop("c")
-    met = values.join(F.broadcast(wanted), [*by, "_range"]).where(until)
+    met = values.join(wanted, [*by, "_range"]).where(until)
     found = met.groupBy(*by, "t", "at", "low", "high", "before", "_range", "x").agg(F.sum("n").alias("c"))
     w = Window.partitionBy(*by, "t", "_range").orderBy("x")
     found = found.withColumn("before", F.col("before") + F.sum("c").over(w) - F.col("c"))
@@ -84,7 +84,7 @@ def ranks(rows: DataFrame) -> DataFrame:
         return part.assign(inside=out)[["month", "x", "_range", "inside"]]
 
     counted = values.groupBy("_range").applyInPandas(inside, "month date, x double, _range int, inside long")
-    return counted.join(F.broadcast(below), ["month", "_range"]).select("month", "x", ((F.col("before") + F.col("inside")) / F.col("total")).alias("rank"))
+    return counted.join(below, ["month", "_range"]).select("month", "x", ((F.col("before") + F.col("inside")) / F.col("total")).alias("rank"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

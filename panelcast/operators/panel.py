@@ -33,7 +33,7 @@ def glue(panel: DataFrame, merged: dict[int, int], weights: DataFrame) -> DataFr
     total = weights.where(F.col("territory_id").isin(list(merged))).groupBy(mapping[F.col("territory_id")].alias("territory_id")).agg(F.sum("w").alias("w_all"))
     old = panel.where(F.col("territory_id").isin(list(merged)) & F.col("y").isNotNull()).join(weights, "territory_id")
     new = old.groupBy(mapping[F.col("territory_id")].alias("territory_id"), "category", "month").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("_w"))
-    new = new.join(F.broadcast(total), "territory_id").select("territory_id", "category", "month", "y", (F.col("_w") / F.col("w_all")).alias("share"))
+    new = new.join(total, "territory_id").select("territory_id", "category", "month", "y", (F.col("_w") / F.col("w_all")).alias("share"))
     kept = panel.where(~F.col("territory_id").isin([*merged, *merged.values()]))
     return kept.select("territory_id", "category", "month", "y", F.lit(1.0).alias("share")).unionByName(new)
 

@@ -35,7 +35,7 @@ def draw_regional(rows: DataFrame, categories: list[str], first: int, last: int,
     hit = rows.select("region_code").distinct().where(uniform(seed, "chosen", "region_code") < share)
     named = F.element_at(F.array(*map(F.lit, categories)), (F.floor(uniform(seed, "category", "region_code") * len(categories)) + 1).cast("int"))
     made = drawn(hit.withColumn("category", named), ("region_code",), first, last, seed, least, most)
-    return rows.select("territory_id", "region_code", "category").distinct().join(F.broadcast(made), ["region_code", "category"]).drop("region_code")
+    return rows.select("territory_id", "region_code", "category").distinct().join(made, ["region_code", "category"]).drop("region_code")
 
 
 def inject(dense: DataFrame, shocks: DataFrame, keys: tuple, first: str) -> DataFrame:

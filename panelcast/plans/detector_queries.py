@@ -147,7 +147,7 @@ def hybrid(spark, sf, only_panel: bool = False) -> DataFrame:
     rows = residual(spark, sf)
     p = kept(detect.panel_score(rows).select(*SERIES, "month", "score"))
     named = lambda df, n: df.select(F.lit(n).alias("detector"), *SERIES, "month", "score")
-    joined = p.join(F.broadcast(severity(spark, sf)), ["territory_id", "month"], "left")
+    joined = p.join(severity(spark, sf), ["territory_id", "month"], "left")
     out = [named(p, "panel"), *[named(joined.withColumn("score", detect.with_news(F.col("score"), F.col("severity"), g)), f"panel_news_{g}") for g in (0.25, 0.5, 1.0)]]
     return detect.union(out if only_panel else [*out, named(detect.multivariate(detect.remove_common(rows)), "multivariate")])
 
