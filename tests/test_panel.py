@@ -244,3 +244,15 @@ def test_detectors_take_the_greater_rank(spark):
         out[f"{name}_rank"] = ranks
     want = np.fmax(out["panel_rank"], out["bocpd_rank"])
     assert np.allclose(out["panel_bocpd"], want, equal_nan=True)
+
+
+def test_keep_first_takes_the_first_of_the_files(spark, tmp_path):
+    """Line numbers repeat within an order: of such rows the first in the files counts, as in the SQL on one thread; Spark reads large files first."""
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for part, n in enumerate((60, 6000, 300)):
+        rows = [(i % 20, 1 + i // 20 % 2, 10_000 * part + i, "AN"[i // 20 % 2]) for i in range(n)]
+        pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"]).to_parquet(folder / f"part-{part:02}.parquet")
+    con = duckdb.connect()
+    con.sql(f"set threads = 1; create view lineitem as select * from '{folder}/*.parquet'")
+    assert plain(catalog.QUERIES["keep_first"](spark, str(tmp_path)).toPandas()) == plain(con.sql(catalog.ORACLE_SQL["keep_first"]).df())
