@@ -18,6 +18,8 @@ SAMPLE = 8192
 FIRST_LEVEL = 1024
 #: Dimensions of vectors that have an index of their own, the most frequent; all vectors of each other one are a list.
 INDEXED = 16
+#: Queries, or rows where there are none, on which an index is measured.
+TRIED = 256
 #: Rows of an inverted list, and queries that visit it, which one task compares.
 LIST_BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -42,25 +44,37 @@ def assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (2 * x @ centres.T - (centres**2).sum(axis=1)).argmax(axis=1)
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
+def scaled(vectors: pd.Series) -> np.ndarray:
+    """The vectors in double precision, each over a power of two, so that squares stay finite; cosines are the same to the bit."""
     x = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
+    x = scaled(vectors)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 @dataclass
 class Index:
-    """Fitted on a sample of unit vectors: list centres, one codebook for each part, lists to visit."""
+    """Fitted on a sample of unit vectors: list centres, one codebook for each part, lists to visit, and how far codes mislead.
+
+    A code stands for its vector up to an error of known length. slack is the share of that length by which the cosine of a query
+    and a near vector is above the code's, at most but for a share of 1 - recall of what the sample's queries find.
+    """
 
     centres: np.ndarray
     codebooks: np.ndarray
     probes: int
+    slack: float = 1.0
 
     @staticmethod
-    def fit(sample: np.ndarray, lists: int, parts: int, recall: float, top: int, seed: int = 3) -> Index:
-        """probes is the least number of nearest lists that holds the share recall of the sample's own neighbours.
+    def fit(sample: np.ndarray, lists: int, parts: int, recall: float, top: int, seed: int = 3, asked: np.ndarray | None = None) -> Index:
+        """probes is the least number of nearest lists that holds the share recall of the neighbours in the sample of asked, by default of its own.
 
         Up to FIRST_LEVEL lists have a centroid each; more are the sums of coarse centroids and of centroids of the
-        sample's residuals, so that lists follow the table while the sample stays as it is.
+        sample's residuals, so that lists follow the table while the sample stays as it is. Asked vectors are no
+        neighbours of themselves.
         """
         rng = np.random.default_rng(seed)
         centres = k_means(sample, min(lists, FIRST_LEVEL), rng)
@@ -70,13 +84,27 @@ class Index:
         own = assign(sample, centres)
         rest = (sample - centres[own]).reshape(len(sample), parts, -1)
         codebooks = np.stack([k_means(rest[:, p], 256, rng) for p in range(parts)])
-        tried = rng.choice(len(sample), min(256, len(sample)), replace=False)
-        near = sample[tried] @ sample.T
-        near[np.arange(len(tried)), tried] = -2
+        index = Index(centres, codebooks, 1)
+        if asked is None or not len(asked):
+            asked = sample[rng.choice(len(sample), min(TRIED, len(sample)), replace=False)]
+        near = asked @ sample.T
+        near[near > 1 - 1e-12] = -2
         found = np.argsort(-near, axis=1)[:, :top]
-        rank = np.argsort(np.argsort(-(sample[tried] @ centres.T), axis=1), axis=1)
+        rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
         needed = np.sort(np.take_along_axis(rank, own[found], axis=1).ravel()) + 1
-        return Index(centres, codebooks, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))
+        index.probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
+        # in a whole table neighbours are nearer than in a sample, up to a copy of the query
+        off, length = index.misses(sample, own, index.codes_of(sample, own))
+        share = off / np.maximum(length, 1e-12)[:, None]
+        met = [np.einsum("qd,qkd->qk", asked, share[found]), np.einsum("nd,nd->n", sample, share)]
+        index.slack = float(min(1.0, max(0.0, *[np.quantile(x, 1 - (1 - recall) / 5) for x in met])))
+        return index
+
+    def misses(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the codes of unit vectors leave, and its length."""
+        coded = np.concatenate([book[codes[:, p]] for p, book in enumerate(self.codebooks)], axis=1)
+        off = x - self.centres[lists] - coded
+        return off, np.sqrt((off * off).sum(axis=1))
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         return assign(x, self.centres)
@@ -100,8 +128,9 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, parts: int = 16, r
     """query_id, rank, vec_id, score: the nearest rows by cosine of each vec_id divisible by every.
 
     A query visits the lists nearest to it, and further ones until they have top candidates, so that it has fewer only where the table
-    has. In each block of a list, distances from tables of the query against the codebooks choose keep rows, and all that tie with the
-    last of them; the exact cosine in double precision ranks those, ties by smaller vec_id. Rows of the query's own vec_id are no
+    has; how many lists is measured on a sample of the queries. In each block of a list, distances from tables of the query against the
+    codebooks choose keep rows, and then every other row whose code, with the slack of its error, reaches the worst of the top best of
+    those; the exact cosine in double precision ranks them all, ties by smaller vec_id. Rows of the query's own vec_id are no
     candidates. Vectors that are null, zero or hold null or non-finite components, and null ids take no part. A cosine needs equal
     dimensions, so vectors of each dimension meet among themselves; those of a dimension that has no index of its own, in one list each.
     Repeated queries are answered once, by the least of their vectors; repeated rows are candidates each. Other columns are ignored; an
@@ -111,15 +140,16 @@ def search(vectors: DataFrame, every: int = 50, top: int = 5, parts: int = 16, r
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").where(usable(F.col("embedding"))).withColumn("d", F.size("embedding"))
     with Scratch(spark) as scratch:
         sizes = rows.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(INDEXED).collect()
-        indexes = {r["d"]: fitted(rows.where(F.col("d") == r["d"]), r["n"], r["d"], parts, recall, top) for r in sizes}
+        indexes = {r["d"]: fitted(rows.where(F.col("d") == r["d"]), r["n"], r["d"], parts, recall, top, every) for r in sizes}
         return cut(searched(rows, indexes, scratch, every, top, keep))
 
 
-def fitted(rows: DataFrame, n: int, dimension: int, parts: int, recall: float, top: int) -> Index:
-    """The index of n vectors of one dimension, from those with the least hashed ids."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+def fitted(rows: DataFrame, n: int, dimension: int, parts: int, recall: float, top: int, every: int) -> Index:
+    """The index of n vectors of one dimension, from those with the least hashed ids, measured on such of the queries."""
+    least = lambda df, most: unit(df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()["embedding"])
+    asked = rows.where(F.col("vec_id") % every == 0)
     parts = next(p for p in range(min(parts, dimension), 0, -1) if dimension % p == 0)
-    return Index.fit(unit(sample["embedding"]), int(max(1, n**0.5 / 4)), parts, recall, top)
+    return Index.fit(least(rows, SAMPLE), int(max(1, n**0.5 / 4)), parts, recall, top, asked=least(asked, TRIED) if not asked.isEmpty() else None)
 
 
 def searched(rows: DataFrame, indexes: dict[int, Index], scratch: Scratch, every: int, top: int, keep: int) -> DataFrame:
@@ -133,11 +163,12 @@ def searched(rows: DataFrame, indexes: dict[int, Index], scratch: Scratch, every
                 if index:
                     x = unit(part["embedding"])
                     lists = index.lists_of(x)
-                    yield part.assign(list=lists, codes=[c.tobytes() for c in index.codes_of(x, lists)])
+                    codes = index.codes_of(x, lists)
+                    yield part.assign(list=lists, codes=[c.tobytes() for c in codes], error=index.misses(x, lists, codes)[1])
                 else:
-                    yield part.assign(list=0, codes=b"")
+                    yield part.assign(list=0, codes=b"", error=0.0)
 
-    indexed = scratch.table(rows.mapInPandas(place, f"vec_id long, embedding {kind}, d int, list int, codes binary"), "index")
+    indexed = scratch.table(rows.mapInPandas(place, f"vec_id long, embedding {kind}, d int, list int, codes binary, error double"), "index")
     # a row for each list of an index; candidates of a query are distinct from its own id's rows, of which there are as many as repeats
     filled = {(r["d"], r["list"]): r["n"] for r in indexed.where(F.col("d").isin(list(indexes))).groupBy("d", "list").agg(F.count("*").alias("n")).collect()}
     counts = {d: np.array([filled.get((d, i), 0) for i in range(len(x.centres))]) for d, x in indexes.items()}
@@ -167,21 +198,26 @@ def searched(rows: DataFrame, indexes: dict[int, Index], scratch: Scratch, every
         if len(own) and len(asked):
             own = own.sort_values("vec_id", kind="stable")
             index, ids = indexes.get(int(own["d"].iloc[0])), own["vec_id"].to_numpy()
-            raw = np.array([np.asarray(v, np.float64) for v in own["embedding"]])
+            raw = scaled(own["embedding"])
             norms = np.sqrt((raw * raw).sum(axis=1))
             if index:
                 centre = index.centres[int(own["list"].iloc[0])]
                 codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), -1).astype(np.int64)
                 offsets = np.arange(codes.shape[1]) * index.codebooks.shape[1]
-            for query_id, vector in zip(asked["query_id"], asked["embedding"], strict=True):
-                q = np.asarray(vector, np.float64)
+                slack = index.slack * own["error"].to_numpy() + 1e-9
+            for query_id, q in zip(asked["query_id"], scaled(asked["embedding"]), strict=True):
                 length = np.sqrt((q * q).sum())
+                cosines = lambda at: (raw[at] * q).sum(axis=1) / (norms[at] * length)  # noqa: B023, E731
                 close = np.flatnonzero(ids != query_id)
                 if index and len(close) > keep:
                     table = np.einsum("pcd,pd->pc", index.codebooks, (q / length).reshape(len(index.codebooks), -1)).ravel()
                     near = table[codes[close] + offsets].sum(axis=1) + centre @ q / length
-                    close = close[near >= np.partition(near, -keep)[-keep] - 1e-9]
-                score = (raw[close] * q).sum(axis=1) / (norms[close] * length)
+                    first = np.argpartition(near, -keep)[-keep:]
+                    worst = np.partition(cosines(close[first]), -top)[-top] if keep >= top else -1
+                    likely = near + slack[close] >= worst
+                    likely[first] = True
+                    close = close[likely]
+                score = cosines(close)
                 best = np.lexsort((ids[close], -score))[:top]
                 out["query_id"] += [query_id] * len(best)
                 out["vec_id"] += ids[close][best].tolist()

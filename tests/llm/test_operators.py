@@ -517,6 +517,32 @@ def test_small_far_groups_have_all_their_neighbours(spark):
         assert {len(v) for v in per.values()} == {5} and set(per) == {i for i, _ in rows if i % 50 == 0} and set(per[5000][:2]) == {5001, 5002}
 
 
+@pytest.mark.parametrize("kind", ["far from the origin", "tight clusters", "queries unlike the rest", "huge"])
+def test_search_on_other_rows(spark, kind):
+    """Codes are too coarse to tell these rows apart, or the queries' neighbours lie in lists that other rows' don't."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 32))
+    if kind == "far from the origin":
+        x = np.abs(x) + 5
+    elif kind == "tight clusters":
+        x = r.normal(size=(10, 32))[r.integers(10, size=6000)] + 0.001 * x
+    elif kind == "queries unlike the rest":
+        x = x * (1 - 0.999 * (np.arange(6000) % 50 != 0))[:, None] + 1
+    else:
+        x *= 1e200
+    got = {}
+    for g in ann.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.95 * 5 * 120
+
+
 def test_many_dimensions(spark):
     rows = [(i, [1.0 + i % 7] + [float(j % 3) + 0.1 * i for j in range(i % 70)]) for i in range(700)] + [(0, [1.0, 2.0]), (50, None), (100, [0.0])]
     rows = [(i, v and [float(np.float32(x)) for x in v]) for i, v in rows]
