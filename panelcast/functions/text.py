@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,17 +41,33 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "ё", "е")
 
 
+def found_in(text: Column, pattern: str) -> Column:
+    """text.rlike(pattern) for folded text; alternatives are plain searches, or are tried only where their longest literal is found."""
+    alternatives = re.findall(r"(?:\([^()]*\)|[^|()])+", pattern)
+    tokens = [re.findall(r"\\.[*+?]?|\([^()]*\)[*+?]?|\[[^\]]*\][*+?]?|\.(?:\{[^}]*\})?|[^\\()\[\].]+", a) for a in alternatives]
+    found = []
+    for whole, parts in zip(alternatives, tokens, strict=True):
+        literal = max((x for x in parts if re.fullmatch(r"[\w -]+", x)), key=len, default="")
+        fits = text.rlike(f"(?iuU){whole}")
+        found.append(text.contains(literal) if literal == whole else text.contains(literal) & fits if literal else fits)
+    return reduce(or_, found)
+
+
 def types_of(text: Column, patterns: dict[str, str], excluded: str | None = None) -> Column:
     """Names of the patterns found, in order; none where excluded is found, and for a null text."""
-    t = folded(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(t.rlike(f"(?iuU){p}"), F.lit(name)) for name, p in patterns.items()]))
     none = F.array().cast("array<string>")
-    return F.when(t.rlike(f"(?iuU){excluded}"), none).otherwise(found) if excluded else found
+
+    def of(t: Column) -> Column:
+        found = F.array_compact(F.array(*[F.when(found_in(t, p), F.lit(name)) for name, p in patterns.items()]))
+        return F.when(found_in(t, excluded), none).otherwise(found) if excluded else found
+
+    # bound to a name, so that the text is folded once
+    return F.get(F.transform(F.array(folded(F.coalesce(text, F.lit("")))), of), F.lit(0))
 
 
 def local_types(text: Column) -> Column:
-    found = types_of(text, LOCAL_EVENTS, NO_EVENT)
-    return F.when(F.array_contains(found, "wildfire"), F.array_remove(found, "fire")).otherwise(found)
+    one = lambda found: F.when(F.array_contains(found, "wildfire"), F.array_remove(found, "fire")).otherwise(found)
+    return F.get(F.transform(F.array(types_of(text, LOCAL_EVENTS, NO_EVENT)), one), F.lit(0))
 
 
 def national_types(text: Column) -> Column:
@@ -56,9 +76,8 @@ def national_types(text: Column) -> Column:
 
 def normal_name(text: Column) -> Column:
     """Folded, without quotes, with plain dashes and single spaces, trimmed of spaces, dots and commas."""
-    t = F.regexp_replace(folded(text), "[«»\"'„“”]", "")
-    t = F.regexp_replace(F.regexp_replace(t, "[–—‑]", "-"), r"\s+", " ")
-    return F.btrim(t, F.lit(" .,"))
+    t = F.translate(F.lower(text), "ё–—‑«»\"'„“”", "е---")
+    return F.btrim(F.regexp_replace(t, r"\s{2,}|[\t\n\x0B\f\r]", " "), F.lit(" .,"))
 
 
 #: Case endings of names and of the words that go with them, longest first.

@@ -256,3 +256,15 @@ def test_keep_first_takes_the_first_of_the_files(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"set threads = 1; create view lineitem as select * from '{folder}/*.parquet'")
     assert plain(catalog.QUERIES["keep_first"](spark, str(tmp_path)).toPandas()) == plain(con.sql(catalog.ORACLE_SQL["keep_first"]).df())
+
+
+def test_event_types_by_plain_searches(spark):
+    """Types found by literals are those of the whole patterns."""
+    words = ["паводком", "прорыв дамбы", "прорвало", "лесной пожар", "пал травы", "режим чс", "режима повышенной готовности", "дрон", "андрон", "отключена вода", "аэропорт временно закрыт", "аэропорт", "без света", "цены на бензин", "цен бензин", "ozon", "bozon", "учения", "главное за", "итоги дня", "движение по трассе закрыт", "простой на заводе", "", "МАССОВОЕ Отравление", "Ёж и карантин"]
+    frame = spark.createDataFrame([(w,) for w in words] + [(f"{a} {b}",) for a, b in itertools.pairwise(words)], "text string")
+    patterns = {**text.LOCAL_EVENTS, **text.NATIONAL_EVENTS, "none": text.NO_EVENT}
+    t = text.folded(F.col("text"))
+    whole = F.array_compact(F.array(*[F.when(t.rlike(f"(?iuU){p}"), F.lit(n)) for n, p in patterns.items()]))
+    for r in frame.select(whole.alias("a"), text.types_of(F.col("text"), patterns).alias("b")).collect():
+        assert r["a"] == r["b"]
+    assert "RLIKE" not in str(text.found_in(F.col("text"), "паводк|наводнен"))
