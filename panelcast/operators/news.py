@@ -11,6 +11,7 @@ from panelcast.functions.text import bare_name, local_types, national_types, nor
 from panelcast.operators.matching import closest, similar
 from panelcast.operators.panel import surge
 from panelcast.operators.spatial import within
+from panelcast.sources.sinks import kept
 
 # Groups of event types.
 GROUPS = {
@@ -130,38 +131,72 @@ def resolve_places(tokens: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY,
     found it and it stands for one territory (medium). Risky names need their region. Of several territories the
     largest settlement is taken, if it is times as large as the next. Regions without such a
     place stand for themselves.
+
+    What a name can stand for is drawn from the gazetteer once (leaders), so that a message's name meets a row or two for each region that
+    the message names, however many places share the name.
     """
     key = ["channel", "msg_id", "stem"]
     token = tokens.select("channel", "msg_id", F.explode(F.array_distinct(F.array("token", bare_name(F.col("token"))))).alias("stem"), (F.col("kind") == "ner").alias("ner"))
-    token = token.groupBy(*key).agg(F.max("ner").alias("ner"))
-    met = token.join(gazetteer.select("stem", "level", F.col("territory_id").cast("long").alias("territory_id"), "region_code", F.col("population").cast("long").alias("population")), "stem")
-    risky = stemmed_set(RISKY)
-    size = F.coalesce("population", F.lit(0))
-    towns = met.where("level = 'settlement'").withColumn("_size", size)
-    order = Window.partitionBy(*key).orderBy(F.desc("_size"), "territory_id")
-    first = towns.withColumns({"_k": F.row_number().over(order), "_next": F.lead("_size").over(order)}).where("_k = 1")
-    clear = (F.col("_size") >= big) & (F.col("_next").isNull() | (F.col("_size") >= times * F.greatest("_next", F.lit(1)))) & ~F.col("stem").isin(risky)
-    dominant = first.where(clear).select(*key, F.col("territory_id").alias("_dominant"), F.col("region_code").alias("_region"))
-    regions = met.where("level = 'region'").select("channel", "msg_id", "region_code").unionByName(dominant.select("channel", "msg_id", F.col("_region").alias("region_code"))).distinct()
-    mo = met.where("level <> 'region'").join(regions.withColumn("_named", F.lit(True)), ["channel", "msg_id", "region_code"], "left").join(dominant.drop("_region"), key, "left")
-    w = Window.partitionBy(*key)
-    mo = mo.withColumns({
-        "_in": F.coalesce(F.max("_named").over(w), F.lit(False)),
-        "_single": F.size(F.collect_set("territory_id").over(w)) == 1,
-        "_mo": F.max(F.col("level") == "mo").over(w),
-    })
-    sure = F.col("_single") & F.col("_mo") & F.col("ner") & ~F.col("stem").isin(risky)
-    how = F.when(F.col("_in"), F.when(F.col("_named"), "high")).when(F.col("_dominant").isNotNull(), F.when(F.col("territory_id") == F.col("_dominant"), "medium")).when(sure, "medium")
-    pool = mo.withColumn("confidence", how).where("confidence is not null")
-    each = pool.groupBy(*key, "territory_id").agg(F.min("region_code").alias("region_code"), F.max(F.col("level") == "mo").alias("is_mo"), F.max(F.when(F.col("level") == "settlement", size)).alias("town"), F.min("confidence").alias("confidence"))
-    order = w.orderBy(F.desc_nulls_last("town"), F.desc("territory_id"))
-    each = each.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(order), "_next": F.lead("town").over(order)})
-    chosen = each.where((F.col("_n") == 1) | ((F.col("_k") == 1) & F.col("town").isNotNull() & (F.col("_next").isNull() | (F.col("town") >= times * F.greatest("_next", F.lit(1))))))
-    hits = chosen.groupBy("channel", "msg_id", "territory_id", "region_code", F.when(F.col("is_mo"), "mo").otherwise("settlement").alias("level")).agg(F.min("confidence").alias("confidence"), F.min("stem").alias("matched"))
+    names, leading = leaders(gazetteer, big, times)
+    met = kept(token.join(looked_up(names), "stem").groupBy(*key).agg(F.max("ner").alias("ner"), *[F.first(c).alias(c) for c in names.columns if c != "stem"]))
+    named = met.groupBy("channel", "msg_id").agg(F.array_distinct(F.flatten(F.collect_list("_regions"))).alias("_named"))
+    named = kept(named.where(F.size("_named") > 0))
+    regions = named.select("channel", "msg_id", F.explode("_named").alias("region_code"))
+
+    # territories of a name in the message's regions; a name's first two of each region are enough to tell its first two of all
+    inside = regions.join(met.where("_placed").select(*key, F.explode("_within").alias("region_code")), ["channel", "msg_id", "region_code"])
+    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last("town"), F.desc("territory_id"))
+    each = inside.join(leading, ["stem", "region_code"]).groupBy(*key, "territory_id").agg(F.max("town").alias("town"), F.first("_rows").alias("_rows"))
+    each = each.withColumns({"_k": F.row_number().over(w), "_next": F.lead("town").over(w), "_n": F.count("*").over(Window.partitionBy(*key))})
+    high = each.where(lone(times)).join(named, ["channel", "msg_id"]).withColumn("_rows", F.filter("_rows", lambda r: F.array_contains(F.col("_named"), r["region_code"])))
+    high = high.select(*key, "territory_id", F.array_min(F.col("_rows.region_code")).alias("region_code"), F.exists("_rows", lambda r: r["mo"]).alias("is_mo"), F.lit("high").alias("confidence"))
+
+    other = met.where("_placed").join(inside.select(*key).distinct(), key, "left_anti")
+    alone = F.when(F.col("_dominant").isNotNull(), F.col("_dominant")).when(F.col("_sure") & F.col("ner"), F.col("_single"))
+    medium = other.withColumn("_one", alone).where("_one is not null").select(*key, "_one.territory_id", "_one.region_code", F.col("_one.mo").alias("is_mo"), F.lit("medium").alias("confidence"))
+
+    chosen = high.unionByName(medium)
+    hits = kept(chosen.groupBy("channel", "msg_id", "territory_id", "region_code", F.when(F.col("is_mo"), "mo").otherwise("settlement").alias("level")).agg(F.min("confidence").alias("confidence"), F.min("stem").alias("matched")))
     bare = regions.join(hits, ["channel", "msg_id", "region_code"], "left_anti")
     return hits.unionByName(bare.select("channel", "msg_id", F.lit(None).cast("long").alias("territory_id"), "region_code", F.lit("region").alias("level"), F.lit("high").alias("confidence"), F.lit("").alias("matched")))
 
 
+def lone(times: int) -> Column:
+    """Whether a territory is the only one of _n, or the first (_k) and the largest settlement, times as large as the _next."""
+    return (F.col("_n") == 1) | ((F.col("_k") == 1) & F.col("town").isNotNull() & (F.col("_next").isNull() | (F.col("town") >= times * F.greatest("_next", F.lit(1)))))
+
+
+def leaders(gazetteer: DataFrame, big: int, times: int) -> tuple[DataFrame, DataFrame]:
+    """What each stem of a gazetteer stands for, and the first two territories of each stem and region.
+
+    Of a stem: _regions that it names by itself or by its dominant city, _within (regions of its territories), _placed (whether it has any),
+    _dominant and _single (territory_id, region_code, mo of its dominant city and of its one territory) and _sure. Of a stem and region:
+    territory_id, town (people of its largest settlement there) and _rows, the regions in which the territory has the name and whether as mo.
+    """
+    rows = gazetteer.select("stem", "level", F.col("territory_id").cast("long").alias("territory_id"), "region_code", F.col("population").cast("long").alias("population")).where("stem is not null").distinct()
+    size = F.coalesce("population", F.lit(0).cast("long"))
+    settled = F.col("level") == "settlement"
+    places = kept(rows.where("level <> 'region'").groupBy("stem", "territory_id", "region_code").agg(F.max(F.col("level") == "mo").alias("mo"), F.max(F.when(settled, size)).alias("town")))
+    of = Window.partitionBy("stem", "territory_id")
+    each = places.withColumn("_rows", F.collect_list(F.struct("region_code", "mo")).over(of))
+    first = Window.partitionBy("stem", "region_code").orderBy(F.desc_nulls_last("town"), F.desc("territory_id"))
+    leading = looked_up(each.where("region_code is not null").withColumn("_k", F.row_number().over(first)).where("_k <= 2").select("stem", "region_code", "territory_id", "town", "_rows"))
+
+    towns = rows.where(settled).select("stem", "territory_id", "region_code", size.alias("_size"))
+    order = Window.partitionBy("stem").orderBy(F.desc("_size"), "territory_id", "region_code")
+    clear = (F.col("_size") >= big) & (F.col("_next").isNull() | (F.col("_size") >= times * F.greatest("_next", F.lit(1)))) & ~F.col("stem").isin(stemmed_set(RISKY))
+    best = towns.withColumns({"_k": F.row_number().over(order), "_next": F.lead("_size").over(order)}).where("_k = 1").where(clear).select("stem", F.col("territory_id").alias("_t"), F.col("region_code").alias("_r"))
+    whole = places.groupBy("stem", "territory_id").agg(F.min("region_code").alias("region_code"), F.max("mo").alias("mo"))
+    one = F.struct("territory_id", "region_code", "mo")
+    dominant = best.join(whole, (best["stem"] == whole["stem"]) & F.col("_t").eqNullSafe(F.col("territory_id"))).select(best["stem"], F.array("_r").alias("_city"), one.alias("_dominant"))
+    single = whole.groupBy("stem").agg(F.count_distinct("territory_id").alias("_n"), F.max("mo").alias("_mo"), F.min(one).alias("_single"))
+    single = single.select("stem", "_single", ((F.col("_n") == 1) & F.col("_mo") & ~F.col("stem").isin(stemmed_set(RISKY))).alias("_sure"))
+    own = rows.groupBy("stem").agg(F.collect_set(F.when(F.col("level") == "region", F.col("region_code"))).alias("_regions"), F.collect_set(F.when(F.col("level") != "region", F.col("region_code"))).alias("_within"), F.max(F.col("level") != "region").alias("_placed"))
+    out = own.join(dominant, "stem", "left").join(single, "stem", "left")
+    regions = F.array_compact(F.array_union("_regions", F.coalesce("_city", F.array().cast("array<int>"))))
+    return out.withColumn("_regions", regions).drop("_city"), leading
+
+
 def stemmed_set(names: tuple) -> list[Column]:
     return [stemmed(F.lit(n)) for n in names]
 
@@ -199,6 +234,16 @@ def place_name(place: Column, *fields: str) -> Column:
     return F.coalesce(*[F.nullif(normal_name(place[f]), F.lit("")) for f in fields])
 
 
+#: Rows of a table that is sent to all tasks; a larger one is shuffled with what looks it up.
+SENT = 20_000
+
+
+def looked_up(table: DataFrame) -> DataFrame:
+    """table computed once, and sent to all tasks where it is small, so that rows that look up a few frequent names stay where they are."""
+    table = kept(table)
+    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
+
+
 def with_regions(places: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY, cutoff: float = 88) -> DataFrame:
     """places (place: settlement, district, city, region) with region_code and region_only.
 
@@ -215,7 +260,7 @@ def with_regions(places: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY, c
     unknown = rows.where("_region is not null").select("_region").distinct().join(by_name, "_region", "left_anti").select(F.lit(0).alias("_all"), F.col("_region").alias("name"))
     found = closest(unknown, aliases, cutoff, "_all").select(F.col("name").alias("_said"), F.col("alias").alias("_region")).join(by_name, "_region")
     by_name = by_name.unionByName(found.select(F.col("_said").alias("_region"), "_by_name"))
-    rows = rows.join(by_name, "_region", "left").join(cities, "_city", "left")
+    rows = rows.join(looked_up(by_name), "_region", "left").join(looked_up(cities), "_city", "left")
     alone = F.when(F.col("_federal").isNotNull() & F.col("_district").isNull(), F.col("_federal")).when(F.col("_city").isNull() & F.col("_district").isNull(), F.col("_by_name"))
     code = F.coalesce(alone, "_by_name", "_federal", "_by_city")
     return rows.withColumns({"region_code": code, "region_only": alone.isNotNull()}).drop("_region", "_city", "_district", "_federal", "_by_name", "_by_city")
@@ -226,11 +271,13 @@ def exact_unique(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
     Settlement, city and district are tried in this order; the first that fits one territory counts.
     """
-    names = F.array(*[F.struct(F.lit(i).alias("i"), place_name(F.col("place"), f).alias("alias")) for i, f in enumerate(("settlement", "city", "district"))])
-    asked = places.select("place_id", "region_code", F.inline(names)).where("alias is not null")
-    own = gazetteer.where("level <> 'region'").select("alias", "region_code", "territory_id").distinct()
-    found = asked.join(own, ["alias", "region_code"]).groupBy("place_id", "i").agg(F.min("territory_id").alias("t"), F.count_distinct("territory_id").alias("n")).where("n = 1")
-    return places.join(found.groupBy("place_id").agg(F.min_by("t", "i").alias("exact")), "place_id", "left")
+    own = gazetteer.where("level <> 'region'").groupBy("alias", "region_code").agg(F.min("territory_id").alias("t"), F.count_distinct("territory_id").alias("_n")).where("_n = 1").drop("_n")
+    own = looked_up(own)
+    fields = ("settlement", "city", "district")
+    rows = places.withColumns({f"_{f}": place_name(F.col("place"), f) for f in fields})
+    for f in fields:
+        rows = rows.join(own.select(F.col("alias").alias(f"_{f}"), "region_code", F.col("t").alias(f"_t_{f}")), [f"_{f}", "region_code"], "left")
+    return rows.select(*places.columns, F.coalesce(*[f"_t_{f}" for f in fields]).alias("exact"))
 
 
 def decide(choice: Column, n_candidates: Column, region: Column) -> Column:

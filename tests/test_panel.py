@@ -258,6 +258,27 @@ def test_keep_first_takes_the_first_of_the_files(spark, tmp_path):
     assert plain(catalog.QUERIES["keep_first"](spark, str(tmp_path)).toPandas()) == plain(con.sql(catalog.ORACLE_SQL["keep_first"]).df())
 
 
+def test_a_frequent_name_meets_two_places_of_a_region(spark):
+    """A name that many places share brings the first two of each region, whatever their number, and the right one wins."""
+    places = [("мыс", "settlement", i, i % 3, None, 1000 + i) for i in range(900)] + [("край", "region", None, 1, None, None), ("мыс", "settlement", 1000, 1, None, 90_000), ("мыс", "mo", 1000, 1, None, None)]
+    gazetteer = spark.createDataFrame(places, "alias string, level string, territory_id long, region_code int, region_name string, population long").withColumn("stem", F.col("alias"))
+    names, leading = news.leaders(gazetteer, 50_000, 10)
+    assert leading.count() == 6 and names.count() == 2
+    tokens = spark.createDataFrame([("c", 1, "мыс", "ner"), ("c", 2, "мыс", "ner"), ("c", 2, "край", "ner"), ("c", 3, "край", "ner")], "channel string, msg_id long, token string, kind string")
+    found = {r["msg_id"]: (r["territory_id"], r["region_code"], r["level"], r["confidence"]) for r in news.resolve_places(tokens, gazetteer).collect()}
+    assert found == {1: (1000, 1, "mo", "high"), 2: (1000, 1, "mo", "high"), 3: (None, 1, "region", "high")}
+
+
+def test_regions_are_looked_up_in_place(spark):
+    """Rows that name few regions aren't dealt out by those names."""
+    places = fixtures.small_gazetteer(spark)
+    rows = spark.createDataFrame([(i, ("", "", "", "краснодарский краи" if i % 2 else "ростовская область")) for i in range(40)], "place_id long, place struct<settlement:string,district:string,city:string,region:string>")
+    coded = news.with_regions(rows, places)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert {(r["place_id"] % 2, r["region_code"]) for r in coded.collect()} == {(0, 61), (1, 23)}
+
+
 def test_event_types_by_plain_searches(spark):
     """Types found by literals are those of the whole patterns."""
     words = ["паводком", "прорыв дамбы", "прорвало", "лесной пожар", "пал травы", "режим чс", "режима повышенной готовности", "дрон", "андрон", "отключена вода", "аэропорт временно закрыт", "аэропорт", "без света", "цены на бензин", "цен бензин", "ozon", "bozon", "учения", "главное за", "итоги дня", "движение по трассе закрыт", "простой на заводе", "", "МАССОВОЕ Отравление", "Ёж и карантин"]
