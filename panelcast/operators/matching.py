@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.similarity import FAR_LONGER, LONG, PART_SCALE, WORDS_SCALE, weighted_ratio
+from panelcast.sources.sinks import kept
 
 #: Below this cutoff names need not share a gram, and all names of a group are compared.
 LEAST_CUTOFF = 72.0
@@ -21,6 +22,8 @@ LEAST_CUTOFF = 72.0
 TABLE = 128
 #: Aliases of one gram that a task reads; the postings of a gram that has more are dealt to blocks.
 POSTINGS = 10_000
+#: Pairs that a task scores.
+PAIRS = 2_000
 
 
 def words(name: Column) -> Column:
@@ -107,10 +110,16 @@ def met_pairs(names: DataFrame, aliases: DataFrame, cutoff: float, group: str =
     return met.unionByName(single).distinct()
 
 
+def dealt(rows: DataFrame, size: int) -> DataFrame:
+    """rows computed once and dealt to tasks of size rows, however few bytes they have: what follows takes long for each."""
+    rows = kept(rows)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // size)), *rows.columns)
+
+
 def similar(names: DataFrame, aliases: DataFrame, cutoff: float, group: str = "region_code") -> DataFrame:
     """group, name, alias, similarity: all pairs of a group whose weighted ratio is cutoff or more."""
     # the ratio is exploded, so that the filter isn't moved below it and computes it again
-    pairs = met_pairs(names, aliases, cutoff, group).select(group, "name", "alias", F.explode(F.array(weighted_ratio("name", "alias"))).alias("similarity"))
+    pairs = dealt(met_pairs(names, aliases, cutoff, group), PAIRS).select(group, "name", "alias", F.explode(F.array(weighted_ratio("name", "alias"))).alias("similarity"))
     return pairs.where(F.col("similarity") >= cutoff)
 
 

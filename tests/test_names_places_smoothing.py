@@ -8,6 +8,7 @@ import pytest
 
 from panelcast.functions import similarity
 from panelcast.operators import matching, smoothing, spatial
+from panelcast.plans import matching_queries
 from pyspark.sql import functions as F
 
 
@@ -269,3 +270,14 @@ def test_asof_join_matches_brute_force(spark, before):
         assert got[i] == (max(past, key=rank)[1:] if past else (None, None, None))
     assert len(got) == len(left)
     assert asof_join(a, b.limit(0), ["k"], "t", ["v"], "u").count() == len(left) and asof_join(a.limit(0), b, ["k"], "t", ["v"], "u").count() == 0
+
+
+def test_next_names_over_ranges_and_dealt_rows(spark):
+    """The next row by key is found over several ranges, and rows that take long are dealt to tasks by their number."""
+    rows = [(k, f"n{k}") for k in range(0, 900, 3)]
+    random.Random(1).shuffle(rows)
+    parts = spark.createDataFrame(rows, "k long, p string")
+    found = {r["k"]: r["q"] for r in matching_queries.with_next(parts, "k", "p", "q", 40).collect()}
+    assert found == {k: f"n{k + 3}" if k < 897 else None for k in range(0, 900, 3)}
+    assert matching_queries.with_next(parts.where("false"), "k", "p", "q", 40).count() == 0
+    assert matching.dealt(parts, 20).rdd.getNumPartitions() == 15
