@@ -84,7 +84,7 @@ def within(points: DataFrame, polygons: DataFrame, key: str, cell: float = 1.0)
 
 
 #: Places of a cell that the first round may meet; cells are halved until none has more, HALVINGS times at most.
-CROWD, HALVINGS = 256, 40
+CROWD, HALVINGS = 16, 40
 
 
 def nearest(points: DataFrame, places: DataFrame, k: int = 1) -> DataFrame:

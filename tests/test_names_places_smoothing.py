@@ -281,3 +281,14 @@ def test_next_names_over_ranges_and_dealt_rows(spark):
     assert found == {k: f"n{k + 3}" if k < 897 else None for k in range(0, 900, 3)}
     assert matching_queries.with_next(parts.where("false"), "k", "p", "q", 40).count() == 0
     assert matching.dealt(parts, 20).rdd.getNumPartitions() == 15
+
+
+def test_nearest_meets_few_places(spark):
+    """Cells hold few places where they are dense, so that a point meets some dozens whatever their number."""
+    r = random.Random(2)
+    places = [(i, r.random(), r.random()) for i in range(600)]
+    p = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.0, 1.0)], "point_id long, x double, y double")
+    found = {(x["point_id"], x["rank"]): x["place_id"] for x in spatial.nearest(p, spark.createDataFrame(places, "place_id long, x double, y double"), 3).collect()}
+    for i, x, y in ((0, 0.5, 0.5), (1, 0.0, 1.0)):
+        assert [found[i, k] for k in (1, 2, 3)] == [s[0] for s in sorted(places, key=lambda s: math.hypot(x - s[1], y - s[2]))[:3]]
+    assert 9 * spatial.CROWD < 0.5 * len(places)
