@@ -157,7 +157,8 @@ def resolve_places(tokens: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY,
 
     chosen = high.unionByName(medium)
     hits = kept(chosen.groupBy("channel", "msg_id", "territory_id", "region_code", F.when(F.col("is_mo"), "mo").otherwise("settlement").alias("level")).agg(F.min("confidence").alias("confidence"), F.min("stem").alias("matched")))
-    bare = regions.join(hits, ["channel", "msg_id", "region_code"], "left_anti")
+    nameless = met.where("_nameless").select("channel", "msg_id").distinct().withColumn("region_code", F.lit(None).cast(regions.schema["region_code"].dataType))
+    bare = regions.join(hits, ["channel", "msg_id", "region_code"], "left_anti").unionByName(nameless)
     return hits.unionByName(bare.select("channel", "msg_id", F.lit(None).cast("long").alias("territory_id"), "region_code", F.lit("region").alias("level"), F.lit("high").alias("confidence"), F.lit("").alias("matched")))
 
 
@@ -170,7 +171,7 @@ def leaders(gazetteer: DataFrame, big: int, times: int) -> tuple[DataFrame, Data
     """What each stem of a gazetteer stands for, and the first two territories of each stem and region.
 
     Of a stem: _regions that it names by itself or by its dominant city, _within (regions of its territories), _placed (whether it has any),
-    _dominant and _single (territory_id, region_code, mo of its dominant city and of its one territory) and _sure. Of a stem and region:
+    _dominant and _single (territory_id, region_code, mo of its dominant city and of its one territory), _sure, and _nameless (whether it names a region without a code). Of a stem and region:
     territory_id, town (people of its largest settlement there) and _rows, the regions in which the territory has the name and whether as mo.
     """
     rows = gazetteer.select("stem", "level", F.col("territory_id").cast("long").alias("territory_id"), "region_code", F.col("population").cast("long").alias("population")).where("stem is not null").distinct()
@@ -191,10 +192,11 @@ def leaders(gazetteer: DataFrame, big: int, times: int) -> tuple[DataFrame, Data
     dominant = best.join(whole, (best["stem"] == whole["stem"]) & F.col("_t").eqNullSafe(F.col("territory_id"))).select(best["stem"], F.array("_r").alias("_city"), one.alias("_dominant"))
     single = whole.groupBy("stem").agg(F.count_distinct("territory_id").alias("_n"), F.max("mo").alias("_mo"), F.min(one).alias("_single"))
     single = single.select("stem", "_single", ((F.col("_n") == 1) & F.col("_mo") & ~F.col("stem").isin(stemmed_set(RISKY))).alias("_sure"))
-    own = rows.groupBy("stem").agg(F.collect_set(F.when(F.col("level") == "region", F.col("region_code"))).alias("_regions"), F.collect_set(F.when(F.col("level") != "region", F.col("region_code"))).alias("_within"), F.max(F.col("level") != "region").alias("_placed"))
+    own = rows.groupBy("stem").agg(F.collect_set(F.when(F.col("level") == "region", F.col("region_code"))).alias("_regions"), F.collect_set(F.when(F.col("level") != "region", F.col("region_code"))).alias("_within"), F.max(F.col("level") != "region").alias("_placed"), F.max((F.col("level") == "region") & F.col("region_code").isNull()).alias("_nameless"))
     out = own.join(dominant, "stem", "left").join(single, "stem", "left")
     regions = F.array_compact(F.array_union("_regions", F.coalesce("_city", F.array().cast("array<int>"))))
-    return out.withColumn("_regions", regions).drop("_city"), leading
+    nameless = F.col("_nameless") | F.coalesce(F.get("_city", F.lit(0)).isNull() & F.col("_dominant").isNotNull(), F.lit(False))
+    return out.withColumns({"_regions": regions, "_nameless": nameless}).drop("_city"), leading
 
 
 def stemmed_set(names: tuple) -> list[Column]:

@@ -260,13 +260,13 @@ def test_keep_first_takes_the_first_of_the_files(spark, tmp_path):
 
 def test_a_frequent_name_meets_two_places_of_a_region(spark):
     """A name that many places share brings the first two of each region, whatever their number, and the right one wins."""
-    places = [("мыс", "settlement", i, i % 3, None, 1000 + i) for i in range(900)] + [("край", "region", None, 1, None, None), ("мыс", "settlement", 1000, 1, None, 90_000), ("мыс", "mo", 1000, 1, None, None)]
+    places = [("мыс", "settlement", i, i % 3, None, 1000 + i) for i in range(900)] + [("край", "region", None, 1, None, None), ("даль", "region", None, None, None, None), ("мыс", "settlement", 1000, 1, None, 90_000), ("мыс", "mo", 1000, 1, None, None)]
     gazetteer = spark.createDataFrame(places, "alias string, level string, territory_id long, region_code int, region_name string, population long").withColumn("stem", F.col("alias"))
     names, leading = news.leaders(gazetteer, 50_000, 10)
-    assert leading.count() == 6 and names.count() == 2
-    tokens = spark.createDataFrame([("c", 1, "мыс", "ner"), ("c", 2, "мыс", "ner"), ("c", 2, "край", "ner"), ("c", 3, "край", "ner")], "channel string, msg_id long, token string, kind string")
+    assert leading.count() == 6 and names.count() == 3
+    tokens = spark.createDataFrame([("c", 1, "мыс", "ner"), ("c", 2, "мыс", "ner"), ("c", 2, "край", "ner"), ("c", 3, "край", "ner"), ("c", 4, "даль", "ner")], "channel string, msg_id long, token string, kind string")
     found = {r["msg_id"]: (r["territory_id"], r["region_code"], r["level"], r["confidence"]) for r in news.resolve_places(tokens, gazetteer).collect()}
-    assert found == {1: (1000, 1, "mo", "high"), 2: (1000, 1, "mo", "high"), 3: (None, 1, "region", "high")}
+    assert found == {1: (1000, 1, "mo", "high"), 2: (1000, 1, "mo", "high"), 3: (None, 1, "region", "high"), 4: (None, None, "region", "high")}
 
 
 def test_regions_are_looked_up_in_place(spark):
