@@ -1,41 +1,40 @@
-"""Pairs of similar names by an inverted index of grams, with prefix and count filters.
+"""Pairs of similar names by an inverted index of grams, with a count filter.
 
 A name's grams are the pairs of neighbouring characters of its words, their ends marked; the second occurrence of a gram is another
 gram. A deleted character costs a name two grams at most and an inserted one costs one, so names of a weighted ratio of cutoff or
-more share a number of grams that follows from their lengths. Only a name's rarest grams, as many as leave fewer than that, are looked
-up; of what is met only pairs that share enough are scored.
+more share a number of grams that follows from their lengths; where one is much longer a word that both have does as well. Blocks of a
+group's names and aliases meet in tasks, which count shared grams by postings and score only pairs that share enough.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from panelcast.functions.similarity import FAR_LONGER, LONG, PART_SCALE, WORDS_SCALE, weighted_ratio
+from panelcast.functions import scoring
+from panelcast.functions.similarity import FAR_LONGER, LONG, PART_SCALE, WORDS_SCALE
 from panelcast.sources.sinks import kept
 
 #: Below this cutoff names need not share a gram, and all names of a group are compared.
 LEAST_CUTOFF = 72.0
 #: Names up to this length have their bounds by table; longer ones by the same rule in proportion.
 TABLE = 128
-#: Aliases of one gram that a task reads; the postings of a gram that has more are dealt to blocks.
-POSTINGS = 10_000
-#: Pairs that a task scores.
-PAIRS = 2_000
+#: Aliases and names of a group that a task reads.
+POSTINGS, NAMES = 10_000, 1_000
+#: Pairs that a task collects before it scores them.
+PAIRS = 100_000
 
 
-def words(name: Column) -> Column:
-    return F.filter(F.split(name, r"\s+"), lambda w: w != "")
-
-
-def grams(name: Column) -> Column:
-    """Distinct grams of a name: pairs of characters of each word between marks, numbered where one occurs again."""
-    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    marked = F.transform(words(name), lambda w: F.concat(F.lit("\u0002"), w, F.lit("\u0003")))
-    numbered = lambda all_: F.transform(all_, lambda g, i: F.concat(g, F.size(F.filter(F.slice(all_, F.lit(1), i), lambda x: x == g)).cast("string")))
-    return F.get(F.transform(F.array(F.flatten(F.transform(marked, pairs))), numbered), F.lit(0))
+def words(name: Column, first: int | None = None) -> Column:
+    """Words of a name; with first so many of a text, which is split no further, and its rest."""
+    return F.filter(F.split(name, r"\s+", first + 2 if first else -1), lambda w: w != "")
 
 
 def near_bound(m: int, cutoff: float) -> int:
@@ -57,57 +56,133 @@ def far_bound(m: int, cutoff: float) -> int:
     return max(1, least)
 
 
-def core(name: str) -> Column:
-    """Characters of a name's words, each once: some ratios leave repeated words out."""
-    return F.length(F.array_join(F.array_distinct(words(F.col(name))), " "))
-
-
-def bound(length: Column, rule, cutoff: float) -> Column:
-    table = F.expr(f"array({', '.join(str(rule(m, cutoff)) for m in range(1, TABLE + 1))})")
-    return F.get(table, F.least(length, F.lit(TABLE)) - 1)
-
-
-def ranked(rows: DataFrame, group: str, name: str, sizes: DataFrame) -> DataFrame:
-    """A row for each gram of a name: gram, _size, _n (its frequency, null for a gram that no alias has), _blocks, _k (its rank, the rarest first)."""
-    each = rows.select(group, name, grams(F.col(name)).alias("_g")).select(group, name, F.size("_g").alias("_size"), F.explode("_g").alias("gram"))
-    rank = F.row_number().over(Window.partitionBy(group, name).orderBy(F.coalesce("_n", F.lit(0)), "gram"))
-    return each.join(sizes, [group, "gram"], "left").withColumn("_k", rank)
+#: Rows of a table that is sent to all tasks; a larger one is shuffled with what looks it up.
+SENT = 20_000
+
+
+def looked_up(table: DataFrame) -> DataFrame:
+    """table computed once, and sent to all tasks where it is small, so that rows that look up a few frequent names stay where they are."""
+    table = kept(table)
+    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
+
+
+def numbered_grams(parts: list[str]) -> list[str]:
+    """Distinct grams of a name's words: pairs of characters of each word between marks, numbered where one occurs again."""
+    seen: Counter = Counter()
+    out = []
+    for word in parts:
+        marked = f"\u0002{word}\u0003"
+        for g in map("".join, zip(marked, marked[1:], strict=False)):
+            seen[g] += 1
+            out.append(f"{g}{seen[g]}")
+    return out
+
+
+def postings(lists: list) -> dict[str, np.ndarray]:
+    """For each value of lists the places of the lists that have it."""
+    at: dict[str, list[int]] = defaultdict(list)
+    for i, values in enumerate(lists):
+        for v in values:
+            at[v].append(i)
+    return {v: np.array(x) for v, x in at.items()}
+
+
+class Index:
+    """Aliases of a block, the shortest first, with the postings of their grams and words, which say what a name meets."""
+
+    def __init__(self, aliases: list[str], cutoff: float):
+        self.aliases, self.cutoff = sorted(aliases, key=lambda a: (len(a), a)), cutoff
+        parts = [scoring.split(a) for a in self.aliases]
+        self.grams, self.words = postings([numbered_grams(w) for w in parts]), postings([set(w) for w in parts])
+        self.sizes = np.array([len(a) for a in self.aliases])
+        self.cores = np.array([len(" ".join(dict.fromkeys(w))) for w in parts])
+        self.near, self.far = (np.array([0] + [rule(m, cutoff) for m in range(1, TABLE + 1)]) for rule in (near_bound, far_bound))
+
+    def met(self, name: str) -> np.ndarray:
+        """Places of aliases among which are all of a weighted ratio of cutoff or more with name."""
+        if self.cutoff < LEAST_CUTOFF:
+            return np.arange(len(self.aliases))
+        parts = scoring.split(name)
+        core = len(" ".join(dict.fromkeys(parts)))
+        if core == 1:
+            return np.arange(len(self.aliases))
+        shared = np.zeros(len(self.aliases), np.int32)
+        for g in numbered_grams(parts):
+            if g in self.grams:
+                shared[self.grams[g]] += 1
+        longer = np.maximum(self.sizes, len(name)) / np.minimum(self.sizes, len(name))
+        apart = (longer >= LONG) & (longer <= FAR_LONGER)
+        enough = np.where(longer < LONG, self.near[min(core, TABLE)], self.far[np.minimum(np.minimum(core, self.cores), TABLE)])
+        met = ((longer <= FAR_LONGER) & (shared >= enough)) | (self.cores == 1)
+        if self.cutoff <= 100 * WORDS_SCALE * PART_SCALE:
+            for w in set(parts):
+                if w in self.words:
+                    own = self.words[w]
+                    met[own] |= apart[own]
+        return np.flatnonzero(met)
+
+
+def most_similar(names: list[str], index: Index, most: int | None, scored: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of names and of the index's aliases and their weighted ratio, of cutoff or more, or of all that meet; of each name the most similar."""
+    if scored:
+        known = scoring.letters(names, index.aliases, [" "])
+        a, b = scoring.Names(names, known), scoring.Names(index.aliases, known)
+        order = np.argsort(np.argsort(np.array(index.aliases, object)))
+    i, j, n = [], [], 0
+    for at, name in enumerate(names):
+        found = index.met(name)
+        i.append(np.full(len(found), at))
+        j.append(found)
+        n += len(found)
+        if n < PAIRS and at < len(names) - 1:
+            continue
+        p, q, i, j, n = np.concatenate(i), np.concatenate(j), [], [], 0
+        if not scored:
+            yield p, q, np.zeros(len(p))
+            continue
+        score = scoring.weighted_ratio(a, p, b, q)
+        own = np.flatnonzero(score >= index.cutoff)
+        if most is not None:
+            own = own[np.lexsort((order[q[own]], -score[own], p[own]))]
+            start = np.searchsorted(p[own], p[own])
+            own = own[np.arange(len(own)) - start < most]
+        yield p[own], q[own], score[own]
+
+
+def compared(names: DataFrame, aliases: DataFrame, cutoff: float, group: str, most: int | None = None, scored: bool = True) -> DataFrame:
+    """group, name, alias, similarity of the distinct pairs of a group that most_similar gives for a block of its names and one of its aliases.
+
+    A group's names and aliases are dealt to blocks by their number, so that a group of any size is spread; every two blocks meet in a task.
+    """
+    both = names.select(group).limit(0).unionByName(aliases.select(group).limit(0)).schema[0].dataType
+    sides = [rows.where(F.col(group).isNotNull() & (F.size(words(F.col(c))) > 0)).select(F.col(group).cast(both).alias(group), c).distinct() for rows, c in ((names, "name"), (aliases, "alias"))]
+    sides = [kept(s) for s in sides]
+    sizes = [s.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias(c)) for s, size, c in zip(sides, (NAMES, POSTINGS), ("_p", "_q"), strict=True)]
+    sizes = looked_up(sizes[0].join(sizes[1], group))
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, sizes.agg(F.coalesce(F.sum(F.col("_p") * F.col("_q")), F.lit(0))).first()[0])
+    blocks = []
+    for rows, c, own, other in zip(sides, ("name", "alias"), ("_p", "_q"), ("_q", "_p"), strict=True):
+        rows = rows.join(sizes, group).select(group, c, F.pmod(F.xxhash64(c), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        blocks.append(rows.select(group, "_p", "_q", c).repartition(tasks, group, "_p", "_q").groupBy(group, "_p", "_q"))
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        index, own = Index(right["alias"].to_pylist(), cutoff), left["name"].to_pylist()
+        found = list(most_similar(own, index, most, scored)) if len(left) and len(right) else []
+        i, j, score = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((int, int, float), zip(*found, strict=True) if found else ((), (), ()), strict=True))
+        texts = [pa.array(x, pa.string()).take(pa.array(at)) for x, at in ((own, i), (index.aliases, j))]
+        return pa.table([pa.repeat(key[0], len(i)), *texts, pa.array(score)], names=[group, "name", "alias", "similarity"])
+
+    schema = StructType([StructField(group, both), StructField("name", StringType()), StructField("alias", StringType()), StructField("similarity", DoubleType())])
+    return blocks[0].cogroup(blocks[1]).applyInArrow(run, schema)
 
 
 def met_pairs(names: DataFrame, aliases: DataFrame, cutoff: float, group: str = "region_code") -> DataFrame:
     """group, name, alias of a group, distinct, among which are all of a weighted ratio of cutoff or more.
 
     names (group, name), aliases (group, alias), normalised, with single spaces; null and blank ones are left out. Names or aliases of
-    one character, of which a group has as many as there are characters, meet all of the group. Of similar lengths a name's rarest grams
-    find its aliases; of others the rarest grams of the shorter do, or a word that both have.
+    one character, of which a group has as many as there are characters, meet all of the group.
     """
-    names = names.where(F.size(words(F.col("name"))) > 0).select(group, "name").distinct()
-    aliases = aliases.where(F.size(words(F.col("alias"))) > 0).select(group, "alias").distinct()
-    if cutoff < LEAST_CUTOFF:
-        return names.join(aliases, group)
-    m, n = core("name"), core("alias")
-    single = names.where(m == 1).join(aliases, group).unionByName(names.where(m > 1).join(aliases.where(n == 1), group))
-
-    sizes = aliases.select(group, F.explode(grams(F.col("alias"))).alias("gram")).groupBy(group, "gram").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_n") / POSTINGS))
-    first = lambda length, rule: F.col("_k") <= F.col("_size") - bound(length, rule, cutoff) + 1
-    posted = ranked(aliases, group, "alias", sizes).select(group, "gram", "alias", first(n, far_bound).alias("_first"), F.pmod(F.xxhash64("alias"), F.col("_blocks")).alias("_at"))
-    probes = ranked(names, group, "name", sizes).where(F.col("_n").isNotNull())
-    probes = probes.select(group, "gram", "name", first(m, near_bound).alias("_near"), first(m, far_bound).alias("_far"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_at"))
-    p, q = F.length("name"), F.length("alias")
-    longer = F.greatest(p, q) / F.least(p, q)
-    apart = (longer >= LONG) & (longer <= FAR_LONGER)
-    on = [group, "gram", "_at"]
-    pair = [group, "name", "alias"]
-    met = probes.where("_near or _far").join(posted, on).where((F.col("_near") & (longer < LONG)) | (F.col("_far") & apart)).select(*pair)
-    met = met.unionByName(probes.join(posted.where("_first"), on).where(apart).select(*pair)).distinct()
-    shared = F.size(F.array_intersect(grams(F.col("name")), grams(F.col("alias"))))
-    enough = F.when(longer < LONG, bound(m, near_bound, cutoff)).otherwise(bound(F.least(m, n), far_bound, cutoff))
-    met = met.where(shared >= enough)
-    if cutoff <= 100 * WORDS_SCALE * PART_SCALE:
-        word = lambda rows, c: rows.select(group, c, F.explode(F.array_distinct(words(F.col(c)))).alias("_word"))
-        met = met.unionByName(word(names, "name").join(word(aliases, "alias"), [group, "_word"]).where(apart).select(*pair))
-    return met.unionByName(single).distinct()
+    return compared(names, aliases, cutoff, group, scored=False).drop("similarity")
 
 
 def dealt(rows: DataFrame, size: int) -> DataFrame:
@@ -116,14 +191,15 @@ def dealt(rows: DataFrame, size: int) -> DataFrame:
     return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // size)), *rows.columns)
 
 
-def similar(names: DataFrame, aliases: DataFrame, cutoff: float, group: str = "region_code") -> DataFrame:
-    """group, name, alias, similarity: all pairs of a group whose weighted ratio is cutoff or more."""
-    # the ratio is exploded, so that the filter isn't moved below it and computes it again
-    pairs = dealt(met_pairs(names, aliases, cutoff, group), PAIRS).select(group, "name", "alias", F.explode(F.array(weighted_ratio("name", "alias"))).alias("similarity"))
-    return pairs.where(F.col("similarity") >= cutoff)
+def similar(names: DataFrame, aliases: DataFrame, cutoff: float, group: str = "region_code", most: int | None = None) -> DataFrame:
+    """group, name, alias, similarity: all pairs of a group whose weighted ratio is cutoff or more; with most only so many of a name, the most similar, ties by alias."""
+    pairs = compared(names, aliases, cutoff, group, most)
+    if most is None:
+        return pairs
+    rank = F.row_number().over(Window.partitionBy(group, "name").orderBy(F.desc("similarity"), "alias"))
+    return pairs.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
 
 
 def closest(names: DataFrame, aliases: DataFrame, cutoff: float, group: str = "region_code") -> DataFrame:
     """group, name, alias, similarity: the most similar alias of each name that has one of cutoff or more, ties by alias."""
-    rank = F.row_number().over(Window.partitionBy(group, "name").orderBy(F.desc("similarity"), "alias"))
-    return similar(names, aliases, cutoff, group).withColumn("_k", rank).where("_k = 1").drop("_k")
+    return similar(names, aliases, cutoff, group, 1)

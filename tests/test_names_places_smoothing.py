@@ -4,9 +4,10 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 
-from panelcast.functions import similarity
+from panelcast.functions import scoring, similarity
 from panelcast.operators import matching, smoothing, spatial
 from panelcast.plans import matching_queries
 from pyspark.sql import functions as F
@@ -113,6 +114,27 @@ def test_gram_index_compares_few_pairs(spark):
     assert matching.met_pairs(names, aliases, 80).count() < 0.1 * 600 * 600
 
 
+def test_scores_of_many_pairs_match_plain_version(monkeypatch):
+    monkeypatch.setattr(scoring, "PAIRS", 50)
+    a, b = made_names(1, 60), made_names(2, 60)
+    pairs = [*zip(a, b, strict=False), *zip(a, a[1:], strict=False), ("", "a"), (" ", "a"), ("ab  c", "c ab"), ("x" * 130 + "yz" * 20, "z" + "x" * 120), ("a" * 70, "b " + "a" * 61), ("a" * 63, "b " + "a" * 64)]
+    left, right = ([p[k] for p in pairs] for k in (0, 1))
+    known, at = scoring.letters(left, right, [" "]), np.arange(len(pairs))
+    assert scoring.weighted_ratio(scoring.Names(left, known), at, scoring.Names(right, known), at).tolist() == pytest.approx([weighted(*p) for p in pairs], abs=1e-9)
+
+
+def test_most_similar_of_blocks(spark, monkeypatch):
+    """A name's most similar aliases are found over blocks, and no block gives more of a name than are asked for."""
+    monkeypatch.setattr(matching, "POSTINGS", 20)
+    monkeypatch.setattr(matching, "NAMES", 7)
+    names, aliases = sorted(set(made_names(5, 20))), sorted(set(made_names(6, 60)))
+    left, right = spark.createDataFrame([(1, n) for n in names], "region_code int, name string"), spark.createDataFrame([(1, n) for n in aliases], "region_code long, alias string")
+    expected = {(n, m) for n in names for m in sorted((m for m in aliases if weighted(n, m) >= 80), key=lambda m: (-weighted(n, m), m))[:3]}
+    assert {(r["name"], r["alias"]) for r in matching.similar(left, right, 80, most=3).collect()} == expected
+    index = matching.Index(aliases, 80)
+    assert max(np.bincount(np.concatenate([p for p, _, _ in matching.most_similar(names, index, 3)]))) == 3
+
+
 def test_rings_from_text(spark):
     wkt = "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1)), ((10 0, 12 0, 11 -2.5e0, 10 0)))"
     geo = '{"type": "MultiPolygon", "coordinates": [[[[0,0],[4,0],[4,4],[0,4],[0,0]],[[1,1],[1,3],[3,3],[3,1],[1,1]]],[[[10,0],[12,0],[11,-2.5],[10,0]]]]}'
