@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.text import bare_name, local_types, national_types, normal_name, proper_names, snippet, stemmed, tagged_place
-from panelcast.operators.matching import closest, similar
+from panelcast.operators.matching import closest, looked_up, similar
 from panelcast.operators.panel import surge
 from panelcast.operators.spatial import within
 from panelcast.sources.sinks import kept
@@ -222,11 +222,17 @@ def candidates(places: DataFrame, gazetteer: DataFrame, k: int = 8, cutoff: floa
     and a ten-millionth of the population breaks near ties. Each name of a region is looked up once, in an index of the aliases' grams,
     and brings its limit most similar aliases at most (ties by alias, then territory), a feature of the search.
     """
-    best = similar(places, gazetteer, cutoff).join(gazetteer.select("region_code", "alias", "territory_id", "population"), ["region_code", "alias"])
+    places = kept(places.select("place_id", "region_code", "name").distinct())
+    gazetteer = kept(gazetteer.select("region_code", "alias", "territory_id", "population"))
+    first = F.row_number().over(Window.partitionBy("region_code", "alias").orderBy("territory_id"))
+    held = gazetteer.withColumn("_k", first).where(F.col("_k") <= limit).drop("_k")  # a name takes no more of an alias
+    best = similar(places, gazetteer, cutoff, most=limit).join(held, ["region_code", "alias"])
     rank = F.row_number().over(Window.partitionBy("region_code", "name").orderBy(F.desc("similarity"), "alias", "territory_id"))
     best = best.withColumn("_k", rank).where(F.col("_k") <= limit)
     best = best.groupBy("region_code", "name", "territory_id").agg(F.max(F.col("similarity") + F.coalesce("population", F.lit(0)) / 1e7).alias("score"))
-    each = places.select("place_id", "region_code", "name").distinct().join(best, ["region_code", "name"]).groupBy("place_id", "territory_id").agg(F.max("score").alias("score"))
+    own = F.row_number().over(Window.partitionBy("region_code", "name").orderBy(F.desc("score"), "territory_id"))
+    best = best.withColumn("_k", own).where(F.col("_k") <= k).drop("_k")  # a place takes no more of a name
+    each = places.join(best, ["region_code", "name"]).groupBy("place_id", "territory_id").agg(F.max("score").alias("score"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("place_id").orderBy(F.desc("score"), "territory_id")))
     return ranked.where(F.col("rank") <= k).select("place_id", "territory_id", "score", "rank")
 
@@ -236,16 +242,6 @@ def place_name(place: Column, *fields: str) -> Column:
     return F.coalesce(*[F.nullif(normal_name(place[f]), F.lit("")) for f in fields])
 
 
-#: Rows of a table that is sent to all tasks; a larger one is shuffled with what looks it up.
-SENT = 20_000
-
-
-def looked_up(table: DataFrame) -> DataFrame:
-    """table computed once, and sent to all tasks where it is small, so that rows that look up a few frequent names stay where they are."""
-    table = kept(table)
-    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
-
-
 def with_regions(places: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY, cutoff: float = 88) -> DataFrame:
     """places (place: settlement, district, city, region) with region_code and region_only.
 
