@@ -104,6 +104,7 @@ def verified_components(keyed: DataFrame, near: Callable[[DataFrame], DataFrame]
     met = cut(keyed.groupBy("bucket").agg(*facts).where("size > 1").withColumn("z", F.col("z").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y"))))
     large = cut(met.where("size > 3 or crowd").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size"))  # equal sets once
     members = cut(fetch(keyed, large, ["bucket"], LARGE_BUCKETS).select("bucket", "node", "size"))
+    tidy(spark)
     own = members.groupBy("node").agg(F.sum("size").alias("weight"), F.collect_list("bucket").alias("buckets"))  # a bucket for each table at most
     pivots = cut(own.select("node", "weight", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")))
     mates = cut(spread_join(members.select("bucket", "node"), pivots, "bucket", F.xxhash64("node")).select("pivot", "node").distinct())

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, attach, carried, connected_components, cut, fetch, maybe_in, text_batches, unfolded
+from panelcast.llm.common import Scratch, attach, carried, connected_components, cut, fetch, maybe_in, text_batches, tidy, unfolded
 from panelcast.llm.links import verified_components
 
 #: Words a paragraph needs to count as a passage; those of a line whose inner runs count too, and of a run over line ends.
@@ -72,37 +72,40 @@ def _grams(hashes: np.ndarray):
     return lambda at, size: _mix((prefix[at + size] - prefix[at]) * power[at] + np.uint64(size))
 
 
-def _places(hashes: np.ndarray, sizes: np.ndarray, gram) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _places(hashes: np.ndarray, sizes: np.ndarray, text: np.ndarray, gram) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Windows in which a run is sought: size, first words, and the hashes of the windows' anchors.
 
-    They are those of LEAST_WORDS words inside a line of LONG_WORDS or more, those of LONG_WORDS words that
-    stand in several lines, and those of LONG_WORDS words inside a line. A window's anchor is its ANCHOR words of the
+    hashes are the words of several texts in a row, sizes those of their lines, text the text of each line. Windows
+    are those of LEAST_WORDS words inside a line of LONG_WORDS or more, those of LONG_WORDS words that
+    stand in several lines of a text, and those of LONG_WORDS words inside a line. A window's anchor is its ANCHOR words of the
     least hash: it depends on the window's words alone, so texts that share a window share its anchor.
     """
     n = len(hashes)
     pieces = gram(np.arange(max(0, n - ANCHOR + 1)), ANCHOR)
     line = np.repeat(np.arange(len(sizes)), sizes)
     short, long = np.arange(max(0, n - LEAST_WORDS + 1)), np.arange(max(0, n - LONG_WORDS + 1))
+    long = long[text[line[long]] == text[line[long + LONG_WORDS - 1]]]
     inside = line[long] == line[long + LONG_WORDS - 1]
     short = short[(line[short] == line[short + LEAST_WORDS - 1]) & (sizes[line[short]] >= LONG_WORDS)]
     best = {size: sliding_min(pieces, size - ANCHOR + 1) for size in (LEAST_WORDS, LONG_WORDS)}
     return [(size, at, best[size][at]) for size, at in ((LEAST_WORDS, short), (LONG_WORDS, long[~inside]), (LONG_WORDS, long[inside]))]
 
 
-def _once(best: np.ndarray) -> np.ndarray:
-    """The different values; neighbours mostly are equal, so few are left to sort."""
-    return np.unique(best[np.r_[True, best[1:] != best[:-1]]]) if len(best) else best
-
-
-def _anchors(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors of a text's windows, each once, and whether a window over line ends has it.
+def _anchors(hashes: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts and their windows' anchors, each once and in order, and whether a window over line ends has it.
 
     A window of LONG_WORDS inside a line has the anchor of a shorter one in it, so the first two kinds have all.
     """
-    (_, _, short), (_, _, across), _ = _places(hashes, sizes, _grams(hashes))
-    across = _once(across)
-    found = np.union1d(_once(short), across)
-    return found, np.isin(found, across)
+    owner, found = np.repeat(text, sizes), []
+    for kind, (_, at, best) in enumerate(_places(hashes, sizes, text, _grams(hashes))[:2]):
+        own = owner[at]
+        new = np.r_[True, (best[1:] != best[:-1]) | (own[1:] != own[:-1])][: len(at)]  # neighbours mostly are equal
+        found.append((own[new], best[new], np.full(int(new.sum()), kind)))
+    own, best, across = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((-across, best, own))
+    own, best, across = own[order], best[order], across[order]
+    new = np.r_[True, (best[1:] != best[:-1]) | (own[1:] != own[:-1])][: len(own)]
+    return own[new], best[new], across[new]
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -113,63 +116,71 @@ def _lines(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
-def units(text: str):
-    """Paragraphs (index, hash, first word, end, band keys), anchors of the text's windows with their kind, and its number of words."""
-    lines = _lines(text)
-    sizes = np.array([len(w) for w in lines])
+def _flat(texts: list[list[list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts in a row, sizes of their lines, and the text of each line."""
+    sizes = np.array([len(w) for lines in texts for w in lines], np.int64)
+    text = np.repeat(np.arange(len(texts)), [len(lines) for lines in texts])
+    return _hashes([w for lines in texts for words in lines for w in words]), sizes, text
+
+
+def units(*given: str):
+    """Of texts: paragraphs (index, hash, first word, end, band keys, text), texts and their windows' anchors with their kind, and numbers of words."""
+    texts = [_lines(t) for t in given]
+    hashes, sizes, text = _flat(texts)
     ends = np.cumsum(sizes)
-    words = [w for line in lines for w in line]
+    length = np.bincount(text, sizes, len(texts)).astype(np.int64)
+    start = np.cumsum(length) - length
+    line = np.arange(len(sizes)) - np.searchsorted(text, text)
+    anchors = _anchors(hashes, sizes, text)
     chosen = np.flatnonzero(sizes >= LEAST_WORDS)
-    none = np.zeros(0, np.uint64)
-    hashes = _hashes(words)
-    anchors = _anchors(hashes, sizes) if len(words) >= LONG_WORDS else (none, none)
-    if not len(chosen):
-        return (chosen, none, chosen, chosen, np.zeros((0, BANDS), np.uint64)), anchors, len(words)
-    first, last = ends[chosen] - sizes[chosen], ends[chosen]
-    whole = np.array([xxhash.xxh64_intdigest(b" ".join(lines[i])) for i in chosen], np.uint64)
-    rolled = hashes[: len(hashes) - SHINGLE + 1].copy()
+    own, first, last = text[chosen], ends[chosen] - sizes[chosen], ends[chosen]
+    whole = np.array([xxhash.xxh64_intdigest(b" ".join(texts[i][j])) for i, j in zip(own, line[chosen], strict=True)], np.uint64)
+    rolled = hashes[: max(0, len(hashes) - SHINGLE + 1)].copy()
     for k in range(1, SHINGLE):
-        rolled = rolled * _BASE + hashes[k : len(hashes) - SHINGLE + 1 + k]
-    owner = np.repeat(np.arange(len(chosen)), last - first - SHINGLE + 1)
-    at = np.concatenate([np.arange(s, e - SHINGLE + 1) for s, e in zip(first, last, strict=True)])
+        rolled = rolled * _BASE + hashes[k : len(rolled) + k]
+    counts = sizes[chosen] - SHINGLE + 1
+    owner = np.repeat(np.arange(len(chosen)), counts)
+    at = np.arange(len(owner)) + np.repeat(first - (np.cumsum(counts) - counts), counts)
     bands = _sketches((_mix(rolled[at]) >> np.uint64(32)).astype(np.uint32), owner, len(chosen))
-    return (chosen, whole, first, last, bands), anchors, len(words)
+    return (line[chosen], whole, first - start[own], last - start[own], bands, own), anchors, length
+
+
+#: Characters of the texts that are worked on at once, unless one has more.
+TEXT_AT_ONCE = 1 << 18
+
+
+def _groups(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts, but empty ones, that together have TEXT_AT_ONCE characters, or the one text more that reaches them."""
+    at, n = [], 0
+    for i, text in enumerate(texts):
+        if text:
+            at.append(i)
+            n += len(text)
+            if n >= TEXT_AT_ONCE:
+                yield at
+                at, n = [], 0
+    if at:
+        yield at
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, out = batch["doc_id"], batch["text_hash"].to_numpy(zero_copy_only=False), []
-            position, columns = [], [[], [], [], [], []]
-            for i, text in enumerate(batch["text"].to_pylist()):
-                if not text:
-                    continue
-                (paragraph, whole, first, last, bands), (anchors, across), length = units(text)
-                n, m = len(paragraph), len(anchors) + (length >= LONG_WORDS)
-                position.append(np.full(n + m, i))
-                own, h, kind = np.full(m, ANCHORS), np.zeros(m, np.uint64), np.zeros(m, np.int64)
-                own[len(anchors) :], h[: len(anchors)], kind[: len(anchors)] = TEXT, anchors, across
-                for column, x in zip(columns, (np.r_[paragraph, own], np.r_[whole, h], np.r_[first, kind], np.r_[last, np.where(own == TEXT, length, 0)], (bands, m)), strict=True):
-                    column.append(x)
-                if sum(map(len, position)) > 200_000:
-                    out.append((position, columns))
-                    position, columns = [], [[], [], [], [], []]
-                    yield _batch(*out.pop(), ids, hashes)
-            if position:
-                yield _batch(position, columns, ids, hashes)
+            ids, hashes = batch["doc_id"], batch["text_hash"].to_numpy(zero_copy_only=False)
+            texts = batch["text"].to_pylist()
+            for at in _groups(texts):
+                (paragraph, whole, first, last, bands, own), (holder, anchors, across), length = units(*[texts[i] for i in at])
+                long = np.flatnonzero(length >= LONG_WORDS)
+                n, m, k = len(own), len(anchors), len(long)
+                position = np.array(at)[np.r_[own, holder, long]]
+                columns = [np.r_[paragraph, np.full(m, ANCHORS), np.full(k, TEXT)], np.r_[whole, anchors, np.zeros(k, np.uint64)].view(np.int64), np.r_[first, across, np.zeros(k, np.int64)], np.r_[last, np.zeros(m, np.int64), length[long]]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(n + 1) * BANDS, np.full(m + k, n * BANDS)].astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+                columns = [pa.array(x.astype(kind)) for x, kind in zip(columns, (np.int32, np.int64, np.int32, np.int32), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(position)), pa.array(hashes[position]), *columns, lists], schema=_UNITS)
 
     return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _UNITS_DDL)
 
 
-def _batch(position: list, columns: list, ids: pa.Array, hashes: np.ndarray) -> pa.RecordBatch:
-    at = np.concatenate(position)
-    paragraph, h, s, e = (np.concatenate(c) for c in columns[:4])
-    lengths = np.concatenate([np.r_[np.full(len(b), BANDS), np.zeros(m, int)] for b, m in columns[4]])
-    keys = np.concatenate([b.ravel() for b, _ in columns[4]])
-    bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(keys.view(np.int64)))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(hashes[at]), pa.array(paragraph.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), bands], schema=_UNITS)
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Word spans that repeat an earlier document's or paragraph's: doc_id, text_hash, s, e, kept_id.
 
@@ -178,6 +189,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     null id take part by their paragraphs only.
     """
     every = scratch.table(unit_table(docs), "units")
+    doubled = repeated_paragraphs(docs, every, scratch)
+    scratch.delete("classes")
+    tidy(docs.sparkSession)
+    return cut(doubled.unionByName(repeated_runs(docs, every)))
+
+
+def repeated_paragraphs(docs: DataFrame, every: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_hash, s, e, kept_id: the paragraphs of a component but its first, computed."""
     paragraphs = every.where("paragraph >= 0")
     place = F.struct("doc_id", "text_hash", "s", "e")
     classes = scratch.table(paragraphs.groupBy(F.col("h").alias("node")).agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
@@ -195,9 +214,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     table = cut(rooted.join(groups, "root").select(F.col("node").alias("h"), "n", "kept"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     members = attach(paragraphs.select("doc_id", "text_hash", "s", "e", "h"), table, "h", total, F.xxhash64("doc_id", "s")).where("kept is not null")
-    doubled = members.where(~F.struct("doc_id", "text_hash", "s", "e").eqNullSafe(F.col("kept"))).select("doc_id", "text_hash", "s", "e", F.col("kept.doc_id").alias("kept_id"))
-
-    return cut(doubled.unionByName(repeated_runs(docs, every)))
+    doubled = members.where(~F.struct("doc_id", "text_hash", "s", "e").eqNullSafe(F.col("kept")))
+    return cut(doubled.select("doc_id", "text_hash", "s", "e", F.col("kept.doc_id").alias("kept_id")))
 
 
 def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
@@ -217,8 +235,10 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = attach(maybe_in(anchors, shared, ["h"])[0], shared, "h", total, F.xxhash64("text_hash")).where("across is not null")
     wanted = cut(met.groupBy("text_hash").agg(F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("across") > 0, F.col("h"))).alias("across")).join(holders, "text_hash"))
+    tidy(docs.sparkSession)
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     windows = cut(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, "doc_id long, text_hash long, s int, e int, h long"))
+    tidy(docs.sparkSession)
     twice = cut(windows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     again = attach(maybe_in(windows, twice, ["h"])[0], twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
@@ -230,18 +250,23 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows whose anchor is one of anchors; those of LONG_WORDS inside a line only where another text may have it over line ends."""
     for batch in batches:
-        for doc_id, text_hash, text, anchors, across in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_hash", "text", "anchors", "across")), strict=True):
-            lines = _lines(text)
-            hashes = _hashes([w for line in lines for w in line])
-            known, wide = (np.array(x, np.int64).view(np.uint64) for x in (anchors, across))
-            gram, s, e, h = _grams(hashes), [], [], []
-            for (size, at, best), wanted in zip(_places(hashes, np.array([len(w) for w in lines]), gram), (known, known, wide), strict=True):
+        ids, hashed = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
+        # a text has all its windows' anchors that others have too, so those of the batch's texts serve each of them
+        known, wide = (batch[c].flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in ("anchors", "across"))
+        texts = batch["text"].to_pylist()
+        for rows in _groups(texts):
+            hashes, sizes, text = _flat([_lines(texts[i]) for i in rows])
+            gram, first, length, h = _grams(hashes), [], [], []
+            for (size, at, best), wanted in zip(_places(hashes, sizes, text, gram), (known, known, wide), strict=True):
                 own = at[np.isin(best, wanted)]
-                s.append(own)
-                e.append(own + size)
+                first.append(own)
+                length.append(np.full(len(own), size))
                 h.append(gram(own, size))
-            s, e, h = map(np.concatenate, (s, e, h))
-            columns = [pa.array(x) for x in (np.full(len(s), doc_id), np.full(len(s), text_hash), s.astype(np.int32), e.astype(np.int32), h.view(np.int64))]
+            first, length, h = map(np.concatenate, (first, length, h))
+            owner = np.repeat(text, sizes)
+            own, start = owner[first], np.searchsorted(owner, np.arange(len(rows)))
+            s, position = first - start[own], np.array(rows)[own]
+            columns = [pa.array(x) for x in (ids[position], hashed[position], s.astype(np.int32), (s + length).astype(np.int32), h.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "s", "e", "h"])
 
 

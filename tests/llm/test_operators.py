@@ -197,6 +197,20 @@ def test_sketches_in_blocks():
     substring.BLOCK = old
 
 
+def test_texts_at_once_are_as_each_alone():
+    """No window, paragraph or anchor lies in two texts, whatever stands beside a text."""
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = ["\n", prose(1, 49), prose(2, 50), "a", wrap(prose(3, 300), 7), f"{prose(4, 60)}\n\n{prose(5, 20)}\n{prose(6, 19)}", "x " * 130, " \n ", prose(2, 50)]
+    (index, whole, first, last, bands, own), (holder, anchors, across), length = substring.units(*texts)
+    for i, text in enumerate(texts):
+        (index_1, whole_1, first_1, last_1, bands_1, _), (_, anchors_1, across_1), length_1 = substring.units(text)
+        for found, alone in ((index, index_1), (whole, whole_1), (first, first_1), (last, last_1), (bands, bands_1)):
+            assert (found[own == i] == alone).all() and len(found[own == i]) == len(alone)
+        assert (anchors[holder == i].tolist(), across[holder == i].tolist(), length[i]) == (anchors_1.tolist(), across_1.tolist(), length_1[0])
+        assert length[i] == len(text.split()) and (length[i] < 50) <= (not len(anchors_1))
+    assert len(list(substring._groups(["", None, "a", "b"]))) == 1
+
+
 def test_source_targets():
     t = mixing.source_targets({"a": 10, "b": 1000, None: 1000})
     assert t["a"] == 20 and sum(t.values()) == pytest.approx(1.5 * 2010) and t["b"] == 2 * t[None] == pytest.approx(2 * 2995 / 3)
