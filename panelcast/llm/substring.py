@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     doubled = repeated_paragraphs(docs, every, scratch)
     scratch.delete("classes")
     tidy(docs.sparkSession)
-    return cut(doubled.unionByName(repeated_runs(docs, every)))
+    return cut(doubled.unionByName(repeated_runs(docs, every, scratch)))
 
 
 def repeated_paragraphs(docs: DataFrame, every: DataFrame, scratch: Scratch) -> DataFrame:
@@ -218,7 +218,7 @@ def repeated_paragraphs(docs: DataFrame, every: DataFrame, scratch: Scratch) ->
     return cut(doubled.select("doc_id", "text_hash", "s", "e", F.col("kept.doc_id").alias("kept_id")))
 
 
-def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, every: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, s, e, kept_id: the windows that a text of a smaller doc_id has too, joined where they meet.
 
     Texts that share an anchor list their windows around it, and equal windows meet, so a run is found
@@ -237,7 +237,7 @@ def repeated_runs(docs: DataFrame, every: DataFrame) -> DataFrame:
     wanted = cut(met.groupBy("text_hash").agg(F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("across") > 0, F.col("h"))).alias("across")).join(holders, "text_hash"))
     tidy(docs.sparkSession)
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    windows = cut(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, "doc_id long, text_hash long, s int, e int, h long"))
+    windows = scratch.table(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, "doc_id long, text_hash long, s int, e int, h long"), "windows")
     tidy(docs.sparkSession)
     twice = cut(windows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
