@@ -154,10 +154,13 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, on: list[str]) -> tuple[DataFra
     """
     place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
     pieces = wanted.select(place.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    # a piece's 4,096 bytes as 512 longs, of which a row reads one
+    word = lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    pieces = pieces.select("_piece", F.transform(F.sequence(F.lit(0), F.lit(511)), word).alias("_words"))
     at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.lit(56) - at.bitwiseAND(F.lit(56)) + at.bitwiseAND(F.lit(7))  # the first byte is a long's highest
     tested = rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(cut(pieces)), "_piece", "left")
-    tested = tested.withColumn("_may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    tested = tested.withColumn("_may", F.coalesce(F.getbit(F.get("_words", F.shiftright(at, 6).cast("int")), bit.cast("int")) == 1, F.lit(False)))
     return tuple(tested.where(x).select(*rows.columns) for x in (F.col("_may"), ~F.col("_may")))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, attach, carried, connected_components, cut, fetch, maybe_in, text_batches, tidy, unfolded
+from panelcast.llm.common import HOT_SHARE, Scratch, attach, carried, connected_components, cut, fetch, maybe_in, text_batches, tidy, unfolded
 from panelcast.llm.links import verified_components
 
 #: Words a paragraph needs to count as a passage; those of a line whose inner runs count too, and of a run over line ends.
@@ -21,11 +21,11 @@ BANDS, ROWS, SHINGLE, LEAST = 12, 5, 5, 0.8
 BLOCK = 1 << 13
 #: Words of an anchor.
 ANCHOR = 10
-#: What stands for a paragraph's number in the rows of anchors and in the row of a text of LONG_WORDS or more.
+#: What stands for a paragraph's number in the row of a text's anchors and in the row of a text of LONG_WORDS or more.
 ANCHORS, TEXT = -1, -2
 
-_UNITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("paragraph", pa.int32()), ("h", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("bands", pa.list_(pa.int64()))])
-_UNITS_DDL = "doc_id long, text_hash long, paragraph int, h long, s int, e int, bands array<long>"
+_UNITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("paragraph", pa.int32()), ("h", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_UNITS_DDL = "doc_id long, text_hash long, paragraph int, h long, s int, e int, keys array<long>"
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -164,6 +164,8 @@ def _groups(texts: list[str]) -> Iterator[list[int]]:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
+    """Paragraphs with their band keys; a row for a text's anchors, the first s of which a window over line ends has; a row for a text's length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch["doc_id"], batch["text_hash"].to_numpy(zero_copy_only=False)
@@ -171,10 +173,13 @@ def unit_table(docs: DataFrame) -> DataFrame:
             for at in _groups(texts):
                 (paragraph, whole, first, last, bands, own), (holder, anchors, across), length = units(*[texts[i] for i in at])
                 long = np.flatnonzero(length >= LONG_WORDS)
-                n, m, k = len(own), len(anchors), len(long)
-                position = np.array(at)[np.r_[own, holder, long]]
-                columns = [np.r_[paragraph, np.full(m, ANCHORS), np.full(k, TEXT)], np.r_[whole, anchors, np.zeros(k, np.uint64)].view(np.int64), np.r_[first, across, np.zeros(k, np.int64)], np.r_[last, np.zeros(m, np.int64), length[long]]]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(n + 1) * BANDS, np.full(m + k, n * BANDS)].astype(np.int32)), pa.array(bands.ravel().view(np.int64)))
+                order = np.lexsort((-across, holder))
+                holders, several = np.unique(holder, return_counts=True)
+                n, m, k = len(own), len(holders), len(long)
+                position = np.array(at)[np.r_[own, holders, long]]
+                columns = [np.r_[paragraph, np.full(m, ANCHORS), np.full(k, TEXT)], np.r_[whole, np.zeros(m + k, np.uint64)].view(np.int64), np.r_[first, np.bincount(holder, across, len(at))[holders], np.zeros(k, np.int64)], np.r_[last, np.zeros(m, np.int64), length[long]]]
+                ends = np.cumsum(np.r_[0, np.full(n, BANDS), several, np.zeros(k, np.int64)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.r_[bands.ravel(), anchors[order]].view(np.int64)))
                 columns = [pa.array(x.astype(kind)) for x, kind in zip(columns, (np.int32, np.int64, np.int32, np.int32), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(position)), pa.array(hashes[position]), *columns, lists], schema=_UNITS)
 
@@ -199,7 +204,7 @@ def repeated_paragraphs(docs: DataFrame, every: DataFrame, scratch: Scratch) ->
     """doc_id, text_hash, s, e, kept_id: the paragraphs of a component but its first, computed."""
     paragraphs = every.where("paragraph >= 0")
     place = F.struct("doc_id", "text_hash", "s", "e")
-    classes = scratch.table(paragraphs.groupBy(F.col("h").alias("node")).agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = scratch.table(paragraphs.groupBy(F.col("h").alias("node")).agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("bands")), "classes")
     keyed = classes.select("node", F.explode("bands").alias("bucket"), F.lit(False).alias("crowd"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -230,25 +235,42 @@ def repeated_runs(docs: DataFrame, every: DataFrame, scratch: Scratch) -> DataFr
     holders = held.select("text_hash", F.col("kept_id").alias("doc_id"))
     copied = held.where("kept_id < top").select("text_hash", "kept_id", "n")
     copies = attach(texts, copied, "text_hash", texts.count(), F.xxhash64("doc_id")).where("doc_id <> kept_id").select("doc_id", "text_hash", "s", "e", "kept_id")
-    anchors = every.where((F.col("paragraph") == ANCHORS) & F.col("doc_id").isNotNull()).select("text_hash", "h", "s")
+    anchors = every.where((F.col("paragraph") == ANCHORS) & F.col("doc_id").isNotNull()).select("text_hash", "s", F.posexplode("keys").alias("at", "h"))
+    anchors = anchors.select("text_hash", "h", (F.col("at") < F.col("s")).cast("int").alias("s"))
     shared = cut(anchors.groupBy("h").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"), F.max("s").alias("across"), F.count("*").alias("n")).where("low < high").select("h", "n", "across"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = attach(maybe_in(anchors, shared, ["h"])[0], shared, "h", total, F.xxhash64("text_hash")).where("across is not null")
     wanted = cut(met.groupBy("text_hash").agg(F.collect_set("h").alias("anchors"), F.collect_set(F.when(F.col("across") > 0, F.col("h"))).alias("across")).join(holders, "text_hash"))
     tidy(docs.sparkSession)
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    windows = scratch.table(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, "doc_id long, text_hash long, s int, e int, h long"), "windows")
+    windows = scratch.table(fetch(rows, wanted, ["doc_id", "text_hash"]).mapInArrow(_windows, _WINDOWS_DDL), "windows")
     tidy(docs.sparkSession)
-    twice = cut(windows.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
+    often = F.broadcast(cut(shared.where(F.col("n") >= max(100, total // HOT_SHARE)).select(F.col("h").alias("anchor"))))
+    again = windows.join(often, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_again, _SPANS_DDL)
+    again = again.unionByName(_often_again(windows.join(often, "anchor", "left_semi")))
+    own = ["doc_id", "text_hash", "kept_id"]
+    return again.repartition("doc_id", "text_hash").sortWithinPartitions(*own, "s").mapInArrow(_met, _SPANS_DDL).unionByName(copies)
+
+
+def _often_again(windows: DataFrame) -> DataFrame:
+    """What _again finds, for anchors so frequent that a task could not hold the windows of one."""
+    one = windows.select("doc_id", "text_hash", "s", "size", F.posexplode("hashes").alias("at", "h"))
+    one = one.select("doc_id", "text_hash", (F.col("s") + F.col("at")).alias("s"), (F.col("s") + F.col("at") + F.col("size")).alias("e"), "h")
+    twice = cut(one.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    again = attach(maybe_in(windows, twice, ["h"])[0], twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
-    again = again.groupBy("doc_id", "text_hash", "kept_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    again = again.select("doc_id", "text_hash", "kept_id", F.explode(joined("spans")).alias("span"))
-    return again.select("doc_id", "text_hash", "span.s", "span.e", "kept_id").unionByName(copies)
+    again = attach(one, twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
+    return again.select("doc_id", "text_hash", "s", "e", "kept_id")
+
+
+_WINDOWS_DDL = "doc_id long, text_hash long, anchor long, s int, size int, hashes array<long>"
+_SPANS_DDL = "doc_id long, text_hash long, s int, e int, kept_id long"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchor is one of anchors; those of LONG_WORDS inside a line only where another text may have it over line ends."""
+    """The windows whose anchor is one of anchors; those of LONG_WORDS inside a line only where another text may have it over line ends.
+
+    Windows that follow each other with one anchor are a row: the first word of the first, their size, and their hashes.
+    """
     for batch in batches:
         ids, hashed = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
         # a text has all its windows' anchors that others have too, so those of the batch's texts serve each of them
@@ -256,18 +278,89 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch["text"].to_pylist()
         for rows in _groups(texts):
             hashes, sizes, text = _flat([_lines(texts[i]) for i in rows])
-            gram, first, length, h = _grams(hashes), [], [], []
+            gram, anchor, first, length, several, h = _grams(hashes), [], [], [], [], []
             for (size, at, best), wanted in zip(_places(hashes, sizes, text, gram), (known, known, wide), strict=True):
-                own = at[np.isin(best, wanted)]
-                first.append(own)
-                length.append(np.full(len(own), size))
-                h.append(gram(own, size))
-            first, length, h = map(np.concatenate, (first, length, h))
+                new = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)][: len(at)])
+                many = np.diff(np.r_[new, len(at)])
+                held = np.isin(best[new], wanted)
+                anchor.append(best[new[held]])
+                first.append(at[new[held]])
+                length.append(np.full(int(held.sum()), size))
+                several.append(many[held])
+                h.append(gram(at[np.repeat(held, many)], size))
+            anchor, first, length, several, h = map(np.concatenate, (anchor, first, length, several, h))
             owner = np.repeat(text, sizes)
             own, start = owner[first], np.searchsorted(owner, np.arange(len(rows)))
-            s, position = first - start[own], np.array(rows)[own]
-            columns = [pa.array(x) for x in (ids[position], hashed[position], s.astype(np.int32), (s + length).astype(np.int32), h.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "s", "e", "h"])
+            position = np.array(rows)[own]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, several]).astype(np.int32)), pa.array(h.view(np.int64)))
+            columns = [pa.array(x) for x in (ids[position], hashed[position], anchor.view(np.int64), (first - start[own]).astype(np.int32), length.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=["doc_id", "text_hash", "anchor", "s", "size", "hashes"])
+
+
+#: Bytes of sorted rows that are worked on at once, unless those of one key are more.
+SORTED_AT_ONCE = 1 << 23
+
+
+def _whole(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key in larger batches, so that those of one key are in one batch."""
+    held, size, enough = [], 0, SORTED_AT_ONCE
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size >= enough:
+            rows = pa.concat_batches(held)
+            other = np.zeros(rows.num_rows, bool)
+            for c in key:
+                x = rows[c].to_numpy(zero_copy_only=False)
+                other |= x != x[-1]
+            n = int(other.sum())
+            if n:
+                yield rows.slice(0, n)
+            held = [rows.slice(n)]
+            size = held[0].nbytes
+            enough = max(SORTED_AT_ONCE, 2 * size)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _spans(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(kind)) for x, kind in zip(columns, (np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)], names=["doc_id", "text_hash", "s", "e", "kept_id"])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of windows that a smaller doc_id has too, of rows of _windows sorted by anchor: equal windows have one anchor."""
+    for rows in _whole(batches, "anchor"):
+        ids, hashed, s, size = (rows[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash", "s", "size"))
+        h, several = rows["hashes"].flatten().to_numpy(zero_copy_only=False), rows["hashes"].value_lengths().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(ids)), several)
+        at = s[owner] + np.arange(len(h)) - np.repeat(np.cumsum(several) - several, several)
+        order = np.argsort(h)
+        new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        kept = np.empty(len(h), np.int64)
+        kept[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], new), np.diff(np.r_[new, len(h)]))
+        found = np.flatnonzero(kept != ids[owner])
+        if not len(found):
+            continue
+        own, keeper = owner[found], kept[found]
+        new = np.r_[True, (found[1:] != found[:-1] + 1) | (own[1:] != own[:-1]) | (keeper[1:] != keeper[:-1])]
+        own, keeper = own[new], keeper[new]
+        last = np.r_[new[1:], True]
+        yield _spans(ids[own], hashed[own], at[found[new]], at[found[last]] + size[own], keeper)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans sorted by document, keeper and first word: those that meet are one."""
+    own = ("doc_id", "text_hash", "kept_id")
+    for rows in _whole(batches, *own):
+        ids, hashed, keeper, s, e = (rows[c].to_numpy(zero_copy_only=False) for c in (*own, "s", "e"))
+        other = (ids[1:] != ids[:-1]) | (hashed[1:] != hashed[:-1]) | (keeper[1:] != keeper[:-1])
+        base = np.cumsum(np.r_[0, other]) << 32  # so that a key's words are all above those of the keys before
+        reach = np.maximum.accumulate(base + e)
+        new = np.r_[True, (base + s)[1:] > reach[:-1]]
+        last = np.r_[new[1:], True]
+        yield _spans(ids[new], hashed[new], s[new], (reach - base)[last], keeper[new])
 
 
 def span_text(text: str, s: str, e: str):

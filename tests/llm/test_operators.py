@@ -7,12 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelcast.llm import ann, chat, langid, license, links, media, mixing, packing, simhash, substring, urlfilter
+from panelcast.llm import ann, chat, common, langid, license, links, media, mixing, packing, simhash, substring, urlfilter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, node string, h string, n string"
 VOWELS = "aeiou"
@@ -189,6 +190,60 @@ def test_long_repeats_match_every_start(spark):
     assert all(len(found[i] - want[i]) == 0 or min(len(x.split()) for x in texts[i].split("\n")) < 50 for i in want)
 
 
+def test_windows_go_by_anchor(spark, monkeypatch):
+    """A text's anchors are one row, windows that follow each other with one anchor are one row, and frequent anchors find what others find."""
+    texts = [f"{prose(9500 + i, 40)} {prose(9300 + i % 3, 90)}\n{prose(9400, 60)} {prose(9700 + i, 40)}" for i in range(120)]  # the last passage is in more than 100 texts
+    texts += [f"{prose(9900 + i, 20)}\n{prose(9901, 40)}\n{prose(9902, 40)}" for i in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {}
+    with substring.Scratch(spark) as scratch:
+        every = scratch.table(substring.unit_table(df), "units")
+        assert every.where(F.col("paragraph") == substring.ANCHORS).count() == len(texts)
+        for share in (1, 10**9):  # with 1 no anchor is frequent, else those of 100 texts or more
+            monkeypatch.setattr(substring, "HOT_SHARE", share)
+            kept[share] = sorted(map(tuple, substring.repeated_runs(df, every, scratch).select("doc_id", "s", "e", "kept_id").collect()))
+            rows = spark.read.parquet(f"{scratch.root}/windows").agg(F.count("*"), F.sum(F.size("hashes"))).first()
+            assert 3 * rows[0] < rows[1]
+    want = [(i, 40, 130, i % 3) for i in range(3, 120)] + [(i, 130, 190, 0) for i in range(1, 120)] + [(121, 20, 100, 120)]
+    found = {(d, w, k) for d, s, e, k in kept[1] for w in range(s, e)}
+    assert kept[1] == kept[10**9] and {(d, w, k) for d, s, e, k in want for w in range(s, e)} <= found
+    assert all(k < d for d, _, _, k in kept[1]) and len(kept[1]) == len(set(kept[1]))
+
+
+def test_sorted_rows_in_parts(monkeypatch):
+    """What a batch ends with goes on in the next, and spans that meet are one."""
+    r = random.Random(3)
+    rows = sorted((r.randint(0, 9), r.randint(0, 2), r.randint(0, 4), r.randint(0, 60)) for _ in range(400))
+    spans = [(d, h, k, s, s + r.randint(1, 4)) for d, h, k, s in rows]
+    want = []
+    for d, h, k, s, e in spans:
+        if want and want[-1][:3] == (d, h, k) and s <= want[-1][4]:
+            want[-1] = (d, h, k, want[-1][3], max(e, want[-1][4]))
+        else:
+            want.append((d, h, k, s, e))
+    names = ["doc_id", "text_hash", "kept_id", "s", "e"]
+    windows = [(i // 7, r.randint(0, 9), i, r.randint(0, 50), 20, [r.randint(0, 3) * 100 + i // 7 for _ in range(r.randint(1, 6))]) for i in range(200)]
+    first = {}
+    for _, d, _, _, _, hashes in windows:
+        first |= {h: min(d, first.get(h, d)) for h in hashes}
+    inside = {(i, w, first[h]) for _, d, i, s, _, hashes in windows for at, h in enumerate(hashes) if first[h] < d for w in range(s + at, s + at + 20)}
+    for least in (1, 1000, 1 << 23):
+        monkeypatch.setattr(substring, "SORTED_AT_ONCE", least)
+        parts = [pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in spans[i : i + 9]]) for i in range(0, len(spans), 9)]
+        assert [tuple(x[c] for c in names) for b in substring._met(iter(parts)) for x in b.to_pylist()] == want
+        named = ["anchor", "doc_id", "text_hash", "s", "size", "hashes"]
+        parts = [pa.RecordBatch.from_pylist([dict(zip(named, x, strict=True)) for x in windows[i : i + 9]]) for i in range(0, len(windows), 9)]
+        assert {(x["text_hash"], w, x["kept_id"]) for b in substring._again(iter(parts)) for x in b.to_pylist() for w in range(x["s"], x["e"])} == inside
+
+
+def test_filter_of_keys(spark):
+    """No row with a partner is left out, and few without one are kept."""
+    rows, wanted = spark.range(20_000).withColumn("k", F.xxhash64("id")), spark.range(0, 20_000, 3).withColumn("k", F.xxhash64("id"))
+    may, none = common.maybe_in(rows, wanted, ["k"])
+    found, rest = ({x["id"] for x in t.collect()} for t in (may, none))
+    assert set(range(0, 20_000, 3)) <= found and len(found) < 6_667 + 60 and not found & rest and len(found | rest) == 20_000
+
+
 def test_sketches_in_blocks():
     text = prose(5, 9000)
     whole = substring.units(text)[0][4]
