@@ -456,7 +456,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def shorten(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([t if x is None else without(t, list(x)) for t, x in zip(texts, lists, strict=True)], dtype=object)
 
+    # Spark would move the last filter below the column and shorten each text twice, with two workers a task; a text that stays isn't sent to them
+    shortened = shorten.asNondeterministic()(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))
     keyed = carried(docs, F.xxhash64("text").alias("text_hash"))
     out = fetch(keyed, spans, ["doc_id", "text_hash"], how="left")
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(shorten("text", "spans")))
+    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(shortened))
     return unfolded(out.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)

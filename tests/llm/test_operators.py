@@ -210,6 +210,12 @@ def test_windows_go_by_anchor(spark, monkeypatch):
     assert all(k < d for d, _, _, k in kept[1]) and len(kept[1]) == len(set(kept[1]))
 
 
+def test_texts_are_shortened_once(docs):
+    """One Python step in the last plan, so a task has one worker, and a text without a span doesn't go there."""
+    plan = substring.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"ArrowEvalPython \[(\w+)\(", plan) == ["shorten"] and re.search(r"shorten\(CASE WHEN isnotnull\(spans", plan)
+
+
 def test_sorted_rows_in_parts(monkeypatch):
     """What a batch ends with goes on in the next, and spans that meet are one."""
     r = random.Random(3)
