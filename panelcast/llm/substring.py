@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import HOT_SHARE, Scratch, attach, carried, connected_components, cut, fetch, maybe_in, text_batches, tidy, unfolded
@@ -253,13 +253,23 @@ def repeated_runs(docs: DataFrame, every: DataFrame, scratch: Scratch) -> DataFr
 
 
 def _often_again(windows: DataFrame) -> DataFrame:
-    """What _again finds, for anchors so frequent that a task could not hold the windows of one."""
-    one = windows.select("doc_id", "text_hash", "s", "size", F.posexplode("hashes").alias("at", "h"))
-    one = one.select("doc_id", "text_hash", (F.col("s") + F.col("at")).alias("s"), (F.col("s") + F.col("at") + F.col("size")).alias("e"), "h")
-    twice = cut(one.groupBy("h").agg(F.min("doc_id").alias("kept_id"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
-    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    again = attach(one, twice, "h", total, F.xxhash64("doc_id", "s")).where("doc_id <> kept_id")
-    return again.select("doc_id", "text_hash", "s", "e", "kept_id")
+    """What _again finds, for anchors so frequent that a task could not hold the windows of one.
+
+    Texts that are alike have equal rows, and these are one run: windows are looked up once for a run, not for each text,
+    and a text gets its run's stretches, one for the windows that follow each other with one keeper.
+    """
+    runs = windows.withColumn("run", F.xxhash64("size", "hashes"))
+    alike = cut(runs.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.count("*").alias("texts"), F.first("hashes").alias("hashes")))
+    one = alike.select("run", "low", "top", "texts", F.posexplode("hashes").alias("at", "h"))
+    twice = cut(one.groupBy("h").agg(F.min("low").alias("kept_id"), F.max("top").alias("top"), F.count("*").alias("n")).where("kept_id < top").drop("top"))
+    total, rows = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], alike.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+    known = attach(one.select("run", "at", "h", "top", "texts"), twice, "h", total, F.xxhash64("run", "at")).where("kept_id < top")
+    island = F.col("at") - F.row_number().over(Window.partitionBy("run").orderBy("kept_id", "at"))
+    stretches = known.withColumn("_island", island).groupBy("run", "kept_id", "_island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("texts").alias("n"))
+    table = cut(stretches.groupBy("run").agg(F.first("n").alias("n"), F.collect_list(F.struct("first", "last", "kept_id")).alias("stretches")))
+    again = attach(runs.select("doc_id", "text_hash", "s", "size", "run"), table, "run", rows, F.xxhash64("doc_id", "s"))
+    again = again.select("doc_id", "text_hash", "s", "size", F.explode("stretches").alias("x")).where("x.kept_id <> doc_id")
+    return again.select("doc_id", "text_hash", (F.col("s") + F.col("x.first")).alias("s"), (F.col("s") + F.col("x.last") + F.col("size")).alias("e"), F.col("x.kept_id").alias("kept_id"))
 
 
 _WINDOWS_DDL = "doc_id long, text_hash long, anchor long, s int, size int, hashes array<long>"

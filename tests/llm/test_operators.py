@@ -216,6 +216,28 @@ def test_texts_are_shortened_once(docs):
     assert re.findall(r"ArrowEvalPython \[(\w+)\(", plan) == ["shorten"] and re.search(r"shorten\(CASE WHEN isnotnull\(spans", plan)
 
 
+def test_runs_of_frequent_anchors_are_looked_up_once(spark, monkeypatch):
+    """Windows of a group of copies are looked up by run: twice the texts with the same runs give no more rows, and all that repeats is found."""
+    r, looked, attach = random.Random(5), {}, substring.attach
+    runs = [(20, [100, 101, 102, 103]), (20, [200, 101, 102, 103]), (20, [100, 101, 300, 103, 101]), (50, [400, 401]), (20, [500]), (20, list(range(600, 640)))]
+    for n in (150, 300):
+        windows = [(i, 1000 + i, 7, r.randint(0, 50), *runs[r.randint(0, 3) if i else 0]) for i in range(n)] + [(n + 1, 1, 7, 3, *runs[4]), (n + 2, 2, 7, 4, *runs[5]), (n + 3, 3, 7, 5, *runs[5])]
+        first = {}
+        for d, *_, hashes in windows:
+            first |= {h: min(d, first.get(h, d)) for h in hashes}
+        want = {(d, w, first[h]) for d, _, _, s, size, hashes in windows for at, h in enumerate(hashes) if first[h] < d for w in range(s + at, s + at + size)}
+
+        def counted(rows, table, key, *more):
+            looked.setdefault(n, []).append((key, rows.count()))
+            return attach(rows, table, key, *more)
+
+        monkeypatch.setattr(substring, "attach", counted)
+        found = substring._often_again(spark.createDataFrame(windows, "doc_id long, text_hash long, anchor long, s int, size int, hashes array<long>")).collect()
+        assert {(x["doc_id"], w, x["kept_id"]) for x in found for w in range(x["s"], x["e"])} == want
+    assert dict(looked[150])["h"] == dict(looked[300])["h"] == sum(len(h) for _, h in runs)
+    assert dict(looked[300])["run"] == 303
+
+
 def test_sorted_rows_in_parts(monkeypatch):
     """What a batch ends with goes on in the next, and spans that meet are one."""
     r = random.Random(3)
