@@ -306,8 +306,8 @@ def united_tags(spark, sf):
 
 @register("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) = 1")
 def keep_first(spark, sf):
-    """Of rows with an equal key the first in order, of equal ones in order the first in the files."""
-    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    """Of rows with an equal key the first in order, nulls last, of equal ones in order the first in the files."""
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(F.asc_nulls_last("l_linenumber"), "_metadata.file_path", "_metadata.row_index")
     return table(spark, sf, "lineitem").withColumn("_k", F.row_number().over(w)).where("_k = 1").select("l_orderkey", "l_linenumber", "l_partkey")
 
 

@@ -258,6 +258,15 @@ def test_keep_first_takes_the_first_of_the_files(spark, tmp_path):
     assert plain(catalog.QUERIES["keep_first"](spark, str(tmp_path)).toPandas()) == plain(con.sql(catalog.ORACLE_SQL["keep_first"]).df())
 
 
+def test_keep_first_takes_a_line_without_a_number_last(spark, tmp_path):
+    rows = [(1, None, 10, "A"), (1, 2, 11, "A"), (1, 1, 12, None), (1, None, 13, None), (2, None, 14, "A"), (2, None, 15, "A"), (None, None, 16, "A"), (None, 3, 17, "A")]
+    pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"]).astype({"l_orderkey": "Int64", "l_linenumber": "Int64"}).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"set threads = 1; create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    key = lambda rows: sorted(map(str, rows))
+    assert key(tuple(r) for r in catalog.QUERIES["keep_first"](spark, str(tmp_path)).collect()) == key(con.sql(catalog.ORACLE_SQL["keep_first"]).fetchall())
+
+
 def test_a_frequent_name_meets_two_places_of_a_region(spark):
     """A name that many places share brings the first two of each region, whatever their number, and the right one wins."""
     places = [("мыс", "settlement", i, i % 3, None, 1000 + i) for i in range(900)] + [("край", "region", None, 1, None, None), ("даль", "region", None, None, None, None), ("мыс", "settlement", 1000, 1, None, 90_000), ("мыс", "mo", 1000, 1, None, None)]
