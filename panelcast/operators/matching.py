@@ -60,10 +60,10 @@ def far_bound(m: int, cutoff: float) -> int:
 SENT = 20_000
 
 
-def looked_up(table: DataFrame) -> DataFrame:
+def looked_up(table: DataFrame, most: int = SENT) -> DataFrame:
     """table computed once, and sent to all tasks where it is small, so that rows that look up a few frequent names stay where they are."""
     table = kept(table)
-    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def numbered_grams(parts: list[str]) -> list[str]:

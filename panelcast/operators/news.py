@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from panelcast.functions.text import bare_name, local_types, national_types, normal_name, proper_names, snippet, stemmed, tagged_place
 from panelcast.operators.matching import closest, looked_up, similar
@@ -68,6 +69,8 @@ REGION_ALIASES = {
     "Алтайский край": ("алтайский край",),
 }
 BIG_CITY, TIMES = 50_000, 10
+#: Names of a gazetteer that are sent to all tasks, and messages that a task resolves.
+KNOWN, MESSAGES = 200_000, 10_000
 
 
 def group_of(event_type: Column) -> Column:
@@ -132,45 +135,57 @@ def resolve_places(tokens: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY,
     largest settlement is taken, if it is times as large as the next. Regions without such a
     place stand for themselves.
 
-    What a name can stand for is drawn from the gazetteer once (leaders), so that a message's name meets a row or two for each region that
-    the message names, however many places share the name.
+    What a name can stand for is drawn from the gazetteer once (leaders) and sent to all tasks where it is small, so that a message is one
+    row with its names from its text to its places: rows for each name or region are made and gathered again within a task.
     """
-    key = ["channel", "msg_id", "stem"]
-    token = tokens.select("channel", "msg_id", F.explode(F.array_distinct(F.array("token", bare_name(F.col("token"))))).alias("stem"), (F.col("kind") == "ner").alias("ner"))
+    key = ["channel", "msg_id"]
+    token = tokens.select(*key, F.explode(F.array_distinct(F.array("token", bare_name(F.col("token"))))).alias("stem"), (F.col("kind") == "ner").alias("ner"))
     names, leading = leaders(gazetteer, big, times)
-    met = kept(token.join(looked_up(names), "stem").groupBy(*key).agg(F.max("ner").alias("ner"), *[F.first(c).alias(c) for c in names.columns if c != "stem"]))
-    named = met.groupBy("channel", "msg_id").agg(F.array_distinct(F.flatten(F.collect_list("_regions"))).alias("_named"))
-    named = kept(named.where(F.size("_named") > 0))
-    regions = named.select("channel", "msg_id", F.explode("_named").alias("region_code"))
-
-    # territories of a name in the message's regions; a name's first two of each region are enough to tell its first two of all
-    inside = regions.join(met.where("_placed").select(*key, F.explode("_within").alias("region_code")), ["channel", "msg_id", "region_code"])
-    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last("town"), F.desc("territory_id"))
-    each = inside.join(leading, ["stem", "region_code"]).groupBy(*key, "territory_id").agg(F.max("town").alias("town"), F.first("_rows").alias("_rows"))
-    each = each.withColumns({"_k": F.row_number().over(w), "_next": F.lead("town").over(w), "_n": F.count("*").over(Window.partitionBy(*key))})
-    high = each.where(lone(times)).join(named, ["channel", "msg_id"]).withColumn("_rows", F.filter("_rows", lambda r: F.array_contains(F.col("_named"), r["region_code"])))
-    high = high.select(*key, "territory_id", F.array_min(F.col("_rows.region_code")).alias("region_code"), F.exists("_rows", lambda r: r["mo"]).alias("is_mo"), F.lit("high").alias("confidence"))
-
-    other = met.where("_placed").join(inside.select(*key).distinct(), key, "left_anti")
-    alone = F.when(F.col("_dominant").isNotNull(), F.col("_dominant")).when(F.col("_sure") & F.col("ner"), F.col("_single"))
-    medium = other.withColumn("_one", alone).where("_one is not null").select(*key, "_one.territory_id", "_one.region_code", F.col("_one.mo").alias("is_mo"), F.lit("medium").alias("confidence"))
-
-    chosen = high.unionByName(medium)
-    hits = kept(chosen.groupBy("channel", "msg_id", "territory_id", "region_code", F.when(F.col("is_mo"), "mo").otherwise("settlement").alias("level")).agg(F.min("confidence").alias("confidence"), F.min("stem").alias("matched")))
-    nameless = met.where("_nameless").select("channel", "msg_id").distinct().withColumn("region_code", F.lit(None).cast(regions.schema["region_code"].dataType))
-    bare = regions.join(hits, ["channel", "msg_id", "region_code"], "left_anti").unionByName(nameless)
-    return hits.unionByName(bare.select("channel", "msg_id", F.lit(None).cast("long").alias("territory_id"), "region_code", F.lit("region").alias("level"), F.lit("high").alias("confidence"), F.lit("").alias("matched")))
+    order = F.collect_list(F.struct("town", "territory_id", "region_code", "_rows"))
+    names = looked_up(names.join(leading.groupBy("stem").agg(F.sort_array(order, asc=False).alias("_places")), "stem", "left"), KNOWN)
+    naming = names.where((F.size("_regions") > 0) | F.col("_nameless")).select("stem", "_regions", "_nameless")
+    placed = names.where("_placed").select("stem", "_places", "_dominant", "_single", "_sure")
+
+    # a message's names, then the regions that they name
+    met = kept(token.join(names.select("stem"), "stem").groupBy(*key).agg(F.collect_set(F.struct("stem", "ner")).alias("_met")))
+    tasks = max(met.sparkSession.sparkContext.defaultParallelism, -(-met.count() // MESSAGES))
+    each = met.repartition(tasks, *key).select(*key, F.inline("_met")).join(naming, "stem", "left")
+    named = each.groupBy(*key).agg(F.collect_list(F.struct("stem", "ner")).alias("_met"), F.array_distinct(F.flatten(F.collect_list("_regions"))).alias("_named"), F.max("_nameless").alias("_nameless"))
+
+    # of each name the places in those regions, the largest settlement first
+    each = named.select(*key, "_named", "_nameless", F.inline("_met")).join(placed, "stem", "left")
+    told = F.col("channel").isNotNull() & F.col("msg_id").isNotNull()
+    inside = F.filter("_places", lambda p: F.array_contains(F.col("_named"), p["region_code"]))
+    each = each.withColumn("_inside", F.when(told, inside)).withColumn("_first", F.get("_inside", F.lit(0)))
+    each = each.withColumn("_next", F.get(F.filter("_inside", lambda p: ~p["territory_id"].eqNullSafe(F.col("_first.territory_id"))), F.lit(0)))
+    rows = F.filter("_first._rows", lambda r: F.array_contains(F.col("_named"), r["region_code"]))
+    level = lambda mo: F.when(mo, "mo").otherwise("settlement")
+    high = F.struct(F.col("_first.territory_id"), F.array_min(F.transform(rows, lambda r: r["region_code"])).alias("region_code"), level(F.exists(rows, lambda r: r["mo"])).alias("level"), F.lit("high").alias("confidence"))
+    alone = F.when(told & F.col("_dominant").isNotNull(), F.col("_dominant")).when(F.col("_sure") & F.col("ner"), F.col("_single"))
+    medium = F.struct(alone["territory_id"].alias("territory_id"), alone["region_code"].alias("region_code"), level(alone["mo"]).alias("level"), F.lit("medium").alias("confidence"))
+    chosen = F.when(F.col("_first").isNotNull(), F.when(lone(times), high)).when(alone.isNotNull(), medium)
+    each = each.select(*key, "_named", "_nameless", "stem", chosen.alias("_one")).select(*key, "_named", "_nameless", "stem", "_one.*")
+
+    # a message's places, each once, and the regions without one
+    hits = each.groupBy(*key, "territory_id", "region_code", "level").agg(F.min("confidence").alias("confidence"), F.min("stem").alias("matched"), F.first("_named").alias("_named"), F.first("_nameless").alias("_nameless"))
+    place = F.struct("territory_id", "region_code", "level", "confidence", "matched")
+    found = hits.groupBy(*key).agg(F.collect_list(F.when(F.col("level").isNotNull(), place)).alias("_hits"), F.first("_named").alias("_named"), F.first("_nameless").alias("_nameless"))
+    code = hits.schema["region_code"].dataType
+    left = F.concat(F.array_except("_named", "_hits.region_code"), F.when(F.col("_nameless"), F.array(F.lit(None).cast(code))).otherwise(F.array().cast(ArrayType(code))))
+    bare = F.transform(left, lambda r: F.struct(F.lit(None).cast("long").alias("territory_id"), r.alias("region_code"), F.lit("region").alias("level"), F.lit("high").alias("confidence"), F.lit("").alias("matched")))
+    return found.select(*key, F.inline(F.concat("_hits", bare)))
 
 
 def lone(times: int) -> Column:
-    """Whether a territory is the only one of _n, or the first (_k) and the largest settlement, times as large as the _next."""
-    return (F.col("_n") == 1) | ((F.col("_k") == 1) & F.col("town").isNotNull() & (F.col("_next").isNull() | (F.col("town") >= times * F.greatest("_next", F.lit(1)))))
+    """Whether a place (_first) is the only one, or the largest settlement and times as large as the _next."""
+    town, after = F.col("_first.town"), F.col("_next.town")
+    return F.col("_next").isNull() | (town.isNotNull() & (after.isNull() | (town >= times * F.greatest(after, F.lit(1)))))
 
 
 def leaders(gazetteer: DataFrame, big: int, times: int) -> tuple[DataFrame, DataFrame]:
     """What each stem of a gazetteer stands for, and the first two territories of each stem and region.
 
-    Of a stem: _regions that it names by itself or by its dominant city, _within (regions of its territories), _placed (whether it has any),
+    Of a stem: _regions that it names by itself or by its dominant city, _placed (whether it has territories),
     _dominant and _single (territory_id, region_code, mo of its dominant city and of its one territory), _sure, and _nameless (whether it names a region without a code). Of a stem and region:
     territory_id, town (people of its largest settlement there) and _rows, the regions in which the territory has the name and whether as mo.
     """
@@ -181,7 +196,7 @@ def leaders(gazetteer: DataFrame, big: int, times: int) -> tuple[DataFrame, Data
     of = Window.partitionBy("stem", "territory_id")
     each = places.withColumn("_rows", F.collect_list(F.struct("region_code", "mo")).over(of))
     first = Window.partitionBy("stem", "region_code").orderBy(F.desc_nulls_last("town"), F.desc("territory_id"))
-    leading = looked_up(each.where("region_code is not null").withColumn("_k", F.row_number().over(first)).where("_k <= 2").select("stem", "region_code", "territory_id", "town", "_rows"))
+    leading = each.where("region_code is not null").withColumn("_k", F.row_number().over(first)).where("_k <= 2").select("stem", "region_code", "territory_id", "town", "_rows")
 
     towns = rows.where(settled).select("stem", "territory_id", "region_code", size.alias("_size"))
     order = Window.partitionBy("stem").orderBy(F.desc("_size"), "territory_id", "region_code")
@@ -192,7 +207,7 @@ def leaders(gazetteer: DataFrame, big: int, times: int) -> tuple[DataFrame, Data
     dominant = best.join(whole, (best["stem"] == whole["stem"]) & F.col("_t").eqNullSafe(F.col("territory_id"))).select(best["stem"], F.array("_r").alias("_city"), one.alias("_dominant"))
     single = whole.groupBy("stem").agg(F.count_distinct("territory_id").alias("_n"), F.max("mo").alias("_mo"), F.min(one).alias("_single"))
     single = single.select("stem", "_single", ((F.col("_n") == 1) & F.col("_mo") & ~F.col("stem").isin(stemmed_set(RISKY))).alias("_sure"))
-    own = rows.groupBy("stem").agg(F.collect_set(F.when(F.col("level") == "region", F.col("region_code"))).alias("_regions"), F.collect_set(F.when(F.col("level") != "region", F.col("region_code"))).alias("_within"), F.max(F.col("level") != "region").alias("_placed"), F.max((F.col("level") == "region") & F.col("region_code").isNull()).alias("_nameless"))
+    own = rows.groupBy("stem").agg(F.collect_set(F.when(F.col("level") == "region", F.col("region_code"))).alias("_regions"), F.max(F.col("level") != "region").alias("_placed"), F.max((F.col("level") == "region") & F.col("region_code").isNull()).alias("_nameless"))
     out = own.join(dominant, "stem", "left").join(single, "stem", "left")
     regions = F.array_compact(F.array_union("_regions", F.coalesce("_city", F.array().cast("array<int>"))))
     nameless = F.col("_nameless") | F.coalesce(F.get("_city", F.lit(0)).isNull() & F.col("_dominant").isNotNull(), F.lit(False))

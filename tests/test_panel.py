@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+import re
 
 import duckdb
 import kernels
@@ -278,6 +279,31 @@ def test_a_frequent_name_meets_two_places_of_a_region(spark):
     assert found == {1: (1000, 1, "mo", "high"), 2: (1000, 1, "mo", "high"), 3: (None, 1, "region", "high"), 4: (None, None, "region", "high")}
 
 
+def test_a_message_stays_one_row_until_its_places_are_told(spark):
+    """Names and regions of a message meet within a task: after the messages are dealt out nothing is shuffled."""
+    tokens = spark.createDataFrame([("c", i, "краснодарскии краи", "ner") for i in range(20)], "channel string, msg_id long, token string, kind string")
+    plan = news.resolve_places(tokens, fixtures.small_gazetteer(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and len(re.findall(r"\bExchange hashpartitioning", plan)) == 1
+
+
+@pytest.mark.parametrize("known", [200_000, 0])
+def test_places_of_odd_documents_equal_the_sql(spark, tmp_path, monkeypatch, known):
+    """Ids that are null, repeat or have no name; a gazetteer that is sent to all tasks and one that is not."""
+    monkeypatch.setattr(news, "KNOWN", known)
+    words = ["Alpha", "Beta", "Gamma", "Delta", "Omega"]
+    pages = pd.DataFrame([(i, f"<title>{words[i * i % 5]} {i}</title>") for i in range(90)], columns=["page_id", "html"])
+    pages.assign(url="").to_parquet(tmp_path / "pages.parquet")
+    docs = [(None if i % 11 == 0 else i // 2, " ".join(w for j, w in enumerate(words) if i >> j & 1) + " end", None if i % 7 == 0 else "ab"[i % 2]) for i in range(40)] + [(99, None, "a"), (98, "", "b")]
+    pd.DataFrame(docs, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "documents"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    for name in ("document_places", "recognised_places"):
+        key = lambda rows: sorted(map(str, rows))
+        want = key(con.sql(catalog.ORACLE_SQL[name]).fetchall())
+        assert want and key(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 def test_regions_are_looked_up_in_place(spark):
     """Rows that name few regions aren't dealt out by those names."""
     places = fixtures.small_gazetteer(spark)
