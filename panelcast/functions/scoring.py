@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -13,6 +14,8 @@ from panelcast.functions.similarity import FAR_LONGER, FAR_PART_SCALE, LONG, PAR
 WIDE = 63
 #: Numbers that the marks of the texts scored at once take at most, and pairs scored at once.
 MARKS, PAIRS = 1 << 22, 1 << 15
+#: Parts of the weighted ratio, and itself.
+PARTS = ("plain", "in_order", "word_set", "part", "part_words", "score")
 
 
 def split(text: str) -> list[str]:
@@ -132,17 +135,58 @@ def word_set_ratio(a: Names, i: np.ndarray, b: Names, j: np.ndarray, sharing: np
     return out
 
 
-def weighted_ratio(a: Names, i: np.ndarray, b: Names, j: np.ndarray) -> np.ndarray:
-    """The weighted ratio of each pair a[i], b[j], in bounded steps; those of long texts apart, as their steps take longer."""
+def steps(a: Names, i: np.ndarray, b: Names, j: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the pairs a[i], b[j] in bounded steps; those of long texts apart, as their steps take longer."""
     step = max(1, min(PAIRS, MARKS // (len(a.plain.letters) + 1)))
-    out, wide = np.zeros(len(i)), np.maximum(a.plain.sizes[i], b.plain.sizes[j]) > WIDE
+    wide = np.maximum(a.plain.sizes[i], b.plain.sizes[j]) > WIDE
     for rows in (np.flatnonzero(~wide), np.flatnonzero(wide)):
         for k in range(0, len(rows), step):
-            own = rows[k : k + step]
-            out[own] = _weighted(a, i[own], b, j[own])
+            yield rows[k : k + step]
+
+
+def weighted_ratio(a: Names, i: np.ndarray, b: Names, j: np.ndarray) -> np.ndarray:
+    """The weighted ratio of each pair a[i], b[j]."""
+    out = np.zeros(len(i))
+    for own in steps(a, i, b, j):
+        out[own] = _weighted(a, i[own], b, j[own])
     return out
 
 
+def ratio(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray) -> np.ndarray:
+    size = x.sizes[i] + y.sizes[j]
+    return np.where(size > 0, 200.0 * common(x, i, y, j) / np.maximum(size, 1), 100.0)
+
+
+def ratios(a: Names, i: np.ndarray, b: Names, j: np.ndarray) -> dict[str, np.ndarray]:
+    """All of PARTS of each pair a[i], b[j], whatever their lengths."""
+    out = {k: np.zeros(len(i)) for k in PARTS}
+    for own in steps(a, i, b, j):
+        for k, v in _ratios(a, i[own], b, j[own]).items():
+            out[k][own] = v
+    return out
+
+
+def _ratios(a: Names, i: np.ndarray, b: Names, j: np.ndarray) -> dict[str, np.ndarray]:
+    p, q = a.plain.sizes[i], b.plain.sizes[j]
+    sharing = np.fromiter((not a.sets[x].isdisjoint(b.sets[y]) for x, y in zip(i, j, strict=True)), bool, len(i))
+    blank = (a.ordered.sizes[i] == 0) | (b.ordered.sizes[j] == 0)
+    plain, part, words = ratio(a.plain, i, b.plain, j), part_ratio(a.plain, i, b.plain, j), np.where(sharing, 100.0, 0.0)
+    in_order, own = plain.copy(), np.flatnonzero(~(a.is_ordered[i] & b.is_ordered[j]))
+    in_order[own] = ratio(a.ordered, i[own], b.ordered, j[own])
+    own = np.flatnonzero(~sharing & ~blank & a.is_ordered[i] & b.is_ordered[j])
+    words[own] = part[own]
+    own = np.flatnonzero(~sharing & ~blank & ~(a.is_ordered[i] & b.is_ordered[j]))
+    words[own] = part_ratio(a.ordered, i[own], b.ordered, j[own])
+    own = np.flatnonzero(~sharing & ~blank & ~(a.is_once[i] & b.is_once[j]))
+    words[own] = np.maximum(words[own], part_ratio(a.once, i[own], b.once, j[own]))
+    word_set = word_set_ratio(a, i, b, j, sharing)
+    longer = np.maximum(p, q) / np.maximum(np.minimum(p, q), 1)
+    scale = np.where(longer <= FAR_LONGER, PART_SCALE, FAR_PART_SCALE)
+    near, far = np.maximum(WORDS_SCALE * in_order, WORDS_SCALE * word_set), np.maximum(scale * part, WORDS_SCALE * scale * words)
+    score = np.where((p == 0) | (q == 0), 0.0, np.maximum(plain, np.where(longer < LONG, near, far)))
+    return dict(zip(PARTS, (plain, in_order, word_set, part, words, score), strict=True))
+
+
 def _weighted(a: Names, i: np.ndarray, b: Names, j: np.ndarray) -> np.ndarray:
     p, q = a.plain.sizes[i], b.plain.sizes[j]
     some = (p > 0) & (q > 0)

@@ -185,10 +185,39 @@ def met_pairs(names: DataFrame, aliases: DataFrame, cutoff: float, group: str =
     return compared(names, aliases, cutoff, group, scored=False).drop("similarity")
 
 
-def dealt(rows: DataFrame, size: int) -> DataFrame:
-    """rows computed once and dealt to tasks of size rows, however few bytes they have: what follows takes long for each."""
+def dealt(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """rows computed once and dealt to tasks of size rows, by some columns or all, however few bytes they have: what follows takes long for each."""
     rows = kept(rows)
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // size)), *rows.columns)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // size)), *(by or rows.columns))
+
+
+def ratios(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b and other columns) with all parts of their weighted ratio, null where a text is; of the pairs that a task holds at a time, equal ones are scored once."""
+
+    def scored_pairs(rows: pa.Table) -> pa.Table:
+        texts, codes = zip(*[(x.dictionary.to_pylist(), x.indices.fill_null(-1).to_numpy()) for x in (rows[c].combine_chunks().dictionary_encode() for c in ("a", "b"))], strict=True)
+        some = np.flatnonzero((codes[0] >= 0) & (codes[1] >= 0))
+        own, at = np.unique(codes[0][some].astype(np.int64) * max(1, len(texts[1])) + codes[1][some], return_inverse=True)
+        known = scoring.letters(*texts, [" "])
+        found = scoring.ratios(scoring.Names(texts[0], known), own // max(1, len(texts[1])), scoring.Names(texts[1], known), own % max(1, len(texts[1])))
+        place = np.full(len(rows), len(own))
+        place[some] = at
+        for c, values in found.items():
+            rows = rows.append_column(c, pa.array(np.append(values, np.nan)[place], pa.float64(), mask=place == len(own)))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= PAIRS:
+                yield from scored_pairs(pa.Table.from_batches(held)).to_batches()
+                held, n = [], 0
+        if n:
+            yield from scored_pairs(pa.Table.from_batches(held)).to_batches()
+
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, *[StructField(c, DoubleType()) for c in scoring.PARTS]]))
 
 
 def similar(names: DataFrame, aliases: DataFrame, cutoff: float, group: str = "region_code", most: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from panelcast.functions.text import bare_name, local_types, national_types, normal_name, proper_names, snippet, stemmed, tagged_place
-from panelcast.operators.matching import closest, looked_up, similar
+from panelcast.operators.matching import closest, dealt, looked_up, similar
 from panelcast.operators.panel import surge
 from panelcast.operators.spatial import within
 from panelcast.sources.sinks import kept
@@ -147,9 +147,8 @@ def resolve_places(tokens: DataFrame, gazetteer: DataFrame, big: int = BIG_CITY,
     placed = names.where("_placed").select("stem", "_places", "_dominant", "_single", "_sure")
 
     # a message's names, then the regions that they name
-    met = kept(token.join(names.select("stem"), "stem").groupBy(*key).agg(F.collect_set(F.struct("stem", "ner")).alias("_met")))
-    tasks = max(met.sparkSession.sparkContext.defaultParallelism, -(-met.count() // MESSAGES))
-    each = met.repartition(tasks, *key).select(*key, F.inline("_met")).join(naming, "stem", "left")
+    met = token.join(names.select("stem"), "stem").groupBy(*key).agg(F.collect_set(F.struct("stem", "ner")).alias("_met"))
+    each = dealt(met, MESSAGES, *key).select(*key, F.inline("_met")).join(naming, "stem", "left")
     named = each.groupBy(*key).agg(F.collect_list(F.struct("stem", "ner")).alias("_met"), F.array_distinct(F.flatten(F.collect_list("_regions"))).alias("_named"), F.max("_nameless").alias("_nameless"))
 
     # of each name the places in those regions, the largest settlement first

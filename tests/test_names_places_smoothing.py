@@ -4,12 +4,14 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from panelcast.functions import scoring, similarity
 from panelcast.operators import matching, smoothing, spatial
-from panelcast.plans import matching_queries
+from panelcast.plans import catalog, matching_queries
 from pyspark.sql import functions as F
 
 
@@ -305,6 +307,39 @@ def test_next_names_over_ranges_and_dealt_rows(spark):
     assert matching.dealt(parts, 20).rdd.getNumPartitions() == 15
 
 
+def test_next_names_put_rows_without_a_key_last(spark):
+    parts = spark.createDataFrame([(None, "z"), *[(k, f"n{k}") for k in range(50)]], "k long, p string")
+    found = {r["k"]: r["q"] for r in matching_queries.with_next(parts, "k", "p", "q", 10).collect()}
+    assert found == {k: f"n{k + 1}" for k in range(49)} | {49: "z", None: None}
+
+
+def test_all_ratios_of_many_pairs_match_plain_versions(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PAIRS", 50)
+    a, b = made_names(1, 40), made_names(2, 40)
+    pairs = [*zip(a, b, strict=False), *zip(a, a[1:], strict=False), ("", ""), ("", "a"), (" ", "a"), ("ab  c", "c ab"), ("b a", "a b b"), ("x" * 130 + "yz" * 20, "z" + "x" * 120), ("a" * 63, "b " + "a" * 64), (None, "a"), ("a", None), (None, None)]
+    rows = matching.ratios(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs * 2)], "i int, a string, b string")).collect()
+    assert sorted(r["i"] for r in rows) == list(range(2 * len(pairs)))
+    for r in rows:
+        x, y = r["a"], r["b"]
+        if x is None or y is None:
+            assert [r[k] for k in scoring.PARTS] == [None] * 6
+            continue
+        v, w = x.split(), y.split()
+        want = ratio(x, y), ratio(" ".join(sorted(v)), " ".join(sorted(w))), word_set(v, w), part(x, y), part_words(v, w), weighted(x, y)
+        assert [r[k] for k in scoring.PARTS] == pytest.approx(want, abs=1e-9), (x, y)
+
+
+def test_similarity_of_odd_part_names_equals_the_sql(spark, tmp_path):
+    """Names that are null, blank, empty, of one word or of words that repeat; scored in Arrow batches, as lambdas took 2 ms a pair."""
+    rows = [(1, "red  big box", "B#1", "LARGE"), (2, None, "B#2", "SMALL"), (3, "solo", "B#3", "tiny"), (4, "", "B#4", "tiny"), (5, "Same same words", "B#5", None), (6, "words same same", "B#6", "x"), (7, " ", None, "y"), (8, None, "", ""), (9, "x", "", "")]
+    pd.DataFrame(rows, columns=["p_partkey", "p_name", "p_brand", "p_type"]).to_parquet(tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    made = catalog.QUERIES["name_similarity"](spark, str(tmp_path))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(tuple(r)) for r in made.collect()) == sorted(map(str, con.sql(catalog.ORACLE_SQL["name_similarity"]).fetchall()))
+
+
 def test_nearest_meets_few_places(spark):
     """Cells hold few places where they are dense, so that a point meets some dozens whatever their number."""
     r = random.Random(2)
